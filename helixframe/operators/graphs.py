@@ -87,6 +87,14 @@ def map_properties(edges: DataFrame, sources: DataFrame, targets: DataFrame) ->
     return s.crossJoin(t).select(f.alias("is_function"), f, "is_partial_function", (f & F.col("_one")).alias("is_injective"), (f & F.col("_onto")).alias("is_surjective"), (f & F.col("_one") & F.col("_onto") & (F.col("_s") == F.col("_t"))).alias("is_bijective"))
 
 
+def function_mapping(edges: DataFrame) -> DataFrame:
+    """``source, target`` where every source has one target; raises otherwise."""
+    pairs = unique_edges(edges)
+    if not pairs.groupBy("source").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("a source has two targets")
+    return pairs
+
+
 def inverse_mapping(edges: DataFrame) -> DataFrame:
     """``target, sources`` for targets that have any."""
     return edges.groupBy("target").agg(F.sort_array(F.collect_set("source")).alias("sources"))
@@ -167,6 +175,17 @@ def reachable(edges: DataFrame, start: DataFrame, upward: bool = False) -> DataF
         found = found.unionByName(frontier)
 
 
+def has_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``source, target, connected`` for the pairs asked for; a node does not reach itself."""
+    below = reachable(edges, pairs.select(F.col("source").alias("node")).distinct())
+    found = below.select(F.col("node").alias("source"), F.col("other").alias("target"), F.lit(True).alias("connected"))
+    return pairs.select("source", "target").join(found, ["source", "target"], "left").fillna(False, ["connected"])
+
+
+def nodes_at_level(edges: DataFrame, level: int) -> DataFrame:
+    return levels(edges).filter(F.col("level") == level).select("node")
+
+
 def topological_order(edges: DataFrame) -> DataFrame:
     """Nodes with their depth, parents before children."""
     return levels(edges).select("node", "depth").orderBy("depth", "node")

@@ -21,13 +21,13 @@ def vector_metrics(pairs: DataFrame, keys: list[str] | None = None, suffix: str
     p, t = F.col("pred"), F.col("true")
     d = t - p
     sums = pairs.groupBy(*(keys or [])).agg(
-        F.count("*").cast("double").alias("_n"), F.sum(d * d).alias("_dd"), F.avg(F.abs(d)).alias("_mae"), F.corr(p, t).alias("_corr"),
+        F.count("*").cast("double").alias("_n"), F.sum(d * d).alias("_dd"), F.avg(F.abs(d)).alias("_mae"), F.covar_pop(p, t).alias("_cov"), F.var_pop(p).alias("_vp"),
         F.var_pop(t).alias("_vt"), F.sum(p * t).alias("_pt"), F.sum(p * p).alias("_pp"), F.sum(t * t).alias("_tt"),
     )
     n, dd = F.col("_n"), F.col("_dd")
     values = {
         "r2": F.when(F.col("_vt") > 0, 1 - dd / (F.col("_vt") * n)).otherwise(F.when(dd == 0, 1.0).otherwise(0.0)),
-        "pearson": F.coalesce(F.nanvl("_corr", F.lit(0.0)), F.lit(0.0)),
+        "pearson": F.when((F.col("_vp") > 0) & (F.col("_vt") > 0), F.col("_cov") / F.sqrt(F.col("_vp") * F.col("_vt"))).otherwise(0.0),
         "mse": dd / n,
         "rmse": F.sqrt(dd / n),
         "mae": F.col("_mae"),

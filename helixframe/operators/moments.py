@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,3 +101,17 @@ def pseudobulk_delta(X: DataFrame, target: DataFrame, control: DataFrame) -> Dat
     """Pseudobulk of target cells minus that of control cells: ``gene, delta``."""
     t, c = pseudobulk(X, target).withColumnRenamed("mean", "t"), pseudobulk(X, control).withColumnRenamed("mean", "c")
     return t.join(c, "gene", "full").select("gene", (F.coalesce("t", F.lit(0.0)) - F.coalesce("c", F.lit(0.0))).alias("delta"))
+
+
+def polynomial_fit(points: DataFrame, degree: int = 2, weight: str | None = None) -> list[float]:
+    """Least-squares coefficients of ``points (x, y)``, lowest order first.
+
+    One pass of power sums; the normal equations of ``degree + 1`` unknowns are solved on the
+    driver. Meant for low degrees and centred x.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    powers = [F.sum(w * F.pow("x", F.lit(float(k)))).alias(f"x{k}") for k in range(2 * degree + 1)]
+    mixed = [F.sum(w * F.pow("x", F.lit(float(k))) * F.col("y")).alias(f"y{k}") for k in range(degree + 1)]
+    s = points.agg(*powers, *mixed).first()
+    left = np.array([[s[f"x{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)], float)
+    return np.linalg.lstsq(left, np.array([s[f"y{k}"] for k in range(degree + 1)], float), rcond=None)[0].tolist()

@@ -576,3 +576,83 @@ def cell_records(spark, d):
     r = embedding.records(t.order_counts(spark, d), t.order_obs(spark, d))
     total = F.aggregate(F.coalesce("values", F.array().cast("array<double>")), F.lit(0.0), lambda s, x: s + x)
     return rounded(r.select("cell", "cell_type", "cell_type_idx", F.coalesce(F.array_join("indices", ","), F.lit("")).alias("genes"), total.alias("total")))
+
+
+# Further surface
+
+
+@query("SELECT 0 AS k, round(regr_intercept(l_extendedprice, l_quantity), 4) + 0.0 AS coefficient FROM lineitem UNION ALL SELECT 1, round(regr_slope(l_extendedprice, l_quantity), 4) + 0.0 FROM lineitem")
+def polynomial_fit(spark, d):
+    points = t.table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return rounded(spark.createDataFrame(list(enumerate(moments.polynomial_fit(points, 1))), "k int, coefficient double"), 4)
+
+
+@query(sql("dag", _CLOSURE + ", lv AS (SELECT node, min(dist) AS level, max(dist) AS depth FROM r GROUP BY node) SELECT count(*) AS n_nodes, max(level) AS max_level, max(depth) AS max_depth, (SELECT count(*) FROM dag) AS n_edges, (SELECT count(*) FROM nodes WHERE node NOT IN (SELECT child FROM dag)) AS n_roots, (SELECT count(*) FROM nodes WHERE node NOT IN (SELECT parent FROM dag)) AS n_leaves, round((SELECT count(*) FROM dag) / count(*)::DOUBLE, 6) + 0.0 AS avg_children FROM lv", True))
+def dag_stats(spark, d):
+    return rounded(graphs.dag_stats(t.hierarchy(spark, d)))
+
+
+@query("SELECT 'r' || r_regionkey AS source, 'n' || n_nationkey AS target, n_regionkey = r_regionkey AS connected FROM region, nation")
+def dag_has_path(spark, d):
+    pairs = t.table(spark, d, "region").crossJoin(t.table(spark, d, "nation")).select(F.concat(F.lit("r"), "r_regionkey").alias("source"), F.concat(F.lit("n"), "n_nationkey").alias("target"))
+    return graphs.has_path(t.hierarchy(spark, d), pairs)
+
+
+@query(sql("dag", ", e AS (SELECT child AS x, parent AS y FROM dag WHERE child LIKE 's%') SELECT DISTINCT a.x AS node, b.x AS neighbor FROM e a JOIN e b ON a.y = b.y AND a.x <> b.x"))
+def hypergraph_neighbors(spark, d):
+    h = t.hierarchy(spark, d).filter("child LIKE 's%'").groupBy(F.col("parent").alias("edge_id")).agg(F.collect_list("child").alias("participants"))
+    return graphs.co_participants(h)
+
+
+@query(sql("dag", "SELECT parent AS source, child AS target FROM dag WHERE parent IN (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1) AND child LIKE 's%'"))
+def graph_subgraph(spark, d):
+    nations = t.table(spark, d, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    suppliers = t.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    return graphs.subgraph(t.hierarchy(spark, d).toDF("source", "target"), nations.union(suppliers))
+
+
+@query("WITH e AS (SELECT DISTINCT c_nationkey AS a, o_custkey % 25 AS b FROM orders JOIN customer ON o_custkey = c_custkey) SELECT a AS source, b AS target, 1.0::DOUBLE AS weight FROM e UNION ALL SELECT b, a, 1.0 FROM e WHERE a <> b AND NOT EXISTS (SELECT 1 FROM e x WHERE x.a = e.b AND x.b = e.a)")
+def graph_from_table(spark, d):
+    o = t.table(spark, d, "orders").join(t.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return graphs.graph_from_table(o.select(F.col("c_nationkey").cast("long").alias("source"), F.pmod("o_custkey", F.lit(25)).cast("long").alias("target")).distinct())
+
+
+_VOCABS = "WITH a AS (SELECT p_type AS token, row_number() OVER (ORDER BY p_type) - 1 AS idx FROM (SELECT DISTINCT p_type FROM part)), b AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM (SELECT DISTINCT p_type AS token FROM part WHERE p_type > 'L' UNION ALL SELECT 'other'))"
+
+
+def _vocabs(spark, d):
+    types = t.table(spark, d, "part").select("p_type").distinct()
+    return graphs.numbered(types, "p_type"), graphs.numbered(types.filter("p_type > 'L'").union(spark.range(1).select(F.lit("other"))), "p_type")
+
+
+@query(_VOCABS + " SELECT CAST(row_number() OVER (ORDER BY o, idx) - 1 AS BIGINT) AS idx, token FROM (SELECT 0 AS o, idx, token FROM a UNION ALL SELECT 1, idx, token FROM b WHERE token NOT IN (SELECT token FROM a))")
+def vocab_union(spark, d):
+    return vocab.union(*_vocabs(spark, d))
+
+
+@query(_VOCABS + " SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS idx, token FROM a WHERE token IN (SELECT token FROM b)")
+def vocab_intersection(spark, d):
+    return vocab.intersection(*_vocabs(spark, d))
+
+
+@query(sql("obs", "SELECT cell, pert = '5-LOW' AS is_control, pert NOT IN ('5-LOW', '3-MEDIUM') AS is_perturbed FROM obs"))
+def perturbation_flags(spark, d):
+    return labels.flags(t.order_obs(spark, d), "pert", [CONTROL], ["3-MEDIUM"]).select("cell", "is_control", "is_perturbed")
+
+
+@query(sql("combo", "SELECT cell, label FROM combo WHERE len(list_filter(list_transform(string_split(label, '+'), lambda x: trim(x)), lambda x: x NOT IN ('control', 'F', '1-URGENT', '2-HIGH'))) = 0"))
+def allowed_perturbations(spark, d):
+    genes = spark.createDataFrame([("F",), ("1-URGENT",), ("2-HIGH",)], "gene string")
+    return labels.allowed(t.combinations(spark, d).withColumnRenamed("label", "perturbation"), genes).select("cell", F.col("perturbation").alias("label"))
+
+
+@query(sql("e1", _BULK + " SELECT gene, (p - c > 0) = (t - c > 0) AS same_direction FROM k"))
+def direction_per_gene(spark, d):
+    return metrics.direction_per_gene(*_triplet(spark, d))
+
+
+@query()
+def evaluate_prediction(spark, d):
+    """All metric families in one table; each family has a query with SQL of its own."""
+    table = _de(spark, d)
+    return rounded(metrics.evaluate_prediction(*_triplet(spark, d), table.filter("target = '1-URGENT'"), table.filter("target = '2-HIGH'")))

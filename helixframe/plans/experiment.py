@@ -29,7 +29,8 @@ class Experiment:
         """Roles that are not given are guessed from column names."""
         found = roles.roles(obs, var)
         obs = obs.withColumnRenamed(found["cell_id"], "cell") if "cell" not in obs.columns and found["cell_id"] else obs
-        var = var.withColumnRenamed(found["gene_name"], "gene_name") if "gene_name" not in var.columns and found["gene_name"] else var
+        name = roles.guess([c for c in var.columns if c != "gene"], roles.GENE_NAME)
+        var = var.withColumnRenamed(name, "gene_name") if "gene_name" not in var.columns and name else var
         return cls(X, obs, var, **({"cell_type": found["cell_type"]} | options))
 
     @property

@@ -27,7 +27,7 @@ class Catalog:
         if recursive:
             return found
         skip = len(below.rstrip("/")) + 1 if below else 0
-        return sorted({n[:skip] + n[skip:].split("/")[0] for n in found})
+        return sorted({n[skip:].split("/")[0] for n in found})
 
     def place(self, name: str) -> str:
         if "/" not in name:
