@@ -117,15 +117,22 @@ def fit(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton's method for the two calibration numbers, with Platt's softened targets."""
+    """The two calibration numbers by Newton's method with step halving, on Platt's softened targets."""
     if not len(y) or y.min() == y.max():
         return 1.0, 0.0
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    x, t = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
-    for _ in range(30):
+    x, t = np.stack([z, np.ones_like(z)], 1), np.array([0.0, float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))])
+    loss = lambda t: float((np.logaddexp(0, x @ t) - target * (x @ t)).sum())
+    for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(x @ t, -40, 40)))
-        h = x.T @ (x * (q * (1 - q))[:, None]) + 1e-6 * np.eye(2)
-        t = t - np.clip(np.linalg.solve(h, x.T @ (q - target)), -2, 2)
+        g = x.T @ (q - target)
+        step = np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + 1e-9 * np.eye(2), g)
+        size = 1.0
+        while size > 1e-8 and loss(t - size * step) > loss(t) - 1e-4 * size * float(g @ step):
+            size /= 2
+        if size <= 1e-8 or np.abs(g).max() < 1e-6:
+            break
+        t = t - size * step
     return (float(t[0]), float(t[1])) if t[0] > 0 else (1.0, 0.0)
 
 
