@@ -21,11 +21,11 @@ NOTHING = hashlib.sha256(b"").hexdigest()
 @dataclass(frozen=True)
 class Decontaminate:
     """``window``: words of a match that counts. ``shard_mb``: text under one suffix array.
-    ``block_mb``: benchmark text that a task holds at a time; more benchmark means more blocks."""
+    ``block_bytes``: benchmark text that a task holds at a time; more benchmark, more blocks."""
 
     window: int = 10
     shard_mb: int = 6
-    block_mb: int = 8
+    block_bytes: int = 8 << 20
 
 
 @dataclass
@@ -161,10 +161,10 @@ def _numbers(texts: Texts, blocks: list, p: Decontaminate) -> Iterator[tuple]:
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, p: Decontaminate, item_col: str, text_col: str) -> list:
-    """Broadcast benchmark blocks, each of ``block_mb`` at most but for a longer single item."""
+    """Broadcast benchmark blocks, each of about ``block_bytes`` at most."""
     slim = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, math.ceil(2 * total / (p.block_mb << 20)))
+    n = max(1, math.ceil(2 * total / p.block_bytes))
     dealt = slim.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
     context = docs.sparkSession.sparkContext
     return [context.broadcast(_items(dealt.filter(F.col("b") == b).select("i", "t").collect(), p)) for b in range(n)]

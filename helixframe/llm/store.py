@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bits of the id filter: one megabyte, whatever the size of the table behind it.
@@ -57,14 +57,14 @@ def only_ids(df: DataFrame, ids: DataFrame, id_col: str, key: str = "doc_id") ->
     return kept.filter(F.expr("(shiftright(_bits, CAST(_bit & 63 AS INT)) & 1L) = 1L")).drop("_bit", "_word", "_bits")
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], out: str, salts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str, salts: int | None = None) -> DataFrame:
     """Add ``out``: a gapless number from 0 in each group, without a task that holds a group.
 
-    Rows are dealt to ``salts`` parts of each group by a hash of ``order``; a part is numbered
-    by itself and shifted by the sizes of the parts before it.
+    Rows are dealt to ``salts`` parts of each group by a hash of ``order``, by default 64 or
+    the number of shuffle partitions; a part is numbered by itself and shifted by the sizes
+    of the parts before it.
     """
-    from pyspark.sql import Window
-
+    salts = salts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     sizes = salted.groupBy(*group, "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
