@@ -1,21 +1,34 @@
 """Whole-text encoding with the tokenizers library, reusing the ids of pieces seen before.
 
-A tokenizer that cuts texts at white space before it merges gives a text the ids of its
-pieces, one after another. The words of a corpus repeat, so most pieces are looked up and
-only new ones are encoded. Texts where the cut might matter are encoded whole.
+A tokenizer that splits texts into words and punctuation before it merges gives a text the
+ids of its pieces, one after another, if the cuts are where it would split anyway. The
+words of a corpus repeat, so most pieces are looked up and only new ones are encoded. Texts
+with white space other than single blanks and line feeds are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import chain
 
 import numpy as np
 
 END = 1
-#: White space next to white space, at an end, or other than blank and line feed.
-_UNSURE = re.compile("[^\\S \n]|\\s\\s|\\A\\s|\\s\\Z|\0")
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
+#: Other white space, which Python and the tokenizers may not see alike, and the cut mark.
+_OTHER_SPACE = [chr(c) for c in (0, *range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_RUNS = ("  ", "\n\n", " \n", "\n ")
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[c for c in range(33, 127) if not _ALNUM[c] and chr(c) not in "'_"]] = True
+#: Last bytes of the letters that UTF-8 writes as 0xC3 and another byte: all but the two signs.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+_SMALL[[10, 32]] = 0
 
 
 def vocabulary_path(name: str) -> str:
@@ -24,69 +37,99 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Places(dict):
+    """Numbers of pieces; an unknown piece gets the next one and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = len(self)
+        self.new.append(piece)
+        return place
+
+
 class Encoder:
-    """Encodes batches of texts. ``drops_space``: the tokenizer forgets white space.
+    """Encodes batches of texts. ``drops_space``: the tokenizer forgets white space and case.
 
-    At most ``remembered`` pieces are kept; when they are full, memory starts anew.
+    About ``remembered`` pieces are kept; when there are more, those that were used only once
+    are forgotten.
     """
 
-    def __init__(self, path: str, drops_space: bool, remembered: int = 600_000):
+    def __init__(self, path: str, drops_space: bool, remembered: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space, self.remembered = drops_space, remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.edges = np.zeros(1 << 16, np.int64)
-        self.count = 0
+        self.places = _Places()
+        self.ids, self.edges, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, ids in zip(pieces, self._library(pieces), strict=True):
-            n, a = self.count, self.edges[self.count]
-            if n + 2 >= len(self.edges):
-                self.edges = np.concatenate([self.edges, np.zeros_like(self.edges)])
-            while a + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[a : a + len(ids)] = ids
-            self.edges[n + 1] = a + len(ids)
-            self.places[piece] = n
-            self.count = n + 1
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > self.remembered // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: self.remembered // 2]])
+        names = list(self.places)
+        size = self.edges[keep + 1] - self.edges[keep]
+        self.ids = self.ids[_ranges(self.edges[keep], size)]
+        self.edges, self.uses = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(keep), np.int64)
+        self.places = _Places()
+        self.places.update(zip([names[k] for k in keep], range(len(keep)), strict=True))
+
+    def _learn(self) -> None:
+        if self.places.new:
+            lists = self._library(self.places.new)
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))])
+            self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(size)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(lists), np.int64)])
+            self.places.new = []
 
     def _pieces(self, text: str) -> list[str] | None:
-        if self.drops_space:
-            return None if _ODD_SPACE.search(text) else text.split()
-        if _UNSURE.search(text):
+        """The text cut where the tokenizer splits it in any case, or None where that is unsure.
+
+        Cuts lie before a blank and around a line feed between other characters, and before
+        ASCII punctuation (but the apostrophe) that follows a letter or digit.
+        """
+        if not text:
+            return []
+        if text[0].isspace() or text[-1].isspace() or any(s in text for s in _OTHER_SPACE) or any(s in text for s in _RUNS):
             return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
+        data = np.frombuffer(text.encode(), np.uint8)
+        feed = data == 10
+        after = _ALNUM[data[:-1]]
+        after[1:] |= _LATIN[data[1:-1]] & (data[:-2] == 0xC3)
+        cut = feed | (data == 32)
+        cut[1:] |= feed[:-1] | (after & _PUNCTUATION[data[1:]])
+        at = np.flatnonzero(cut)
+        out = np.zeros(len(data) + len(at), np.uint8)
+        out[np.arange(len(data)) + np.cumsum(cut)] = data
+        if self.drops_space:  # blanks go, and ASCII letters are made small
+            return [p for p in _SMALL[out].tobytes().decode().split("\0") if p]
+        return out.tobytes().decode().split("\0")
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's ids start and end."""
-        if self.count > self.remembered:
+        if len(self.places) > self.remembered:
             self._forget()
         cut = [self._pieces(t or "") for t in texts]
         whole = [i for i, c in enumerate(cut) if c is None]
         encoded = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True))
-        flat = [p for c in cut if c for p in c]
-        places = self.places
-        new = list(dict.fromkeys(p for p in flat if p not in places))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
-        first, size = self.edges[at], self.edges[at + 1] - self.edges[at]
-        before = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(before[-1]) + np.repeat(first - before[:-1], size)]
-        sizes = np.zeros(len(texts), np.int64)
         pieces = np.array([len(c) if c else 0 for c in cut], np.int64)
+        flat = chain.from_iterable(c for c in cut if c)
+        at = np.fromiter(map(self.places.__getitem__, flat), np.int64, int(pieces.sum()))
+        self._learn()
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        size = self.edges[at + 1] - self.edges[at]
+        ids = self.ids[_ranges(self.edges[at], size)]
+        before = np.concatenate([[0], np.cumsum(size)])
         edges = np.concatenate([[0], np.cumsum(pieces)])
-        sizes[:] = before[edges[1:]] - before[edges[:-1]]
+        sizes = before[edges[1:]] - before[edges[:-1]]
         if encoded:
             parts, a = [], 0
             for i, n in enumerate(sizes):
@@ -104,6 +147,12 @@ class Encoder:
         return out, bounds + np.arange(len(bounds))
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``start`` to ``start + size`` of each pair, one after another."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
