@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import written
+from helixframe.llm.store import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,21 +23,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def _unfinished(edges: DataFrame) -> DataFrame:
+    two = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    chained = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+    return two.union(chained)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges (a, b)``; a component is named by its smallest node.
 
-    Each round writes its edges to the shared folder. At the end every edge leads from a
-    node to its component's smallest node. Loops and repeated edges are allowed; no edges
-    give no rows. Joins here are on one node id, so a node with very many neighbours is
-    pre-aggregated and its rows can be split.
+    Each round writes its edges to the shared folder; edges lead from larger to smaller
+    nodes. It ends when they are stars: no node has two smaller neighbours and no smaller
+    neighbour has one itself. Loops and repeated edges are allowed; no edges give no rows.
+    Joins are on one node id, so a node with very many neighbours is pre-aggregated and its
+    rows can be split.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-        edges = written(_small_star(_large_star(edges)), "edges")
+    while not _unfinished(edges).isEmpty():
+        old, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        dropped(old)
     roots = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    parts = written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component"))), "parts")
+    dropped(edges)
+    return parts

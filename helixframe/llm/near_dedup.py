@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.components import components
-from helixframe.llm.store import only_ids, small_batches, written
+from helixframe.llm.store import dropped, only_ids, small_batches, written
 from helixframe.llm.words import LOWER, TEXT_WORD, mix, texts_of, words_of
 
 
@@ -22,14 +22,18 @@ class NearDedup:
     with probability 1 - (1 - s**rows)**bands, above 0.9999997 at s = 0.8 by default.
 
     ``agree`` is the least number of equal minima that a pair needs before its sets are
-    compared; at s = 0.8 a true pair falls below 183 of 300 with probability under 1e-12.
+    compared; at s = 0.8 a true pair falls below 205 of 300 with probability under 1e-6.
+    A signature keeps the low byte of each minimum: equal minima stay equal.
+    ``partners`` is how many candidates a document names at first when components are joined
+    within buckets; while there are more, it grows sixteenfold.
     """
 
     shingle: int = 2
     per_cent: int = 80
     bands: int = 50
     rows: int = 6
-    agree: int = 183
+    agree: int = 205
+    partners: int = 32
     block: int = 256
     seed: int = 11
 
@@ -99,7 +103,7 @@ def _with_sets(docs: DataFrame, ids: DataFrame, p: NearDedup, id_col: str, text_
         a, b = p.multipliers()
         for batch in batches:
             sets = list(_sets(batch.column(1), p.shingle))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_minima(s, a, b).tobytes() for s in sets], pa.binary())], ["doc_id", "items", "minima"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_minima(s, a, b).astype(np.uint8).tobytes() for s in sets], pa.binary())], ["doc_id", "items", "minima"])
 
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -117,7 +121,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
                 x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
                 if 100 * min(len(x), len(y)) < p.per_cent * max(len(x), len(y)):
                     continue
-                if (np.frombuffer(sl[i].as_buffer(), np.uint32) == np.frombuffer(sr[i].as_buffer(), np.uint32)).sum() < p.agree:
+                if (np.frombuffer(sl[i].as_buffer(), np.uint8) == np.frombuffer(sr[i].as_buffer(), np.uint8)).sum() < p.agree:
                     continue
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
@@ -130,41 +134,81 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
     return joined.select("a", "b", "items_a", "items_b", "minima_a", "minima_b").mapInArrow(run, "a long, b long")
 
 
-def _in_buckets(members: DataFrame, minima: DataFrame, p: NearDedup) -> DataFrame:
-    """Pairs of two components that share a bucket and agree in enough minima.
+def _in_buckets(members: DataFrame, minima: DataFrame, p: NearDedup, partners: int) -> DataFrame:
+    """Candidates between two components that share a bucket: ``a, b, more``.
 
-    A bucket is cut into blocks of ``block`` members; a task holds two blocks at a time.
+    The component with most members of a bucket is only held against the others, in blocks
+    of ``block`` members, so a bucket that is nearly one component costs about its size. Of
+    the partners that agree in enough minima a document names the best ``partners`` in each
+    pair of blocks; ``more`` tells that it had others.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("_n"))
-    placed = members.join(sizes, "key").withColumn("_blocks", F.ceil(F.col("_n") / p.block).cast("int")).withColumn("_at", F.pmod(F.xxhash64("doc_id", "key"), F.col("_blocks")).cast("int"))
-    dealt = placed.select("key", "doc_id", "component", "_at", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    dealt = dealt.select("key", F.least("_at", "_other").alias("i"), F.greatest("_at", "_other").alias("j"), "_at", "doc_id", "component").join(minima, "doc_id")
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, comps, at = (table.column(c).to_numpy() for c in ("doc_id", "component", "_at"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        sig = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint32).reshape(len(ids), -1)
-        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        found_a, found_b = [], []
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("_main"), F.max("n").alias("_n"), (F.sum("n") - F.max("n")).alias("_rest"))
+    blocks = lambda n: F.ceil(F.col(n) / p.block).cast("int")
+    placed = members.join(mains, "key").withColumns({"_in": F.col("component") == F.col("_main"), "_m": blocks("_n"), "_r": blocks("_rest")})
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("doc_id", "key"), F.when(F.col("_in"), F.col("_m")).otherwise(F.col("_r"))).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["key", "doc_id", "component", "at"]
+    inside = placed.filter("_in").select(*cols, F.lit(True).alias("main"), upto("_r").alias("i"), F.col("at").alias("j"), F.lit(1).alias("right"))
+    against = placed.filter("NOT _in").select(*cols, F.lit(True).alias("main"), F.col("at").alias("i"), upto("_m").alias("j"), F.lit(0).alias("right"))
+    among = placed.filter("NOT _in AND _rest > 1").select(*cols, upto("_r").alias("_o")).select(*cols, F.lit(False).alias("main"), F.least("at", "_o").alias("i"), F.greatest("at", "_o").alias("j"), (F.col("at") > F.col("_o")).cast("int").alias("right"))
+    dealt = inside.unionByName(against).unionByName(among).join(minima, "doc_id")
+    place = ["key", "main", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # of the last pair of blocks, which may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            cols = [table.column(c).to_numpy() for c in place]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            if len(new):
+                yield _named(table.slice(0, new[-1]), np.append(0, new), p, partners)
+            rest = table.slice(new[-1] if len(new) else 0)
+        if rest is not None and len(rest):
+            yield _named(rest, np.array([0, len(rest)]), p, partners)
+
+    small_batches(members.sparkSession, 4000)
+    sorted_ = dealt.select(*place, "doc_id", "component", "right", "minima").repartition(*place).sortWithinPartitions(*place)
+    return sorted_.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+
+
+def _named(table: pa.Table, bounds: np.ndarray, p: NearDedup, partners: int) -> pa.RecordBatch:
+    """Candidates of each pair of blocks, given by the bounds of its rows."""
+    ids, comps, side, main, i, j = (table.column(c).to_numpy() for c in ("doc_id", "component", "right", "main", "i", "j"))
+    sig = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint8).reshape(len(ids), -1)
+    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+        one_block = not main[s] and i[s] == j[s]
+        rows = np.arange(s, e)
+        left, right = (rows, rows) if one_block else (rows[side[s:e] == 0], rows[side[s:e] == 1])
         for x in left:
-            ok = right[(comps[right] != comps[x]) & ((right > x) if i == j else True)]
-            ok = ok[(sig[ok] == sig[x]).sum(axis=1) >= p.agree]
-            found_a.append(np.full(len(ok), ids[x])), found_b.append(ids[ok])
-        a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
-        return pa.table({"a": np.maximum(a, b).astype(np.int64), "b": np.minimum(a, b).astype(np.int64)})
+            ok = right[(comps[right] != comps[x]) & ((right > x) if one_block else True)]
+            if not len(ok):
+                continue
+            same = (sig[ok] == sig[x]).sum(axis=1)
+            best = np.argsort(-same, kind="stable")[: int((same >= p.agree).sum())]
+            named = ok[best[:partners]]
+            a.append(np.full(len(named), ids[x])), b.append(ids[named]), more.append(np.full(len(named), len(best) > partners))
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.concatenate(more))], ["a", "b", "more"])
+
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+def _most(shared: DataFrame, k: int) -> DataFrame:
+    """For each document the ``k`` bucket heads it shares most bands with; it shares ``bands`` at most."""
+    best = shared.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", (-F.col("b")).alias("m"))), False).alias("s"))
+    return best.select("a", F.explode(F.slice("s", 1, k)).alias("s")).select("a", (-F.col("s.m")).alias("b"))
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate component of every document.
 
     Documents with the same shingle set form one class, held by its smallest id. Bands put
-    classes into buckets; each class is first compared with the smallest member of the
-    bucket it shares most bands with, which links almost all copies. Buckets that still
-    hold two components are then searched block by block for further links between
-    components, so that no link between components is lost. Links are confirmed on full
-    sets. No stage emits all pairs of a bucket.
+    classes into buckets. First each class is compared with the smallest member of the bucket
+    it shares most bands with, then with those of some buckets of other components; this
+    links almost all copies with a few comparisons each. Buckets that still hold two
+    components are searched for links between them, in blocks and in rounds that end when no
+    candidate is left, so no link that could join components is lost. Links are confirmed on
+    full sets. No stage emits all pairs of a bucket.
 
     Returns ``doc_id, n_shingles, component_id, kept``, one row per input row. A null or
     wordless text has an empty set, is linked with nothing and kept. A document of fewer
@@ -180,21 +224,38 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     pivots = members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last")).filter("pivot < _last").select("key", "pivot")
     bucketed = written(members.join(pivots, "key"), "buckets")
 
-    shared = bucketed.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
-    best = shared.groupBy("doc_id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b"))
-    first = written(best.select(F.col("doc_id").alias("a"), "b"), "candidates")
-    ids = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    links = written(_confirmed(first, _with_sets(docs, ids(first), p, id_col, text_col), p), "links")
-    parts = written(components(links), "parts")
-
-    told = bucketed.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = told.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("key")
-    rest = written(told.join(mixed, "key"), "mixed")
-    late = rest.select("doc_id").distinct()
-    sets = _with_sets(docs, late, p, id_col, text_col)
-    tested = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = written(_in_buckets(rest, sets.select("doc_id", "minima"), p).join(tested, ["a", "b"], "left_anti"), "candidates")
-    last = _confirmed(more, _with_sets(docs, ids(more), p, id_col, text_col), p)
-    whole = written(components(links.union(last)), "parts").select(F.col("node").alias("rep"), "component")
+    ids = bucketed.select("doc_id").distinct()
+    sets = written(_with_sets(docs, ids, p, id_col, text_col).join(ids, "doc_id", "left_semi"), "sets")
+
+    shared = bucketed.filter("doc_id <> pivot").groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("n"))
+    shared = written(shared, "shared")
+    tested = written(_most(shared, 1), "candidates")
+    links = written(_confirmed(tested, sets, p), "links")
+    parts = components(links)
+
+    side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    apart = shared.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    named, partners, more = _most(apart, 4), p.partners, True
+    used = [bucketed, sets, shared, tested, links]
+    while True:
+        new = written(named.select("a", "b").join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested = tested.union(new)
+        found = written(_confirmed(new, sets, p), "links")
+        used += [new, found]
+        if not found.isEmpty():
+            used.append(parts)
+            links = links.union(found)
+            parts = components(links)
+        if not more:
+            break
+        told = bucketed.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        mixed = told.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("key")
+        rest = written(told.join(mixed, "key"), "mixed")
+        named = written(_in_buckets(rest, sets.select("doc_id", "minima"), p, partners), "named")
+        used += [rest, named]
+        more = not named.filter("more").isEmpty()
+        partners *= 16
+    dropped(*used)
+    whole = parts.select(F.col("node").alias("rep"), "component")
     found = base.join(classes, "digest", "left").join(whole, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
