@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import only_ids, small_batches, written
+from helixframe.llm.store import dropped, only_ids, small_batches, written
 from helixframe.llm.words import Words, covered, own, repeats, sums, texts_of, words_of
 
 
@@ -53,6 +53,8 @@ def _factors(at: np.ndarray, source: np.ndarray, length: int) -> tuple[np.ndarra
     have been looked up too, so the next factor starts there and nothing between is missed.
     Gives start, length in words, source.
     """
+    if not len(at):
+        return at, at, source
     order = np.argsort(at, kind="stable")
     at, source = at[order], source[order]
     new = np.ones(len(at), bool)
@@ -165,15 +167,18 @@ def _resolved(docs: DataFrame, p: SubstringDedup) -> tuple[DataFrame, DataFrame,
 
     long = docs.filter("doc_id IS NOT NULL")
     anchors = _anchor_rows(long, p)
-    again = anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("anchor")
+    again = written(anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("anchor"), "again")
     listed = anchors.join(again, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     listed = written(listed.join(copies, "doc_id", "left_anti"), "anchors")
 
     near = only_ids(long, listed, "doc_id").select("doc_id", "text").join(listed, "doc_id")
     windows = written(_window_rows(near.select("doc_id", "text", "anchors"), p), "windows")
     index = windows.groupBy("phrase").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last")).filter("source < _last").select("phrase", "source")
+    index = written(index, "index")  # read apart from the windows, so that a join can split a phrase that very many documents hold
     found = windows.join(index, "phrase").filter("source < doc_id").select("doc_id", "pos", "source")
-    return base, copies, written(found, "found")
+    found = written(found, "found")
+    dropped(again, listed, windows, index)
+    return base, copies, found
 
 
 def _late(docs: DataFrame, found: DataFrame, p: SubstringDedup, with_text: bool) -> DataFrame:
