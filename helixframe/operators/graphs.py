@@ -142,12 +142,13 @@ def levels(edges: DataFrame, limit: int = 1000) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop, in the cluster's checkpoint folder where one is set."""
+    """Cut the lineage of a loop in the folder of ``spark.checkpoint.dir``; a local one only where none is set, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         import tempfile
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
