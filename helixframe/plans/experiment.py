@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators import de, embedding, hvg, labels, moments, preprocess, splits, vocab
+from helixframe.operators import de, embedding, graphs, hvg, labels, moments, preprocess, splits, vocab
 from helixframe.sources import roles
 
 
@@ -85,6 +85,35 @@ class Experiment:
     def split(self, **options) -> Experiment:
         return replace(self, obs=splits.split_obs(self.obs, self.perturbation, self.controls, self.ignored, **options))
 
+    def split_cells(self, stratify: bool = True, **options) -> Experiment:
+        """Train and test cells, within cell types where there are any."""
+        return replace(self, obs=splits.split_cells(self.obs, stratify=self.cell_type if stratify else None, **options))
+
+    def sample(self, n: int | None = None, frac: float | None = None, by_cell_type: bool = False, balance: bool = False, weight: Column | str | None = None, seed: int = 42) -> Experiment:
+        """Some cells: plainly, by weight, or within cell types; one way at a time."""
+        if (n is None) == (frac is None):
+            raise ValueError("give either n or frac")
+        if weight is not None and (by_cell_type or balance):
+            raise ValueError("weights don't go with sampling by cell type")
+        if by_cell_type or balance:
+            if not self.cell_type:
+                raise ValueError("no cell type is known")
+            obs = splits.sample_by_group(self.obs, self.cell_type, n, frac, balance, seed)
+        elif weight is not None:
+            obs = splits.sample_weighted(self.obs, weight, n, frac, seed)
+        else:
+            obs = splits.sample_cells(self.obs, n, frac, seed)
+        return replace(self, obs=obs, X=self.X.join(obs.select("cell"), "cell", "left_semi"))
+
+    def vocabulary(self, policy: str = "error") -> DataFrame:
+        """Gene names in the order of gene numbers."""
+        return vocab.vocabulary(self.var.select(F.col("gene").alias("idx"), F.col("gene_name").alias("token")), policy, drop_empty=True)
+
+    def cell_types(self) -> DataFrame:
+        """Cell types with their numbers in sorted order."""
+        types = self.obs.select(F.col(self.cell_type).alias("token"))
+        return graphs.numbered(types, "token")
+
     def paired(self, **options) -> DataFrame:
         return splits.pair_controls(self.obs, self.perturbation, self.controls, ignored=self.ignored, **options)
 

@@ -7,6 +7,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +21,7 @@ def duck(sf_dir: str = SF):
 
 def rows(frame) -> list[tuple]:
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return (0.0 if abs(v) < 1e-12 else float(f"{v:.9g}")) if isinstance(v, float) else (int(v) if hasattr(v, "__int__") and not isinstance(v, (str, bool)) and not math.isnan(float(v)) else v)
 

@@ -102,3 +102,8 @@ def test_experiment(spark):
     with pytest.raises(KeyError):
         e.use_layer("none")
     assert e.records().count() == 3 and e.split(test_size=0.5).obs.filter("split = 'train'").count() >= 1
+    assert e.sample(2).obs.count() == 2 and e.sample(1, balance=True).obs.count() == 2
+    with pytest.raises(ValueError):
+        e.sample()
+    assert [r["token"] for r in e.vocabulary().orderBy("idx").collect()] == ["g0", "g1"] and [r["token"] for r in e.cell_types().orderBy("idx").collect()] == ["B", "T"]
+    assert e.split_cells(test_size=0.5).obs.filter("split = 'test'").count() == 2
