@@ -24,8 +24,7 @@ class NearDedup:
     ``agree`` is the least number of equal minima that a pair needs before its sets are
     compared; at s = 0.8 a true pair falls below 205 of 300 with probability under 1e-6.
     A signature keeps the low byte of each minimum: equal minima stay equal.
-    ``partners`` is how many candidates a document names at first when components are joined
-    within buckets; while there are more, it grows sixteenfold.
+    ``block``: documents of a family that a task holds against as many others.
     """
 
     shingle: int = 2
@@ -33,7 +32,6 @@ class NearDedup:
     bands: int = 50
     rows: int = 6
     agree: int = 205
-    partners: int = 32
     block: int = 256
     seed: int = 11
 
@@ -134,16 +132,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
     return joined.select("a", "b", "items_a", "items_b", "minima_a", "minima_b").mapInArrow(run, "a long, b long")
 
 
-def _in_buckets(members: DataFrame, minima: DataFrame, p: NearDedup, partners: int) -> DataFrame:
-    """Candidates between two components that share a bucket: ``a, b, more``.
+def _between(members: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
+    """Links ``a, b`` that join components of one family: ``members (key, doc_id, component)``.
 
-    The component with most members of a bucket is only held against the others, in blocks
-    of ``block`` members, so a bucket that is nearly one component costs about its size. Of
-    the partners that agree in enough minima a document names the best ``partners`` in each
-    pair of blocks; ``more`` tells that it had others.
+    The component with most members of a family is only held against the others, in blocks of
+    ``block`` documents, so a family that is nearly one component costs about its size.
+    Pairs that agree in enough minima are compared on their full sets where both blocks are;
+    a task gives only the links that join components, at most one fewer than it holds.
     """
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mains = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("_main"), F.max("n").alias("_n"), (F.sum("n") - F.max("n")).alias("_rest"))
+    mains = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("_main"), F.max("n").alias("_n"), (F.sum("n") - F.max("n")).alias("_rest")).filter("_rest > 0")
     blocks = lambda n: F.ceil(F.col(n) / p.block).cast("int")
     placed = members.join(mains, "key").withColumns({"_in": F.col("component") == F.col("_main"), "_m": blocks("_n"), "_r": blocks("_rest")})
     placed = placed.withColumn("at", F.pmod(F.xxhash64("doc_id", "key"), F.when(F.col("_in"), F.col("_m")).otherwise(F.col("_r"))).cast("int"))
@@ -152,45 +150,56 @@ def _in_buckets(members: DataFrame, minima: DataFrame, p: NearDedup, partners: i
     inside = placed.filter("_in").select(*cols, F.lit(True).alias("main"), upto("_r").alias("i"), F.col("at").alias("j"), F.lit(1).alias("right"))
     against = placed.filter("NOT _in").select(*cols, F.lit(True).alias("main"), F.col("at").alias("i"), upto("_m").alias("j"), F.lit(0).alias("right"))
     among = placed.filter("NOT _in AND _rest > 1").select(*cols, upto("_r").alias("_o")).select(*cols, F.lit(False).alias("main"), F.least("at", "_o").alias("i"), F.greatest("at", "_o").alias("j"), (F.col("at") > F.col("_o")).cast("int").alias("right"))
-    dealt = inside.unionByName(against).unionByName(among).join(minima, "doc_id")
+    dealt = inside.unionByName(against).unionByName(among).join(sets, "doc_id")
     place = ["key", "main", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # of the last pair of blocks, which may go on in the next batch
         for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
             cols = [table.column(c).to_numpy() for c in place]
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
             if len(new):
-                yield _named(table.slice(0, new[-1]), np.append(0, new), p, partners)
+                yield _joining(table.slice(0, new[-1]), np.append(0, new), p)
             rest = table.slice(new[-1] if len(new) else 0)
         if rest is not None and len(rest):
-            yield _named(rest, np.array([0, len(rest)]), p, partners)
+            yield _joining(rest, np.array([0, len(rest)]), p)
 
-    small_batches(members.sparkSession, 4000)
-    sorted_ = dealt.select(*place, "doc_id", "component", "right", "minima").repartition(*place).sortWithinPartitions(*place)
-    return sorted_.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+    small_batches(members.sparkSession, 400)
+    sorted_ = dealt.select(*place, "doc_id", "component", "right", "minima", "items").repartition(*place).sortWithinPartitions(*place)
+    return sorted_.mapInArrow(run, "a long, b long")
 
 
-def _named(table: pa.Table, bounds: np.ndarray, p: NearDedup, partners: int) -> pa.RecordBatch:
-    """Candidates of each pair of blocks, given by the bounds of its rows."""
+def _similar(x: np.ndarray, y: np.ndarray, p: NearDedup) -> bool:
+    if 100 * min(len(x), len(y)) < p.per_cent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= p.per_cent * (len(x) + len(y) - shared)
+
+
+def _joining(table: pa.Table, bounds: np.ndarray, p: NearDedup) -> pa.RecordBatch:
+    """Confirmed links between components in each pair of blocks, given by the bounds of its rows."""
     ids, comps, side, main, i, j = (table.column(c).to_numpy() for c in ("doc_id", "component", "right", "main", "i", "j"))
     sig = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint8).reshape(len(ids), -1)
-    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+    found = []
     for s, e in zip(bounds[:-1], bounds[1:], strict=True):
         one_block = not main[s] and i[s] == j[s]
         rows = np.arange(s, e)
         left, right = (rows, rows) if one_block else (rows[side[s:e] == 0], rows[side[s:e] == 1])
+        now = comps[s:e].copy()  # components as joined so far
         for x in left:
-            ok = right[(comps[right] != comps[x]) & ((right > x) if one_block else True)]
+            ok = right[(now[right - s] != now[x - s]) & ((right > x) if one_block else True)]
             if not len(ok):
                 continue
             same = (sig[ok] == sig[x]).sum(axis=1)
-            best = np.argsort(-same, kind="stable")[: int((same >= p.agree).sum())]
-            named = ok[best[:partners]]
-            a.append(np.full(len(named), ids[x])), b.append(ids[named]), more.append(np.full(len(named), len(best) > partners))
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.concatenate(more))], ["a", "b", "more"])
+            for y in ok[np.argsort(-same, kind="stable")[: int((same >= p.agree).sum())]]:
+                if now[y - s] != now[x - s] and _similar(sets[x], sets[y], p):
+                    found.append((ids[x], ids[y]))
+                    now[now == now[y - s]] = now[x - s]
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
 
 def _most(shared: DataFrame, k: int) -> DataFrame:
@@ -205,10 +214,10 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     Documents with the same shingle set form one class, held by its smallest id. Bands put
     classes into buckets. First each class is compared with the smallest member of the bucket
     it shares most bands with, then with those of some buckets of other components; this
-    links almost all copies with a few comparisons each. Buckets that still hold two
-    components are searched for links between them, in blocks and in rounds that end when no
-    candidate is left, so no link that could join components is lost. Links are confirmed on
-    full sets. No stage emits all pairs of a bucket.
+    links almost all copies with a few comparisons each. Documents connected by buckets are a
+    family. In a family that still has two components, each document outside its largest one
+    is held against all others, in blocks, so no link that could join components is lost.
+    Links are confirmed on full sets, and no stage emits all pairs of a bucket or a family.
 
     Returns ``doc_id, n_shingles, component_id, kept``, one row per input row. A null or
     wordless text has an empty set, is linked with nothing and kept. A document of fewer
@@ -235,26 +244,19 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
 
     side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     apart = shared.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-    named, partners, more = _most(apart, 4), p.partners, True
     used = [bucketed, sets, shared, tested, links]
-    while True:
-        new = written(named.select("a", "b").join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = tested.union(new)
-        found = written(_confirmed(new, sets, p), "links")
-        used += [new, found]
-        if not found.isEmpty():
-            used.append(parts)
-            links = links.union(found)
-            parts = components(links)
-        if not more:
-            break
-        told = bucketed.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = told.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("key")
-        rest = written(told.join(mixed, "key"), "mixed")
-        named = written(_in_buckets(rest, sets.select("doc_id", "minima"), p, partners), "named")
-        used += [rest, named]
-        more = not named.filter("more").isEmpty()
-        partners *= 16
+    new = written(_most(apart, 4).join(tested, ["a", "b"], "left_anti"), "candidates")
+    found = written(_confirmed(new, sets, p), "links")
+    used += [new, found, parts]
+    links = links.union(found)
+    parts = components(links)
+
+    families = components(shared.select("a", "b"))
+    members = families.select(F.col("component").alias("key"), F.col("node").alias("doc_id")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    members = written(members.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
+    last = written(_between(members, sets, p), "links")
+    used += [families, members, last, parts]
+    parts = components(links.union(last))
     dropped(*used)
     whole = parts.select(F.col("node").alias("rep"), "component")
     found = base.join(classes, "digest", "left").join(whole, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))

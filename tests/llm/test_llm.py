@@ -89,7 +89,7 @@ def brute_substring(texts, n=20):
 
 def test_near_duplicates(docs, texts):
     sets, low = brute_components(texts)
-    for p in (near_dedup.NearDedup(), near_dedup.NearDedup(partners=1, block=2)):
+    for p in (near_dedup.NearDedup(), near_dedup.NearDedup(block=2)):
         got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs, p).collect()}
         assert len(got) == len(texts)
         for i in range(len(texts)):
@@ -114,7 +114,7 @@ def test_residual_search_finds_links_between_components(spark):
         rows.append(" ".join(w))
     _, low = brute_components(rows)
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, near_dedup.NearDedup(block=16, partners=2)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, near_dedup.NearDedup(block=16)).collect()}
     assert got == dict(enumerate(low))
 
 
