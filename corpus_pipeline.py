@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from helixframe.llm import decontaminate, near_dedup, packing, quality, substring_dedup
 from helixframe.llm.store import written
 
+#: The stage's word shingles are of five words; the two-word sets are the contract of op8 alone.
+NEAR = near_dedup.NearDedup(shingle=5)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -17,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that with the smallest id."""
-    gone = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_doc"))
+    """One document of each near-duplicate component on five-word shingles: that with the smallest id."""
+    gone = near_dedup.near_duplicates(docs, NEAR).filter(~F.col("kept")).select(F.col("doc_id").alias("_doc"))
     return docs.join(gone, F.col("doc_id") == F.col("_doc"), "left_anti")
 
 

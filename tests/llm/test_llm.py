@@ -486,3 +486,18 @@ def test_matches_sql(spark, name):
     from helixframe.llm import queries
 
     assert rows(queries.queries()[name](spark, SF).toPandas()) == rows(duck(SF).sql(queries.oracle_sql()[name]).df())
+
+
+def test_pipeline_near_duplicates_take_five_words(spark):
+    import corpus_pipeline
+
+    base = passage(np.random.default_rng(13), 100).split()
+    spread, once = list(base), list(base)
+    for k in (10, 28, 46, 64, 82):  # alike on two words (89 of 109), not on five (71 of 121)
+        spread[k] = f"s{k}"
+    once[50] = "o"
+    rows = [" ".join(w) for w in (base, spread, once)]
+    alike = lambda x, y, n: 100 * len(shingles(x, n) & shingles(y, n)) >= 80 * len(shingles(x, n) | shingles(y, n))
+    assert alike(rows[0], rows[1], 2) and not alike(rows[0], rows[1], 5) and not alike(rows[1], rows[2], 5) and alike(rows[0], rows[2], 5)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == [0, 1]
