@@ -1,4 +1,4 @@
-"""Quality rules: base statistics and a calibrated hashed n-gram logistic regression."""
+"""Quality rules: base statistics, a calibrated hashed n-gram logistic regression, and one on tell-tale words for toxic texts."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.store import only_ids, small_batches
-from helixframe.llm.words import LOWER, TEXT_WORD, Texts, Words, covered, own, repeats, span_hashes, sums, texts_of, words_of
+from helixframe.llm.words import ITEM_WORD, LOWER, TEXT_WORD, Texts, Words, covered, own, repeats, span_hashes, sums, texts_of, words_of
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -22,11 +22,15 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 class Quality:
     """``sample``: labelled rows the model is fitted on, those of least hashed id: a bound that
     does not grow with the data. ``bits``: hash buckets per kind of n-gram. ``keep_at``: the
-    calibrated probability of good quality from which a document is kept."""
+    calibrated probability of good quality from which a document is kept. ``toxic_at``: the
+    calibrated probability from which it is toxic. ``surprise``: the least G statistic between a
+    word's presence and the toxic label (30: chance under 1e-7 a word)."""
 
     sample: int = 2000
     bits: int = 16
     keep_at: float = 0.5
+    toxic_at: float = 0.5
+    surprise: float = 30.0
     scale: float = 64.0
     decay: float = 1e-4
     steps: int = 80
@@ -43,6 +47,17 @@ class Model:
     shift: float = 0.0
 
 
+@dataclass
+class Toxic:
+    """Fingerprints of tell-tale words in order, their weights, and the two calibration numbers."""
+
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    bias: float = 0.0
+    slope: float = 1.0
+    shift: float = 0.0
+
+
 def _features(texts: Texts, words: Words, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each kind of n-gram: the bucket of each occurrence, and each text's range of them."""
     low = words_of(texts, TEXT_WORD, LOWER)
@@ -75,17 +90,22 @@ def _scores(texts: Texts, words: Words, model: Model, p: Quality) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on a bounded sample of labelled rows; a fifth of it only calibrates (Platt's method).
-
-    Fewer than ten rows, or rows of one class only, give a model that keeps everything.
-    """
+def _sample(docs: DataFrame, labels: DataFrame, p: Quality, id_col: str, text_col: str, label_col: str) -> list:
+    """The labelled rows that a model is fitted on, by id."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IN (0, 1)")
     sample = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(p.sample)
     slim = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"))
     near = only_ids(slim, sample, "_doc", "_id")
     rows = near.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text").collect()
-    rows = sorted({r["_id"]: r for r in rows}.values(), key=lambda r: r["_id"])
+    return sorted({r["_id"]: r for r in rows}.values(), key=lambda r: r["_id"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on a bounded sample of labelled rows; a fifth of it only calibrates (Platt's method).
+
+    Fewer than ten rows, or rows of one class only, give a model that keeps everything.
+    """
+    rows = _sample(docs, labels, p, id_col, text_col, label_col)
     y = np.array([r["_label"] for r in rows], np.float64)
     d = 4 << p.bits
     if len(y) < 10 or y.min() == y.max():
@@ -116,6 +136,62 @@ def fit(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str
     return Model(w.astype(np.float32), float(b), slope, shift)
 
 
+def _present(texts: Texts, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct words among the sorted fingerprints ``known``: text and place in ``known``."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = words_of(texts, ITEM_WORD, LOWER)
+    at = np.minimum(np.searchsorted(known, words.hashes), len(known) - 1)
+    hit = known[at] == words.hashes
+    key = np.unique(words.owner[hit] * len(known) + at[hit])
+    return key // len(known), key % len(known)
+
+
+def _toxicity(texts: Texts, model: Toxic) -> np.ndarray:
+    who, at = _present(texts, model.words)
+    z = model.bias + np.bincount(who, model.weights[at], len(texts))
+    return 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -40, 40)))
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxic:
+    """Fit a logistic regression on tell-tale words; sample and calibration as in ``fit``.
+
+    One word makes a text toxic whatever its length, so the presence of words counts, not their
+    share. Words (runs of letters and digits, lower case) are taken that toxic texts hold more
+    often, in five or more of the texts, by the G statistic. Labels without ``label_col``, fewer
+    than ten rows or rows of one class only give a model that calls nothing toxic.
+    """
+    rows = _sample(docs, labels, p, id_col, text_col, label_col) if label_col in labels.columns else []
+    y = np.array([r["_label"] for r in rows], np.float64)
+    if len(y) < 10 or y.min() == y.max():
+        return Toxic(bias=-8.0)
+    held = np.random.default_rng(p.seed).permutation(len(y)) < len(y) // 5
+    pairs, runs = [], list(texts_of(pa.array([r["_text"] for r in rows], pa.string())))
+    for i, j, texts in runs:
+        words = words_of(texts, ITEM_WORD, LOWER)
+        pairs.append(np.unique(np.rec.fromarrays([words.owner[~held[i:j][words.owner]] + i, words.hashes[~held[i:j][words.owner]]], names="who,word")))
+    pairs = np.concatenate(pairs)
+    known, place = np.unique(pairs["word"], return_inverse=True)
+    n, bad, size, all_bad = np.bincount(place), np.bincount(place, y[pairs["who"]], len(known)), (~held).sum(), y[~held].sum()
+    g = np.zeros(len(known))
+    for seen, row, column in ((bad, n, all_bad), (n - bad, n, size - all_bad), (all_bad - bad, size - n, all_bad), (size - n - all_bad + bad, size - n, size - all_bad)):
+        g += 2 * seen * np.log(np.maximum(seen, 1e-12) * size / np.maximum(row * column, 1e-12))
+    known = known[(g >= p.surprise) & (n >= 5) & (bad * size > n * all_bad)]
+    x = np.zeros((len(y), len(known)))
+    for i, _, texts in runs:
+        who, at = _present(texts, known)
+        x[who + i, at] = 1
+    w, m, s = np.zeros(len(known) + 1), np.zeros(len(known) + 1), np.zeros(len(known) + 1)
+    x1 = np.concatenate([x, np.ones((len(y), 1))], axis=1)
+    for t in range(1, 5 * p.steps + 1):  # Adam on the full sample
+        r = (1 / (1 + np.exp(-np.clip(x1 @ w, -40, 40))) - y) * ~held / size
+        d = r @ x1 + p.decay * np.append(w[:-1], 0)
+        m, s = 0.9 * m + 0.1 * d, 0.99 * s + 0.01 * d * d
+        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+    slope, shift = _platt((x1 @ w)[held], y[held])
+    return Toxic(known, w[:-1], float(w[-1]), slope, shift)
+
+
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """The two calibration numbers by Newton's method with step halving, on Platt's softened targets."""
     if not len(y) or y.min() == y.max():
@@ -160,42 +236,43 @@ def quality(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col:
     Words are runs of characters other than the six ASCII spaces. Base rules: fewer than 50
     words, or more than half of the words inside three-word windows that come twice or more,
     fail. Others are kept where the probability of good quality is ``keep_at`` or more.
+    ``toxic`` is a verdict of its own: ``kept`` judges quality, and ``kept_documents`` asks for both.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, quality_probability, kept``, one row per input row. A null text has no words
+    base_failed, quality_probability, kept, toxic_probability, toxic``, one row per input row. A null text has no words
     and fails. Repeated rows and rows without an id are judged like others. An empty table
     gives an empty result; further columns are not read. Texts are scored in Arrow batches
     with weights of fixed size; nothing is shuffled.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, p, id_col, text_col))
+    model = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, p, id_col, text_col), fit_toxic(docs, labels, p, id_col, text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, values, failed, good in _judged(batch.column(1), model.value, p):
-                columns = [batch.column(0).slice(i, j - i), *(pa.array(v, pa.int64()) for v in values), pa.array(failed), pa.array(good), pa.array(~failed & (good >= p.keep_at))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_probability", "kept"])
+            for i, j, values, failed, good, toxic in _judged(batch.column(1), *model.value, p):
+                columns = [batch.column(0).slice(i, j - i), *(pa.array(v, pa.int64()) for v in values), pa.array(failed), pa.array(good), pa.array(~failed & (good >= p.keep_at)), pa.array(toxic), pa.array(toxic >= p.toxic_at)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_probability", "kept", "toxic_probability", "toxic"])
 
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_probability double, kept boolean")
+    return slim.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_probability double, kept boolean, toxic_probability double, toxic boolean")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns; judged where they are read."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, p, id_col, text_col))
+    """The rows of ``docs`` that ``quality`` keeps and does not call toxic, with all their columns; judged where they are read."""
+    model = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, p, id_col, text_col), fit_toxic(docs, labels, p, id_col, text_col)))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, _, failed, good in _judged(batch.column(place), model.value, p):
-                yield batch.slice(i, j - i).filter(pa.array(~failed & (good >= p.keep_at)))
+            for i, j, _, failed, good, toxic in _judged(batch.column(place), *model.value, p):
+                yield batch.slice(i, j - i).filter(pa.array(~failed & (good >= p.keep_at) & (toxic < p.toxic_at)))
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
-def _judged(column: pa.Array, model: Model, p: Quality) -> Iterator[tuple]:
-    """Runs of texts: first, end, the five statistics, base verdict, probability."""
+def _judged(column: pa.Array, model: Model, toxic: Toxic, p: Quality) -> Iterator[tuple]:
+    """Runs of texts: first, end, the five statistics, base verdict, probabilities of good quality and of a toxic text."""
     for i, j, texts in texts_of(column):
         words = words_of(texts)
         inside = np.concatenate([[0], np.cumsum(((texts.data & 0xC0) != 0x80) & TEXT_WORD[texts.data])])
@@ -205,4 +282,4 @@ def _judged(column: pa.Array, model: Model, p: Quality) -> Iterator[tuple]:
         counts = words.counts
         failed = (counts < 50) | (100 * repeated > 50 * counts)
         values = [counts, inside[texts.bounds[1:]] - inside[texts.bounds[:-1]], sums(_SYMBOLS[texts.data], texts.bounds), _lines(texts, words), repeated]
-        yield i, j, values, failed, _scores(texts, words, model, p)
+        yield i, j, values, failed, _scores(texts, words, model, p), _toxicity(texts, toxic)

@@ -501,3 +501,18 @@ def test_pipeline_near_duplicates_take_five_words(spark):
     assert alike(rows[0], rows[1], 2) and not alike(rows[0], rows[1], 5) and not alike(rows[1], rows[2], 5) and alike(rows[0], rows[2], 5)
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == [0, 1]
+
+
+def test_toxic_texts_are_found_and_dropped(spark):
+    rng = np.random.default_rng(17)
+    rows = [passage(rng, 80).split() for _ in range(240)]
+    for k in range(0, 240, 4):  # one word in eighty, with punctuation and in capitals, in texts of good quality
+        rows[k][int(rng.integers(80))] = ["vile,", "Vile", "scum.", "SCUM!"][k // 4 % 4]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}
+    assert {i for i, r in out.items() if r["toxic"]} == {i for i in range(240) if i % 4 == 0}
+    assert all(r["toxic"] == (r["toxic_probability"] >= 0.5) for r in out.values())
+    kept = {r["doc_id"] for r in quality.kept_documents(docs, labels).collect()}
+    assert kept == {i for i, r in out.items() if r["kept"] and not r["toxic"]} and any(r["kept"] and r["toxic"] for r in out.values())
+    assert not any(r["toxic"] for r in quality.quality(docs, labels.drop("toxic")).collect())
