@@ -21,6 +21,7 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, URLs
 #: Fixed values of HTML: elements without readable text, and elements that end a line.
 SILENT = frozenset({"script", "style", "head", "noscript", "template", "svg"})
 BREAKS = frozenset({"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "blockquote", "pre", "hr", "title"})
+IN_HEAD = frozenset({"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"})
 _RECORDS = "page_id long, record_id string, type string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, source_headers map<string,string>, content string"
 
 
@@ -33,29 +34,55 @@ class Warc:
 
 
 class _Text(HTMLParser):
+    """Collects readable text. The text inside a silent element is dropped when its end tag
+    comes, so one that is never ended hides nothing; script and style hide theirs at once. A head
+    ends, as in HTML, at its end tag or before the first thing that may not stand in it."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
+        self.out: list[str | None] = []  # None: a line ends
         self.title: list[str] = []
-        self.links, self.silent, self.in_title = 0, 0, False
+        self.open: list[tuple[str, int]] = []  # silent elements, and where their text starts
+        self.links, self.in_title = 0, False
+
+    def _place(self, tag: str) -> int | None:
+        return next((k for k in reversed(range(len(self.open))) if self.open[k][0] == tag), None)
+
+    def _top(self) -> str:
+        return self.open[-1][0] if self.open else ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.silent += tag in SILENT
+        if tag == "body" and self._place("template") is None:
+            self.open.clear()
+        elif self._top() == "head" and tag not in IN_HEAD:
+            self.open.pop()
+        if tag == "noscript" and (k := self._place(tag)) is not None:  # can't stand in itself: the first was not ended
+            del self.open[k]
+        if tag in SILENT:
+            self.open.append((tag, len(self.out)))
         self.in_title = self.in_title or tag == "title"
         self.links += tag == "a" and any(k == "href" and v for k, v in attrs)
         if tag in BREAKS:
-            self.out.append("\n")
+            self.out.append(None)
 
     def handle_endtag(self, tag: str) -> None:
-        self.silent = max(0, self.silent - (tag in SILENT))
+        if tag in SILENT and (k := self._place(tag)) is not None:
+            start = self.open[k][1]
+            del self.open[k:]
+            if tag != "head":
+                self.out[start:] = [x for x in self.out[start:] if x is None]
         self.in_title = self.in_title and tag != "title"
         if tag in BREAKS:
-            self.out.append("\n")
+            self.out.append(None)
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title.append(data)
-        elif not self.silent:
+        elif self._top() not in ("script", "style"):
+            if self._top() == "head":
+                if not data.strip():
+                    return
+                self.open.pop()
             self.out.append(data)
 
 
@@ -67,7 +94,7 @@ def plain_text(html: str) -> tuple[str, str, int]:
         parser.close()
     except (AssertionError, ValueError):  # html.parser gives up on some broken declarations
         return re.sub(r"<[^>]*>", " ", html).strip(), "", 0
-    lines = (" ".join(x.split()) for x in "".join(parser.out).split("\n"))
+    lines = (" ".join(x.split()) for x in "".join("\n" if x is None else x for x in parser.out).split("\n"))
     return "\n".join(x for x in lines if x), " ".join("".join(parser.title).split()), parser.links
 
 

@@ -516,3 +516,18 @@ def test_toxic_texts_are_found_and_dropped(spark):
     kept = {r["doc_id"] for r in quality.kept_documents(docs, labels).collect()}
     assert kept == {i for i, r in out.items() if r["kept"] and not r["toxic"]} and any(r["kept"] and r["toxic"] for r in out.values())
     assert not any(r["toxic"] for r in quality.quality(docs, labels.drop("toxic")).collect())
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<html><head><title>T</title><meta charset=utf-8><body><p>one</p>two</body></html>", "one\ntwo"),
+    ("<head><title>T</title><style>s</style><p>one<p>two", "one\ntwo"),
+    ("<head><title>T</title>one<br>two", "one\ntwo"),
+    ("<head><noscript><link href=x></head><body>one</body>", "one"),
+    ("<head><noscript><style>s</style><body><p>one", "one"),
+    ("<body>one<noscript><img src=x><p>two</body>", "one\ntwo"),
+    ("<body><noscript>one<p>two<noscript>no</noscript><p>three", "one\ntwo\nthree"),
+    ("<head><noscript>no<img></noscript><script>no</script></head><body>one<svg><p>no</p></svg>two<template><b>no</b></template>", "one\ntwo"),
+    ("<p>one<script>no", "one"),
+])
+def test_open_elements_hide_no_text(html, text):
+    assert warc.plain_text(html)[0] == text
