@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import small_batches
+from helixframe.llm.store import mapped
 from helixframe.llm.words import ITEM_WORD, LOWER, Texts, texts_of, words_of
 
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -24,7 +24,7 @@ class Decontaminate:
     ``block_bytes``: benchmark text that a task holds at a time; more benchmark, more blocks."""
 
     window: int = 10
-    shard_mb: int = 6
+    shard_mb: int = 1
     block_bytes: int = 8 << 20
 
 
@@ -171,7 +171,6 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, p: Decontaminate, item_col: s
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession, 4000)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -222,7 +221,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Deco
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return _scan(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return mapped(_scan(docs, id_col, text_col), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", 4000)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Decontaminate(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -250,7 +249,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = De
                         ["doc_id", "doc_word", "item_id", "item_word", "length"],
                     )
 
-    return _scan(docs, id_col, text_col).mapInArrow(run, "doc_id long, doc_word long, item_id string, item_word long, length long")
+    return mapped(_scan(docs, id_col, text_col), run, "doc_id long, doc_word long, item_id string, item_word long, length long", 4000)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Decontaminate(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -263,5 +262,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Dec
             for i, j, _, n_hit, _ in _judged(batch.column(place), blocks, p):
                 yield batch.slice(i, j - i).filter(pa.array(n_hit == 0))
 
-    small_batches(docs.sparkSession, 4000)
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema, 4000)

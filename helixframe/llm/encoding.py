@@ -3,12 +3,16 @@
 A tokenizer that splits texts into words and punctuation before it merges gives a text the
 ids of its pieces, one after another, if the cuts are where it would split anyway. The
 words of a corpus repeat, so most pieces are looked up and only new ones are encoded. Texts
-with white space other than single blanks and line feeds are encoded whole.
+with white space other than single blanks and line feeds are encoded whole, and so is every
+text where the tokenizer is not one of the two kinds whose splits are known here.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -50,27 +54,54 @@ class _Places(dict):
         return place
 
 
+#: The split pattern and normalization of the known kind that drops white space and case.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def known_kind(settings: dict) -> str | None:
+    """``bytes`` or ``words`` for a tokenizer whose splits ``Encoder`` knows, or None."""
+    split, normal = settings["pre_tokenizer"] or {}, settings["normalizer"]
+    if normal is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]:
+        return "bytes"
+    steps = split.get("pretokenizers", [])
+    if (normal or {}).get("normalizers") == _WORD_NORMAL and len(steps) == 2:
+        first, second = steps
+        if first.get("pattern") == {"Regex": _WORD_PATTERN} and first["behavior"] == "Removed" and first["invert"] and second["type"] == "ByteLevel" and not second["use_regex"] and not second["add_prefix_space"]:
+            return "words"
+    return None
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a vocabulary file, END included."""
+    from tokenizers import Tokenizer
+
+    return max(END, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 class Encoder:
-    """Encodes batches of texts. ``drops_space``: the tokenizer forgets white space and case.
+    """Encodes batches of texts.
 
-    About ``remembered`` pieces are kept; when there are more, those that were used only once
-    are forgotten.
+    About ``remembered`` pieces are kept; when there are more, and at the end of a task, those
+    that were used only once are forgotten.
     """
 
-    def __init__(self, path: str, drops_space: bool, remembered: int = 800_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.drops_space, self.remembered = drops_space, remembered
+        with open(path) as file:
+            self.kind = known_kind(json.load(file))
+        self.remembered = remembered
         self.places = _Places()
         self.ids, self.edges, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         keep = np.flatnonzero(self.uses > 1)
         if len(keep) > self.remembered // 2:
             keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: self.remembered // 2]])
@@ -98,7 +129,7 @@ class Encoder:
         """
         if not text:
             return []
-        if text[0].isspace() or text[-1].isspace() or any(s in text for s in _OTHER_SPACE) or any(s in text for s in _RUNS):
+        if self.kind is None or text[0].isspace() or text[-1].isspace() or any(s in text for s in _OTHER_SPACE) or any(s in text for s in _RUNS):
             return None
         data = np.frombuffer(text.encode(), np.uint8)
         feed = data == 10
@@ -109,14 +140,14 @@ class Encoder:
         at = np.flatnonzero(cut)
         out = np.zeros(len(data) + len(at), np.uint8)
         out[np.arange(len(data)) + np.cumsum(cut)] = data
-        if self.drops_space:  # blanks go, and ASCII letters are made small
+        if self.kind == "words":  # blanks go, and ASCII letters are made small
             return [p for p in _SMALL[out].tobytes().decode().split("\0") if p]
         return out.tobytes().decode().split("\0")
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's ids start and end."""
         if len(self.places) > self.remembered:
-            self._forget()
+            self.forget()
         cut = [self._pieces(t or "") for t in texts]
         whole = [i for i, c in enumerate(cut) if c is None]
         encoded = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True))
@@ -153,14 +184,25 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - before, size)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder of a vocabulary; after a task it keeps only pieces that came more than once."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()  # one vocabulary at a time
+        _ENCODERS[path] = Encoder(path)
+    found = _ENCODERS[path]
+    try:
+        yield found
+    finally:
+        found.forget()
 
 
-def encoder(path: str, drops_space: bool) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    if (path, drops_space) not in _ENCODERS:
-        _ENCODERS[path, drops_space] = Encoder(path, drops_space)
-    return _ENCODERS[path, drops_space]
+def texts_in(column) -> list[str | None]:
+    """The texts of an Arrow column; bytes that are no UTF-8 become U+FFFD."""
+    return [None if t is None else bytes(t).decode("utf-8", "replace") for t in column.cast("binary").to_pylist()]
 
 
 def runs(texts: list, size: int = 1 << 20):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.components import components
-from helixframe.llm.store import dropped, only_ids, small_batches, written
+from helixframe.llm.store import dropped, mapped, only_ids, written
 from helixframe.llm.words import LOWER, TEXT_WORD, mix, texts_of, words_of
 
 
@@ -90,8 +90,7 @@ def _signed(docs: DataFrame, p: NearDedup, id_col: str, text_col: str) -> DataFr
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n_shingles", "digest", "keys"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<bigint>")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_shingles long, digest binary, keys array<bigint>")
 
 
 def _with_sets(docs: DataFrame, ids: DataFrame, p: NearDedup, id_col: str, text_col: str) -> DataFrame:
@@ -103,9 +102,8 @@ def _with_sets(docs: DataFrame, ids: DataFrame, p: NearDedup, id_col: str, text_
             sets = list(_sets(batch.column(1), p.shingle))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_minima(s, a, b).astype(np.uint8).tobytes() for s in sets], pa.binary())], ["doc_id", "items", "minima"])
 
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return only_ids(texts, ids, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, items binary, minima binary")
+    return mapped(only_ids(texts, ids, "doc_id").select("doc_id", "text"), run, "doc_id long, items binary, minima binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
@@ -126,10 +124,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
                 keep[i] = 100 * shared >= p.per_cent * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
 
-    small_batches(sets.sparkSession, 200)
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"items_{c}"), F.col("minima").alias(f"minima_{c}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "items_a", "items_b", "minima_a", "minima_b").mapInArrow(run, "a long, b long")
+    return mapped(joined.select("a", "b", "items_a", "items_b", "minima_a", "minima_b"), run, "a long, b long")
 
 
 def _between(members: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
@@ -165,9 +162,8 @@ def _between(members: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
         if rest is not None and len(rest):
             yield _joining(rest, np.array([0, len(rest)]), p)
 
-    small_batches(members.sparkSession, 400)
     sorted_ = dealt.select(*place, "doc_id", "component", "right", "minima", "items").repartition(*place).sortWithinPartitions(*place)
-    return sorted_.mapInArrow(run, "a long, b long")
+    return mapped(sorted_, run, "a long, b long")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, p: NearDedup) -> bool:

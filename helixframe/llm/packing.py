@@ -11,18 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.encoding import encoder, runs, vocabulary_path
-from helixframe.llm.store import ranked, small_batches, written
+from helixframe.llm.encoding import encoder, runs, texts_in, vocabulary_path
+from helixframe.llm.store import mapped, ranked, written
 
 
 @dataclass(frozen=True)
 class Packing:
-    """``length``: tokens of a sequence. ``vocabulary``: a tokenizers file; ``drops_space``
-    says whether that tokenizer forgets white space."""
+    """``length``: tokens of a sequence. ``vocabulary``: a tokenizers file."""
 
     length: int = 2048
     vocabulary: str = ""
-    drops_space: bool = False
 
     def path(self) -> str:
         return self.vocabulary or vocabulary_path("byte_bpe_50k.json")
@@ -82,27 +80,26 @@ def _intervals(spark: SparkSession, patterns: list[tuple[int, tuple[int, ...]]])
 
 def pieces(docs: DataFrame, p: Packing = Packing(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids, cut at multiples of the sequence length: ``doc_id, start, length, ids_crc32, doc_tokens``."""
-    path, drops, n = p.path(), p.drops_space, p.length
+    path, n = p.path(), p.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, drops).encode_documents
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in runs(texts):
-                ids, bounds = encode(texts[i:j])
-                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
-                row, start, size, crc, total = [], [], [], [], []
-                for k in range(j - i):
-                    a, b = int(bounds[k]), int(bounds[k + 1])
-                    for s in range(a, b, n):
-                        e = min(s + n, b)
-                        row.append(k), start.append(s - a), size.append(e - s), total.append(b - a)
-                        crc.append(zlib.crc32(data[4 * s : 4 * e]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    small_batches(docs.sparkSession)
+        with encoder(path) as known:
+            for batch in batches:
+                texts = texts_in(batch.column(1))
+                for i, j in runs(texts):
+                    ids, bounds = known.encode_documents(texts[i:j])
+                    data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                    row, start, size, crc, total = [], [], [], [], []
+                    for k in range(j - i):
+                        a, b = int(bounds[k]), int(bounds[k + 1])
+                        for s in range(a, b, n):
+                            e = min(s + n, b)
+                            row.append(k), start.append(s - a), size.append(e - s), total.append(b - a)
+                            crc.append(zlib.crc32(data[4 * s : 4 * e]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return mapped(slim, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def packed(docs: DataFrame, p: Packing = Packing(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,8 +113,10 @@ def packed(docs: DataFrame, p: Packing = Packing(), id_col: str = "doc_id", text
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` per piece.
     A null or empty text is one piece of the end id alone. Repeated rows and rows without an
-    id are packed like others. An empty table gives an empty result; further columns are not
-    read.
+    id are packed like others; pieces of one length that are alike in id, start and checksum
+    may change places. Bytes that are no UTF-8 are read as U+FFFD. A text longer than a
+    sequence, however long, is cut and shares its last sequence only. An empty table gives an
+    empty result; further columns are not read.
     """
     cut = written(pieces(docs, p, id_col, text_col), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import only_ids, small_batches
+from helixframe.llm.store import mapped, only_ids
 from helixframe.llm.words import ITEM_WORD, LOWER, TEXT_WORD, Texts, Words, covered, own, repeats, span_hashes, sums, texts_of, words_of
 
 _SYMBOLS = np.zeros(256, bool)
@@ -252,9 +252,8 @@ def quality(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col:
                 columns = [batch.column(0).slice(i, j - i), *(pa.array(v, pa.int64()) for v in values), pa.array(failed), pa.array(good), pa.array(~failed & (good >= p.keep_at)), pa.array(toxic), pa.array(toxic >= p.toxic_at)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_probability", "kept", "toxic_probability", "toxic"])
 
-    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_probability double, kept boolean, toxic_probability double, toxic boolean")
+    return mapped(slim, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_probability double, kept boolean, toxic_probability double, toxic boolean")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,8 +266,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), i
             for i, j, _, failed, good, toxic in _judged(batch.column(place), *model.value, p):
                 yield batch.slice(i, j - i).filter(pa.array(~failed & (good >= p.keep_at) & (toxic < p.toxic_at)))
 
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def _judged(column: pa.Array, model: Model, toxic: Toxic, p: Quality) -> Iterator[tuple]:

@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bits of the id filter: one megabyte, whatever the size of the table behind it.
 FILTER_BITS = 1 << 23
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
+    """This application's folder below ``spark.checkpoint.dir``.
+
+    A session on one machine, as in tests, gets a folder of its own where none is set; on a
+    cluster a folder of the driver would be seen by no executor, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 400, size: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of few rows and bytes for the jobs run inside; the session's settings come back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -27,23 +52,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor costs only a reread of replicated files.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.written_to)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete every table that operators of this application still hold in the shared folder.
+
+    A lazy result reads some of them, so call this once all results are saved.
+    """
+    _delete(spark, shared_folder(spark))
+
+
+def _released() -> None:
+    """Give back memory that the allocators of a Python worker keep after a task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = 400) -> DataFrame:
+    """``df.mapInArrow`` with batches cut to ``rows`` rows; a worker gives its memory back after each task."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batch.slice(i, rows) for batch in batches for i in range(0, batch.num_rows, rows))
+        finally:
+            _released()
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Bound an Arrow batch by rows and bytes, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df.mapInArrow(task, schema)
 
 
 def _bit(key: Column) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import dropped, only_ids, small_batches, written
+from helixframe.llm.store import dropped, mapped, only_ids, written
 from helixframe.llm.words import Words, covered, own, repeats, sums, texts_of, words_of
 
 
@@ -75,7 +75,6 @@ def _digest(words: Words, i: int, gone: np.ndarray) -> str:
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -93,7 +92,7 @@ def _local(docs: DataFrame, p: SubstringDedup) -> DataFrame:
                 kept = [_digest(words, k, gone) for k in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(words.counts, pa.int64()), pa.array(same, pa.binary()), pa.array(sums(gone, words.bounds), pa.int64()), pa.array(kept)], ["doc_id", "n_words", "digest", "n_removed", "kept_sha256"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, digest binary, n_removed long, kept_sha256 string")
+    return mapped(docs, run, "doc_id long, n_words long, digest binary, n_removed long, kept_sha256 string")
 
 
 def _anchor_rows(docs: DataFrame, p: SubstringDedup) -> DataFrame:
@@ -108,7 +107,7 @@ def _anchor_rows(docs: DataFrame, p: SubstringDedup) -> DataFrame:
                 ids = batch.column(0).slice(i, j - i).take(pa.array(owner[new]))
                 yield pa.RecordBatch.from_arrays([pa.array(anchors[new].view(np.int64)), ids], ["anchor", "doc_id"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long")
+    return mapped(docs, run, "anchor long, doc_id long")
 
 
 def _window_rows(docs: DataFrame, p: SubstringDedup) -> DataFrame:
@@ -130,7 +129,7 @@ def _window_rows(docs: DataFrame, p: SubstringDedup) -> DataFrame:
                 ids = batch.column(0).slice(i, j - i).take(pa.array(owner[wanted]))
                 yield pa.RecordBatch.from_arrays([pa.array(windows[wanted].view(np.int64)), ids, pa.array(pos, pa.int32())], ["phrase", "doc_id", "pos"])
 
-    return docs.mapInArrow(run, "phrase long, doc_id long, pos int")
+    return mapped(docs, run, "phrase long, doc_id long, pos int")
 
 
 def _parsed(docs: DataFrame, p: SubstringDedup, with_text: bool) -> DataFrame:
@@ -155,7 +154,7 @@ def _parsed(docs: DataFrame, p: SubstringDedup, with_text: bool) -> DataFrame:
                 last = pa.array([x.decode() for x in kept]) if with_text else pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([*columns, last], ["doc_id", "removed", "sha", "text" if with_text else "spans"])
 
-    return docs.mapInArrow(run, "doc_id long, removed long, sha string, " + ("text string" if with_text else "spans array<struct<start:long,length:long,source:long>>"))
+    return mapped(docs, run, "doc_id long, removed long, sha string, " + ("text string" if with_text else "spans array<struct<start:long,length:long,source:long>>"))
 
 
 def _resolved(docs: DataFrame, p: SubstringDedup) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import small_batches
+from helixframe.llm.store import mapped
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, URLs
 #: Fixed values of HTML: elements without readable text, and elements that end a line.
@@ -154,8 +154,7 @@ def derivatives(pages: DataFrame, p: Warc = Warc(), with_response: bool = True)
                 columns = [pa.array([r[n] if n != "source_headers" else list(r[n].items()) for r in rows], kinds.get(n, pa.string())) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    small_batches(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _RECORDS)
+    return mapped(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), run, _RECORDS)
 
 
 def record_text(df: DataFrame, p: Warc = Warc()) -> DataFrame:

@@ -39,25 +39,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Powers:
-    up = down = np.ones(1, np.uint64)
+#: Bytes that are hashed at a time; the powers of the base never grow beyond it.
+CHUNK = 1 << 16
 
-    @classmethod
-    def to(cls, n: int) -> None:
-        if len(cls.up) < n:
-            size = max(n, 1 << 20)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                x = np.full(size, base, np.uint64)
-                x[0] = 1
-                setattr(cls, name, np.multiply.accumulate(x))
+
+def _powers(base: int) -> np.ndarray:
+    x = np.full(CHUNK + 1, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
+
+
+def _long_span(data: np.ndarray) -> int:
+    """The polynomial of a span of any length, a chunk after the other."""
+    total = 0
+    for i in range(0, len(data), CHUNK):
+        part = data[i : i + CHUNK]
+        total += int((_BYTE[part] * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, i, 1 << 64)
+    return total % (1 << 64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the byte spans ``data[start:end]``, all at once."""
-    _Powers.to(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _Powers.up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _Powers.down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit fingerprints of the byte spans ``data[start:end]``, which lie in order and do not overlap.
+
+    Spans are hashed in chunks of ``CHUNK`` bytes with positions counted from the chunk's
+    start, so tables and scratch arrays have a fixed size however long the texts are.
+    """
+    out, i, n = np.empty(len(starts), np.uint64), 0, len(starts)
+    while i < n:
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + CHUNK, "right"))
+        if j <= i:
+            out[i] = _long_span(data[base : int(ends[i])])
+            i += 1
+            continue
+        part = data[base : int(ends[j - 1])]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * _UP[: len(part)], out=total[1:])
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = (total[e] - total[s]) * _DOWN[s]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 @dataclass
