@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, near_dedup, packing, quality, substring_dedup
-from helixframe.llm.store import written
+from helixframe.llm.store import dropped, written
 
 #: The stage's word shingles are of five words; the two-word sets are the contract of op8 alone.
 NEAR = near_dedup.NearDedup(shingle=5)
@@ -55,8 +55,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each reading what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for number, (_, stage) in zip(itertools.count(1), STAGES, strict=False):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = written(docs, f"stage{number}")
+            if last is not None:
+                dropped(last)
+            last = docs
     return docs
