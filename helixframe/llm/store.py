@@ -46,14 +46,14 @@ def small_batches(spark: SparkSession, rows: int = 400, size: int = 16 << 20) ->
             spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only a reread of replicated files.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -97,6 +97,12 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(task, schema)
 
 
+def fresh(taken: list[str], n: int) -> list[str]:
+    """``n`` column names that clash with none of ``taken``."""
+    used = {c.lower() for c in taken}
+    return [x for k in range(len(taken) + n) if (x := f"_c{k}") not in used][:n]
+
+
 def _bit(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 

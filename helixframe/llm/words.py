@@ -122,15 +122,20 @@ class Words:
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of the runs of ``n`` words of one text, and the runs' fingerprints."""
-        m = len(self) - n + 1
-        if m <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        last = np.repeat(self.bounds[1:] - n, self.counts)[:m]
-        at = np.flatnonzero(np.arange(m) <= last)
-        total = np.zeros(m, np.uint64)
-        for j in range(n):
-            total += self.hashes[j : j + m] * _MIX[j]
-        return at, mix(total[at] + _U(n))
+        return windows_of(self.hashes, self.bounds, n)
+
+
+def windows_of(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and fingerprints of the runs of ``n`` words that lie within two neighbouring ``bounds``."""
+    m = len(hashes) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    last = np.repeat(bounds[1:] - n, np.diff(bounds))[:m]
+    at = np.flatnonzero(np.arange(m) <= last)
+    total = np.zeros(m, np.uint64)
+    for j in range(n):
+        total += hashes[j : j + m] * _MIX[j]
+    return at, mix(total[at] + _U(n))
 
 
 def texts_of(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
