@@ -88,4 +88,4 @@ def student_two_sided_exact(t: Column, df: Column) -> Column:
                 out[ok] = student_two_sided(x.to_numpy(float)[ok], n.to_numpy(float)[ok])
             yield pd.Series(out)
 
-    return F.pandas_udf(tail, "double", F.PandasUDFType.SCALAR_ITER)(t, df)
+    return F.pandas_udf(tail, "double")(t, df)

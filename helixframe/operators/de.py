@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.special import normal_two_sided, student_two_sided_exact, student_two_sided_fast
+from helixframe.operators.lineage import cut
 from helixframe.operators.moments import group_mean_var, group_sums, valid
 
 EPSILON = 1e-9
+REST = "rest"
 METHODS = {"wilcoxon": "rank_sum", "rank_sum": "rank_sum", "t-test": "student", "t-test_overestim_var": "student", "student": "student", "welch": "welch"}
 CORRECTIONS = {"benjamini-hochberg": "bh", "bh": "bh", "by": "by", "benjamini-yekutieli": "by", "bonferroni": "by"}
 
@@ -31,18 +33,24 @@ def log_fold_change(X: DataFrame, obs: DataFrame, group: str, control: str, pseu
     return means.filter(F.col("grp") != control).join(ref, "gene").select("gene", F.col("grp").alias("target"), (F.col("mean") - F.col("ref")).alias("mean_diff"), F.log2(ratio).alias("log2_fold_change"))
 
 
-def t_test(X: DataFrame, obs: DataFrame, group: str, control: str, method: str = "welch", p_mode: str = "fast") -> DataFrame:
+def t_test(X: DataFrame, obs: DataFrame, group: str, control: str | None, method: str = "welch", p_mode: str = "fast") -> DataFrame:
     """Student's or Welch's test: ``gene, target, statistic, df, p_value, mean_diff, log2_fold_change``.
 
-    Moments are those of the closed form over sums, so one aggregation serves all groups. A
-    vanishing standard error gives statistic 0 and p 1.
+    Moments are those of the closed form over sums, so one aggregation serves all groups;
+    without a control, each is compared with all other labelled cells, whose sums are the
+    totals less its own. A vanishing standard error gives statistic 0 and p 1.
     """
     sums = group_sums(X, obs, group).withColumn("n", F.col("n").cast("double"))
-    mean = F.col("s1") / F.col("n")
-    var = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean) * F.col("n") / (F.col("n") - 1)).otherwise(0.0)
-    rows = sums.select("gene", "grp", F.col("n").alias("n1"), mean.alias("m1"), var.alias("v1"))
-    ref = rows.filter(F.col("grp") == control).select("gene", F.col("n1").alias("n0"), F.col("m1").alias("m0"), F.col("v1").alias("v0"))
-    both = rows.filter(F.col("grp") != control).join(ref, "gene")
+    total = Window.partitionBy("gene")
+    refs = {c: F.sum(F.col(c) if control is None else F.when(F.col("grp") == control, F.col(c))).over(total) - (F.col(c) if control is None else 0.0) for c in ("n", "s1", "s2")}
+    sided = sums.withColumns({f"{c}_0": v for c, v in refs.items()}).filter("n_0 > 0")
+
+    def moments_of(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
+        return s1 / n, F.when(n > 1, F.greatest(F.lit(0.0), s2 / n - (s1 / n) * (s1 / n)) * n / (n - 1)).otherwise(0.0)
+
+    (m1, v1), (m0, v0) = moments_of(F.col("n"), F.col("s1"), F.col("s2")), moments_of(F.col("n_0"), F.col("s1_0"), F.col("s2_0"))
+    both = sided.select("gene", "grp", F.col("n").alias("n1"), m1.alias("m1"), v1.alias("v1"), F.col("n_0").alias("n0"), m0.alias("m0"), v0.alias("v0"))
+    both = both if control is None else both.filter(F.col("grp") != control)
     n0, n1, v0, v1 = (F.col(c) for c in ("n0", "n1", "v0", "v1"))
     if method == "student":
         se = F.sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1))
@@ -61,12 +69,13 @@ def t_test(X: DataFrame, obs: DataFrame, group: str, control: str, method: str =
     return tested.select("gene", F.col("grp").alias("target"), "statistic", "df", p.alias("p_value"), diff.alias("mean_diff"), F.log2(ratio).alias("log2_fold_change"))
 
 
-def rank_sum(X: DataFrame, obs: DataFrame, group: str, control: str, continuity: bool = True) -> DataFrame:
+def rank_sum(X: DataFrame, obs: DataFrame, group: str, control: str | None, continuity: bool = True, means: bool = False) -> DataFrame:
     """Two-sided rank-sum test with ties: ``gene, target, u, tie_sum, z, p_value``.
 
-    Works on counts of distinct values per gene and group, zeros filled in by arithmetic. The
-    control's cumulated counts come from one window per gene; control cells are not repeated
-    for each target. ``u`` belongs to the target.
+    Without a control every group is tested against all other labelled cells. Works on counts
+    of distinct values per gene and group, zeros filled in by arithmetic; cumulated counts come
+    from one window per gene, so all targets are tested in one pass. ``u`` belongs to the
+    target. ``means`` adds the means of the target and of the cells it is compared with.
     """
     labels = obs.select("cell", F.col(group).alias("grp")).filter("grp IS NOT NULL")
     sizes = labels.groupBy("grp").agg(F.count("*").cast("double").alias("n"))
@@ -75,59 +84,73 @@ def rank_sum(X: DataFrame, obs: DataFrame, group: str, control: str, continuity:
     spine = X.select("gene").distinct().crossJoin(sizes)
     zeros = spine.join(stored, ["gene", "grp"], "left").select("gene", "grp", F.lit(0.0).alias("v"), (F.col("n") - F.coalesce("k", F.lit(0.0))).alias("c"))
     counts = found.unionByName(zeros.filter("c > 0"))
-    is_ref = F.col("grp") == control
-    ordered = Window.partitionBy("gene").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same, whole = Window.partitionBy("gene", "v"), Window.partitionBy("gene")
+    is_ref = F.lit(True) if control is None else F.col("grp") == control  # with no control, ranks are among all cells
     ref = F.when(is_ref, F.col("c")).otherwise(0.0)
-    placed = counts.withColumn("_up_to", F.sum(ref).over(ordered)).withColumn("_equal", F.sum(ref).over(same)).withColumn("_ties", F.sum(F.when(is_ref, F.col("c") ** 3 - F.col("c")).otherwise(0.0)).over(whole))
+    spots = counts.groupBy("gene", "v").agg(F.sum(ref).alias("_equal"))
+    ordered, whole = Window.partitionBy("gene").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("gene")
+    ties = F.sum(F.col("_equal") ** 3 - F.col("_equal")).over(whole)
+    spots = spots.select("gene", "v", "_equal", F.sum("_equal").over(ordered).alias("_up_to"), ties.alias("_ties"), F.sum(F.col("_equal") * F.col("v")).over(whole).alias("_s"), F.sum("_equal").over(whole).alias("n0"))
     c, e = F.col("c"), F.col("_equal")
-    per = placed.filter(~is_ref).groupBy("gene", "grp").agg(
+    targets = counts if control is None else counts.filter(F.col("grp") != control)
+    per = targets.join(spots, ["gene", "v"]).groupBy("gene", "grp").agg(
         F.sum(c * (F.col("_up_to") - e + 0.5 * e)).alias("u"),
-        (F.first("_ties") + F.sum(((c + e) ** 3 - (c + e)) - (e**3 - e))).alias("tie_sum"),
+        F.first("_ties").alias("_ties"),
+        F.sum(((c + e) ** 3 - (c + e)) - (e**3 - e)).alias("_more"),
         F.sum("c").alias("n1"),
+        F.first("n0").alias("n0"),
+        F.sum(c * F.col("v")).alias("s1"),
+        F.first("_s").alias("s0"),
     )
-    n0 = F.broadcast(sizes.filter(is_ref).select(F.col("n").alias("n0")))  # one row
+    if control is None:  # half of n1 squared is what the target's cells add to each other's ranks
+        per = per.withColumns({"u": F.col("u") - F.col("n1") * F.col("n1") / 2, "n0": F.col("n0") - F.col("n1"), "s0": F.col("s0") - F.col("s1"), "tie_sum": F.col("_ties")})
+    else:
+        per = per.withColumn("tie_sum", F.col("_ties") + F.col("_more"))
     n = F.col("n0") + F.col("n1")
     mu = F.col("n0") * F.col("n1") / 2
     sigma = F.sqrt(F.greatest(F.lit(0.0), F.col("n0") * F.col("n1") / 12 * ((n + 1) - F.col("tie_sum") / (n * (n - 1)))))
-    z = F.when(F.col("_s") > 0, (F.abs(F.col("u") - mu) - (0.5 if continuity else 0.0)) / F.col("_s")).otherwise(0.0)
-    scored = per.crossJoin(n0).withColumn("_s", sigma).withColumn("z", z)
-    return scored.select("gene", F.col("grp").alias("target"), "u", "tie_sum", "z", F.when(F.col("_s") > 0, normal_two_sided(F.col("z"))).otherwise(1.0).alias("p_value"))
+    z = F.when(F.col("_d") > 0, (F.abs(F.col("u") - mu) - (0.5 if continuity else 0.0)) / F.col("_d")).otherwise(0.0)
+    scored = per.filter("n0 > 0").withColumn("_d", sigma).withColumn("z", z)
+    more = [(F.col("s1") / F.col("n1")).alias("mean"), (F.col("s0") / F.col("n0")).alias("ref_mean")] if means else []
+    return scored.select("gene", F.col("grp").alias("target"), "u", "tie_sum", "z", F.when(F.col("_d") > 0, normal_two_sided(F.col("z"))).otherwise(1.0).alias("p_value"), *more)
 
 
 def _level(p: Column) -> Column:
-    """A number that grows with p, of some thousand values: partitions for windows over p."""
-    return F.when(p > 0, F.floor(F.log2(p) * 16)).otherwise(-1_000_000)
+    """A number that grows with p: 4,096 levels up to 1, and 64 an octave where p is small."""
+    return F.when(p >= 2.0**-8, F.floor(p * 4096)).when(p > 0, F.floor(F.log2(p) * 64)).otherwise(-1_000_000)
+
+
+def harmonic(m: Column) -> Column:
+    """The sum of 1/k up to ``m``: its expansion sixteen steps ahead, less those steps."""
+    far = m + 16
+    ahead = F.log(far) + 0.5772156649015329 + 1 / (2 * far) - 1 / (12 * far**2) + 1 / (120 * far**4) - 1 / (252 * far**6)
+    for k in range(1, 17):
+        ahead = ahead - 1 / (m + k)
+    return ahead
 
 
 def adjusted(df: DataFrame, p: str = "p_value", out: str = "fdr", method: str = "bh") -> DataFrame:
     """Step-up adjusted p-values over all rows: ``bh``, ``by``, or ``bonferroni`` proper.
 
     Rows of one p are counted together first, so a p that many rows share is one row. Ranks
-    and running minima are taken within levels of p and carried over a table of levels (at
-    most some ten thousand rows), so no window holds all rows. Invalid p stay as they are
-    and take no part.
+    and running minima are taken within levels of p (see ``_level``: uniform values spread
+    over thousands of them) and carried over a table of levels, at most some ten thousand
+    rows, so no window holds all rows. Invalid p stay as they are and take no part.
     """
+    if method not in ("bh", "by", "bonferroni"):
+        raise ValueError("method is 'bh', 'by' or 'bonferroni'")
     ok = F.col(p).isNotNull() & ~F.isnan(p)
     counts = df.filter(ok).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")).withColumn("_level", _level(F.col("_p")))
     levels = counts.groupBy("_level").agg(F.sum("_c").alias("_n"))
     before = Window.orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
     offsets = levels.select("_level", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    total = F.broadcast(levels.agg(F.sum("_n").cast("double").alias("_m"), F.lit(1).alias("_one")))
+    m = F.sum("_n").cast("double")
+    total = F.broadcast(levels.agg(m.alias("_m"), (harmonic(m) if method == "by" else F.lit(1.0)).alias("_factor")))  # one row
     inside = Window.partitionBy("_level").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = counts.join(offsets, "_level").crossJoin(total).withColumn("_rank", F.col("_before") + F.sum("_c").over(inside))
     if method == "bonferroni":
         values = ranks.select("_p", F.least(F.lit(1.0), F.col("_p") * F.col("_m")).alias("_q"))
     else:
-        if method == "by":  # sum of 1/k up to m, by its expansion beyond exact reach
-            m = F.col("_m")
-            harmonic = F.when(m <= 10_000, F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(10_000.0)).cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / k))
-            factor = harmonic.otherwise(F.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m))
-        elif method == "bh":
-            factor = F.lit(1.0)
-        else:
-            raise ValueError("method is 'bh', 'by' or 'bonferroni'")
-        ranks = ranks.withColumn("_q", F.col("_p") * F.col("_m") * factor / F.col("_rank"))
+        ranks = ranks.withColumn("_q", F.col("_p") * F.col("_m") * F.col("_factor") / F.col("_rank"))
         after = Window.partitionBy("_level").orderBy("_p").rowsBetween(Window.currentRow, Window.unboundedFollowing)
         later = Window.orderBy("_level").rowsBetween(1, Window.unboundedFollowing)
         lows = ranks.groupBy("_level").agg(F.min("_q").alias("_low")).select("_level", F.min("_low").over(later).alias("_later"))
@@ -141,22 +164,31 @@ def differential_expression(
     """The test table: ``target, feature, statistic, p_value, fold_change, log2_fold_change, fdr``.
 
     Every group of ``min_samples`` cells or more (of ``groups``, if given) is tested against
-    the control, every gene with each; p-values are adjusted over all rows together.
+    the control, or against all other cells where that is ``rest``; every gene with each.
+    P-values are adjusted over all rows together. The table of tests, a row for each gene and
+    group, is computed once and cut off before it is adjusted.
     """
-    obs, control = with_control(obs, group, control), control or "control"
-    sizes = obs.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_samples)
-    if groups is not None:
+    if control == REST:
+        ref = None
+    else:
+        obs, control = with_control(obs, group, control), control or "control"
+        ref = control
+    sizes = obs.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_samples)
+    if groups is not None and ref is not None:
         sizes = sizes.filter(F.col("_g").isin([*groups, control]))
     kept = obs.join(sizes.select("_g"), F.col(group) == F.col("_g"), "left_semi")
     kind = METHODS[method]
     if kind == "rank_sum":
-        tested = rank_sum(X, kept, group, control).select("gene", "target", F.col("u").alias("statistic"), "p_value").join(log_fold_change(X, kept, group, control).drop("mean_diff"), ["gene", "target"])
+        ratio = (F.col("mean") + EPSILON) / (F.col("ref_mean") + EPSILON)
+        tested = rank_sum(X, kept, group, ref, means=True).select("gene", "target", F.col("u").alias("statistic"), "p_value", F.log2(ratio).alias("log2_fold_change"))
     else:
-        tested = t_test(X, kept, group, control, kind, p_mode)
+        tested = t_test(X, kept, group, ref, kind, p_mode)
+    if groups is not None:
+        tested = tested.filter(F.col("target").isin(groups))
     change = F.coalesce(F.nanvl("log2_fold_change", F.lit(0.0)), F.lit(0.0))
     table = tested.withColumn("_l", F.greatest(F.lit(-clip), F.least(F.lit(clip), change)))
     table = table.select("target", F.col("gene").alias("feature"), "statistic", "p_value", F.pow(F.lit(2.0), "_l").alias("fold_change"), F.col("_l").alias("log2_fold_change"))
-    return adjusted(table, method=fdr_method)
+    return adjusted(cut(table), method=fdr_method)
 
 
 def ranked(table: DataFrame, n: int | None = None) -> DataFrame:
@@ -174,12 +206,13 @@ def expressing_fractions(X: DataFrame, obs: DataFrame, group: str) -> DataFrame:
     return counts.join(total, "gene").select("gene", F.col("grp").alias("target"), (F.col("k") / F.col("n")).alias("pts"), rest.alias("pts_rest"))
 
 
-def rank_genes_groups(X: DataFrame, obs: DataFrame, group: str, reference: str | None = None, n_genes: int | None = None, method: str = "t-test", correction: str = "benjamini-hochberg", pts: bool = False, groups: list[str] | None = None, min_samples: int = 2) -> DataFrame:
-    """Ranked test table, with expressing fractions if asked.
+def rank_genes_groups(X: DataFrame, obs: DataFrame, group: str, reference: str | None = "rest", n_genes: int | None = None, method: str = "t-test", correction: str = "benjamini-hochberg", pts: bool = False, groups: list[str] | None = None, min_samples: int = 2) -> DataFrame:
+    """Ranked test table of each group against ``reference``, with expressing fractions if asked.
 
-    Of the corrections offered by name, ``bonferroni`` is Benjamini-Yekutieli, as users of
-    this entry point know it; ``adjusted`` has the proper one. ``t-test_overestim_var`` is
-    Student's test.
+    ``rest`` compares every group with all other cells, in one pass over the sums or counts of
+    all groups; a name, with that group; None, with cells without a label. Of the corrections
+    offered by name, ``bonferroni`` is Benjamini-Yekutieli, as users of this entry point know
+    it; ``adjusted`` has the proper one. ``t-test_overestim_var`` is Student's test.
     """
     table = differential_expression(X, obs, group, reference, groups, method, min_samples, fdr_method=CORRECTIONS[correction])
     out = ranked(table, n_genes)

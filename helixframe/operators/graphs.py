@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.lineage import cut
+
 
 def numbered(names: DataFrame, column: str) -> DataFrame:
     """``token, idx`` from 0 in sorted order (a vocabulary is a dimension of bounded size)."""
@@ -46,6 +48,12 @@ def neighbors(edges: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("node").join(found, "node", "left").select("node", F.coalesce("neighbors", empty).alias("neighbors"))
 
 
+def neighbor_weights(edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """Weights of each ``node``'s edges, in the order of ``neighbors``; an empty list where there are none."""
+    found = edges.groupBy(F.col("source").alias("node")).agg(F.sort_array(F.collect_list(F.struct("target", F.col("weight").cast("double").alias("weight")))).alias("e"))
+    return queries.select("node").join(found, "node", "left").select("node", F.coalesce(F.col("e.weight"), F.array().cast("array<double>")).alias("weights"))
+
+
 def edge_weight(edges: DataFrame, queries: DataFrame) -> DataFrame:
     """Weight of each ``source, target`` asked for, 0 where there is no edge."""
     first = edges.groupBy("source", "target").agg(F.first("weight").alias("weight"))
@@ -117,48 +125,39 @@ def leaves(edges: DataFrame) -> DataFrame:
     return _nodes(edges).join(edges.select(F.col("parent").alias("node")), "node", "left_anti")
 
 
-def levels(edges: DataFrame, limit: int = 1000) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """Shortest and longest distance of every node from a root: ``node, level, depth``.
 
     One join per level of the hierarchy, over distinct (node, distance) pairs that are
-    checkpointed; a cycle shows when distances pass the number of nodes or ``limit``.
+    checkpointed; a path longer than the number of nodes is a cycle, at any depth.
     """
-    steps = edges.select("parent", "child").distinct()
-    frontier = roots(steps).withColumn("distance", F.lit(0))
-    seen, size, distance = frontier, steps.count() and _nodes(steps).count(), 0
+    steps = cut(edges.select("parent", "child").distinct())
+    frontier = cut(roots(steps).withColumn("distance", F.lit(0)))
+    seen, size, distance = frontier, _nodes(steps).count(), 0
     if size and frontier.isEmpty():
         raise ValueError("the hierarchy has a cycle: no node is without a parent")
     while not frontier.isEmpty():
         distance += 1
-        if distance > min(size, limit):
-            raise ValueError("the hierarchy has a cycle, or is deeper than the limit")
-        frontier = frontier.join(steps, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().withColumn("distance", F.lit(distance))
-        frontier = _cut(frontier)
+        if distance > size:
+            raise ValueError("the hierarchy has a cycle")
+        frontier = cut(frontier.join(steps, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().withColumn("distance", F.lit(distance)))
+        # nodes met before keep their first distance, and get this one as their deepest so far
         seen = seen.unionByName(frontier)
+        if distance % 50 == 0:
+            seen = cut(seen.groupBy("node").agg(F.array(F.min("distance"), F.max("distance")).alias("d")).select("node", F.explode(F.array_distinct("d")).alias("distance")))
     found = seen.groupBy("node").agg(F.min("distance").alias("level"), F.max("distance").alias("depth"))
     if found.count() < size:
         raise ValueError("the hierarchy has a cycle: some nodes are not under a root")
     return found
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop in the folder of ``spark.checkpoint.dir``; a local one only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def is_acyclic(edges: DataFrame) -> bool:
     """Whether taking away nodes without parents, again and again, leaves nothing."""
     left = edges.select("parent", "child").distinct()
     before = -1
     while (count := left.count()) != before:
         before = count
-        left = _cut(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"))
+        left = cut(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"))
     return count == 0
 
 
@@ -170,7 +169,7 @@ def reachable(edges: DataFrame, start: DataFrame, upward: bool = False) -> DataF
     found = frontier.limit(0)
     while True:
         new = frontier.join(steps, F.col("other") == F.col("_a")).select("node", F.col("_b").alias("other")).distinct()
-        frontier = _cut(new.join(found, ["node", "other"], "left_anti"))
+        frontier = cut(new.join(found, ["node", "other"], "left_anti"))
         if frontier.isEmpty():
             return found.filter("node <> other")
         found = found.unionByName(frontier)

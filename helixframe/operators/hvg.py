@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.moments import valid
@@ -67,27 +67,34 @@ def dispersions(X: DataFrame, obs: DataFrame, flavor: str = "seurat", n_bins: in
     return away.join(mad, ["batch", "mean_bin"]).select("batch", "gene", "means", "dispersions", "mean_bin", ((F.col("dispersions") - F.col("_mid")) / F.nullif("_mad", F.lit(0.0))).alias("dispersions_norm"))
 
 
+def significant(value: Column, digits: int = 9) -> Column:
+    """A number rounded to ``digits`` significant digits."""
+    return F.format_string(f"%.{digits - 1}e", value).cast("double")
+
+
 def highly_variable(X: DataFrame, obs: DataFrame, flavor: str = "seurat", n_top: int | None = None, min_disp: float = 0.5, max_disp: float = float("inf"), min_mean: float = 0.0125, max_mean: float = 3.0, n_bins: int = 20, batch: str | None = None) -> DataFrame:
     """Dispersion flavors with their verdict: ``gene, means, dispersions, dispersions_norm, n_batches, highly_variable``.
 
-    ``n_top`` keeps genes at or above the n-th highest normalized dispersion, ties included;
-    else strict bounds on mean and normalized dispersion decide. With batches, values are
+    ``n_top`` keeps genes at or above the n-th highest normalized dispersion, ties included:
+    values equal in nine significant digits are a tie, so the order of summing decides
+    nothing. Else strict bounds on mean and normalized dispersion decide. With batches, values are
     averaged, a batch's flags are summed, and ``n_top`` goes by flags, then dispersion.
     """
     table = dispersions(X, obs, flavor, n_bins, batch)
     d = F.coalesce("dispersions_norm", F.lit(0.0))
     bounds = (F.col("means") > min_mean) & (F.col("means") < max_mean) & (d > min_disp) & (d < max_disp)
     if n_top:
-        cut = F.row_number().over(Window.partitionBy("batch").orderBy(F.col("dispersions_norm").desc_nulls_last(), "gene"))
-        nth = table.withColumn("_r", cut).filter(F.col("_r") <= n_top).groupBy("batch").agg(F.min("dispersions_norm").alias("_nth"))
-        flagged = table.join(nth, "batch").withColumn("_flag", F.coalesce(F.col("dispersions_norm") >= F.col("_nth"), F.lit(False)))
+        table = table.withColumn("_v", significant(F.col("dispersions_norm")))
+        cut = F.row_number().over(Window.partitionBy("batch").orderBy(F.col("_v").desc_nulls_last(), "gene"))
+        nth = table.withColumn("_r", cut).filter(F.col("_r") <= n_top).groupBy("batch").agg(F.min("_v").alias("_nth"))
+        flagged = table.join(nth, "batch", "left").withColumn("_flag", F.coalesce(F.col("_v") >= F.col("_nth"), F.lit(False)))
     else:
         flagged = table.withColumn("_flag", bounds)
     if not batch:
         return flagged.select("gene", "means", "dispersions", "dispersions_norm", F.lit(1).alias("n_batches"), F.col("_flag").alias("highly_variable"))
     merged = flagged.groupBy("gene").agg(F.avg("means").alias("means"), F.avg("dispersions").alias("dispersions"), F.avg("dispersions_norm").alias("dispersions_norm"), F.sum(F.col("_flag").cast("int")).cast("int").alias("n_batches"))
     if n_top:
-        best = merged.orderBy(F.desc("n_batches"), F.col("dispersions_norm").desc_nulls_last(), "gene").limit(n_top).select("gene", F.lit(True).alias("_in"))
+        best = merged.orderBy(F.desc("n_batches"), significant(F.col("dispersions_norm")).desc_nulls_last(), "gene").limit(n_top).select("gene", F.lit(True).alias("_in"))
         return merged.join(best, "gene", "left").select("gene", "means", "dispersions", "dispersions_norm", "n_batches", F.coalesce("_in", F.lit(False)).alias("highly_variable"))
     return merged.withColumn("highly_variable", bounds)
 
@@ -155,3 +162,25 @@ def regularized_variance(X: DataFrame, obs: DataFrame, n_top: int = 2000, span:
     best = merged.orderBy(*(keys[::-1] if by_batches else keys), "gene").limit(n_top).select("gene", F.lit(True).alias("_in"))
     return merged.join(best, "gene", "left").select("gene", "variances_norm", "median_rank", "n_batches", F.coalesce("_in", F.lit(False)).alias("highly_variable"))
 
+
+FLAVORS = ("seurat", "cell_ranger", "seurat_v3", "seurat_v3_paper")
+
+
+def highly_variable_genes(X: DataFrame, obs: DataFrame, flavor: str = "seurat", n_top: int | None = None, batch: str | None = None, span: float = 0.3, check_values: bool = True, subset: bool = False, **bounds) -> DataFrame:
+    """One entry for all flavors; ``subset`` leaves only the variable genes.
+
+    ``seurat`` and ``cell_ranger`` expect logarithms and take ``highly_variable``'s bounds;
+    ``seurat_v3`` expects counts (checked unless asked not to), wants ``n_top`` (2,000 where
+    none is given) and chooses by median rank, then batches; its ``_paper`` form the other way round.
+    """
+    if flavor not in FLAVORS:
+        raise ValueError(f"flavor must be one of {FLAVORS}")
+    if flavor.startswith("seurat_v3"):
+        if bounds:
+            raise ValueError("bounds on mean and dispersion don't go with this flavor")
+        if check_values and not valid(X).filter((F.col("value") < 0) | (F.col("value") % 1 != 0)).isEmpty():
+            raise ValueError("this flavor expects counts")
+        out = regularized_variance(X, obs, n_top or 2000, span, batch, flavor == "seurat_v3_paper")
+    else:
+        out = highly_variable(X, obs, flavor, n_top, batch=batch, **bounds)
+    return out.filter("highly_variable") if subset else out

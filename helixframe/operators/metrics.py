@@ -225,6 +225,19 @@ def de_gene_metrics(pairs: DataFrame, ranked: DataFrame, n_top: int = 20, pertur
     return perturbation_metrics(pairs.join(best, [perturbation, "gene"], "left_semi"), perturbation, None)
 
 
+def evaluation_pairs(pred: DataFrame, true: DataFrame, obs: DataFrame, perturbation: str = "perturbation", ranked: DataFrame | None = None, n_top: int = 20) -> DataFrame:
+    """Predictions and truth side by side with each cell's label: ``cell, gene, perturbation, pred, true``.
+
+    With a ranked test table, ``is_de`` marks the first ``n_top`` genes of the cell's label.
+    """
+    both = pred.select("cell", "gene", F.col("value").alias("pred")).join(true.select("cell", "gene", F.col("value").alias("true")), ["cell", "gene"])
+    pairs = both.join(obs.select("cell", F.col(perturbation).alias("perturbation")), "cell")
+    if ranked is None:
+        return pairs.select("cell", "gene", "perturbation", "pred", "true")
+    best = ranked.filter(F.col("rank") <= n_top).select(F.col("target").alias("perturbation"), F.col("feature").alias("gene"), F.lit(True).alias("is_de"))
+    return pairs.join(best, ["perturbation", "gene"], "left").select("cell", "gene", "perturbation", "pred", "true", F.coalesce("is_de", F.lit(False)).alias("is_de"))
+
+
 def direction_loss(rows: DataFrame, weight: float = 1e-3) -> DataFrame:
     """Squared error plus weighted squared error of signs of change: ``rows (pred, true, ctrl)``."""
     d, s = F.col("pred") - F.col("true"), F.signum(F.col("pred") - F.col("ctrl")) - F.signum(F.col("true") - F.col("ctrl"))

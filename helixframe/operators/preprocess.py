@@ -19,6 +19,8 @@ def size_factors(X: DataFrame, obs: DataFrame, target_sum: float | None = None,
 
     The target is by default the median of the positive totals.
     """
+    if not 0 <= max_fraction <= 1:
+        raise ValueError("max_fraction is between 0 and 1")
     totals = cell_totals(X, obs)
     if exclude_dominating:
         totals = cell_totals_without(X, obs, dominating_genes(X, totals, max_fraction))
@@ -62,5 +64,11 @@ def scale(X: DataFrame, obs: DataFrame, zero_center: bool = True, max_value: flo
     return out.unionByName(X.join(chosen.select("cell"), "cell", "left_anti").select("cell", "gene", "value")) if mask else out
 
 
+def scale_arrays(obsm: DataFrame, obs: DataFrame, zero_center: bool = True, max_value: float | None = None, mask: str | None = None) -> DataFrame:
+    """The same for an array per cell, as ``(cell, dim, value)`` with every entry there."""
+    out = scale(obsm.select("cell", F.col("dim").alias("gene"), "value"), obs, zero_center, max_value, mask, dense=True)
+    return out.withColumnRenamed("gene", "dim")
+
+
 def log1p(X: DataFrame) -> DataFrame:
     return X.select("cell", "gene", F.log1p("value").alias("value"))

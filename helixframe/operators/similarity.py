@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.lineage import cut
+
 #: Built-in set similarities as functions of common members and both sizes.
 SET_SIMILARITIES: dict[str, Callable[[Column, Column, Column], Column]] = {
     "jaccard": lambda c, a, b: c / (a + b - c),
@@ -31,22 +33,72 @@ def vector_cosine(left: Column, right: Column) -> Column:
     return F.when(norms > 0, dot(left, right) / norms).otherwise(0.0)
 
 
+#: The same for arrays, where pairs are counted.
+_ARRAY_SIMILARITIES = {"jaccard": lambda c, a, b: c / (a + b - c), "overlap": lambda c, a, b: c / np.minimum(a, b), "cosine": lambda c, a, b: c / np.sqrt(a * b)}
+#: Sources of a shared target that one row of its posting lists holds.
+_POSTINGS = 2048
+
+
 def project(annotation: DataFrame, kind: str | Callable[[Column, Column, Column], Column] = "jaccard", threshold: float = 0.1, source: str = "source", target: str = "target", both_ways: bool = True) -> DataFrame:
     """One-mode projection: pairs of sources whose target sets are similar above ``threshold``.
 
     Pairs meet on a shared target, which is the only way to a similarity above 0, so a
-    negative threshold is refused. Returns ``source, target, weight``, in both directions.
+    negative threshold is refused. A target's sources come in posting lists of bounded
+    length; each source is sent the lists of its targets and counts its partners in one task,
+    so no row stands for a pair until it is known to be similar. Returns ``source, target,
+    weight``, in both directions. ``kind`` is a name or a function of common members and both
+    sizes.
     """
     if threshold < 0:
         raise ValueError("a threshold below 0 would also join pairs that share nothing")
     edges = annotation.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s IS NOT NULL AND t IS NOT NULL").distinct()
-    sizes = edges.groupBy("s").agg(F.count("*").cast("double").alias("n"))
-    pairs = edges.select(F.col("s").alias("a"), "t").join(edges.select(F.col("s").alias("b"), "t"), "t").filter("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("c"))
-    sized = pairs.join(sizes.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")
-    formula = SET_SIMILARITIES[kind] if isinstance(kind, str) else kind
-    found = sized.withColumn("weight", formula(F.col("c"), F.col("na"), F.col("nb"))).filter(F.col("weight") > threshold)
-    one = found.select(F.col("a").alias("source"), F.col("b").alias("target"), "weight")
-    return one.unionByName(found.select(F.col("b").alias("source"), F.col("a").alias("target"), "weight")) if both_ways else one
+    # numbers for sources, cut off so that every reader sees the same ones
+    sizes = cut(edges.groupBy("s").agg(F.count("*").alias("n")).withColumn("i", F.monotonically_increasing_id()))
+    numbered = edges.join(sizes, "s").select("i", "n", "t")
+    lists = numbered.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("all"))
+    chunk = F.expr(f"transform(sequence(0, (size(all) - 1) DIV {_POSTINGS}), k -> slice(all, k * {_POSTINGS} + 1, {_POSTINGS}))")
+    postings = lists.select("t", F.explode(chunk).alias("l")).select("t", F.col("l.i").alias("js"), F.col("l.n").alias("ms"))
+    sent = numbered.join(postings, "t").filter(F.col("i") < F.element_at("js", -1)).select("i", "n", "js", "ms").repartition("i").sortWithinPartitions("i")
+    weigh = _ARRAY_SIMILARITIES.get(kind) if isinstance(kind, str) else None
+    if isinstance(kind, str) and weigh is None:
+        raise ValueError(f"kind must be one of {tuple(SET_SIMILARITIES)}")
+
+    def counted(i: np.ndarray, n: np.ndarray, js: pa.Array, ms: pa.Array) -> pa.RecordBatch:
+        """Partners of some sources, all of whose lists are here."""
+        many = np.diff(js.offsets.to_numpy())
+        a, na, b, nb = np.repeat(i, many), np.repeat(n, many), js.flatten().to_numpy(), ms.flatten().to_numpy()
+        later = b > a
+        a, na, b, nb = a[later], na[later], b[later], nb[later]
+        order = np.lexsort((b, a))
+        a, na, b, nb = a[order], na[order], b[order], nb[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+        c = np.diff(np.append(first, len(a))).astype(float)
+        a, na, b, nb = a[first], na[first].astype(float), b[first], nb[first].astype(float)
+        w = weigh(c, na, nb) if weigh else np.zeros(len(a))
+        keep = w > threshold if weigh else np.ones(len(a), bool)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, c, na, nb, w)], ["a", "b", "c", "na", "nb", "weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # of the last source, whose lists may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            i = table.column("i").to_numpy()
+            new = int(np.searchsorted(i, i[-1]))
+            rest = table.slice(new)
+            if new:
+                whole = table.slice(0, new).to_batches()[0]
+                yield counted(i[:new], whole.column(1).to_numpy(), whole.column(2), whole.column(3))
+        if rest is not None:
+            whole = rest.combine_chunks().to_batches()[0]
+            yield counted(whole.column(0).to_numpy(), whole.column(1).to_numpy(), whole.column(2), whole.column(3))
+
+    pairs = sent.mapInArrow(run, "a long, b long, c double, na double, nb double, weight double")
+    if not weigh:
+        pairs = pairs.withColumn("weight", kind(F.col("c"), F.col("na"), F.col("nb"))).filter(F.col("weight") > threshold)
+    names = sizes.select("i", "s")
+    found = pairs.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+    one = found.select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "weight")
+    return one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")) if both_ways else one
 
 
 def strongest(edges: DataFrame, k: int, by: str = "target") -> DataFrame:
@@ -56,49 +108,74 @@ def strongest(edges: DataFrame, k: int, by: str = "target") -> DataFrame:
     return edges.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
-def correlation(X: DataFrame, cells: DataFrame, n_genes_limit: int = 4096) -> DataFrame:
+def correlation(X: DataFrame, cells: DataFrame, tile: int = 1024) -> DataFrame:
     """Pearson correlation of every two genes over ``cells``: ``gene_a, gene_b, r``.
 
-    Partial sums of products are taken per cell block in numpy and added up in Spark, so a
-    cell's entries meet once per block and not once per pair of rows. Gene numbers are those
-    of the sorted genes; more than ``n_genes_limit`` genes go through a join on the cell.
+    Genes are cut into tiles of ``tile`` and cells into blocks of about as many. Sums of products are taken for a pair of
+    tiles at a time, block by block, and added up as arrays; a task holds one pair of tiles,
+    however many genes there are.
     """
-    inside = X.join(cells.select("cell"), "cell", "left_semi")
+    inside = X.join(cells.select("cell"), "cell", "left_semi").select("cell", "gene", F.col("value").cast("double").alias("value"))
     n = cells.agg(F.count("*").cast("double").alias("n"))
-    genes = [r[0] for r in inside.select("gene").distinct().orderBy("gene").limit(n_genes_limit + 1).collect()]
-    if len(genes) > n_genes_limit:
-        a = inside.select("cell", F.col("gene").alias("gene_a"), F.col("value").alias("x"))
-        products = a.join(inside.select("cell", F.col("gene").alias("gene_b"), F.col("value").alias("y")), "cell").groupBy("gene_a", "gene_b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    else:
-        products = _products(inside, genes)
     sums = inside.groupBy("gene").agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
-    side = lambda k: sums.select(F.col("gene").alias(f"gene_{k}"), F.col("s1").alias(f"s1{k}"), F.col("s2").alias(f"s2{k}"))
-    joined = products.join(side("a"), "gene_a").join(side("b"), "gene_b").crossJoin(F.broadcast(n))
+    genes = cut(sums.withColumn("i", (F.row_number().over(Window.orderBy("gene")) - 1).cast("long")))  # a dimension: a row per gene
+    products = _products(inside.join(genes.select("gene", "i"), "gene"), max(1, cells.count() // tile), tile)
+    side = lambda k: genes.select(F.col("i").alias(f"i_{k}"), F.col("gene").alias(f"gene_{k}"), F.col("s1").alias(f"s1{k}"), F.col("s2").alias(f"s2{k}"))
+    joined = products.join(side("a"), "i_a").join(side("b"), "i_b").crossJoin(F.broadcast(n))
     centered = lambda k: F.greatest(F.lit(0.0), F.col(f"s2{k}") - F.col(f"s1{k}") ** 2 / F.col("n"))
     norm = F.sqrt(centered("a") * centered("b"))
     r = (F.col("xy") - F.col("s1a") * F.col("s1b") / F.col("n")) / F.when(norm == 0, 1e-10).otherwise(norm)
     return joined.select("gene_a", "gene_b", r.alias("r"))
 
 
-def _products(X: DataFrame, genes: list) -> DataFrame:
-    kind = dict(X.dtypes)["gene"]
-    place = {g: i for i, g in enumerate(genes)}
-    cells = X.groupBy("cell").agg(F.collect_list(F.struct("gene", F.col("value").cast("double").alias("value"))).alias("e"))
+def _products(entries: DataFrame, blocks: int, tile: int) -> DataFrame:
+    """Sums of products of genes that meet in a cell: ``i_a, i_b, xy`` of ``entries (cell, i, value)``, both ways."""
+    placed = entries.select(F.pmod(F.xxhash64("cell"), F.lit(blocks)).alias("block"), (F.col("i") / tile).cast("int").alias("tile"), F.xxhash64("cell").alias("c"), (F.col("i") % tile).cast("int").alias("g"), F.col("value").alias("v"))
+    packed = placed.groupBy("block", "tile").agg(F.collect_list(F.struct("c", "g", "v")).alias("e"))
+    pairs = packed.select("block", F.col("tile").alias("p"), F.col("e").alias("left")).join(packed.select("block", F.col("tile").alias("q"), F.col("e").alias("right")), "block").filter("p <= q")
+
+    def matrix(entries: pa.Array, order: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(order), tile))
+        out[np.searchsorted(order, entries.field("c").to_numpy()), entries.field("g").to_numpy()] = entries.field("v").to_numpy()
+        return out
+
+    def sums(rows: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray]]:
+        held, total = None, None
+        for p, q, product in rows:
+            if held == (p, q):
+                total += product
+            else:
+                if held is not None:
+                    yield *held, total
+                held, total = (p, q), product
+        if held is not None:
+            yield *held, total
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right = batch.column(2)[k].values, batch.column(3)[k].values
+                order = np.unique(np.concatenate([left.field("c").to_numpy(), right.field("c").to_numpy()]))
+                yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), matrix(left, order).T @ matrix(right, order)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(genes), len(genes)))
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, q, total in sums(multiplied(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([q], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["p", "q", "m"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         for batch in batches:
-            lists = batch.column(0)
-            flat, offsets = lists.flatten(), lists.offsets.to_numpy()
-            block = np.zeros((len(lists), len(genes)))
-            rows = np.repeat(np.arange(len(lists)), np.diff(offsets))
-            np.add.at(block, (rows, [place[g] for g in flat.field(0).to_pylist()]), flat.field(1).to_numpy(zero_copy_only=False))
-            total += block.T @ block
-        a, b = np.nonzero(total)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array([genes[i] for i in a], flat.field(0).type), pa.array([genes[i] for i in b], flat.field(0).type), pa.array(total[a, b])], ["gene_a", "gene_b", "xy"])
+            for k in range(batch.num_rows):
+                yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), np.frombuffer(batch.column(2)[k].as_buffer()).reshape(tile, tile).copy()
+
+    def wholly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, q, total in sums(read(batches)):
+            a, b = np.nonzero(total)
+            xy, a, b = total[a, b], a + p * tile, b + q * tile
+            for x, y in ((a, b), (b, a)) if p < q else ((a, b),):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(xy)], ["i_a", "i_b", "xy"])
 
-    return cells.select("e").mapInArrow(run, f"gene_a {kind}, gene_b {kind}, xy double").groupBy("gene_a", "gene_b").agg(F.sum("xy").alias("xy"))
+    ready = pairs.select("p", "q", "left", "right").repartition("p", "q", F.pmod(F.xxhash64("block"), F.lit(64))).sortWithinPartitions("p", "q")
+    return ready.mapInArrow(partly, "p int, q int, m binary").repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(wholly, "i_a long, i_b long, xy double")
 
 
 def coexpression(X: DataFrame, cells: DataFrame, threshold: float = 0.4, k: int | None = 20) -> DataFrame:
@@ -108,6 +185,7 @@ def coexpression(X: DataFrame, cells: DataFrame, threshold: float = 0.4, k: int
     what is not above ``threshold`` goes.
     """
     r = correlation(X, cells).select(F.col("gene_a").alias("source"), F.col("gene_b").alias("target"), F.abs("r").alias("weight"))
+    r = r.filter((F.col("weight") > threshold) | (F.col("source") == F.col("target")))  # those below come after all others
     if k:
         first = Window.partitionBy("source").orderBy((F.col("source") == F.col("target")).desc(), F.desc("weight"), "target")
         r = r.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_r")

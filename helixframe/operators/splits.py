@@ -42,6 +42,26 @@ def positions(df: DataFrame, key: str, seed: int, groups: Sequence[str] = (), ou
     return numbered.withColumn(out, (F.col("_start") + F.col("_row")).cast("long")).withColumn(f"{out}_of", F.col("_size").cast("long")).select(*df.columns, out, f"{out}_of")
 
 
+def places(df: DataFrame, order: str, parts: int = 200) -> DataFrame:
+    """``df`` with ``_place``: its number from 0 in the order of ``order``.
+
+    Rows are dealt to ranges of ``order`` by approximate quantiles, numbered within each, and
+    shifted by the sizes of the ranges before; a null comes first, ties go by all other columns.
+    """
+    key = F.col(order)
+    numeric = dict(df.dtypes)[order] in ("int", "bigint", "smallint", "tinyint", "double", "float")
+    if numeric:
+        cuts = df.agg(F.percentile_approx(key.cast("double"), [k / parts for k in range(1, parts)], 1000).alias("c")).first()["c"] or []
+        part = F.size(F.filter(F.array(*(F.lit(float(x)) for x in sorted(set(cuts)))).cast("array<double>"), lambda x: x < key.cast("double")))
+    else:
+        part = F.coalesce(F.ascii(key), F.lit(-1)) * 1024 + F.coalesce(F.ascii(F.substring(key.cast("string"), 2, 1)), F.lit(-1))
+    marked = df.withColumn("_part", F.when(key.isNull(), -1).otherwise(part))
+    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy("_part").orderBy(order, *(c for c in df.columns if c != order))
+    return marked.withColumn("_row", F.row_number().over(inner) - 1).join(starts, "_part").withColumn("_place", (F.col("_start") + F.col("_row")).cast("long")).drop("_part", "_row", "_start")
+
+
 def split_cells(obs: DataFrame, test_size: float = 0.2, stratify: str | None = None, seed: int = 42, key: str = "cell", out: str = "split") -> DataFrame:
     """``train`` or ``test`` for every cell; test takes the size rounded up, in every stratum if asked."""
     placed = positions(obs, key, seed, [stratify] if stratify else [], "_pos")
@@ -73,22 +93,50 @@ def sample_cells(obs: DataFrame, n: int | None = None, frac: float | None = None
     return wanted.join(placed, F.col("_w") == F.col("_pos")).select("draw", *obs.columns)
 
 
-def sample_weighted(obs: DataFrame, weight: Column | str, n: int | None = None, frac: float | None = None, seed: int = 42, key: str = "cell") -> DataFrame:
-    """Without replacement, chances in proportion to weight: the highest ``ln(u) / weight``."""
+def sample_weighted(obs: DataFrame, weight: Column | str, n: int | None = None, frac: float | None = None, seed: int = 42, key: str = "cell", replace: bool = False) -> DataFrame:
+    """Chances in proportion to weight. Without replacement, the highest ``ln(u) / weight``.
+
+    With it, each ``draw`` falls on the cell whose stretch of the cumulated weights holds it;
+    stretches are laid out in hash order, in parts that are cumulated apart.
+    """
     w = F.col(weight) if isinstance(weight, str) else weight
+    if (n is None) == (frac is None):
+        raise ValueError("give either n or frac")
     take = n if n is not None else int(obs.count() * frac)
     scored = obs.withColumn("_w", w.cast("double")).filter("_w > 0")
-    return scored.withColumn("_k", F.log(uniform(key, seed)) / F.col("_w")).orderBy(F.desc("_k"), key).limit(take).select(*obs.columns)
-
-
-def sample_by_group(obs: DataFrame, group: str, n: int | None = None, frac: float | None = None, balance: bool = False, seed: int = 42, key: str = "cell") -> DataFrame:
-    """From every group ``n`` cells (balance), a share of it, or its share of ``n``; rounded down."""
+    if not replace:
+        return scored.withColumn("_k", F.log(uniform(key, seed)) / F.col("_w")).orderBy(F.desc("_k"), key).limit(take).select(*obs.columns)
+    marked = scored.withColumn("_h", hash_order(key, seed)).withColumn("_part", F.substring("_h", 1, 3))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 parts at most
+    parts = marked.groupBy("_part").agg(F.sum("_w").alias("_size")).select("_part", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0.0)).alias("_from"))
+    total = F.broadcast(parts.agg(F.sum("_size").alias("_total")))  # one row
+    draws = obs.sparkSession.range(take).select(F.col("id").alias("draw")).crossJoin(total).withColumn("_at", uniform("draw", seed + 1) * F.col("_total"))
+    known = F.broadcast(parts)  # bounded by the number of parts
+    inside = draws.join(known, (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + F.col("_size"))).select("_part", (F.col("_at") - F.col("_from")).alias("_edge"), "draw")
+    order = Window.partitionBy("_part").orderBy("_h", key)
+    starts = marked.withColumn("_edge", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_w"))
+    both = starts.select("_part", "_edge", F.lit(None).cast("long").alias("draw"), F.struct(*obs.columns).alias("_row")).unionByName(inside.withColumn("_row", F.lit(None).cast(obs.schema)))
+    ahead = Window.partitionBy("_part").orderBy("_edge", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("_row", F.last("_row", ignorenulls=True).over(ahead)).filter("draw IS NOT NULL").select("draw", "_row.*")
+
+
+def sample_by_group(obs: DataFrame, group: str, n: int | None = None, frac: float | None = None, balance: bool = False, seed: int = 42, key: str = "cell", replace: bool = False) -> DataFrame:
+    """From every group ``n`` cells (balance), a share of it, or its share of ``n``; rounded down.
+
+    With replacement a group gives its whole quota, by drawn positions (``draw`` tells which).
+    """
     placed = positions(obs, key, seed, [group], "_pos")
     if frac is not None or balance:
         quota = _quota(n, frac, F.col("_pos_of"))
     else:
         quota = F.floor(F.lit(float(n)) * F.col("_pos_of") / F.lit(float(obs.count())))
-    return placed.filter(F.col("_pos") <= quota).select(*obs.columns)
+    if not replace:
+        return placed.filter(F.col("_pos") <= quota).select(*obs.columns)
+    # a row of a group stands for the draws of its own number, and of that plus the group's size, and so on
+    rounds = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((quota - 1) / F.col("_pos_of"))).cast("long"))
+    draws = placed.withColumn("_quota", quota).select(F.col(group).alias("_g"), "_quota", "_pos", "_pos_of", F.explode(rounds).alias("_k")).withColumn("draw", F.col("_pos") + F.col("_k") * F.col("_pos_of")).filter("draw <= _quota")
+    wanted = draws.select("_g", (F.col("draw") - 1).alias("draw"), (F.floor(uniform(F.concat_ws(":", F.col("_g").cast("string"), F.col("draw").cast("string")), seed + 1) * F.col("_pos_of")) + 1).cast("long").alias("_want"))
+    return wanted.join(placed, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_want") == F.col("_pos"))).select("draw", *obs.columns)
 
 
 def parts_of(label: Column, controls: Sequence[str]) -> Column:

@@ -266,7 +266,7 @@ def _logged(spark, d):
     return preprocess.log1p(t.order_counts(spark, d))
 
 
-@query(sql("c1 obs", _ONE + " SELECT gene, round(means, 6) + 0.0 AS means, round(dispersions, 6) + 0.0 AS dispersions, round(norm, 4) + 0.0 AS dispersions_norm, 1 AS n_batches, norm >= (SELECT min(norm) FROM (SELECT norm FROM nm ORDER BY norm DESC, gene LIMIT 8)) AS highly_variable FROM nm"))
+@query(sql("c1 obs", _ONE + " SELECT gene, round(means, 6) + 0.0 AS means, round(dispersions, 6) + 0.0 AS dispersions, round(norm, 4) + 0.0 AS dispersions_norm, 1 AS n_batches, CAST(printf('%.8e', norm) AS DOUBLE) >= (SELECT min(v) FROM (SELECT CAST(printf('%.8e', norm) AS DOUBLE) AS v FROM nm ORDER BY v DESC, gene LIMIT 8)) AS highly_variable FROM nm"))
 def hvg_seurat(spark, d):
     out = hvg.highly_variable(_logged(spark, d), t.order_obs(spark, d), n_top=8)
     return rounded(out.withColumn("dispersions_norm", F.round("dispersions_norm", 4)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators import de, embedding, graphs, hvg, labels, moments, preprocess, splits, vocab
@@ -33,6 +34,22 @@ class Experiment:
         var = var.withColumnRenamed(name, "gene_name") if "gene_name" not in var.columns and name else var
         return cls(X, obs, var, **({"cell_type": found["cell_type"]} | options))
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, **options) -> Experiment:
+        """The three tables below ``path`` and the roles written with them; ``options`` come first."""
+        X, obs, var = (spark.read.parquet(f"{path}/{name}") for name in ("X", "obs", "var"))
+        about = spark.read.json(f"{path}/roles").first().asDict()
+        known = {k: tuple(v) if isinstance(v, list) else v for k, v in about.items()}
+        return cls(X, obs, var, **(known | options))
+
+    def write(self, path: str) -> None:
+        """The tables as Parquet, and the roles of columns and labels as one JSON row."""
+        for name in ("X", "obs", "var"):
+            getattr(self, name).write.parquet(f"{path}/{name}")
+        about = {"perturbation": self.perturbation, "controls": list(self.controls), "ignored": list(self.ignored), "cell_type": self.cell_type, "layer": self.layer}
+        schema = "perturbation string, controls array<string>, ignored array<string>, cell_type string, layer string"
+        self.X.sparkSession.createDataFrame([tuple(about.values())], schema).coalesce(1).write.option("ignoreNullFields", False).json(f"{path}/roles")
+
     @property
     def matrix(self) -> DataFrame:
         rows = self.X.filter(F.col("layer") == self.layer) if self.layer else self.X
@@ -52,6 +69,31 @@ class Experiment:
         obs = self.obs.filter(condition)
         return replace(self, obs=obs, X=self.X.join(obs.select("cell"), "cell", "left_semi"))
 
+    def take(self, places: int | slice | Sequence[int] | Sequence[bool], order: str = "cell") -> Experiment:
+        """Cells by position in the order of ``order``: a number, a slice, numbers, or a flag for every cell.
+
+        Negative numbers count from the end; a cell asked for twice comes once.
+        """
+        numbered = splits.places(self.obs, order)
+        total = self.obs.count()
+        if isinstance(places, slice):
+            start, stop, step = places.indices(total)
+            step_, low, high = abs(step), min(start, stop + 1 if step < 0 else start), max(stop, start + 1 if step < 0 else stop)
+            wanted = (F.col("_place") >= low) & (F.col("_place") < high) & (F.pmod(F.col("_place") - start, F.lit(step_)) == 0)
+            kept = numbered.filter(wanted)
+        else:
+            numbers = [places] if isinstance(places, int) and not isinstance(places, bool) else list(places)
+            if numbers and all(isinstance(x, bool) for x in numbers):
+                if len(numbers) != total:
+                    raise IndexError(f"{len(numbers)} flags for {total} cells")
+                numbers = [i for i, x in enumerate(numbers) if x]
+            if any(not -total <= x < total for x in numbers):
+                raise IndexError("no such cell")
+            rows = self.obs.sparkSession.createDataFrame([(x % total,) for x in dict.fromkeys(numbers)], "_place long")
+            kept = numbered.join(rows, "_place", "left_semi")
+        obs = kept.select(*self.obs.columns)
+        return replace(self, obs=obs, X=self.X.join(obs.select("cell"), "cell", "left_semi"))
+
     def align(self, targets: DataFrame) -> Experiment:
         entries, genes = vocab.align_genes(self.matrix, self.var, targets)
         return replace(self, X=entries, var=genes, layer=None)
@@ -67,8 +109,11 @@ class Experiment:
         left_out = [*self.ignored, *(() if with_controls else self.controls)]
         return self.obs.select(self.perturbation).distinct().filter(~F.col(self.perturbation).isin(left_out or ["\0"]))
 
-    def normalized(self, **options) -> Experiment:
-        return replace(self, X=preprocess.normalize_total(self.matrix, self.obs, **options), layer=None)
+    def normalized(self, key_added: str | None = None, **options) -> Experiment:
+        """Cells scaled to one total; ``key_added`` names a column of ``obs`` for the divisors."""
+        factors = preprocess.size_factors(self.matrix, self.obs, **options)
+        obs = self.obs.join(factors.select("cell", F.col("divisor").alias(key_added)), "cell", "left") if key_added else self.obs
+        return replace(self, X=preprocess.divide_rows(self.matrix, factors), obs=obs, layer=None)
 
     def scaled(self, **options) -> Experiment:
         return replace(self, X=preprocess.scale(self.matrix, self.obs, **options), layer=None)
@@ -76,8 +121,17 @@ class Experiment:
     def differential_expression(self, **options) -> DataFrame:
         return de.differential_expression(self.matrix, self.obs, self.perturbation, self.controls[0], **options)
 
+    def rank_genes_groups(self, group: str | None = None, **options) -> DataFrame:
+        return de.rank_genes_groups(self.matrix, self.obs, group or self.perturbation, **options)
+
     def highly_variable(self, **options) -> DataFrame:
-        return hvg.highly_variable(self.matrix, self.obs, **options)
+        """All flavors, see ``hvg.highly_variable_genes``."""
+        return hvg.highly_variable_genes(self.matrix, self.obs, **options)
+
+    def variable_only(self, **options) -> Experiment:
+        """The highly variable genes alone."""
+        genes = self.highly_variable(subset=True, **options).select("gene")
+        return replace(self, X=self.X.join(genes, "gene", "left_semi"), var=self.var.join(genes, "gene", "left_semi"))
 
     def mean_var(self, **options) -> DataFrame:
         return moments.mean_var(self.matrix, self.obs, **options)
@@ -90,7 +144,7 @@ class Experiment:
         return replace(self, obs=splits.split_cells(self.obs, stratify=self.cell_type if stratify else None, **options))
 
     def sample(self, n: int | None = None, frac: float | None = None, by_cell_type: bool = False, balance: bool = False, weight: Column | str | None = None, seed: int = 42) -> Experiment:
-        """Some cells: plainly, by weight, or within cell types; one way at a time."""
+        """Some cells: plainly, by weight, or within cell types; one way at a time, each cell once."""
         if (n is None) == (frac is None):
             raise ValueError("give either n or frac")
         if weight is not None and (by_cell_type or balance):

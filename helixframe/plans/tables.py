@@ -93,5 +93,5 @@ VIEWS = {
 
 def sql(views: str, body: str, recursive: bool = False) -> str:
     """``body`` behind the named views, and behind its own WITH parts if it begins with a comma."""
-    head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views.split())
+    head = ", ".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in views.split())
     return f"WITH {'RECURSIVE ' if recursive else ''}{head} {body}"

@@ -37,6 +37,12 @@ class Catalog:
     def load(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(self.place(name))
 
+    def load_experiment(self, spark: SparkSession, name: str, **options):
+        """An experiment that ``Experiment.write`` left at the place of ``name``."""
+        from helixframe.plans.experiment import Experiment
+
+        return Experiment.read(spark, self.place(name), **options)
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(sorted(self.places.items()), "name string, place string")
 

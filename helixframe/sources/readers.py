@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +20,11 @@ GTF_COLUMNS = ("seqname", "source", "feature", "start", "end", "score", "strand"
 def read_obo(spark: SparkSession, path: str, obsolete: bool = False) -> tuple[DataFrame, DataFrame]:
     """Terms and ``parent, child`` edges of an OBO ontology.
 
-    A stanza is a row of the text source. Terms: ``id, name, namespace, definition,
-    is_obsolete, alt_ids``. Obsolete terms and their edges go unless asked for.
+    A stanza is a row of the text source; it begins at a line with an open bracket, whatever
+    the line ends are. Terms: ``id, name, namespace, definition, is_obsolete, alt_ids``.
+    Obsolete terms and their edges go unless asked for.
     """
-    stanzas = spark.read.option("lineSep", "\n\n").text(path).select(F.regexp_replace("value", "\r", "").alias("s"))
+    stanzas = spark.read.option("lineSep", "\n[").text(path).select(F.concat(F.lit("["), F.ltrim(F.regexp_replace("value", "\r", ""), F.lit("["))).alias("s"))
     one = lambda tag, pattern="([^\n]*)": F.nullif(F.regexp_extract("s", rf"(?m)^{tag}: {pattern}", 1), F.lit(""))
     many = lambda tag: F.expr(rf"regexp_extract_all(s, '(?m)^{tag}: ([^ !\n]+)', 1)")
     parsed = stanzas.filter(F.col("s").rlike(r"(?m)^\[Term\]")).select(
@@ -121,6 +123,27 @@ def load_vocabulary(spark: SparkSession, path: str, verify: bool = True) -> Data
     return vocab
 
 
+def save_gene_map(path: str, aliases: DataFrame, ids: DataFrame) -> None:
+    """``aliases (alias, symbol)`` and ``ids (symbol, id)`` below one path."""
+    aliases.write.parquet(f"{path}/aliases")
+    ids.write.parquet(f"{path}/ids")
+
+
+def load_gene_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/aliases"), spark.read.parquet(f"{path}/ids")
+
+
+def mapped_labels(df: DataFrame, column: str, parse: Callable[[str], str | None], out: str | None = None) -> DataFrame:
+    """``column`` put through a Python function, which runs once for each distinct label."""
+
+    def parsed(labels: pd.Series) -> pd.Series:
+        return labels.map(parse)
+
+    table = df.select(F.col(column).alias("_l")).distinct().withColumn("_p", F.pandas_udf(parsed, "string")("_l"))
+    joined = df.join(table, F.col(column).eqNullSafe(F.col("_l")), "left")
+    return joined.withColumn(out or column, F.col("_p")).select(*df.columns, *([out] if out and out not in df.columns else []))
+
+
 def numbered_terms(annotation: DataFrame) -> DataFrame:
     """``gene, term`` as numbers of the sorted names, for export."""
     g, t = Window.orderBy("gene"), Window.orderBy("term")

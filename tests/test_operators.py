@@ -169,8 +169,8 @@ def test_projection_and_sets(spark):
 def test_correlation_paths_agree(spark, counts):
     dense, X, obs = counts
     want = np.corrcoef(dense.T)
-    for limit in (4096, 1):
-        for r in similarity.correlation(X, obs, limit).collect():
+    for tile in (1024, 7):
+        for r in similarity.correlation(X, obs, tile).collect():
             assert abs(r["r"] - want[r["gene_a"], r["gene_b"]]) < 1e-9
 
 
