@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.special import erfc_sql
 from helixframe.operators import de, embedding, graphs, hvg, labels, metrics, moments, preprocess, similarity, splits, vocab
 from helixframe.plans import tables as t
+from helixframe.plans.registry import ORACLES, QUERIES, query, rounded  # noqa: F401
 from helixframe.plans.tables import sql
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 CONTROL = "5-LOW"
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that sums in any order compare equal."""
-    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
-
-
 # Totals and normalization
 
 _TOTALS = ", tot AS (SELECT obs.cell, coalesce(sum(value), 0.0) AS total FROM obs LEFT JOIN c1 USING (cell) GROUP BY 1)"
@@ -322,11 +302,15 @@ def wasserstein_per_gene(spark, d):
     return rounded(metrics.wasserstein(*_triplet(spark, d)[:2], per_gene=True))
 
 
-@query(sql("c1 obs", _DE + """, a AS (SELECT * FROM tab WHERE target = '1-URGENT'), b AS (SELECT * FROM tab WHERE target = '2-HIGH'),
+def _overlap_sql(tops: list[int], p_values: list[float], fdrs: list[float]) -> str:
+    part = lambda name, column, cuts: f"SELECT '{name}<0' || replace(CAST(c AS VARCHAR), '.', '') || '_DEG_Overlap', round((SELECT count(*) FROM a JOIN b USING (feature) WHERE a.{column} < c AND b.{column} < c) / nullif((SELECT count(*) FROM b WHERE {column} < c), 0)::DOUBLE, 6) + 0.0 FROM (SELECT unnest({cuts}::DOUBLE[]) AS c)"
+    return sql("c1 obs", _DE + f""", a AS (SELECT * FROM tab WHERE target = '1-URGENT'), b AS (SELECT * FROM tab WHERE target = '2-HIGH'),
 ra AS (SELECT feature, row_number() OVER (ORDER BY p_value, feature) AS r FROM a), rb AS (SELECT feature, row_number() OVER (ORDER BY p_value, feature) AS r FROM b)
-SELECT 'Top' || n || '_DEG_Overlap' AS metric, CASE WHEN n <= 25 THEN round((SELECT count(*) FROM ra JOIN rb USING (feature) WHERE ra.r <= n AND rb.r <= n) / n::DOUBLE, 6) + 0.0 END AS value FROM (SELECT unnest([5, 10, 50]) AS n)
-UNION ALL SELECT 'P<0' || replace(CAST(c AS VARCHAR), '.', '') || '_DEG_Overlap', round((SELECT count(*) FROM a JOIN b USING (feature) WHERE a.p_value < c AND b.p_value < c) / nullif((SELECT count(*) FROM b WHERE p_value < c), 0)::DOUBLE, 6) + 0.0 FROM (SELECT unnest([0.5::DOUBLE, 0.25::DOUBLE]) AS c)
-UNION ALL SELECT 'FDR<0' || replace(CAST(c AS VARCHAR), '.', '') || '_DEG_Overlap', round((SELECT count(*) FROM a JOIN b USING (feature) WHERE a.fdr < c AND b.fdr < c) / nullif((SELECT count(*) FROM b WHERE fdr < c), 0)::DOUBLE, 6) + 0.0 FROM (SELECT unnest([0.95::DOUBLE]) AS c)"""))
+SELECT 'Top' || n || '_DEG_Overlap' AS metric, CASE WHEN n <= 25 THEN round((SELECT count(*) FROM ra JOIN rb USING (feature) WHERE ra.r <= n AND rb.r <= n) / n::DOUBLE, 6) + 0.0 END AS value FROM (SELECT unnest({tops}) AS n)
+UNION ALL {part("P", "p_value", p_values)} UNION ALL {part("FDR", "fdr", fdrs)}""")
+
+
+@query(_overlap_sql([5, 10, 50], [0.5, 0.25], [0.95]))
 def deg_overlap(spark, d):
     table = _de(spark, d)
     return rounded(metrics.deg_overlap(table.filter("target = '1-URGENT'"), table.filter("target = '2-HIGH'"), (5, 10, 50), (0.5, 0.25), (0.95,)))
@@ -432,10 +416,10 @@ def dag_levels(spark, d):
     return graphs.levels(t.hierarchy(spark, d))
 
 
-@query(sql("dag", ", a(node, other) AS (SELECT child, parent FROM dag WHERE child LIKE 's%' UNION SELECT node, parent FROM a JOIN dag ON other = child) SELECT node, other FROM a", True))
+@query(sql("dag", ", a(node, other) AS (SELECT child, parent FROM dag UNION SELECT node, parent FROM a JOIN dag ON other = child) SELECT node, other FROM a", True))
 def dag_ancestors(spark, d):
     e = t.hierarchy(spark, d)
-    return graphs.reachable(e, e.filter("child LIKE 's%'").select(F.col("child").alias("node")), True)
+    return graphs.reachable(e, e.select(F.col("child").alias("node")).distinct(), True)
 
 
 @query(sql("dag", ", nodes AS (SELECT parent AS node FROM dag UNION SELECT child FROM dag) SELECT node, 'root' AS kind FROM nodes WHERE node NOT IN (SELECT child FROM dag) UNION ALL SELECT node, 'leaf' FROM nodes WHERE node NOT IN (SELECT parent FROM dag)"))
@@ -444,9 +428,9 @@ def dag_roots_leaves(spark, d):
     return graphs.roots(e).withColumn("kind", F.lit("root")).union(graphs.leaves(e).withColumn("kind", F.lit("leaf")))
 
 
-@query(sql("dag", ", e AS (SELECT child AS x, parent AS y FROM dag WHERE child LIKE 's%'), p AS (SELECT a.x AS source, b.x AS target FROM e a JOIN e b ON a.y = b.y AND a.x <> b.x) SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM p GROUP BY 1, 2"))
+@query(sql("dag", ", e AS (SELECT child AS x, parent AS y FROM dag), p AS (SELECT a.x AS source, b.x AS target FROM e a JOIN e b ON a.y = b.y AND a.x <> b.x) SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM p GROUP BY 1, 2"))
 def hypergraph_clique(spark, d):
-    h = t.hierarchy(spark, d).filter("child LIKE 's%'").groupBy(F.col("parent").alias("edge_id")).agg(F.collect_list("child").alias("participants"))
+    h = t.hierarchy(spark, d).groupBy(F.col("parent").alias("edge_id")).agg(F.collect_list("child").alias("participants"))
     return graphs.clique_expansion(h)
 
 
@@ -509,22 +493,60 @@ def sample_balanced(spark, d):
     return splits.sample_by_group(t.order_obs(spark, d), "cell_type", 50, balance=True).select("cell", "cell_type")
 
 
-@query()
+_U01 = "((CAST('0x' || substr(md5('{s}:' || {k}), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+@query("WITH o AS (SELECT o_orderkey AS cell, ln(" + _U01.format(s=42, k="CAST(o_orderkey AS VARCHAR)") + ") / o_totalprice AS k FROM orders WHERE o_totalprice > 0) SELECT cell FROM o ORDER BY k DESC, cell LIMIT 100")
 def sample_weighted(spark, d):
-    """Order by ln(u) / weight; a sampling operator, tested for its size and its preference."""
     o = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("cell"), "o_totalprice")
     return splits.sample_weighted(o, "o_totalprice", 100).select("cell")
 
 
-@query()
+_PERTS = """, lb AS (SELECT DISTINCT label AS perturbation FROM combo),
+mk AS (SELECT perturbation, list_filter(list_transform(string_split(perturbation, '+'), lambda x: trim(x)), lambda x: x NOT IN ('', 'control')) AS genes, contains(perturbation, '+') AS combo FROM lb),
+gs AS (SELECT DISTINCT unnest(genes) AS gene FROM mk WHERE NOT combo), gp AS (SELECT gene, row_number() OVER (ORDER BY md5('42:' || gene), gene) AS i, count(*) OVER () AS n FROM gs),
+tr AS (SELECT gene FROM gp WHERE i <= floor(n * 0.7::DOUBLE)),
+mg AS (SELECT DISTINCT perturbation, combo, unnest(genes) AS gene FROM mk),
+cn AS (SELECT perturbation, count(*) AS n_genes, count(*) FILTER (WHERE gene IN (SELECT gene FROM tr)) AS n_trained FROM mg GROUP BY 1),
+told AS (SELECT mk.perturbation, combo, coalesce(n_genes, 0) AS n_genes, coalesce(n_trained, 0) AS n_trained FROM mk LEFT JOIN cn USING (perturbation))"""
+_DEALT = ", st AS ({states}), pl AS (SELECT perturbation, state, row_number() OVER (PARTITION BY state ORDER BY md5('44:' || perturbation), perturbation) AS i, count(*) OVER (PARTITION BY state) AS n FROM st) SELECT perturbation, CASE WHEN state = 'train' THEN 'train' WHEN i <= floor(n * ({share})::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM pl"
+_SIMULATED = "SELECT perturbation, CASE WHEN CASE WHEN b THEN i <= floor(n * 0.7::DOUBLE) ELSE NOT combo AND n_trained = n_genes END THEN 'train' ELSE 'held' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY md5('43:' || perturbation), perturbation) AS i, count(*) OVER (PARTITION BY b) AS n FROM (SELECT *, combo AND n_trained >= 2 AS b FROM told {where}))"
+
+
+def _perturbations(spark, d):
+    return t.combinations(spark, d).select(F.col("label").alias("perturbation"))
+
+
+@query(sql("combo", _PERTS + _DEALT.format(states=_SIMULATED.format(where=""), share="0.1::DOUBLE / (0.2::DOUBLE + 0.1::DOUBLE)")))
 def split_simulation(spark, d):
-    """Hash-ordered splits of genes, combinations and the rest; tested for disjointness and rules."""
-    return splits.split_perturbations(t.combinations(spark, d).select(F.col("label").alias("perturbation")), ["control"], "simulation", val_size=0.1)
+    return splits.split_perturbations(_perturbations(spark, d), ["control"], "simulation", val_size=0.1)
 
 
-@query()
+@query(sql("combo", _PERTS + _DEALT.format(states=_SIMULATED.format(where="WHERE NOT combo"), share="0")))
+def split_simulation_single(spark, d):
+    return splits.split_perturbations(_perturbations(spark, d), ["control"], "simulation_single")
+
+
+@query(sql("combo", _PERTS + _DEALT.format(states="SELECT perturbation, CASE WHEN combo AND n_trained = 1 THEN 'held' ELSE 'train' END AS state FROM told WHERE combo OR n_trained = n_genes", share="0")))
+def split_combo_seen(spark, d):
+    return splits.split_perturbations(_perturbations(spark, d), ["control"], "combo_seen", seen=1)
+
+
+_PLAIN = ", lb AS (SELECT DISTINCT label AS perturbation FROM combo), p AS (SELECT perturbation, row_number() OVER (ORDER BY md5('42:' || perturbation), perturbation) AS i, count(*) OVER () AS n FROM lb) SELECT perturbation, CASE WHEN i <= floor(n * {t}::DOUBLE) THEN 'test' WHEN i <= floor(n * {t}::DOUBLE) + floor(n * {v}::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM p"
+
+
+@query(sql("combo", _PLAIN.format(t=0.2, v=0.1)))
+def split_perturbations_simple(spark, d):
+    return splits.split_perturbations(_perturbations(spark, d), ["control"], "simple", val_size=0.1)
+
+
+@query(sql("combo", _PLAIN.format(t=0.0, v=0.2)))
+def split_perturbations_no_test(spark, d):
+    return splits.split_perturbations(_perturbations(spark, d), ["control"], "no_test", val_size=0.2)
+
+
+@query(sql("obs", ", pool AS (SELECT cell, cell_type, row_number() OVER (PARTITION BY cell_type ORDER BY md5('42:' || cell), cell) AS i FROM obs WHERE pert = '" + CONTROL + "'), sz AS (SELECT cell_type, count(*) AS n FROM pool GROUP BY 1), dr AS (SELECT cell, cell_type, pert, unnest([0, 1]) AS draw FROM obs), wa AS (SELECT dr.*, CAST(floor(" + _U01.format(s=43, k="dr.cell || ':' || dr.draw") + " * n) AS BIGINT) + 1 AS want FROM dr JOIN sz USING (cell_type)) SELECT wa.cell, CAST(draw AS BIGINT) AS draw, CASE WHEN pert = '" + CONTROL + "' THEN wa.cell ELSE pool.cell END AS control_cell FROM wa LEFT JOIN pool ON pool.cell_type = wa.cell_type AND pool.i = wa.want"))
 def pair_controls(spark, d):
-    """Hash-drawn control cells; tested for membership, strata and determinism."""
     return splits.pair_controls(t.order_obs(spark, d), "pert", [CONTROL], 2, "cell_type")
 
 
@@ -598,9 +620,9 @@ def dag_has_path(spark, d):
     return graphs.has_path(t.hierarchy(spark, d), pairs)
 
 
-@query(sql("dag", ", e AS (SELECT child AS x, parent AS y FROM dag WHERE child LIKE 's%') SELECT DISTINCT a.x AS node, b.x AS neighbor FROM e a JOIN e b ON a.y = b.y AND a.x <> b.x"))
+@query(sql("dag", ", e AS (SELECT child AS x, parent AS y FROM dag) SELECT DISTINCT a.x AS node, b.x AS neighbor FROM e a JOIN e b ON a.y = b.y AND a.x <> b.x"))
 def hypergraph_neighbors(spark, d):
-    h = t.hierarchy(spark, d).filter("child LIKE 's%'").groupBy(F.col("parent").alias("edge_id")).agg(F.collect_list("child").alias("participants"))
+    h = t.hierarchy(spark, d).groupBy(F.col("parent").alias("edge_id")).agg(F.collect_list("child").alias("participants"))
     return graphs.co_participants(h)
 
 
@@ -651,8 +673,17 @@ def direction_per_gene(spark, d):
     return metrics.direction_per_gene(*_triplet(spark, d))
 
 
-@query()
+def _long(oracle: str) -> str:
+    return f"SELECT metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({oracle})) ON COLUMNS(*) INTO NAME metric VALUE value)"
+
+
+_FAMILIES = [_long(ORACLES["expression_metrics"]), _long(f"SELECT (SELECT round(avg(mmd), 6) + 0.0 FROM ({ORACLES['mmd_per_gene']})) AS mmd, (SELECT round(avg(wasserstein), 6) + 0.0 FROM ({ORACLES['wasserstein_per_gene']})) AS wasserstein"), _long(ORACLES["direction_metrics"]), f"SELECT metric, value FROM ({_overlap_sql([20, 50, 100, 200], [0.05, 0.01], [0.05, 0.01])})"]
+
+
+@query("SELECT metric, round(value, 4) + 0.0 AS value FROM (" + " UNION ALL ".join(_FAMILIES) + ")")
 def evaluate_prediction(spark, d):
-    """All metric families in one table; each family has a query with SQL of its own."""
     table = _de(spark, d)
-    return rounded(metrics.evaluate_prediction(*_triplet(spark, d), table.filter("target = '1-URGENT'"), table.filter("target = '2-HIGH'")))
+    return rounded(metrics.evaluate_prediction(*_triplet(spark, d), table.filter("target = '1-URGENT'"), table.filter("target = '2-HIGH'")), 4)
+
+
+from helixframe.plans import surface  # noqa: E402, F401  (registers the rest)
