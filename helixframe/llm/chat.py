@@ -1,4 +1,4 @@
-"""Chat formatting with DataFrame functions only: every assistant turn becomes an example."""
+"""Chat formatting with DataFrame functions only: every assistant turn becomes an example with its context."""
 
 from __future__ import annotations
 
@@ -21,56 +21,44 @@ def unescaped(text: Column) -> Column:
 def examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One example per assistant turn: all turns before it as context, its reply alone trained.
 
-    Contexts of a conversation are prefixes of each other, so each is stored once: an
-    example's text is the ``part`` of its own and of all earlier examples, in order (see
-    ``whole_examples``). ``loss_start`` (from 1, in ``part``) and ``loss_chars`` mark the
-    reply. Turns after the last reply form a part without a loss.
+    ``text`` is the whole example, ``loss_start`` (from 1) and ``loss_chars`` mark the reply in
+    it. Turns after the last reply, or a conversation without one, give a last row without a
+    loss, so that no turn is lost; ``whole`` marks the row that holds the whole conversation.
+    A conversation of n replies is written n times in part, as the method asks: its output
+    grows with the square of n, and it is one row until it is expanded.
 
     Turns stand in the order of turn number, role, text, nulls first; repeated rows are turns
-    of their own. A null text or role is empty. Rows without a conversation id are one
-    conversation. Returns ``conv_id, example, part, part_chars, loss_start, loss_chars``;
-    an empty table gives an empty result; further columns are not read.
+    of their own, equal ones in any order. A null text or role is empty. Rows without a
+    conversation id are one conversation. Texts of any length are formatted whole. Returns
+    ``conv_id, example, text, loss_start, loss_chars, whole``; an empty table gives an empty
+    result; further columns are not read.
     """
     slim = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.struct(F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).alias("t"),
     )
     listed = slim.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    # an example's number is the count of replies before the turn; replies close their example
-    closes = listed.withColumn("ends", F.expr("filter(sequence(1, size(ts)), i -> coalesce(ts[i - 1].role = 'assistant', false))"))
-    last = F.expr("IF(size(ends) > 0 AND element_at(ends, -1) = size(ts), ends, array_append(ends, size(ts)))")
-    cut = closes.withColumn("ends", last).select("conv_id", "ts", "ends", F.posexplode("ends").alias("example", "stop"))
-    cut = cut.withColumn("turns", F.expr("slice(ts, IF(example = 0, 0, ends[example - 1]) + 1, stop - IF(example = 0, 0, ends[example - 1]))")).select("conv_id", "example", "turns")
-
     role = lambda t: F.replace(escaped(F.coalesce(t["role"], F.lit(""))), F.lit("\n"), F.lit(LINE))
     one = lambda t: F.concat(F.lit(START), role(t), F.lit("\n"), escaped(F.coalesce(t["text"], F.lit(""))), F.lit(END))
-    reply = F.element_at("turns", -1)
-    made = cut.select(
-        "conv_id", "example",
-        F.array_join(F.transform("turns", one), "").alias("part"),
-        F.when(reply["role"] == TRAINED, F.length(escaped(F.coalesce(reply["text"], F.lit(""))))).alias("loss_chars"),
-    )
-    chars = F.length("part").cast("long")
-    return made.select(
-        "conv_id", "example", "part", chars.alias("part_chars"),
-        (chars - len(END) - F.col("loss_chars") + 1).alias("loss_start"), F.col("loss_chars").cast("long"),
-    )
-
-
-def whole_examples(parts: DataFrame) -> DataFrame:
-    """Each trained example with its context written out: ``conv_id, example, text, loss_start, loss_chars``."""
-    listed = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", "part", "loss_start", "loss_chars"))).alias("ps"))
-    each = listed.select("conv_id", "ps", F.explode("ps").alias("p")).filter("p.loss_chars IS NOT NULL")
-    before = F.array_join(F.transform(F.expr("slice(ps, 1, p.example)"), lambda q: q["part"]), "")
-    return each.select("conv_id", F.col("p.example").alias("example"), F.concat(before, F.col("p.part")).alias("text"), (F.length(before) + F.col("p.loss_start")).alias("loss_start"), F.col("p.loss_chars").alias("loss_chars"))
-
-
-def read_back(parts: DataFrame) -> DataFrame:
-    """Conversations from their parts: turns with roles and texts as they were, and the text under the loss."""
-    under = F.when(F.col("loss_chars").isNotNull(), unescaped(F.expr("substring(part, CAST(loss_start AS INT), CAST(loss_chars AS INT))")))
-    listed = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", "part", under.alias("loss")))).alias("ps"))
-    joined = listed.select("conv_id", F.array_join(F.expr("transform(ps, p -> p.part)"), "").alias("all"), F.array_join(F.expr("transform(filter(ps, p -> p.loss IS NOT NULL), p -> p.loss)"), "").alias("loss"))
-    pieces = F.filter(F.split("all", r"<\|im_end\|>\n"), lambda x: x != "")
-    body = F.transform(pieces, lambda x: F.substr(x, F.lit(len(START) + 1)))
-    split = F.transform(body, lambda x: F.struct(F.substring_index(x, "\n", 1).alias("role"), F.substr(x, F.instr(x, "\n") + 1).alias("text")))
-    return joined.select("conv_id", F.transform(split, lambda t: F.struct(unescaped(F.replace(t["role"], F.lit(LINE), F.lit("\n"))).alias("role"), unescaped(t["text"]).alias("text"))).alias("turns"), "loss", F.length("all").cast("long").alias("formatted_chars"))
+    replies = F.expr("filter(sequence(1, size(ts)), i -> coalesce(ts[i - 1].role = 'assistant', false))")
+    made = listed.select("conv_id", "ts", F.transform("ts", one).alias("parts"), replies.alias("ends"), F.size("ts").alias("n"))
+    with_rest = made.withColumn("ends", F.expr("IF(size(ends) > 0 AND element_at(ends, -1) = n, ends, array_append(ends, n))"))
+    each = with_rest.select("conv_id", "ts", "parts", "n", F.posexplode("ends").alias("example", "stop"))
+    reply = F.element_at("ts", F.col("stop"))
+    loss = F.when(reply["role"] == TRAINED, F.length(escaped(F.coalesce(reply["text"], F.lit("")))).cast("long"))
+    cut = each.select("conv_id", "example", F.array_join(F.slice("parts", F.lit(1), F.col("stop")), "").alias("text"), loss.alias("loss_chars"), (F.col("stop") == F.col("n")).alias("whole"))
+    return cut.select("conv_id", "example", "text", (F.length("text") - len(END) - F.col("loss_chars") + 1).cast("long").alias("loss_start"), "loss_chars", "whole")
+
+
+def parsed(text: Column) -> Column:
+    """The turns of a formatted text, with roles and texts as they were."""
+    body = F.transform(F.filter(F.split(text, r"<\|im_end\|>\n"), lambda x: x != ""), lambda x: F.substr(x, F.lit(len(START) + 1)))
+    return F.transform(body, lambda x: F.struct(unescaped(F.replace(F.substring_index(x, "\n", 1), F.lit(LINE), F.lit("\n"))).alias("role"), unescaped(F.substr(x, F.instr(x, "\n") + 1)).alias("text")))
+
+
+def read_back(rows: DataFrame) -> DataFrame:
+    """Conversations from their examples: turns as they were, the text under all loss masks, characters of all examples."""
+    under = F.when(F.col("loss_chars").isNotNull(), unescaped(F.expr("substring(text, CAST(loss_start AS INT), CAST(loss_chars AS INT))")))
+    slim = rows.select("conv_id", "example", under.alias("loss"), F.when(F.col("whole"), parsed(F.col("text"))).alias("turns"), F.length("text").cast("long").alias("chars"))
+    listed = slim.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("ls"), F.element_at(F.collect_list("turns"), 1).alias("turns"), F.sum("chars").alias("formatted_chars"))
+    return listed.select("conv_id", "turns", F.array_join(F.expr("transform(filter(ls, l -> l.loss IS NOT NULL), l -> l.loss)"), "").alias("loss"), "formatted_chars")
