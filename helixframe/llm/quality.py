@@ -21,12 +21,14 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 @dataclass(frozen=True)
 class Quality:
     """``sample``: labelled rows the model is fitted on, those of least hashed id: a bound that
-    does not grow with the data. ``bits``: hash buckets per kind of n-gram. ``keep_at``: the
+    does not grow with the data. ``longest``: bytes of a text that is still fitted on, so that
+    the sample is bounded in bytes too; longer texts are scored like others. ``bits``: hash buckets per kind of n-gram. ``keep_at``: the
     calibrated probability of good quality from which a document is kept. ``toxic_at``: the
     calibrated probability from which it is toxic. ``surprise``: the least G statistic between a
     word's presence and the toxic label (30: chance under 1e-7 a word)."""
 
     sample: int = 2000
+    longest: int = 250_000
     bits: int = 16
     keep_at: float = 0.5
     toxic_at: float = 0.5
@@ -94,10 +96,12 @@ def _sample(docs: DataFrame, labels: DataFrame, p: Quality, id_col: str, text_co
     """The labelled rows that a model is fitted on, by id."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IN (0, 1)")
     sample = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(p.sample)
-    slim = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text")).filter(F.coalesce(F.octet_length("_text"), F.lit(0)) <= p.longest)
     near = only_ids(slim, sample, "_doc", "_id")
-    rows = near.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text").collect()
-    return sorted({r["_id"]: r for r in rows}.values(), key=lambda r: r["_id"])
+    rows = near.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_label", F.col("_text").cast("binary").alias("_text")).collect()
+    # of several rows of an id the least in label and text, whatever order they come in
+    first = {r["_id"]: r for r in sorted(rows, key=lambda r: (r["_id"], r["_label"], r["_text"] or b""), reverse=True)}
+    return [{"_label": r["_label"], "_text": bytes(r["_text"] or b"").decode("utf-8", "replace")} for _, r in sorted(first.items())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -239,21 +243,24 @@ def quality(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col:
     ``toxic`` is a verdict of its own: ``kept`` judges quality, and ``kept_documents`` asks for both.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, quality_probability, kept, toxic_probability, toxic``, one row per input row. A null text has no words
-    and fails. Repeated rows and rows without an id are judged like others. An empty table
-    gives an empty result; further columns are not read. Texts are scored in Arrow batches
-    with weights of fixed size; nothing is shuffled.
+    base_failed, kept, quality_probability, toxic_probability, toxic``, one row per input row.
+    A null text has no words and fails. Repeated rows and rows without an id are judged like
+    others; where labels or texts of an id differ, the least label and text are fitted on. A
+    probability equal to its threshold counts as reaching it. Bytes that are no UTF-8 are read
+    as U+FFFD; texts of any length are scored whole. An empty table gives an empty result;
+    further columns are not read. Texts are scored in Arrow batches with weights of fixed
+    size; nothing is shuffled.
     """
     model = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, p, id_col, text_col), fit_toxic(docs, labels, p, id_col, text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, values, failed, good, toxic in _judged(batch.column(1), *model.value, p):
-                columns = [batch.column(0).slice(i, j - i), *(pa.array(v, pa.int64()) for v in values), pa.array(failed), pa.array(good), pa.array(~failed & (good >= p.keep_at)), pa.array(toxic), pa.array(toxic >= p.toxic_at)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_probability", "kept", "toxic_probability", "toxic"])
+                columns = [batch.column(0).slice(i, j - i), *(pa.array(v, pa.int64()) for v in values), pa.array(failed), pa.array(~failed & (good >= p.keep_at)), pa.array(good), pa.array(toxic), pa.array(toxic >= p.toxic_at)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_probability", "toxic_probability", "toxic"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return mapped(slim, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_probability double, kept boolean, toxic_probability double, toxic boolean")
+    return mapped(slim, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_probability double, toxic_probability double, toxic boolean")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,9 +276,19 @@ def kept_documents(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), i
     return mapped(docs, run, docs.schema)
 
 
+def _decodable(texts: Texts) -> Texts:
+    try:
+        str(texts.data, "utf-8")
+    except UnicodeDecodeError:
+        fixed = pa.array([texts.text(k).decode("utf-8", "replace") for k in range(len(texts))], pa.string())
+        return next(texts_of(fixed, 1 << 62))[2]
+    return texts
+
+
 def _judged(column: pa.Array, model: Model, toxic: Toxic, p: Quality) -> Iterator[tuple]:
     """Runs of texts: first, end, the five statistics, base verdict, probabilities of good quality and of a toxic text."""
     for i, j, texts in texts_of(column):
+        texts = _decodable(texts)
         words = words_of(texts)
         inside = np.concatenate([[0], np.cumsum(((texts.data & 0xC0) != 0x80) & TEXT_WORD[texts.data])])
         at, grams = words.windows(3)
