@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,20 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import mapped
-from helixframe.llm.words import ITEM_WORD, LOWER, Texts, texts_of, words_of
-
-NOTHING = hashlib.sha256(b"").hexdigest()
+from helixframe.llm.store import mapped, written
+from helixframe.llm.words import ITEM_WORD, LOWER, Texts, sums, texts_of, words_of
 
 
 @dataclass(frozen=True)
 class Decontaminate:
     """``window``: words of a match that counts. ``shard_mb``: text under one suffix array.
-    ``block_bytes``: benchmark text that a task holds at a time; more benchmark, more blocks."""
+    ``block_bytes``: benchmark text of a block (an item is never cut). ``at_once``: blocks that
+    a pass over the documents searches; more benchmark, more passes, and never more memory."""
 
     window: int = 10
     shard_mb: int = 1
     block_bytes: int = 8 << 20
+    at_once: int = 4
 
 
 @dataclass
@@ -160,22 +159,27 @@ def _numbers(texts: Texts, blocks: list, p: Decontaminate) -> Iterator[tuple]:
         yield words, items, numbers
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, p: Decontaminate, item_col: str, text_col: str) -> list:
-    """Broadcast benchmark blocks, each of about ``block_bytes`` at most."""
-    slim = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+def _passes(docs: DataFrame, benchmark: DataFrame, p: Decontaminate, item_col: str, text_col: str) -> Iterator[list]:
+    """Lists of broadcast benchmark blocks, for one pass over the documents each.
+
+    Repeated item rows are dropped first; the driver holds one block at a time.
+    """
+    slim = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
     total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(2 * total / p.block_bytes))
     dealt = slim.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
     context = docs.sparkSession.sparkContext
-    return [context.broadcast(_items(dealt.filter(F.col("b") == b).select("i", "t").collect(), p)) for b in range(n)]
+    for first in range(0, n, p.at_once):
+        yield [context.broadcast(_items(sorted(dealt.filter(F.col("b") == b).select("i", "t").collect(), key=str), p)) for b in range(first, min(n, first + p.at_once))]
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
 
 
 def _judged(column: pa.Array, blocks: list, p: Decontaminate) -> Iterator[tuple]:
-    """Shards: first and end row, words and hit words of each document, the items found in it."""
+    """Shards: first and end row, words of each document, which places are hit, first place of each document, the items found in it."""
     for i, j, texts in texts_of(column, p.shard_mb << 20):
         found: list[set] = [set() for _ in range(j - i)]
         hit = None
@@ -189,9 +193,23 @@ def _judged(column: pa.Array, blocks: list, p: Decontaminate) -> Iterator[tuple]
             for pair in np.unique(owner * len(items.ids) + items.owner[which]):
                 if (item := items.ids[pair % len(items.ids)]) is not None:
                     found[pair // len(items.ids)].add(item)
-        total = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1] > 0)])
-        edge = words.bounds + np.arange(len(words.bounds))
-        yield i, j, words.counts, total[edge[1:]] - total[edge[:-1]], found
+        yield i, j, words.counts, np.cumsum(hit)[:-1] > 0, words.bounds + np.arange(len(words.bounds)), found
+
+
+def _hits(docs: DataFrame, blocks: list, p: Decontaminate) -> DataFrame:
+    """``doc_id, tag, n_words``, the runs of hit words as ``starts`` and ``ends``, and the ``items`` found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, counts, hit, edge, found in _judged(batch.column(2), blocks, p):
+                step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))  # a free place after each document parts their runs
+                first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+                bounds = np.searchsorted(first, edge).astype(np.int32)
+                base = np.repeat(edge[:-1], np.diff(bounds))
+                lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array((x - base).astype(np.int64))) for x in (first, last)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(counts, pa.int64()), *lists, pa.array([sorted(f) for f in found], pa.list_(pa.string()))], ["doc_id", "tag", "n_words", "starts", "ends", "items"])
+
+    return mapped(docs, run, "doc_id long, tag int, n_words long, starts array<long>, ends array<long>, items array<string>", 4000)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Decontaminate(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -199,29 +217,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Deco
 
     Documents are shards of ``shard_mb`` text, each with a suffix array of its words. Every
     test suffix that starts a window is binary-searched in every shard; words inside a found
-    window are hit. Benchmark items come in blocks of bounded size. Words outside a block's
-    vocabulary end a suffix, and suffixes too short for any window are not indexed, since no
-    match can hold them. Nothing is shuffled.
+    window are hit. Benchmark items come in blocks of bounded size, ``at_once`` of them in a
+    pass; what later passes find is written and joined to the first one's rows. Words outside
+    a block's vocabulary end a suffix, and suffixes too short for any window are not indexed,
+    since no match can hold them. With one pass nothing is shuffled.
 
     Returns ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, one row per
     input row in any order. A null or wordless text has no words and is clean. Items without
     words never match; those without an id mark words but are not listed; items of one id
-    count once. An item of fewer words
-    than a window is one window. Empty tables give an empty result or clean rows; further
-    columns are not read.
+    count once. An item of fewer words than a window is one window. Rows that repeat an id are
+    judged each by its own text; a text of any length is a shard of its own and not cut; bytes
+    that are no UTF-8 are bytes of words. Empty tables give an empty result or clean rows;
+    further columns are not read.
     """
-    blocks = _blocks(docs, benchmark, p, item_col, item_text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, counts, n_hit, found in _judged(batch.column(1), blocks, p):
-                digests = [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() if f else NOTHING for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(digests), pa.array(n_hit > 0)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-    return mapped(_scan(docs, id_col, text_col), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", 4000)
+    slim = _scan(docs, id_col, text_col)
+    first, more = None, []
+    for blocks in _passes(docs, benchmark, p, item_col, item_text_col):
+        found = _hits(slim, blocks, p)
+        if first is None:
+            first = found
+        else:
+            more.append(written(found.filter("size(starts) > 0"), "hits"))
+            for block in blocks:
+                block.destroy()
+    if more:
+        later = more[0]
+        for rows in more[1:]:
+            later = later.union(rows)
+        lists = {c: F.flatten(F.collect_list(c)) for c in ("starts", "ends", "items")}
+        # rows that repeat an id and a text found the same
+        later = later.dropDuplicates(["doc_id", "tag", "starts", "ends", "items"]).groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(*(v.alias(f"_{c}") for c, v in lists.items()))
+        joined = first.join(later, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t")), "left")
+        first = joined.select("doc_id", "n_words", *(F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.concat(c, f"_{c}")).alias(c) for c in lists))
+    runs = F.array_sort(F.arrays_zip("starts", "ends"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    joined_up = F.aggregate(runs, none, lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["ends"] - F.greatest(a["end"], r["starts"]))).alias("n"), F.greatest(a["end"], r["ends"]).alias("end")))
+    names = F.array_sort(F.array_distinct("items"))
+    return first.select(
+        "doc_id", "n_words", joined_up["n"].alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"),
+    )
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Decontaminate(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -230,11 +265,17 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = De
     ``length`` is the longest verbatim match from those two words on; matches that only
     continue a match one word earlier are left out.
     """
-    blocks = _blocks(docs, benchmark, p, item_col, item_text_col)
+    out = None
+    for blocks in _passes(docs, benchmark, p, item_col, item_text_col):
+        found = _places(_scan(docs, id_col, text_col), blocks, p)
+        out = found if out is None else out.union(found)
+    return out
 
+
+def _places(docs: DataFrame, blocks: list, p: Decontaminate) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, texts in texts_of(batch.column(1), p.shard_mb << 20):
+            for i, j, texts in texts_of(batch.column(2), p.shard_mb << 20):
                 for words, items, numbers in _numbers(texts, blocks, p):
                     if not len(items.starts) or not numbers.any():
                         continue
@@ -249,17 +290,26 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = De
                         ["doc_id", "doc_word", "item_id", "item_word", "length"],
                     )
 
-    return mapped(_scan(docs, id_col, text_col), run, "doc_id long, doc_word long, item_id string, item_word long, length long", 4000)
+    return mapped(docs, run, "doc_id long, doc_word long, item_id string, item_word long, length long", 4000)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Decontaminate(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that share no window with the benchmark, with all their columns."""
-    blocks = _blocks(docs, benchmark, p, item_col, item_text_col)
-    place = docs.columns.index(text_col)
+    """The rows of ``docs`` that share no window with the benchmark, with all their columns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, _, n_hit, _ in _judged(batch.column(place), blocks, p):
-                yield batch.slice(i, j - i).filter(pa.array(n_hit == 0))
-
-    return mapped(docs, run, docs.schema, 4000)
+    Rows are judged as in ``contamination`` where they are read; a null text stays.
+    """
+    place = docs.columns.index(text_col)
+    out, earlier = docs, None
+    for blocks in _passes(docs, benchmark, p, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], blocks: list = blocks) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, _, hit, edge, _ in _judged(batch.column(place), blocks, p):
+                    yield batch.slice(i, j - i).filter(pa.array(sums(hit, edge) == 0))
+
+        if earlier is not None:  # the pass before is written, so that one pass's blocks are held at a time
+            out = written(out, "clean")
+            for block in earlier:
+                block.destroy()
+        out, earlier = mapped(out, run, docs.schema, 4000), blocks
+    return out
