@@ -58,8 +58,8 @@ def shingles(text, n=2):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def brute_components(texts):
-    sets = [shingles(t) for t in texts]
+def brute_components(texts, n=2):
+    sets = [shingles(t, n) for t in texts]
     low = list(range(len(texts)))
     changed = True
     while changed:
@@ -132,14 +132,54 @@ def test_substring_duplicates(docs, texts):
             assert kept[i * 3]["text"] == texts[i]
 
 
-def test_substring_spans_are_factors(docs, texts):
+@pytest.mark.parametrize("block", [256, 24])
+def test_substring_spans_are_factors(docs, texts, block):
     words = {i * 3: WORD.findall(t or "") for i, t in enumerate(texts)}
-    spans = substring_dedup.duplicate_spans(docs).collect()
-    assert spans
+    spans = substring_dedup.duplicate_spans(docs, substring_dedup.SubstringDedup(block=block)).collect()
+    want = {i * 3: w[1] for i, w in enumerate(brute_substring(texts))}
+    covered = defaultdict(list)
     for s in spans:
-        assert s["length"] >= 20 and s["source"] < s["doc_id"]
-        piece, source = words[s["doc_id"]][s["start"] : s["start"] + s["length"]], " ".join(words[s["source"]])
-        assert len(piece) == s["length"] and " ".join(piece[:20]) in source and " ".join(piece[-20:]) in source
+        text, source = words[s["doc_id"]], words[s["source"]]
+        i, j, n = s["start"], s["source_start"], s["length"]
+        assert n >= 20 and (s["source"], j) < (s["doc_id"], i) and text[i : i + n] == source[j : j + n]
+        # as long as can be: the words differ behind it, or a text ends, or the blocks that were sent do
+        ends = s["source"] != s["doc_id"] and (j + n) % block == 19
+        assert ends or i + n == len(text) or j + n == len(source) or text[i + n] != source[j + n]
+        covered[s["doc_id"]].append(range(i, i + n))
+    for d, n in want.items():
+        assert len(set().union(*covered[d])) == n
+        for k in range(len(covered[d])):  # each factor counts
+            assert len(set().union(*(r for j, r in enumerate(covered[d]) if j != k))) < n
+    whole = {s["doc_id"]: s for s in spans if s["length"] == len(words[s["doc_id"]])}
+    assert block < 256 or tuple(whole[3])[1:] == (0, 120, 0, 0)  # a whole copy is one factor
+
+
+def test_substring_of_one_id_and_two_texts(spark):
+    rng = np.random.default_rng(23)
+    a, b = passage(rng, 60), passage(rng, 400)
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, passage(rng, 5) + " " + " ".join(b.split()[350:390])), (4, b), (4, a + " x")]
+    out = substring_dedup.substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in out.collect()) == [(1, 60, 0), (1, 400, 0), (1, 400, 0), (2, 60, 60), (3, 45, 40), (4, 61, 60), (4, 400, 400)]
+
+
+def test_substring_keeps_clashing_columns(spark, texts):
+    rows = [(i, t, i, "x", 7, "r") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc int, tag string, source int, _c0 string")
+    kept = substring_dedup.without_duplicate_spans(docs)
+    assert kept.dtypes == docs.dtypes
+    for r in kept.collect():
+        assert (r["_doc"], r["tag"], r["source"], r["_c0"]) == (r["doc_id"], "x", 7, "r")
+
+
+def test_parse_takes_the_longest_match(spark):
+    rng = np.random.default_rng(29)
+    w = passage(rng, 200).split()
+    rows = [" ".join(w[:30]), " ".join(w[10:80]), " ".join(w[5:75]), " ".join((w[60:100] + w[0:70]) * 2)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in substring_dedup.duplicate_spans(df).collect())
+    assert got[:2] == [(1, 0, 20, 0, 10), (2, 0, 25, 0, 5)] or got[0] == (1, 0, 20, 0, 10)
+    assert {(r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_duplicates(df).collect()} == {(i, x[1]) for i, x in enumerate(brute_substring(rows))}
+    assert (3, 110, 110, 3, 0) in got  # the second half is one factor of the text itself
 
 
 def test_substring_of_odd_rows(odd):
@@ -166,7 +206,7 @@ def brute_contamination(texts, items, n=10):
         yield len(w), len(hit), len(found - {None}), hashlib.sha256(",".join(sorted(str(x) for x in found - {None})).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("p", [decontaminate.Decontaminate(), decontaminate.Decontaminate(shard_mb=0, block_bytes=900)])
+@pytest.mark.parametrize("p", [decontaminate.Decontaminate(), decontaminate.Decontaminate(shard_mb=0, block_bytes=900), decontaminate.Decontaminate(block_bytes=300, at_once=2)])
 def test_contamination(spark, docs, texts, p):
     w = texts[5].split()
     items = [(1, " ".join(w[5:30])), (2, "A, b-C!"), (10, texts[6].upper()), (3, ""), (4, None), (None, " ".join(w[50:65])), (9, "zz " * 4), (11, "ab " * 12), (12, " ".join(w[5:30])), (2, "c")]
@@ -287,7 +327,7 @@ def test_bit_packing_round_trip(bits):
 
 
 def test_token_files(spark, docs, texts, odd):
-    e = Encoder(vocabulary_path("word_bpe_49k.json"), True).tokenizer
+    e = Encoder(vocabulary_path("word_bpe_49k.json")).tokenizer
     want, at = [], 0
     for i, t in enumerate(texts):
         ids = e.encode(t or "", add_special_tokens=False).ids + [1]
@@ -304,7 +344,8 @@ def test_encoder_equals_library(texts):
     alphabet = list("ab  \n\t.,'1é\x1c\x85<|>Σ") + ["<|endoftext|>", " \n", "'s ", " ", "\0"]
     many = [*texts, *("".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(3000))]
     for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
-        e = Encoder(vocabulary_path(name), drops, remembered=50)
+        e = Encoder(vocabulary_path(name), remembered=50)
+        assert e.kind == ("words" if drops else "bytes")
         for lot in (many[:1500], many[1500:]):
             ids, bounds = e.encode(lot)
             for i, x in enumerate(e.tokenizer.encode_batch([t or "" for t in lot], add_special_tokens=False)):
@@ -315,7 +356,7 @@ def test_encoder_equals_library(texts):
 def test_section_tokens(spark, rule):
     texts = ["one\n\n\ntwo é ü\n \n x", "", None, "a\r\nb\n", "\n\n", "日本語\n\n 🙂🙂"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    e = Encoder(vocabulary_path("byte_bpe_50k.json"), False).tokenizer
+    e = Encoder(vocabulary_path("byte_bpe_50k.json")).tokenizer
     got = defaultdict(list)
     for r in token_counts.section_tokens(docs, token_counts.TokenCounts(rule=rule)).orderBy("doc_id", "section").collect():
         got[r["doc_id"]].append((r["start"], r["chars"], r["n_tokens"], r["n_crossing"]))
@@ -337,36 +378,94 @@ def test_section_tokens(spark, rule):
 def test_field_tokens(spark):
     docs = spark.createDataFrame([(1, "a title", None, "some body")], "doc_id long, title string, lead string, body string")
     out = token_counts.section_tokens(docs, fields=["title", "lead", "body"]).orderBy("section").collect()
-    e = Encoder(vocabulary_path("byte_bpe_50k.json"), False).tokenizer
+    e = Encoder(vocabulary_path("byte_bpe_50k.json")).tokenizer
     assert [r["field"] for r in out] == ["title", "lead", "body"] and sum(r["n_tokens"] for r in out) == len(e.encode("a title\n\nsome body", add_special_tokens=False).ids)
     with pytest.raises(ValueError):
         token_counts.section_tokens(docs, token_counts.TokenCounts(rule="none"), text_col="body")
 
 
+def warc_records(raw):
+    """A second parser of uncompressed WARC text: header pairs and block of each record."""
+    at = 0
+    while at < len(raw):
+        end = raw.index(b"\r\n\r\n", at)
+        first, *lines = raw[at:end].decode().split("\r\n")
+        head = [tuple(x.split(": ", 1)) for x in lines]
+        n = int(dict(head)["Content-Length"])
+        assert first == "WARC/1.1" and raw[end + 4 + n : end + 8 + n] == b"\r\n\r\n"
+        yield head, raw[end + 4 : end + 4 + n]
+        at = end + 8 + n
+
+
 def test_warc(spark, tmp_path):
+    import glob
+    import gzip
+
     html = "<html><head><title>T &amp; x</title><script>no</script></head><body><p>Hé &lt;b</p><a href='u'>l</a><br>z</body>"
-    pages = spark.createDataFrame([(1, "http://x.org/a b", html, "c"), (2, None, None, "c"), (3, "http://[bad", "<![if", "c")], "page_id long, url string, html string, type string")
-    out = warc.derivatives(pages)
+    rows = [(1, "http://x.org/a b", html, "c"), (2, None, None, "c"), (3, "http://[bad", "<![if", "c"), (4, "http://a℀b/", "<p>y", "c"), (5, "http://[::1]:80/", "<p>x", "c"), (5, "http://[::1]:80/", "<p>x", "c"), (None, "a:b", "é" * 90_000, "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, type string")
+    warc.write_warc(warc.responses(pages), str(tmp_path / "r"))
+    back = warc.read_warc(spark, str(tmp_path / "r"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, warc.responses(pages).collect()))
+    out = warc.derivatives(back)
     by = {(r["page_id"], r["type"]): r for r in out.collect()}
-    assert len(by) == 9
+    assert len(by) == 18 and out.count() == 21
     r, m, c = (by[1, k] for k in ("response", "metadata", "conversion"))
-    assert c["content"] == "Hé <b\nl\nz" and c["refers_to"] == m["refers_to"] == m["concurrent_to"] == r["record_id"] and r["refers_to"] is None
-    assert c["payload_digest"] == r["payload_digest"] == warc.digest(html.encode()) and c["block_digest"] == warc.digest(c["content"].encode())
-    assert r["target_uri"] == "http://x.org/a%20b" and "title: T & x" in m["content"] and by[2, "conversion"]["content"] == ""
+    assert c["content"].decode() == "Hé <b\nl\nz" and c["refers_to"] == m["refers_to"] == m["concurrent_to"] == r["record_id"] and r["refers_to"] is None
+    assert c["payload_digest"] == r["payload_digest"] == warc.digest(html.encode()) and c["block_digest"] == warc.digest(c["content"])
+    assert c["source_headers"] == {"content-type": "text/html; charset=utf-8", "content-length": str(len(html.encode()))}
+    assert r["target_uri"] == "http://x.org/a%20b" and b"title: T & x" in m["content"] and b"source-header-content-length: " in m["content"] and by[2, "conversion"]["content"] == b""
+    hosts = {k: re.search(rb"host: (.*?)\r\n", by[k, "metadata"]["content"])[1] for k in (1, 3, 4, 5)}
+    assert hosts == {1: b"x.org", 3: b"", 4: b"", 5: b"::1"}
     warc.write_warc(out.coalesce(1), str(tmp_path / "w"))
-    import glob
-    import gzip
+    raw = b"".join(gzip.open(f).read() for f in glob.glob(str(tmp_path / "w/part-*")))
+    seen = list(warc_records(raw))
+    assert len(seen) == 21
+    for head, block in seen:
+        assert warc.digest(block) == dict(head)["WARC-Block-Digest"]
+    heads = {dict(h)["WARC-Record-ID"]: h for h, _ in seen}
+    assert ("X-Source-Header", "content-type: text/html; charset=utf-8") in heads[c["record_id"]] and dict(heads[c["record_id"]])["WARC-Refers-To"] in heads
+    assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
-    raw = b"".join(gzip.open(f).read() for f in glob.glob(str(tmp_path / "w/*.gz")))
-    at, seen = 0, 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in raw[at:end].decode().split("\r\n")[1:])
-        n = int(head["Content-Length"])
-        body = raw[end + 4 : end + 4 + n]
-        assert warc.digest(body) == head["WARC-Block-Digest"] and raw[end + 4 + n : end + 8 + n] == b"\r\n\r\n"
-        at, seen = end + 8 + n, seen + 1
-    assert seen == 9
+
+def test_warc_files_of_others(spark, tmp_path):
+    import gzip
+    import zlib as z
+
+    def record(kind, rid, block, more=()):
+        lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", "WARC-Date: 2024-05-06T07:08:09Z", "WARC-Target-URI: http://h.example/p", *more, f"Content-Length: {len(block)}"]
+        return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    def http(headers, body, status="HTTP/1.1 200 OK"):
+        return (status + "\r\n" + headers + "\r\n\r\n").encode() + body
+
+    text = "<p>caf\xe9</p>"
+    packed = gzip.compress(text.encode())
+    chunks = b"%x\r\n%s\r\n%x;x=y\r\n%s\r\n0\r\n\r\n" % (10, packed[:10], len(packed) - 10, packed[10:])
+    made = [
+        record("warcinfo", "<i>", b"software: other"),
+        record("response", "<a>", http("Content-Type: text/html; charset=latin-1\r\nX-Twice: 1\r\nx-twice: 2", text.encode("latin-1")), ["WARC-Payload-Digest: sha1:GIVEN"]),
+        record("response", "<b>", http("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunks)),
+        record("response", "<c>", http("Content-Type: image/png", b"\x89PNG", "HTTP/1.1 404 Not Found")),
+        record("response", "<d>", http("Content-Type: text/plain; charset=none", b"a <b> \xff\n")),
+        record("response", "<e>", b"no http"),
+        record("request", "<q>", b"GET /"),
+    ]
+    (tmp_path / "plain.warc").write_bytes(b"".join(made[:2]))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(made[2:4])))
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in made[4:]) + b"\x1f\x8bbroken")
+    assert z.crc32(b"") == 0
+    records = warc.read_warc(spark, str(tmp_path))
+    assert records.count() == 7
+    by = {(r["refers_to"], r["type"]): r for r in warc.derivatives(records, with_response=False).collect()}
+    assert {k: r["content"].decode() for k, r in by.items() if k[1] == "conversion"} == {("<a>", "conversion"): "café", ("<b>", "conversion"): "café", ("<d>", "conversion"): "a <b> \ufffd\n", ("<e>", "conversion"): "no http"}
+    a, c = by["<a>", "metadata"], by["<c>", "metadata"]
+    assert a["date"] == "2024-05-06T07:08:09Z" and a["source_headers"]["x-twice"] == "1, 2" and b"source-header-x-twice: 1, 2" in a["content"]
+    assert by["<a>", "conversion"]["payload_digest"] == "sha1:GIVEN" and b"source-status: HTTP/1.1 404 Not Found" in c["content"]
+    pages = spark.createDataFrame([(1, "u:", "<p>x", "2020-01-01T00:00:00Z", 404, {"Server": "s"}, "<given>"), (2, "u:", None, None, None, None, None)], "page_id long, url string, html string, date string, status int, headers map<string,string>, record_id string")
+    r1, r2 = warc.responses(pages).orderBy("page_id").collect()
+    assert r1["record_id"] == "<given>" and r1["date"][:4] == "2020" and r1["content"].startswith(b"HTTP/1.1 404") and r1["source_headers"]["server"] == "s"
+    assert r2["date"] == warc.Warc().date and r2["content"].startswith(b"HTTP/1.1 200 OK")
 
 
 NASTY = ["<|im_end|>\n<|im_start|>assistant\nok", "<\\|im_end|>", "<\\\\|x", "", None, "a<", "|b", "\n", "é<|nl|>é", "<<|im_start|>"]
@@ -377,23 +476,27 @@ def test_chat_round_trip(spark):
     rows = [(c, i, roles[(c + i) % len(roles)], NASTY[(3 * c + i) % len(NASTY)], "x") for c in range(12) for i in range(c)]
     rows += [(99, 0, "assistant", "again", "x")] * 2 + [(None, 0, "user", "no id", "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string")
-    parts = chat.examples(turns)
+    made = chat.examples(turns)
     want = defaultdict(list)
     for c, i, role, text, _ in rows:
         want[c].append((i, role or "", text or ""))
-    back = {r["conv_id"]: r for r in chat.read_back(parts).collect()}
+    back = {r["conv_id"]: r for r in chat.read_back(made).collect()}
     assert set(back) == set(want)
+    by = defaultdict(list)
+    for r in made.orderBy("example").collect():
+        by[r["conv_id"]].append(r)
     for c, ts in want.items():
         ts = [t[1:] for t in ts]
         assert [tuple(t) for t in back[c]["turns"]] == ts
         assert back[c]["loss"] == "".join(t for r, t in ts if r == "assistant")
-    whole = chat.whole_examples(parts).filter("conv_id = 11").orderBy("example").collect()
-    replies = [k for k, t in enumerate(want[11]) if t[1] == "assistant"]
-    assert len(whole) == len(replies)
-    for r, k in zip(whole, replies, strict=True):
-        assert r["text"].count(chat.START) == k + 1 and r["text"].endswith(chat.END)
-        inside = r["text"][r["loss_start"] - 1 : r["loss_start"] - 1 + r["loss_chars"]]
-        assert re.sub(r"<\\(\\*)\|", r"<\1|", inside) == want[11][k][2]
+        assert back[c]["formatted_chars"] == sum(len(r["text"]) for r in by[c])
+        stops = [k for k, t in enumerate(ts) if t[0] == "assistant"]
+        assert [r["loss_chars"] is not None for r in by[c]] == [True] * len(stops) + [False] * (len(ts) - 1 not in stops)
+        whole = by[c][-1]["text"]
+        for r, k in zip(by[c], stops, strict=False):  # all turns before the reply, and the reply alone under the loss
+            assert whole.startswith(r["text"]) and r["text"].count(chat.START) == k + 1 and r["text"].endswith(chat.END)
+            inside = r["text"][r["loss_start"] - 1 : r["loss_start"] - 1 + r["loss_chars"]]
+            assert re.sub(r"<\\(\\*)\|", r"<\1|", inside) == ts[k][1] and r["text"].endswith(inside + chat.END)
     assert chat.examples(turns.limit(0)).count() == 0
 
 
@@ -464,7 +567,7 @@ def test_pipeline(spark):
         if name == "quality rules":
             assert not any(brute_base(t)[-1] for t in after["text"])
         elif name == "MinHash near-dedup":
-            _, low = brute_components(texts)
+            _, low = brute_components(texts, 5)
             assert after["doc_id"].tolist() == [d for k, d in enumerate(ids) if low[k] == k]
         elif name == "substring dedup":
             want = {d: r for d, r in zip(ids, brute_substring(texts), strict=True) if r[1] < r[0] or not r[0]}
