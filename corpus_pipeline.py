@@ -5,7 +5,6 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, near_dedup, packing, quality, substring_dedup
 from helixframe.llm.store import dropped, written
@@ -15,28 +14,38 @@ NEAR = near_dedup.NearDedup(shingle=5)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep and do not call toxic.
+
+    A null text has no words and goes. Repeated rows and rows without an id are judged like
+    others; an empty table stays empty, and without labels only the base rules decide.
+    """
     return quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component on five-word shingles: that with the smallest id."""
-    gone = near_dedup.near_duplicates(docs, NEAR).filter(~F.col("kept")).select(F.col("doc_id").alias("_doc"))
-    return docs.join(gone, F.col("doc_id") == F.col("_doc"), "left_anti")
+    """One document of each near-duplicate component on five-word shingles: that with the smallest id.
+
+    Rows that repeat this id stay together; rows without an id, a text or words stay.
+    """
+    return near_dedup.without_near_duplicates(docs, NEAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand in an earlier document or earlier in the text."""
+    """Texts without passages of twenty words that stand in an earlier document or earlier in the text.
+
+    Documents left without a word go; null and wordless ones stay. Rows that repeat an id are
+    no source for each other; rows without an id lose only their own repeats.
+    """
     return substring_dedup.without_duplicate_spans(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark."""
+    """Documents that share no window with the benchmark; null texts and an empty benchmark take nothing."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents left, as pieces of packed sequences."""
+    """The documents left, as pieces of packed sequences; a null text is its end id alone, repeated rows are packed each."""
     return packing.packed(docs)
 
 
