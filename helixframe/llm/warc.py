@@ -61,16 +61,19 @@ class _Text(HTMLParser):
         return self.open[-1][0] if self.open else ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "body" and self._place("template") is None:
-            self.open.clear()
-        elif self._top() == "head" and tag not in IN_HEAD:
-            self.open.pop()
+        if self.open:
+            if tag == "body" and self._place("template") is None:
+                self.open.clear()
+            elif self._top() == "head" and tag not in IN_HEAD:
+                self.open.pop()
         if tag == "noscript" and (k := self._place(tag)) is not None:  # can't stand in itself: the first was not ended
             del self.open[k]
         if tag in SILENT:
             self.open.append((tag, len(self.out)))
-        self.in_title = self.in_title or tag == "title"
-        self.links += tag == "a" and any(k == "href" and v for k, v in attrs)
+        if tag == "title":
+            self.in_title = True
+        elif tag == "a":
+            self.links += any(k == "href" and v for k, v in attrs)
         if tag in BREAKS:
             self.out.append(None)
 
@@ -80,12 +83,15 @@ class _Text(HTMLParser):
             del self.open[k:]
             if tag != "head":
                 self.out[start:] = [x for x in self.out[start:] if x is None]
-        self.in_title = self.in_title and tag != "title"
+        if tag == "title":
+            self.in_title = False
         if tag in BREAKS:
             self.out.append(None)
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
+        if not self.open and not self.in_title:
+            self.out.append(data)
+        elif self.in_title:
             self.title.append(data)
         elif self._top() not in ("script", "style"):
             if self._top() == "head":
@@ -262,7 +268,7 @@ def _written(r: dict) -> bytes:
     lines = ["WARC/1.1"] + [f"{name}: {_line(r[column])}" for column, name in _FIELDS.items() if r[column] is not None and column != "content_length"]
     lines += [f"{_PAGE}: {r['page_id']}"] * (r["page_id"] is not None)
     lines += [f"{_SOURCE}: {k}: {_line(v)}" for k, v in r["source_headers"] or () if r["type"] != "response"]  # a response's stand in its block
-    return gzip.compress("\r\n".join([*lines, f"Content-Length: {len(content)}", "", ""]).encode() + content + b"\r\n\r\n", 6, mtime=0)
+    return gzip.compress("\r\n".join([*lines, f"Content-Length: {len(content)}", "", ""]).encode() + content + b"\r\n\r\n", 1, mtime=0)
 
 
 def write_warc(records: DataFrame, path: str) -> None:
