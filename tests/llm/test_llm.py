@@ -634,3 +634,16 @@ def test_toxic_texts_are_found_and_dropped(spark):
 ])
 def test_open_elements_hide_no_text(html, text):
     assert warc.plain_text(html)[0] == text
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it(monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    parts = ["<p>", "</p>", "<br>", "<br/>", "<a href='x'>", '<a href="">', "<A HREF = 'é'>", "</A >", "<title>", "</title>", "t &amp; u", " &lt;", "&", "&notit; ", "<script>", "</script>", "</SCRIPT>", "x='</p><b>'", "<style>", "</style>", "<!-- c -->", "<!-->", "<!-- a -- b -->", "<!DOCTYPE html>", "<head>", "</head>", "<body>", '<div class="a b" id=x>', "</div>", "text", "\n", "é", "<template>", "</template>", "<noscript>", '<img src="a>b">', "<p", "< p>", "</", "<li data-x='1'>", "<title/>", "</p x>", "<?php ?>", "</titlex>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    plain = [x for x in texts if warc._read_plainly(warc._Text(), x)]
+    assert len(plain) > 3000
+    quick = [warc.plain_text(x) for x in plain]
+    monkeypatch.setattr(warc, "_read_plainly", lambda parser, html: False)
+    assert quick == [warc.plain_text(x) for x in plain]
