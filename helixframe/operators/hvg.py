@@ -69,7 +69,7 @@ def dispersions(X: DataFrame, obs: DataFrame, flavor: str = "seurat", n_bins: in
 
 def significant(value: Column, digits: int = 9) -> Column:
     """A number rounded to ``digits`` significant digits."""
-    return F.format_string(f"%.{digits - 1}e", value).cast("double")
+    return F.format_string(f"%.{digits - 1}e", value).try_cast("double")
 
 
 def highly_variable(X: DataFrame, obs: DataFrame, flavor: str = "seurat", n_top: int | None = None, min_disp: float = 0.5, max_disp: float = float("inf"), min_mean: float = 0.0125, max_mean: float = 3.0, n_bins: int = 20, batch: str | None = None) -> DataFrame:

@@ -109,6 +109,9 @@ class Experiment:
         left_out = [*self.ignored, *(() if with_controls else self.controls)]
         return self.obs.select(self.perturbation).distinct().filter(~F.col(self.perturbation).isin(left_out or ["\0"]))
 
+    def n_perturbations(self, with_controls: bool = True) -> int:
+        return self.unique_perturbations(with_controls).count()
+
     def normalized(self, key_added: str | None = None, **options) -> Experiment:
         """Cells scaled to one total; ``key_added`` names a column of ``obs`` for the divisors."""
         factors = preprocess.size_factors(self.matrix, self.obs, **options)

@@ -17,6 +17,14 @@ def test_imports_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
+def test_other_tests_pass_without_the_subpackage(tmp_path):
+    ignored = shutil.ignore_patterns("llm", "__pycache__", "test_entry.py", "test_queries.py", "test_operators.py")
+    for name in ("helixframe", "tests"):
+        shutil.copytree(f"{REPO}/{name}", tmp_path / name, ignore=ignored)
+    shutil.copy(f"{REPO}/__spark_entry__.py", tmp_path)
+    subprocess.run([sys.executable, "-m", "pytest", "-x", "-q", "tests"], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
 def test_names_agree():
     import __spark_entry__ as e
 

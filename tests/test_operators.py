@@ -241,3 +241,86 @@ def test_labels(spark):
     assert out == ["ctrl", "A+B", "A+ctrl", "A+ctrl", "ctrl"]
     genes = spark.createDataFrame([("A",)], "gene string")
     assert {r[0] for r in labels.allowed(obs, genes).collect()} == {"control", "A", "A+A"}
+
+
+def test_rest_tests_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    dense = rng.integers(0, 4, (40, 3)).astype(float)
+    label = rng.choice(["a", "b", "c"], 40)
+    X = spark.createDataFrame([(i, g, float(dense[i, g])) for i in range(40) for g in range(3) if dense[i, g]], "cell long, gene long, value double")
+    obs = spark.createDataFrame([(i, str(label[i])) for i in range(40)], "cell long, grp string")
+    got = {(r["gene"], r["target"]): r for r in de.rank_sum(X, obs, "grp", None, means=True).collect()}
+    assert len(got) == 9
+    for (g, t), r in got.items():
+        x, y = dense[label == t, g], dense[label != t, g]
+        u = sum((a > b) + 0.5 * (a == b) for a in x for b in y)
+        _, ties = np.unique(dense[:, g], return_counts=True)
+        assert r["u"] == u and r["tie_sum"] == (ties**3 - ties).sum() and abs(r["mean"] - x.mean()) < 1e-12 and abs(r["ref_mean"] - y.mean()) < 1e-12
+    for r in de.t_test(X, obs, "grp", None, "welch").collect():
+        x, y = dense[label == r["target"], r["gene"]], dense[label != r["target"], r["gene"]]
+        assert abs(r["statistic"] - (x.mean() - y.mean()) / np.sqrt(x.var(ddof=1) / len(x) + y.var(ddof=1) / len(y))) < 1e-9
+    table = de.rank_genes_groups(X, obs, "grp", n_genes=2, pts=True)
+    assert table.count() == 6 and "pts_rest" in table.columns
+    assert {r["target"] for r in de.rank_genes_groups(X, obs, "grp", "a", method="wilcoxon").collect()} == {"b", "c"}
+
+
+def test_adjusted_p_values_of_uniform_draws(spark):
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.uniform(size=400), rng.uniform(size=50) ** 20, [0.0, 1.0, 1.0]])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "i long, p_value double")
+    order = np.argsort(p)
+    m = len(p)
+    for method, factor in (("bh", 1.0), ("by", (1 / np.arange(1, m + 1)).sum())):
+        want = np.empty(m)
+        want[order] = np.minimum(1, np.minimum.accumulate((p[order] * m * factor / np.arange(1, m + 1))[::-1])[::-1])
+        got = {r["i"]: r["fdr"] for r in de.adjusted(df, method=method).collect()}
+        assert all(abs(got[i] - want[i]) < 1e-9 for i in range(m))
+
+
+def test_harmonic_sum_at_any_size(spark):
+    sizes = [1.0, 2.0, 10.0, 9999.0, 10001.0, 250000.0]
+    df = spark.createDataFrame([(x,) for x in sizes], "m double")
+    for r in df.select("m", de.harmonic(F.col("m")).alias("h")).collect():
+        assert abs(r["h"] - (1 / np.arange(1, int(r["m"]) + 1)).sum()) < 1e-11
+
+
+def test_deep_hierarchy(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(0, 60)], "parent long, child long")
+    got = {r["node"]: (r["level"], r["depth"]) for r in graphs.levels(edges).collect()}
+    assert got[60] == (1, 60) and got[59] == (59, 59) and len(got) == 61
+
+
+def test_draws_with_replacement(spark):
+    obs = spark.createDataFrame([(i, "g" if i < 30 else "h", 10.0 if i == 7 else 0.1) for i in range(40)], "cell long, grp string, w double")
+    drawn = splits.sample_weighted(obs, "w", 200, replace=True).toPandas()
+    assert len(drawn) == 200 and drawn["draw"].is_unique and 110 < (drawn["cell"] == 7).sum() < 180
+    each = splits.sample_by_group(obs, "grp", 25, balance=True, replace=True).toPandas()
+    assert each.groupby("grp").size().to_dict() == {"g": 25, "h": 25} and each[each["grp"] == "h"]["cell"].nunique() <= 10
+    with pytest.raises(ValueError):
+        splits.sample_weighted(obs, "w")
+
+
+def test_projection_in_short_posting_lists(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    sets = {f"s{i}": set(rng.choice(12, rng.integers(1, 8), replace=False).tolist()) | ({99} if i % 2 else set()) for i in range(30)}
+    ann = spark.createDataFrame([(s, str(t)) for s, ts in sets.items() for t in ts], "source string, target string")
+    monkeypatch.setattr(similarity, "_POSTINGS", 4)
+    for kind, f in (("jaccard", lambda c, a, b: c / (a + b - c)), ("overlap", lambda c, a, b: c / min(a, b)), ("cosine", lambda c, a, b: c / np.sqrt(a * b))):
+        want = {(x, y): f(len(sets[x] & sets[y]), len(sets[x]), len(sets[y])) for x in sets for y in sets if x != y and sets[x] & sets[y]}
+        got = {(r["source"], r["target"]): r["weight"] for r in similarity.project(ann, kind, 0.3).collect()}
+        assert got.keys() == {k for k, w in want.items() if w > 0.3} and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    own = similarity.project(ann, lambda c, a, b: c, 2.0, both_ways=False)
+    assert own.count() == sum(len(sets[x] & sets[y]) > 2 for x in sets for y in sets if x < y)
+
+
+def test_variable_genes_by_any_flavor(spark, counts):
+    _, X, obs = counts
+    for flavor in hvg.FLAVORS:
+        x = preprocess.log1p(X) if flavor in ("seurat", "cell_ranger") else X
+        assert hvg.highly_variable_genes(x, obs, flavor, 5, subset=True).count() >= 1
+    with pytest.raises(ValueError):
+        hvg.highly_variable_genes(preprocess.log1p(X), obs, "seurat_v3", 5)
+    with pytest.raises(ValueError):
+        hvg.highly_variable_genes(X, obs, "other")
+    with pytest.raises(ValueError):
+        preprocess.normalize_total(X, obs, max_fraction=1.5)
