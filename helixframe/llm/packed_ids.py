@@ -100,7 +100,8 @@ def write_ids(docs: DataFrame, path: str, p: TokenFiles = TokenFiles(), id_col:
                     yield pa.RecordBatch.from_pylist([row], _ARROW)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").withColumn("file", F.spark_partition_id().cast("long"))
+    # rows of one id, or of none, may be very many: a hash of the text lets them be dealt to several files
+    dealt = slim.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id").withColumn("file", F.spark_partition_id().cast("long"))
     with small_batches(spark):
         mapped(dealt, run, schema).write.option("compression", "none").parquet(path)
 
