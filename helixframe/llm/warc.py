@@ -10,6 +10,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -101,12 +102,67 @@ class _Text(HTMLParser):
             self.out.append(data)
 
 
+#: Markup that is read without the parser: plain tags, comments without a double hyphen inside, and a document type.
+_ATTRIBUTE = r"""\s+[a-zA-Z][a-zA-Z0-9-]*(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[a-zA-Z0-9_.:#-]+))?"""
+_MARKUP = re.compile(rf"""<(?:([a-zA-Z][a-zA-Z0-9]*)((?:{_ATTRIBUTE})*)\s*(/?)>|/([a-zA-Z][a-zA-Z0-9]*)\s*>|!--(?!-?>)(?:(?!--)[^<>])*-->|!(?i:doctype)\s[^<>]*>)""")
+_HREF = re.compile(r"""\shref\s*=\s*(?:"[^"]|'[^']|[^\s"'])""", re.I)
+_CLOSE = {tag: re.compile(f"</{tag}", re.I) for tag in ("script", "style", "title")}
+#: Elements whose content has rules of its own.
+_RARE = frozenset({"textarea", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext", "svg", "math", "listing"})
+
+
+def _read_plainly(parser: _Text, html: str) -> bool:
+    """Feed ``parser`` the events of a page made of plain markup alone, or tell that it isn't one.
+
+    The events are those that the parser finds itself, at a third of its cost; a page with
+    anything else is left to it as a whole.
+    """
+    at, events = 0, []
+    while (spot := html.find("<", at)) >= 0:
+        if spot > at:
+            events.append((None, html[at:spot], True))
+        m = _MARKUP.match(html, spot)
+        if not m:
+            return False
+        at = m.end()
+        start, attributes, closed, end = m.groups()
+        if end:
+            events.append((end.lower(), None, False))
+        elif start:
+            tag = start.lower()
+            if tag in _RARE:
+                return False
+            events.append((tag, attributes if tag == "a" else "", True))
+            if closed:
+                if tag in ("script", "style", "title"):
+                    return False
+                events.append((tag, None, False))
+            elif tag in ("script", "style", "title"):
+                m = _CLOSE[tag].search(html, at)
+                if not m or html[m.end() : m.end() + 1] != ">" or ("<" if tag == "title" else "<!--") in html[at : m.start()]:
+                    return False
+                if m.start() > at:
+                    events.append((None, html[at : m.start()], tag == "title"))
+                at = m.start()
+    if at < len(html):
+        events.append((None, html[at:], True))
+    for tag, value, flag in events:
+        if tag is None:
+            parser.handle_data(unescape(value) if flag and "&" in value else value)
+        elif flag:
+            parser.handle_starttag(tag, [("href", "x")] if value and _HREF.search(value) else [])
+        else:
+            parser.handle_endtag(tag)
+    return True
+
+
 def plain_text(html: str) -> tuple[str, str, int]:
     """Readable text, title and number of links of a page; markup that doesn't parse is read as text."""
     parser = _Text()
     try:
-        parser.feed(html)
-        parser.close()
+        if not _read_plainly(parser, html):
+            parser.feed(html)
+            parser.close()
     except (AssertionError, ValueError):  # html.parser gives up on some broken declarations
         return re.sub(r"<[^>]*>", " ", html).strip(), "", 0
     lines = (" ".join(x.split()) for x in "".join("\n" if x is None else x for x in parser.out).split("\n"))
