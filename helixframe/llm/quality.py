@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import mapped, only_ids
+from helixframe.llm.store import mapped
 from helixframe.llm.words import ITEM_WORD, LOWER, TEXT_WORD, Texts, Words, covered, own, repeats, span_hashes, sums, texts_of, words_of
 
 _SYMBOLS = np.zeros(256, bool)
@@ -92,24 +92,39 @@ def _scores(texts: Texts, words: Words, model: Model, p: Quality) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -40, 40)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, p: Quality, id_col: str, text_col: str, label_col: str) -> list:
-    """The labelled rows that a model is fitted on, by id."""
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IN (0, 1)")
-    sample = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(p.sample)
+def _samples(docs: DataFrame, labels: DataFrame, p: Quality, id_col: str, text_col: str, label_cols: tuple[str, ...]) -> list[list[dict]]:
+    """For each label, the labelled rows that its model is fitted on, by id; the documents are read once for all of them."""
+    chosen = []
+    for label_col in label_cols:
+        if label_col not in labels.columns:
+            chosen.append([])
+            continue
+        known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IN (0, 1)")
+        chosen.append(known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(p.sample).collect())
+    ids = docs.sparkSession.createDataFrame(sorted({(r["_id"],) for rows in chosen for r in rows}), "_id long")  # a row for each sampled label at most
     slim = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text")).filter(F.coalesce(F.octet_length("_text"), F.lit(0)) <= p.longest)
-    near = only_ids(slim, sample, "_doc", "_id")
-    rows = near.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_label", F.col("_text").cast("binary").alias("_text")).collect()
-    # of several rows of an id the least in label and text, whatever order they come in
-    first = {r["_id"]: r for r in sorted(rows, key=lambda r: (r["_id"], r["_label"], r["_text"] or b""), reverse=True)}
-    return [{"_label": r["_label"], "_text": bytes(r["_text"] or b"").decode("utf-8", "replace")} for _, r in sorted(first.items())]
+    texts: dict[int, bytes] = {}
+    for r in slim.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_id", F.col("_text").cast("binary").alias("_text")).collect():
+        text = bytes(r["_text"] or b"")  # of several texts of an id the least, whatever order they come in
+        texts[r["_id"]] = min(text, texts.get(r["_id"], text))
+    out = []
+    for rows in chosen:
+        label = {r["_id"]: r["_label"] for r in sorted(rows, key=lambda r: (r["_id"], r["_label"]), reverse=True)}  # the least label
+        out.append([{"_label": label[i], "_text": texts[i].decode("utf-8", "replace")} for i in sorted(label) if i in texts])
+    return out
+
+
+def fitted(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text", label_cols: tuple[str, str] = ("quality", "toxic")) -> tuple[Model, Toxic]:
+    """Both models, from bounded samples of the labelled rows."""
+    good, bad = _samples(docs, labels, p, id_col, text_col, label_cols)
+    return fit(good, p), fit_toxic(bad, p)
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on a bounded sample of labelled rows; a fifth of it only calibrates (Platt's method).
+def fit(rows: list[dict], p: Quality = Quality()) -> Model:
+    """Fit on sampled rows, each a ``_label`` and a ``_text``; a fifth of them only calibrates (Platt's method).
 
     Fewer than ten rows, or rows of one class only, give a model that keeps everything.
     """
-    rows = _sample(docs, labels, p, id_col, text_col, label_col)
     y = np.array([r["_label"] for r in rows], np.float64)
     d = 4 << p.bits
     if len(y) < 10 or y.min() == y.max():
@@ -157,15 +172,14 @@ def _toxicity(texts: Texts, model: Toxic) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -40, 40)))
 
 
-def fit_toxic(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxic:
+def fit_toxic(rows: list[dict], p: Quality = Quality()) -> Toxic:
     """Fit a logistic regression on tell-tale words; sample and calibration as in ``fit``.
 
     One word makes a text toxic whatever its length, so the presence of words counts, not their
     share. Words (runs of letters and digits, lower case) are taken that toxic texts hold more
-    often, in five or more of the texts, by the G statistic. Labels without ``label_col``, fewer
-    than ten rows or rows of one class only give a model that calls nothing toxic.
+    often, in five or more of the texts, by the G statistic. Fewer than ten rows, or rows of one
+    class only, give a model that calls nothing toxic.
     """
-    rows = _sample(docs, labels, p, id_col, text_col, label_col) if label_col in labels.columns else []
     y = np.array([r["_label"] for r in rows], np.float64)
     if len(y) < 10 or y.min() == y.max():
         return Toxic(bias=-8.0)
@@ -251,7 +265,7 @@ def quality(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col:
     further columns are not read. Texts are scored in Arrow batches with weights of fixed
     size; nothing is shuffled.
     """
-    model = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, p, id_col, text_col), fit_toxic(docs, labels, p, id_col, text_col)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, p, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +279,7 @@ def quality(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col:
 
 def kept_documents(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps and does not call toxic, with all their columns; judged where they are read."""
-    model = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, p, id_col, text_col), fit_toxic(docs, labels, p, id_col, text_col)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, p, id_col, text_col))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
