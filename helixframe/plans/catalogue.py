@@ -23,12 +23,15 @@ def cell_totals(spark, d):
     return rounded(moments.cell_totals(t.order_counts(spark, d), t.order_obs(spark, d)))
 
 
-@query(sql("c1 obs", _TOTALS + " SELECT cell, gene, round(CASE WHEN total = 0 THEN 0 ELSE value / (total / 10000.0) END, 6) + 0.0 AS value FROM c1 JOIN tot USING (cell)"))
+_WITH_TOTAL = ", w AS (SELECT *, sum(value) OVER (PARTITION BY cell) AS total FROM c1)"
+
+
+@query(sql("c1", _WITH_TOTAL + " SELECT cell, gene, round(CASE WHEN total = 0 THEN 0 ELSE value / (total / 10000.0) END, 6) + 0.0 AS value FROM w"))
 def normalize_total(spark, d):
     return rounded(preprocess.normalize_total(t.order_counts(spark, d), t.order_obs(spark, d), 1e4))
 
 
-@query(sql("c1 obs", _TOTALS + ", m AS (SELECT median(total) AS med FROM tot WHERE total > 0) SELECT cell, gene, round(value / (total / med), 6) + 0.0 AS value FROM c1 JOIN tot USING (cell), m WHERE total > 0"))
+@query(sql("c1", _WITH_TOTAL + ", m AS (SELECT median(total) AS med FROM (SELECT DISTINCT cell, total FROM w) WHERE total > 0) SELECT cell, gene, round(value / (total / med), 6) + 0.0 AS value FROM w, m WHERE total > 0"))
 def normalize_median(spark, d):
     return rounded(preprocess.normalize_total(t.order_counts(spark, d), t.order_obs(spark, d)))
 
@@ -84,17 +87,20 @@ def clipped_moments(spark, d):
     return rounded(moments.clipped_moments(x, clips), 4)
 
 
-@query(sql("c1 obs", _MOMENTS + " SELECT cell, gene, round((value - mean) / sqrt(variance), 6) + 0.0 AS value FROM c1 JOIN mv USING (gene)"))
+_WITH_MOMENTS = ", n AS (SELECT count(*)::DOUBLE AS n FROM obs), s AS (SELECT *, sum(value) OVER (PARTITION BY gene) AS s1, sum(value * value) OVER (PARTITION BY gene) AS s2 FROM c1), mv AS (SELECT cell, gene, value, s1 / n AS mean, greatest(0, (s2 - s1 * s1 / n) / (n - 1)) AS variance FROM s, n)"
+
+
+@query(sql("c1 obs", _WITH_MOMENTS + " SELECT cell, gene, round((value - mean) / sqrt(variance), 6) + 0.0 AS value FROM mv"))
 def scale(spark, d):
     return rounded(preprocess.scale(t.order_counts(spark, d), t.order_obs(spark, d)))
 
 
-@query(sql("c1 obs", _MOMENTS + " SELECT cell, gene, round(least(2.0, value / sqrt(variance)), 6) + 0.0 AS value FROM c1 JOIN mv USING (gene)"))
+@query(sql("c1 obs", _WITH_MOMENTS + " SELECT cell, gene, round(least(2.0, value / sqrt(variance)), 6) + 0.0 AS value FROM mv"))
 def scale_clipped(spark, d):
     return rounded(preprocess.scale(t.order_counts(spark, d), t.order_obs(spark, d), False, 2.0))
 
 
-@query(sql("c1 obs", ", o AS (SELECT cell FROM obs WHERE batch = 'F'), n AS (SELECT count(*)::DOUBLE AS n FROM o), mv AS (SELECT gene, sum(value) / n AS mean, (sum(value * value) - sum(value) * sum(value) / n) / (n - 1) AS variance FROM c1 JOIN o USING (cell), n GROUP BY gene, n) SELECT c1.cell, gene, round(CASE WHEN o.cell IS NULL THEN value ELSE (value - mean) / sqrt(variance) END, 6) + 0.0 AS value FROM c1 JOIN mv USING (gene) LEFT JOIN o ON o.cell = c1.cell"))
+@query(sql("c1 obs", ", n AS (SELECT count(*)::DOUBLE AS n FROM obs WHERE batch = 'F'), b AS (SELECT c1.*, batch = 'F' AS chosen FROM c1 JOIN obs USING (cell)), s AS (SELECT *, sum(value) FILTER (WHERE chosen) OVER (PARTITION BY gene) AS s1, sum(value * value) FILTER (WHERE chosen) OVER (PARTITION BY gene) AS s2 FROM b) SELECT cell, gene, round(CASE WHEN chosen THEN (value - s1 / n) / sqrt((s2 - s1 * s1 / n) / (n - 1)) ELSE value END, 6) + 0.0 AS value FROM s, n"))
 def scale_masked(spark, d):
     return rounded(preprocess.scale(t.order_counts(spark, d), t.order_obs(spark, d), mask="batch = 'F'"))
 
