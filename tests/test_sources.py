@@ -107,3 +107,68 @@ def test_experiment(spark):
         e.sample()
     assert [r["token"] for r in e.vocabulary().orderBy("idx").collect()] == ["g0", "g1"] and [r["token"] for r in e.cell_types().orderBy("idx").collect()] == ["B", "T"]
     assert e.split_cells(test_size=0.5).obs.filter("split = 'test'").count() == 2
+
+
+_FAKE_H5PY = '''
+import pickle
+import numpy as np
+
+class Dataset(np.ndarray):
+    pass
+
+class Group:
+    def __init__(self, held):
+        self.held, self.attrs = held, held.get("@", {})
+    def keys(self):
+        return [k for k in self.held if k != "@"]
+    def __getitem__(self, name):
+        at = self.held
+        for part in name.split("/"):
+            at = at[part]
+        return Group(at) if isinstance(at, dict) else at
+
+class File(Group):
+    def __init__(self, path, mode):
+        with open(path, "rb") as f:
+            super().__init__(pickle.load(f))
+    def __enter__(self):
+        return self
+    def __exit__(self, *_):
+        pass
+'''
+
+
+def test_h5ad(spark, tmp_path, monkeypatch):
+    """The layout of the files, through a stand-in for the HDF5 package, which is not installed here."""
+    import importlib.util
+    import pickle
+
+    import numpy as np
+
+    from helixframe.sources.h5ad import read_h5ad
+
+    if importlib.util.find_spec("h5py") is None:
+        with pytest.raises(ImportError):
+            read_h5ad(spark, "none")
+    (tmp_path / "h5py.py").write_text(_FAKE_H5PY)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    rng = np.random.default_rng(3)
+    dense = rng.integers(0, 3, (11, 4)).astype(np.float32)
+    i, j = np.nonzero(dense)
+    csr = {"@": {"encoding-type": "csr_matrix", "shape": np.array([11, 4])}, "data": dense[i, j], "indices": j, "indptr": np.append(0, np.cumsum((dense != 0).sum(1)))}
+    k, m = np.nonzero(dense.T)
+    csc = {"@": {"encoding-type": "csc_matrix", "shape": np.array([11, 4])}, "data": dense.T[k, m], "indices": m, "indptr": np.append(0, np.cumsum((dense != 0).sum(0)))}
+    obs = {"@": {"_index": "_index"}, "_index": np.array([f"c{x}".encode() for x in range(11)], object), "cell_type": {"codes": np.array([0, 1, -1] * 3 + [0, 1], np.int8), "categories": np.array([b"T", b"B"], object)}, "n": np.arange(11), "ok": np.arange(11) > 4, "cell": np.arange(11)}
+    var = {"@": {"_index": "names"}, "names": np.array([f"g{x}" for x in range(4)], object)}
+    path = str(tmp_path / "a.h5ad")
+    with open(path, "wb") as f:
+        pickle.dump({"X": csr, "obs": obs, "var": var, "layers": {"byte": csc, "full": dense}}, f)
+    want = {(int(a), int(b)): float(dense[a, b]) for a, b in zip(i, j, strict=True)}
+    for layer in (None, "byte", "full"):
+        e = read_h5ad(spark, path, layer, rows=3, controls=("c",))
+        assert {(r["cell"], r["gene"]): r["value"] for r in e.matrix.collect()} == want
+    assert e.shape == (11, 4) and e.cell_type == "cell_type" and e.controls == ("c",)
+    rows = e.obs.orderBy("cell").collect()
+    assert [(r["cell"], r["cell_name"], r["cell_type"], r["n"], r["ok"]) for r in rows[2:4]] == [(2, "c2", None, 2, False), (3, "c3", "T", 3, False)]
+    assert [r["gene_name"] for r in e.var.orderBy("gene").collect()] == ["g0", "g1", "g2", "g3"]
