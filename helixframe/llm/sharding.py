@@ -32,8 +32,10 @@ def sharded(docs: DataFrame, weights: Sequence[float], key_col: str = "doc_id",
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``: UTF-8 bytes plus 8,
     checksum of the text (of nothing for null), the law ``key``, the shard, a gapless number
     in it, and the shard under one more of the mean weight. Rows that repeat a key share a
-    shard and have slots of their own. Rows are numbered in salted parts of a shard, and no
-    text is shuffled. An empty table gives an empty result; further columns are not read.
+    shard and have slots of their own, in any order where they are alike; equal scores go to
+    the later shard. A null key is a key of its own. Texts of any length and any bytes are
+    measured whole. Rows are numbered in salted parts of a shard, and no text is shuffled. An
+    empty table gives an empty result; further columns are not read.
     """
     key = F.col(key_col).cast("long")
     grown = [*weights, sum(weights) / len(weights)]
