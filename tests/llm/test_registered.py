@@ -79,11 +79,12 @@ def test_no_rows(spark, empty, name):
     assert query(name)(spark, empty).count() == (1 if name == "op9" else 0)  # the fixed conversation
 
 
-@pytest.mark.parametrize("name", QUERIES)
-def test_settings_of_the_session_stay(spark, tables, name):
+@pytest.fixture(autouse=True)
+def settings_stay(spark):
+    """No query leaves a setting of the session changed."""
     keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions")
     before = [spark.conf.get(k) for k in keys]
-    query(name)(spark, tables[0])
+    yield
     assert [spark.conf.get(k) for k in keys] == before
 
 
