@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.splits import uniform
 
-def expression_bins(X: DataFrame, n_bins: int = 51) -> DataFrame:
+
+def expression_bins(X: DataFrame, n_bins: int = 51, spread: int | None = None) -> DataFrame:
     """Quantile bin of each non-zero entry within its cell: ``cell, gene, bin``, from 1.
 
     Edges are ``n_bins - 1`` evenly spaced quantiles of the cell's non-zero values; a value's
-    bin is the number of edges at or below it, at least 1 (where edges tie, the highest).
+    bin is the number of edges at or below it, at least 1. Where edges tie that is the highest
+    of the bins the value may have; with a seed in ``spread`` it is one of them by a hash of
+    seed, cell and gene.
     """
     entries = X.filter("value <> 0")
     shares = ", ".join(repr(i / (n_bins - 2)) for i in range(n_bins - 1)) if n_bins > 2 else "0.0"
     edges = entries.groupBy("cell").agg(F.expr(f"percentile(value, array({shares}))").alias("_e"))
-    return entries.join(edges, "cell").select("cell", "gene", F.greatest(F.lit(1), F.expr("size(filter(_e, e -> e <= value))")).alias("bin"))
+    placed = entries.join(edges, "cell").withColumn("_high", F.expr("size(filter(_e, e -> e <= value))"))
+    if spread is not None:
+        ties = F.col("_high") - F.expr("size(filter(_e, e -> e < value))")
+        drawn = F.floor(uniform(F.concat_ws(":", F.col("cell").cast("string"), F.col("gene").cast("string")), spread) * ties).cast("int")
+        placed = placed.withColumn("_high", F.col("_high") - F.when(ties > 0, drawn).otherwise(0))
+    return placed.select("cell", "gene", F.greatest(F.lit(1), F.col("_high")).alias("bin"))
 
 
 def cell_embeddings(X: DataFrame, vectors: DataFrame, mode: str = "weighted") -> DataFrame:

@@ -41,6 +41,13 @@ def subgraph(edges: DataFrame, nodes: DataFrame, column: str = "node") -> DataFr
     return edges.join(keep, F.col("source") == F.col("_n"), "left_semi").join(keep, F.col("target") == F.col("_n"), "left_semi")
 
 
+def shared(edges: DataFrame, vocab: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A numbered graph cut to the tokens that ``other`` has too, numbered anew: edges and vocabulary."""
+    both = vocab.join(other.select("token"), "token", "left_semi")
+    new = both.select((F.row_number().over(Window.orderBy("idx")) - 1).cast("long").alias("idx"), "token")
+    return with_numbers(with_names(edges, vocab), new), new
+
+
 def neighbors(edges: DataFrame, queries: DataFrame) -> DataFrame:
     """Sorted targets of each ``node`` asked for; an empty list where there are none."""
     found = edges.groupBy(F.col("source").alias("node")).agg(F.sort_array(F.collect_list("target")).alias("neighbors"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -182,5 +184,7 @@ def highly_variable_genes(X: DataFrame, obs: DataFrame, flavor: str = "seurat",
             raise ValueError("this flavor expects counts")
         out = regularized_variance(X, obs, n_top or 2000, span, batch, flavor == "seurat_v3_paper")
     else:
+        if n_top and bounds:
+            warnings.warn("n_top decides, so bounds on mean and dispersion are passed over", stacklevel=2)
         out = highly_variable(X, obs, flavor, n_top, batch=batch, **bounds)
     return out.filter("highly_variable") if subset else out

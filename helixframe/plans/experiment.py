@@ -166,6 +166,10 @@ class Experiment:
         """Gene names in the order of gene numbers."""
         return vocab.vocabulary(self.var.select(F.col("gene").alias("idx"), F.col("gene_name").alias("token")), policy, drop_empty=True)
 
+    def gene_names(self) -> DataFrame:
+        """``gene, gene_name`` in the order of gene numbers."""
+        return self.var.select("gene", "gene_name").orderBy("gene")
+
     def cell_types(self) -> DataFrame:
         """Cell types with their numbers in sorted order."""
         types = self.obs.select(F.col(self.cell_type).alias("token"))

@@ -467,6 +467,27 @@ def vector_coverage(spark, d):
     return embedding.vector_coverage(genes, t.table(spark, d, "embeddings").filter("vec_id < 50").select(F.col("vec_id").alias("gene"), "embedding")).select("n_matched", "n_unknown")
 
 
+@query(sql("c2", ", e AS (SELECT cell, quantile_cont(value, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM c2 GROUP BY 1), b AS (SELECT cell, gene, len(list_filter(q, lambda x: x <= value)) AS high, len(list_filter(q, lambda x: x < value)) AS low FROM c2 JOIN e USING (cell)) SELECT cell, gene, CAST(greatest(1, high - CASE WHEN high > low THEN floor(" + c._U01.format(s=5, k="cell || ':' || gene") + " * (high - low)) ELSE 0 END) AS INTEGER) AS bin FROM b"))
+def expression_binning_spread(spark, d):
+    return embedding.expression_bins(t.user_counts(spark, d), 6, spread=5)
+
+
+@query(_EDGE_VOCAB + ", k AS (SELECT token, CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS idx FROM v WHERE token > 'b3') SELECT a.idx AS source, b.idx AS target, weight FROM e JOIN k a ON a.token = source JOIN k b ON b.token = target")
+def graph_shared(spark, d):
+    v = _edge_vocabulary(spark, d)
+    return graphs.shared(graphs.with_numbers(_edges(spark, d), v), v, v.filter("token > 'b3'").union(spark.createDataFrame([("absent", 99)], "token string, idx long")))[0]
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS place, c_custkey AS cell, CAST(c_nationkey AS INTEGER) AS gene, c_acctbal AS value FROM customer")
+def training_matrices(spark, d):
+    cu = t.table(spark, d, "customer")
+    obs = cu.select(F.col("c_custkey").alias("cell"), F.lit("T").alias("cell_type"))
+    x = cu.select(F.col("c_custkey").alias("cell"), F.col("c_nationkey").alias("gene"), F.col("c_acctbal").alias("value"))
+    e = Experiment(x, obs, t.table(spark, d, "nation").select(F.col("n_nationkey").alias("gene"), F.col("n_name").alias("gene_name")), cell_type="cell_type")
+    rows = [(int(cell), int(gene), float(out[i, gene])) for cells, out in training.matrices(e, size=64) for i, cell in enumerate(cells) for gene in out[i].nonzero()[0]]  # what a loader would get
+    return splits.places(spark.createDataFrame(rows, "cell long, gene int, value double"), "cell").withColumnRenamed("_place", "place")
+
+
 # Evaluation
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,13 @@ def batches(experiment: Experiment, split: str | None = None, size: int = 32) ->
             lot = []
     if lot:
         yield lot
+
+
+def matrices(experiment: Experiment, split: str | None = None, size: int = 32) -> Iterator[tuple[list, np.ndarray]]:
+    """The same as cells and dense arrays, a row a cell and a column a gene number."""
+    width = (experiment.var.agg(F.max("gene")).first()[0] or 0) + 1
+    for lot in batches(experiment, split, size):
+        out = np.zeros((len(lot), width))
+        for row, record in enumerate(lot):
+            out[row, record["indices"] or []] = record["values"] or []
+        yield [r["cell"] for r in lot], out

@@ -21,6 +21,28 @@ class Catalog:
             raise ValueError(f"{name} is registered already")
         self.places[name] = place
 
+    def remove(self, name: str) -> str:
+        return self.places.pop(name)
+
+    def merge(self, other: Catalog, policy: str = "error") -> None:
+        """Take over another catalog's names; one known already is an error, or its first or last place stays."""
+        if policy not in ("error", "first", "last"):
+            raise ValueError("policy is 'error', 'first' or 'last'")
+        for name, place in other.places.items():
+            if name not in self.places or policy != "first":
+                self.register(name, place, policy == "last")
+
+    def nested(self) -> dict:
+        """Places in a tree of dictionaries."""
+        out: dict = {}
+        for name in self.names():
+            *above, last = name.split("/")
+            at = out
+            for part in above:
+                at = at.setdefault(part, {})
+            at[last] = self.places[name]
+        return out
+
     def names(self, below: str | None = None, recursive: bool = True) -> list[str]:
         """Sorted names, below a category if given, or only the next level's."""
         found = sorted(n for n in self.places if below is None or n.startswith(below.rstrip("/") + "/"))

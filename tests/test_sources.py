@@ -172,3 +172,16 @@ def test_h5ad(spark, tmp_path, monkeypatch):
     rows = e.obs.orderBy("cell").collect()
     assert [(r["cell"], r["cell_name"], r["cell_type"], r["n"], r["ok"]) for r in rows[2:4]] == [(2, "c2", None, 2, False), (3, "c3", "T", 3, False)]
     assert [r["gene_name"] for r in e.var.orderBy("gene").collect()] == ["g0", "g1", "g2", "g3"]
+
+
+def test_catalogs_are_merged(spark):
+    a, b = catalog.Catalog({"x/1": "p", "x/sub/2": "q"}), catalog.Catalog({"x/1": "new", "y/3": "r"})
+    assert a.nested() == {"x": {"1": "p", "sub": {"2": "q"}}}
+    with pytest.raises(ValueError):
+        a.merge(b)
+    a.merge(b, "first")
+    assert a.places == {"x/1": "p", "x/sub/2": "q", "y/3": "r"}
+    a.merge(b, "last")
+    assert a.place("x/1") == "new" and a.remove("y/3") == "r" and a.names() == ["x/1", "x/sub/2"]
+    with pytest.raises(ValueError):
+        a.merge(b, "other")
