@@ -151,11 +151,15 @@ def _groups(placed: DataFrame) -> DataFrame:
     return groups
 
 
-def _dealt(groups: DataFrame, p: NearDedup) -> DataFrame:
-    """Deal each group to pairs of blocks of about ``block`` documents and ``block_bytes`` bytes: ``groups`` with ``bytes``."""
+def _dealt(groups: DataFrame, p: NearDedup, used: list[DataFrame]) -> DataFrame:
+    """Deal each group to pairs of blocks of about ``block`` documents and ``block_bytes`` bytes: ``groups`` with ``bytes``.
+
+    The table of numbers of blocks joins ``used``, to be dropped once what is dealt is written.
+    """
     sizes = groups.groupBy("key", "main").agg(*(f(F.when(F.col("inside") if side else ~F.col("inside"), v)).alias(n) for f, v, n, side in ((F.count, F.lit(1), "_m", True), (F.sum, F.col("bytes"), "_mb", True), (F.count, F.lit(1), "_r", False), (F.sum, F.col("bytes"), "_rb", False))))
     blocks = lambda n, b: F.greatest(F.ceil(F.col(n) / p.block), F.ceil(F.coalesce(b, F.lit(0)) / p.block_bytes), F.lit(1)).cast("int")
     sizes = written(sizes.filter("_r > 1 OR (_r = 1 AND _m > 0)").select("key", "main", blocks("_m", "_mb").alias("_m"), blocks("_r", "_rb").alias("_r")), "sizes")
+    used.append(sizes)
     placed = groups.join(sizes, ["key", "main"]).withColumn("at", F.pmod(F.xxhash64("doc_id", "key"), F.when(F.col("inside"), F.col("_m")).otherwise(F.col("_r"))).cast("int"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ["key", "main", "doc_id", "component", "at"]
@@ -200,7 +204,7 @@ def _fixed(table: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), kind).reshape(len(table), -1)
 
 
-def _alike(groups: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
+def _alike(groups: DataFrame, sets: DataFrame, p: NearDedup, used: list[DataFrame]) -> DataFrame:
     """The rows of ``groups`` that agree, in enough minima, with one of another component.
 
     Pairs that are held against each other by bucket count in the first bucket that they
@@ -221,12 +225,12 @@ def _alike(groups: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
         at = np.flatnonzero(named)
         return pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (key, main, ids, comps)), pa.array(main[at] & (side[at] == 1))], ["key", "main", "doc_id", "component", "inside"])
 
-    dealt = _dealt(groups.withColumn("bytes", F.lit(9 * p.bands + p.bands * p.rows).cast("long")), p)
+    dealt = _dealt(groups.withColumn("bytes", F.lit(9 * p.bands + p.bands * p.rows).cast("long")), p, used)
     found = _by_blocks(dealt.join(sets.select("doc_id", "minima", "bands"), "doc_id"), judge, "key long, main boolean, doc_id long, component long, inside boolean")
     return found.distinct()
 
 
-def _between(groups: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
+def _between(groups: DataFrame, sets: DataFrame, p: NearDedup, used: list[DataFrame]) -> DataFrame:
     """Links ``a, b`` that join components of a group.
 
     Pairs that agree in enough minima are compared on their full sets where both blocks are;
@@ -254,7 +258,7 @@ def _between(groups: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     sized = sets.select("doc_id", (F.octet_length("items") + p.bands * p.rows).cast("long").alias("bytes"))
-    dealt = _dealt(groups.join(sized, "doc_id"), p)
+    dealt = _dealt(groups.join(sized, "doc_id"), p, used)
     return _by_blocks(dealt.join(sets.select("doc_id", "minima", "items"), "doc_id"), judge, "a long, b long")
 
 
@@ -327,8 +331,8 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     split = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b").select("key")
     split = written(split, "split")
     groups = _groups(placed.join(split, "key"))
-    alike = written(_alike(groups, sets, p), "alike")
-    last = written(_between(alike, sets, p), "links")
+    alike = written(_alike(groups, sets, p, used), "alike")
+    last = written(_between(alike, sets, p, used), "links")
     parts = components(links.union(last))
     used += [placed, split, groups, alike, last]
     dropped(*used)

@@ -58,8 +58,8 @@ def test_families_of_unlikely_pairs_are_dealt_in_proportion(spark, monkeypatch):
     """A chain of documents, each alike its neighbours enough to share buckets and too little to be linked."""
     dealt, real = [], near_dedup._dealt
 
-    def counted(groups, p):
-        out = real(groups, p)
+    def counted(groups, p, used):
+        out = real(groups, p, used)
         dealt.append(out.count())
         return out
 
