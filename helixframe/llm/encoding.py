@@ -16,11 +16,11 @@ from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from helixframe.llm.words import LOWER, Texts, span_hashes, texts_of
 
 END = 1
-#: Other white space, which Python and the tokenizers may not see alike, and the cut mark.
-_OTHER_SPACE = [chr(c) for c in (0, *range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_RUNS = ("  ", "\n\n", " \n", "\n ")
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _PUNCTUATION = np.zeros(256, bool)
@@ -29,10 +29,13 @@ _PUNCTUATION[[c for c in range(33, 127) if not _ALNUM[c] and chr(c) not in "'_"]
 _LATIN = np.zeros(256, bool)
 _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
-
-_SMALL = np.arange(256, dtype=np.uint8)
-_SMALL[65:91] += 32
-_SMALL[[10, 32]] = 0
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
+#: Other white space, which Python and the tokenizers may not see alike, in one, two and three bytes.
+_ODD_ONE = np.zeros(256, bool)
+_ODD_ONE[[0, 9, 11, 12, 13, 28, 29, 30, 31]] = True
+_ODD_TWO = (0xC285, 0xC2A0)
+_ODD_THREE = (0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080)
 
 
 def vocabulary_path(name: str) -> str:
@@ -41,14 +44,18 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Pieces that are encoded together.
+_TOGETHER = 200
+
+
 class _Places(dict):
     """Numbers of pieces; an unknown piece gets the next one and is noted as new."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.new: list[str] = []
+        self.new: list[bytes] = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: bytes) -> int:
         place = self[piece] = len(self)
         self.new.append(piece)
         return place
@@ -95,6 +102,9 @@ class Encoder:
         with open(path) as file:
             self.kind = known_kind(json.load(file))
         self.remembered = remembered
+        mark = {"bytes": "\n", "words": " \x01 "}.get(self.kind)
+        ids = self._library([mark])[0] if mark else []
+        self.mark = (mark, ids[0]) if len(ids) == 1 else (None, None)
         self.places = _Places()
         self.ids, self.edges, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
@@ -112,65 +122,115 @@ class Encoder:
         self.places = _Places()
         self.places.update(zip([names[k] for k in keep], range(len(keep)), strict=True))
 
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and how many each has.
+
+        Some hundred pieces are encoded as one text, with a mark between them that the tokenizer
+        splits off and that has one id of its own. Pieces that hold the mark go one by one.
+        """
+        mark, own_id = self.mark
+        if mark is not None and not any(mark.strip(" ") in p for p in pieces):
+            texts = [mark.join(pieces[i : i + _TOGETHER]) + mark for i in range(0, len(pieces), _TOGETHER)]
+            ids = np.fromiter(chain.from_iterable(self._library(texts)), np.uint32)
+            ends = np.flatnonzero(ids == own_id)
+            if len(ends) == len(pieces):
+                return ids[ids != own_id], np.diff(np.append(-1, ends)) - 1
+        lists = self._library(pieces)
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
+
     def _learn(self) -> None:
         if self.places.new:
-            lists = self._library(self.places.new)
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))])
+            pieces = [p.decode() for p in self.places.new]
+            alone = [k for k, p in enumerate(pieces) if self.mark[0] is not None and self.mark[0].strip(" ") in p]
+            many = pieces if not alone else [p for p in pieces if self.mark[0].strip(" ") not in p]
+            ids, size = self._of_pieces(many)
+            if alone:  # put where they belong
+                rest, sizes = self._of_pieces([pieces[k] for k in alone])
+                order = np.argsort(np.concatenate([np.setdiff1d(np.arange(len(pieces)), alone), alone]), kind="stable")
+                whole, all_sizes = np.concatenate([ids, rest]), np.concatenate([size, sizes])
+                starts = np.cumsum(all_sizes) - all_sizes
+                ids, size = whole[_ranges(starts[order], all_sizes[order])], all_sizes[order]
+            self.ids = np.concatenate([self.ids, ids])
             self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(size)])
-            self.uses = np.concatenate([self.uses, np.zeros(len(lists), np.int64)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(size), np.int64)])
             self.places.new = []
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text cut where the tokenizer splits it in any case, or None where that is unsure.
-
-        Cuts lie before a blank and around a line feed between other characters, and before
-        ASCII punctuation (but the apostrophe) that follows a letter or digit.
+    def _unsure(self, texts: Texts) -> np.ndarray:
+        """Which texts the tokenizer may split elsewhere: white space other than single blanks and line feeds inside them."""
+        data, some = texts.data, np.diff(texts.bounds) > 0
+        out = np.zeros(len(texts), bool)
+        if self.kind is None:
+            return some
+        blank = _BLANK[data]
+        wide = data[data >= 0xC2] if len(data) else data
+        odd = [np.flatnonzero(_ODD_ONE[data]), np.flatnonzero(blank[1:] & blank[:-1])]
+        if len(wide):
+            lead = np.flatnonzero(data[:-1] == 0xC2)
+            odd.append(lead[np.isin((np.int64(0xC2) << 8) | data[lead + 1], _ODD_TWO)])
+            lead = np.flatnonzero(np.isin(data[:-2], (0xE1, 0xE2, 0xE3)))
+            odd.append(lead[np.isin((data[lead].astype(np.int64) << 16) | (data[lead + 1].astype(np.int64) << 8) | data[lead + 2], _ODD_THREE)])
+        out[np.searchsorted(texts.bounds, np.concatenate(odd), "right") - 1] = True
+        out[some] |= blank[texts.bounds[:-1][some]] | blank[texts.bounds[1:][some] - 1]
+        return out
+
+    def _pieces(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of the texts, and where they are cut into pieces: starts and ends.
+
+        The tokenizer splits in any case before a blank and around a line feed between other
+        characters, and before ASCII punctuation (but the apostrophe) that follows a letter or
+        digit.
         """
-        if not text:
-            return []
-        if self.kind is None or text[0].isspace() or text[-1].isspace() or any(s in text for s in _OTHER_SPACE) or any(s in text for s in _RUNS):
-            return None
-        data = np.frombuffer(text.encode(), np.uint8)
-        feed = data == 10
-        after = _ALNUM[data[:-1]]
+        data = texts.data if self.kind == "bytes" else LOWER[texts.data]
+        if not len(data):
+            return data, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        feed, after = data == 10, _ALNUM[data[:-1]]
         after[1:] |= _LATIN[data[1:-1]] & (data[:-2] == 0xC3)
         cut = feed | (data == 32)
         cut[1:] |= feed[:-1] | (after & _PUNCTUATION[data[1:]])
-        at = np.flatnonzero(cut)
-        out = np.zeros(len(data) + len(at), np.uint8)
-        out[np.arange(len(data)) + np.cumsum(cut)] = data
-        if self.kind == "words":  # blanks go, and ASCII letters are made small
-            return [p for p in _SMALL[out].tobytes().decode().split("\0") if p]
-        return out.tobytes().decode().split("\0")
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and where each text's ids start and end."""
+        cut[texts.bounds[:-1][texts.bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        if self.kind == "words":  # blanks and line feeds go
+            starts = starts + _BLANK[data[starts]]
+            starts, ends = starts[starts < ends], ends[starts < ends]
+        return data, starts, ends
+
+    def encode(self, texts: Texts | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's ids start and end.
+
+        Pieces are told apart by fingerprint among these texts (64 bits, some ten thousand of
+        them), and by their bytes among those remembered.
+        """
+        if not isinstance(texts, Texts):
+            texts = joined(pa.array(texts, pa.string()))
         if len(self.places) > self.remembered:
             self.forget()
-        cut = [self._pieces(t or "") for t in texts]
-        whole = [i for i, c in enumerate(cut) if c is None]
-        encoded = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True))
-        pieces = np.array([len(c) if c else 0 for c in cut], np.int64)
-        flat = chain.from_iterable(c for c in cut if c)
-        at = np.fromiter(map(self.places.__getitem__, flat), np.int64, int(pieces.sum()))
+        unsure = self._unsure(texts)
+        data, starts, ends = self._pieces(texts)
+        owner = np.searchsorted(texts.bounds, starts, "right") - 1
+        sure = ~unsure[owner]
+        starts, ends, owner = starts[sure], ends[sure], owner[sure]
+        _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        at = np.fromiter((self.places[raw[s:e]] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)), np.int64, len(first))
         self._learn()
+        at = at[which]
         self.uses += np.bincount(at, minlength=len(self.uses))
         size = self.edges[at + 1] - self.edges[at]
         ids = self.ids[_ranges(self.edges[at], size)]
-        before = np.concatenate([[0], np.cumsum(size)])
-        edges = np.concatenate([[0], np.cumsum(pieces)])
-        sizes = before[edges[1:]] - before[edges[:-1]]
-        if encoded:
-            parts, a = [], 0
-            for i, n in enumerate(sizes):
-                parts.append(np.array(encoded[i], np.uint32) if i in encoded else ids[a : a + n])
-                a += n
+        sizes = np.bincount(owner, size, len(texts)).astype(np.int64)
+        whole = np.flatnonzero(unsure)
+        if len(whole):
+            encoded = dict(zip(whole.tolist(), self._library([texts.text(i).decode() for i in whole]), strict=True))
+            before, parts = np.concatenate([[0], np.cumsum(sizes)]), []
+            for i in range(len(texts)):
+                parts.append(np.array(encoded[i], np.uint32) if i in encoded else ids[before[i] : before[i + 1]])
                 sizes[i] = len(parts[-1])
             ids = np.concatenate(parts)
         return ids, np.concatenate([[0], np.cumsum(sizes)])
 
-    def encode_documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_documents(self, texts: Texts | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The same with the id END after each text."""
         ids, bounds = self.encode(texts)
         out = np.full(len(ids) + len(texts), END, np.uint32)
@@ -200,12 +260,26 @@ def encoder(path: str) -> Iterator[Encoder]:
         found.forget()
 
 
-def texts_in(column) -> list[str | None]:
+def texts_in(column: pa.Array) -> list[str | None]:
     """The texts of an Arrow column; bytes that are no UTF-8 become U+FFFD."""
     return [None if t is None else bytes(t).decode("utf-8", "replace") for t in column.cast("binary").to_pylist()]
 
 
-def runs(texts: list, size: int = 1 << 20):
+def decodable(texts: Texts) -> Texts:
+    """The same texts, with U+FFFD for bytes that are no UTF-8."""
+    try:
+        str(texts.data, "utf-8")
+    except UnicodeDecodeError:
+        return joined(pa.array([texts.text(k).decode("utf-8", "replace") if texts.valid[k] else None for k in range(len(texts))], pa.string()))
+    return texts
+
+
+def joined(column: pa.Array) -> Texts:
+    """All texts of a column as one run."""
+    return next((t for _, _, t in texts_of(column, 1 << 62)), Texts(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool)))
+
+
+def runs(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``size`` characters."""
     i, total = 0, 0
     for j, t in enumerate(texts):

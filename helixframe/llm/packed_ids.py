@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.encoding import encoder, runs, texts_in, vocabulary_path, vocabulary_size
+from helixframe.llm.encoding import decodable, encoder, vocabulary_path, vocabulary_size
 from helixframe.llm.store import mapped, shared_folder, small_batches
+from helixframe.llm.words import texts_of
 
 #: Ids of a block; a multiple of 8, so that a block ends on a byte at any width.
 BLOCK = 1024
@@ -88,9 +89,8 @@ def write_ids(docs: DataFrame, path: str, p: TokenFiles = TokenFiles(), id_col:
         segment = 0
         with encoder(path_) as known:
             for batch in batches:
-                texts = texts_in(batch.column(1))
-                for i, j in runs(texts):
-                    ids, bounds = known.encode_documents(texts[i:j])
+                for i, j, texts in texts_of(batch.column(1)):
+                    ids, bounds = known.encode_documents(decodable(texts))
                     names = batch.column(0).slice(i, j - i).to_pylist()
                     given = [x for x in names if x is not None]
                     offsets = np.arange(0, len(ids), BLOCK) * bits // 8

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.encoding import encoder, runs, texts_in, vocabulary_path
+from helixframe.llm.encoding import decodable, encoder, vocabulary_path
 from helixframe.llm.store import mapped, ranked, written
+from helixframe.llm.words import texts_of
 
 
 @dataclass(frozen=True)
@@ -85,9 +86,8 @@ def pieces(docs: DataFrame, p: Packing = Packing(), id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(path) as known:
             for batch in batches:
-                texts = texts_in(batch.column(1))
-                for i, j in runs(texts):
-                    ids, bounds = known.encode_documents(texts[i:j])
+                for i, j, texts in texts_of(batch.column(1)):
+                    ids, bounds = known.encode_documents(decodable(texts))
                     data = memoryview(ids.astype("<u4", copy=False)).cast("B")
                     row, start, size, crc, total = [], [], [], [], []
                     for k in range(j - i):

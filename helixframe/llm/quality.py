@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.encoding import decodable
 from helixframe.llm.store import mapped
 from helixframe.llm.words import ITEM_WORD, LOWER, TEXT_WORD, Texts, Words, covered, own, repeats, span_hashes, sums, texts_of, words_of
 
@@ -290,19 +291,10 @@ def kept_documents(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), i
     return mapped(docs, run, docs.schema)
 
 
-def _decodable(texts: Texts) -> Texts:
-    try:
-        str(texts.data, "utf-8")
-    except UnicodeDecodeError:
-        fixed = pa.array([texts.text(k).decode("utf-8", "replace") for k in range(len(texts))], pa.string())
-        return next(texts_of(fixed, 1 << 62))[2]
-    return texts
-
-
 def _judged(column: pa.Array, model: Model, toxic: Toxic, p: Quality) -> Iterator[tuple]:
     """Runs of texts: first, end, the five statistics, base verdict, probabilities of good quality and of a toxic text."""
     for i, j, texts in texts_of(column):
-        texts = _decodable(texts)
+        texts = decodable(texts)
         words = words_of(texts)
         inside = np.concatenate([[0], np.cumsum(((texts.data & 0xC0) != 0x80) & TEXT_WORD[texts.data])])
         at, grams = words.windows(3)
