@@ -101,10 +101,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as file:
             self.kind = known_kind(json.load(file))
-        self.remembered = remembered
         mark = {"bytes": "\n", "words": " \x01 "}.get(self.kind)
         ids = self._library([mark])[0] if mark else []
         self.mark = (mark, ids[0]) if len(ids) == 1 else (None, None)
+        self._start(remembered)
+
+    def _start(self, remembered: int) -> None:
+        self.remembered = remembered
         self.places = _Places()
         self.ids, self.edges, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
@@ -248,11 +251,11 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 @contextmanager
-def encoder(path: str) -> Iterator[Encoder]:
+def encoder(path: str, kind: type[Encoder] = Encoder) -> Iterator[Encoder]:
     """The worker's encoder of a vocabulary; after a task it keeps only pieces that came more than once."""
     if path not in _ENCODERS:
         _ENCODERS.clear()  # one vocabulary at a time
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = kind(path)
     found = _ENCODERS[path]
     try:
         yield found

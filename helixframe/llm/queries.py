@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, decontaminate, near_dedup, packed_ids, packing, quality, sharding, substring_dedup, token_counts, warc
+from helixframe.llm import chat, collocations, decontaminate, filter_audit, near_dedup, packed_ids, packing, quality, sentence_pieces, sharding, substring_dedup, token_counts, warc
 from helixframe.llm.store import shared_folder, written
 
 
@@ -69,15 +69,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op1_quality_rules, op2_packing, op3_token_counts, op4_warc, op5_decontamination, op6_substring_dedup, op7_packed_ids, op8_near_dedup, op9_chat, op10_sharding]
+    found = [op1_quality_rules, op2_packing, op3_token_counts, op4_warc, op5_decontamination, op6_substring_dedup, op7_packed_ids, op8_near_dedup, op9_chat, op10_sharding, op11_collocations, op12_filter_audit, op13_sentence_pieces]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": _OP5, "op6_substring_dedup": _OP6, "op8_near_dedup": _OP8, "op9_chat": _OP9}
+    return {"op5_decontamination": _OP5, "op6_substring_dedup": _OP6, "op8_near_dedup": _OP8, "op9_chat": _OP9, "op11_collocations": _OP11, "op12_filter_audit": _OP12}
 
 
 _OP5 = r"""
@@ -134,3 +148,41 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
        CAST(sum(upto) FILTER (WHERE role = 'assistant' OR last) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+_OP11 = r"""
+WITH p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f
+      FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (VALUES (1), (2), (3), (4), (5)) AS t(k) WHERE len(w) >= k) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM f q WHERE q.lang = f.lang AND q.k > f.k AND 100 * q.f >= 100 * f.f AND contains(' ' || q.g || ' ', ' ' || f.g || ' '))),
+x AS (SELECT lang, g, f AS a, j, array_to_string(string_split(g, ' ')[1:j], ' ') AS lg, array_to_string(string_split(g, ' ')[j + 1:], ' ') AS rg
+      FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c)),
+s AS (SELECT x.lang, x.g, x.a, x.j, l.f AS l, r.f AS r, n.n, (1000 * CAST(x.a AS HUGEINT) * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.g = x.lg JOIN f r ON r.lang = x.lang AND r.g = x.rg JOIN n ON n.lang = x.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER w AS rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM b WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, g) QUALIFY row_number() OVER w <= 2000
+"""
+
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t), regexp_matches(t, '[#$%&*|]'), doc_id > low] AS fails
+      FROM d JOIN e USING (t) LEFT JOIN l USING (doc_id)),
+k AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY part, fails),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, x.i AS step, o[x.i] AS filter, o[1:x.i - 1] AS before FROM o, x),
+y AS (SELECT part, o, step, filter, n, good, toxic, fails[filter] AS fail, coalesce(list_bool_or(list_transform(before, lambda b: fails[b])), false) AS gone, len(list_filter(fails, lambda v: v)) = 1 AS alone FROM k, s),
+r AS (SELECT part, o, step, filter, sum(n) FILTER (WHERE NOT fail AND NOT gone) AS kept, sum(n) FILTER (WHERE fail AND NOT gone) AS removed, sum(n) FILTER (WHERE fail AND gone) AS redundant,
+             sum(n) FILTER (WHERE fail AND alone) AS unique_fails, sum(good) FILTER (WHERE fail AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE fail AND NOT gone) AS toxic_lost
+      FROM y GROUP BY part, o, step, filter)
+SELECT part, array_to_string(list_transform(o, lambda v: chr(CAST(64 + v AS INTEGER))), '') AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+"""
