@@ -10,6 +10,8 @@ phrase's frequency in the shard. Frequencies are summed over shards.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.encoding import _ranges, decodable
-from helixframe.llm.store import dropped, mapped, written
-from helixframe.llm.words import LOWER, Texts, texts_of, words_of
+from helixframe.llm.store import delete, dropped, mapped, shared_folder, small_batches, written
+from helixframe.llm.words import _MIX, _U, LOWER, Texts, mix, texts_of, words_of
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 11, 12, 13, *map(ord, ".,;:!?")]] = True
@@ -38,7 +40,8 @@ class Collocations:
     """``shortest`` to ``longest`` words a phrase; ``least``: its frequency, at least; ``top``: the
     phrases reported of each language; ``missing``: the name of a language that is null;
     ``shard``: words of a shard, about (a longer text makes a longer one); ``batch``: chunks of
-    first words whose phrases are extended together."""
+    first words whose phrases are extended together; ``part``: words of the corpus for each
+    part of the keys that is summed up at once."""
 
     shortest: int = 2
     longest: int = 5
@@ -47,6 +50,7 @@ class Collocations:
     missing: str = "und"
     shard: int = 1 << 20
     batch: int = 1 << 17
+    part: int = 1 << 21
 
 
 @dataclass
@@ -102,7 +106,7 @@ class _Shard:
     """Texts of one language that are gathered until they are a shard."""
 
     def __init__(self) -> None:
-        self.words, self.hashes, self.at, self.end = [], [], [], 0
+        self.known, self.sizes, self.raw, self.hashes, self.at, self.end, self.n = [], [], [], [], [], 0, 0
 
     def add(self, texts: Texts) -> int:
         words = words_of(texts, _WORD, LOWER)
@@ -114,17 +118,18 @@ class _Shard:
             apart[first[first < len(words)]] = True
             at = self.end + np.arange(len(words)) + np.cumsum(apart)
             self.end = int(at[-1]) + 1
-            _, firsts = np.unique(words.hashes, return_index=True)
-            raw = LOWER[texts.data].tobytes()
-            self.words.append((words.hashes[firsts], [raw[s:e].decode() for s, e in zip(words.starts[firsts].tolist(), words.ends[firsts].tolist(), strict=True)]))
+            known, firsts = np.unique(words.hashes, return_index=True)
+            sizes = words.ends[firsts] - words.starts[firsts]
+            self.known.append(known)
+            self.sizes.append(sizes)
+            self.raw.append(LOWER[texts.data[_ranges(words.starts[firsts], sizes)]])
             self.hashes.append(words.hashes)
-            self.at.append(at)
-        return sum(map(len, self.hashes))
+            self.at.append(at.astype(np.int32 if at[-1] < 1 << 31 else np.int64))
+            self.n += len(words)
+        return self.n
 
     def row(self, lang: str, number: int) -> pa.RecordBatch:
-        hashes = np.concatenate(self.hashes)
-        known, owner = np.unique(hashes, return_inverse=True)
-        names = dict(zip(np.concatenate([h for h, _ in self.words]).tolist(), [w for _, ws in self.words for w in ws], strict=True))
+        known, owner = np.unique(np.concatenate(self.hashes), return_inverse=True)
         at = np.concatenate(self.at)
         order = np.argsort(owner, kind="stable")
         owner, at = owner[order], at[order]
@@ -132,13 +137,24 @@ class _Shard:
         new[1:] = (owner[1:] != owner[:-1]) | (at[1:] // CHUNK != at[:-1] // CHUNK)
         new = np.flatnonzero(new)
         bits = np.bitwise_or.reduceat((1 << (at % CHUNK)).astype(np.uint16), new)
-        counts, sizes = np.bincount(owner, minlength=len(known)), np.bincount(owner[new], minlength=len(known))
-        arrays = [pa.array([lang]), pa.array([number]), pa.array([len(at)]), pa.array([[names[h] for h in known.tolist()]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))]
-        packed = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((sizes, np.int32), (at[new] // CHUNK, np.int32), (bits, np.uint16))]
-        return pa.RecordBatch.from_arrays(arrays + packed, ["lang", "shard", "n", "words", "counts", "sizes", "chunks", "bits"])
+        _, firsts = np.unique(np.concatenate(self.known), return_index=True)
+        sizes, raw = np.concatenate(self.sizes), np.concatenate(self.raw)
+        starts = np.cumsum(sizes) - sizes
+        names = pa.LargeStringArray.from_buffers(len(known), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes[firsts])])), pa.py_buffer(raw[_ranges(starts[firsts], sizes[firsts])])).cast(pa.string())
+        keys = mix(known + _U(zlib.crc32(lang.encode()) * int(_MIX[0]) % (1 << 64)))
+        packed = [_packed(x, t) for x, t in ((keys, np.uint64), (np.bincount(owner, minlength=len(known)), np.int64), (np.bincount(owner[new], minlength=len(known)), np.int32), (at[new] // CHUNK, np.int32), (bits, np.uint16))]
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([number]), pa.array([len(at)]), pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), names), *packed], ["lang", "shard", "n", "words", "keys", "counts", "sizes", "chunks", "bits"])
 
 
-SHARDS = "lang string, shard long, n long, words array<string>, counts array<long>, sizes binary, chunks binary, bits binary"
+def _packed(values: np.ndarray, kind: type) -> pa.Array:
+    return pa.array([values.astype(kind).tobytes()], pa.binary())
+
+
+def _joined(parts: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), kind)
+
+
+SHARDS = "lang string, shard long, n long, words array<string>, keys binary, counts binary, sizes binary, chunks binary, bits binary"
 
 
 def shards(docs: DataFrame, p: Collocations = Collocations(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -146,40 +162,94 @@ def shards(docs: DataFrame, p: Collocations = Collocations(), lang_col: str = "l
 
     A task has one open shard a language and closes the largest once they hold twice
     ``p.shard`` words together. Numbers come from the task, so write the table before use.
+    Keys of words are 64-bit fingerprints of word and language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, sizes = TaskContext.get().partitionId() << 32, {}, {}
+        number, held = TaskContext.get().partitionId() << 32, {}
 
         def closed(lang: str) -> pa.RecordBatch:
             nonlocal number
             number += 1
-            sizes.pop(lang)
             return held.pop(lang).row(lang, number)
 
         for batch in batches:
             langs = np.array([x if x is not None else p.missing for x in batch.column(0).to_pylist()], object)
             for lang in sorted(set(langs)):
-                rows = pa.array(np.flatnonzero(langs == lang))
-                for _, _, texts in texts_of(batch.column(1).take(rows)):
-                    sizes[lang] = held.setdefault(lang, _Shard()).add(decodable(texts))
-                    while sum(sizes.values()) >= 2 * p.shard or max(sizes.values()) >= p.shard:
-                        yield closed(max(sizes, key=lambda x: sizes[x]))
-                        if not sizes:
-                            break
-        for lang in list(held):
-            if sizes[lang]:
-                yield closed(lang)
+                for _, _, texts in texts_of(batch.column(1).take(pa.array(np.flatnonzero(langs == lang)))):
+                    held.setdefault(lang, _Shard()).add(decodable(texts))
+                    while held and (max(x.n for x in held.values()) >= p.shard or sum(x.n for x in held.values()) >= 2 * p.shard):
+                        yield closed(max(held, key=lambda x: held[x].n))
+        for lang in [x for x in held if held[x].n]:
+            yield closed(lang)
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     return mapped(rows, run, SHARDS)
 
 
-def _frequent_words(found: DataFrame, p: Collocations) -> DataFrame:
-    """``lang, word, id, n, shard, at``: a row for each frequent word and shard that has it, ``n`` over all shards."""
-    words = found.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "_w")).select("lang", "shard", "at", F.col("_w.words").alias("word"), F.col("_w.counts").alias("here"))
-    total = words.withColumn("n", F.sum("here").over(Window.partitionBy("lang", "word"))).filter(F.col("n") >= p.least)
-    return total.select("lang", "word", F.xxhash64("lang", "word").alias("id"), "n", "shard", "at")
+def _cells(shard: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """A shard's keys and counts, a row for each of ``parts`` parts of all keys that has some."""
+    part = (keys % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    keys, counts, part = keys[order].astype(np.uint64), counts[order].astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64), part[order]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    cut = [(int(i), int(j)) for i, j in zip(starts, np.append(starts, len(part))[1:], strict=True)]
+    arrays = [pa.array(part[starts]), pa.array(np.full(len(starts), shard)), pa.array([keys[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([counts[i:j].astype(np.int64).tobytes() for i, j in cut], pa.binary())]
+    yield pa.RecordBatch.from_arrays(arrays, ["part", "shard", "keys", "counts"])
+
+
+CELLS = "part long, shard long, keys binary, counts binary"
+
+
+def _frequent(cells: DataFrame, least: int) -> DataFrame:
+    """``shard, found``: of each shard its keys whose counts over all shards are ``least`` or more.
+
+    ``found`` holds the keys, the totals, and whether this shard answers for a key: the first
+    one that has it. A task sums up a part of the keys, with one entry a shard for each of
+    them, however frequent it is.
+    """
+
+    def summed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        lists = [np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]]
+        keys, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        counts = _joined(table["counts"].to_pylist(), np.int64)
+        order = np.argsort(keys, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        sums = np.add.reduceat(counts[order], starts)
+        entries = np.diff(np.append(starts, len(keys)))
+        totals, own = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        totals[order], own[order[starts]] = np.repeat(sums, entries), True
+        kept = np.flatnonzero(totals >= least)
+        rows, begins = np.unique(row[kept], return_index=True)
+        ends = np.append(begins, len(kept))[1:]
+        columns = [[x[kept[i:j]].tobytes() for i, j in zip(begins, ends, strict=True)] for x in (keys, totals, own)]
+        return pa.Table.from_arrays([table["shard"].combine_chunks().take(pa.array(rows)), *(pa.array(c, pa.binary()) for c in columns)], ["shard", "keys", "totals", "own"])
+
+    found = cells.groupBy("part").applyInArrow(summed, "shard long, keys binary, totals binary, own binary")
+    return found.groupBy("shard").agg(F.collect_list(F.struct("keys", "totals", "own")).alias("found"))
+
+
+@dataclass
+class _Found:
+    """Keys in order, their totals, and whether this shard answers for them."""
+
+    keys: np.ndarray
+    totals: np.ndarray
+    own: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[dict]) -> _Found:
+        keys = _joined([x["keys"] for x in parts], np.uint64)
+        order = np.argsort(keys)
+        return cls(keys[order], _joined([x["totals"] for x in parts], np.int64)[order], _joined([x["own"] for x in parts], bool)[order])
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of ``keys`` stands, and whether it does."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
 
 
 def _maps(row: dict, keep: np.ndarray) -> Bitmaps:
@@ -201,76 +271,112 @@ def _batches(maps: Bitmaps, n: int, size: int) -> Iterator[np.ndarray]:
         i = j
 
 
-def _pairs(rows: DataFrame, p: Collocations) -> DataFrame:
-    """``a, b, shard, n``: neighbouring frequent words of each shard and how often they are there."""
+def _key(words: np.ndarray) -> np.ndarray:
+    """Keys of phrases from the keys of their words, a phrase a row."""
+    return mix((words * _MIX[: words.shape[1]]).sum(1, dtype=np.uint64) + _U(words.shape[1]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
-            keep, ids = np.array(row["at"], np.int64), np.array(row["ids"], np.int64)
-            maps = _maps(row, keep)
-            words = Words(maps)
-            for part in _batches(maps, len(keep), p.batch):
-                a, b, made = words.extended(maps.of(part))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(np.full(len(a), row["shard"])), pa.array(made.counts(len(a)))], ["a", "b", "shard", "n"])
 
-    return mapped(rows, run, "a long, b long, shard long, n long", 1)
+def _paths(row: dict, p: Collocations, longest: int, pairs: _Found | None = None, phrases: _Found | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Phrases of a shard, depth first: words' keys, phrases' keys and frequencies here.
 
-
-def _phrases(rows: DataFrame, p: Collocations) -> DataFrame:
-    """``lang, words, n``: phrases of each shard all of whose neighbouring words are frequent pairs.
-
-    A batch of first words is followed down to the longest phrases before the next one is
-    begun, so a task holds the bitmaps of one branch of the tree only.
+    Words are those that are frequent over all shards. A batch of first words is followed down
+    to ``longest`` words before the next is begun, so a task holds one branch of the tree only.
+    A phrase is followed if its last two words are among ``pairs`` and it is, if longer than
+    two, among ``phrases``; where they are not known yet, all are.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
-            keep, ids = np.array(row["at"], np.int64), np.array(row["ids"], np.int64)
-            order = np.argsort(ids)
-            place = lambda x, order=order, ids=ids: order[np.searchsorted(ids[order], np.array(x, np.int64))]
-            allowed = np.unique(place(row["first"]) << 32 | place(row["second"]))
-            leads = np.unique(allowed >> 32)
-            maps = _maps(row, keep)
-            words, roots = Words(maps), maps.of(np.isin(maps.owner, leads))
-            for part in _batches(roots, len(keep), p.batch):
-                if not len(part):
-                    continue
-                path, maps = np.arange(len(keep))[:, None], roots.of(part)
-                for length in range(2, p.longest + 1):
-                    phrase, word, maps = words.extended(maps)
-                    kept = np.isin(path[phrase, -1] << 32 | word, allowed)
-                    number = np.cumsum(kept) - 1
-                    entries = kept[maps.owner]
-                    maps = Bitmaps(number[maps.owner[entries]], maps.chunk[entries], maps.bits[entries])
-                    path = np.concatenate([path[phrase[kept]], word[kept][:, None]], 1)
-                    if not len(path):
-                        break
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, path.size + 1, length, dtype=np.int32)), pa.array(ids[path].reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(path)), lists, pa.array(maps.counts(len(path)))], ["lang", "words", "n"])
-
-    return mapped(rows, run, "lang string, words array<long>, n long", 1)
+    known = np.frombuffer(row["keys"], np.uint64)
+    keep = np.flatnonzero(_Found.of(row["word"]).places(known)[1])
+    keys = known[keep]
+    maps = _maps(row, keep)
+    words = Words(maps)
+    for part in _batches(maps, len(keep), p.batch):
+        path, here = np.arange(len(keep))[:, None], maps.of(part)
+        for length in range(2, longest + 1):
+            phrase, word, here = words.extended(here)
+            path = np.concatenate([path[phrase], word[:, None]], 1)
+            kept = np.ones(len(path), bool) if pairs is None else pairs.places(_key(keys[path[:, -2:]]))[1]
+            if phrases is not None and length > 2:
+                kept &= phrases.places(_key(keys[path]))[1]
+            if not kept.all():
+                number, entries = np.cumsum(kept) - 1, kept[here.owner]
+                path, here = path[kept], Bitmaps(number[here.owner[entries]], here.chunk[entries], here.bits[entries])
+            if not len(path):
+                break
+            yield keys[path], _key(keys[path]), here.counts(len(path))
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def frequent_phrases(docs: DataFrame, p: Collocations = Collocations(), lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Languages ``lang, n``; frequent words ``lang, word, id, n``; frequent phrases ``lang, words, n`` with words' ids.
 
     Words that are rare over all shards, then pairs, are left out before longer phrases are
-    tried. What is frequent comes back to each shard by its number; no table of all words or
-    pairs is held in one place. Ids are 64-bit fingerprints of language and word.
+    tried. What is frequent comes back to each shard by its number, and to shards that are
+    stored in buckets, so that they are not moved; no table of all words or pairs is held in
+    one place. Ids are 64-bit fingerprints.
     """
-    found = written(shards(docs, p, lang_col, text_col), "shards", "zstd")
-    seen = written(_frequent_words(found, p), "words")
-    known = seen.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("_k")).select("shard", F.col("_k.at").alias("at"), F.col("_k.id").alias("ids"))
-    rows = found.select("lang", "shard", "sizes", "chunks", "bits").join(known, "shard")
-    pairs = _pairs(rows, p).withColumn("_n", F.sum("n").over(Window.partitionBy("a", "b"))).filter(F.col("_n") >= p.least)
-    followed = pairs.groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("_k")).select("shard", F.col("_k.a").alias("first"), F.col("_k.b").alias("second"))
-    followed = written(followed, "pairs")
-    phrases = _phrases(rows.join(followed, "shard"), p).groupBy("lang", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.least)
-    phrases = written(phrases, "phrases")
+    spark = docs.sparkSession
+    name = f"shards_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with small_batches(spark):
+        shards(docs, p, lang_col, text_col).write.bucketBy(parts, "shard").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    found = spark.table(name)
     languages = written(found.groupBy("lang").agg(F.sum("n").alias("n")), "languages")
-    words = written(seen.select("lang", "word", "id", "n").distinct(), "words")
-    dropped(found, seen, followed)
-    return languages, words, phrases
+    parts = max(4 * parts, -(-(languages.agg(F.sum("n")).first()[0] or 0) // p.part))  # one number
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            yield from _cells(row["shard"], np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64), parts)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            for _, keys, counts in _paths(row, p, 2):
+                yield from _cells(row["shard"], keys, counts, parts)
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            two = _Found.of(row["pair"])
+            for path, keys, counts in _paths(row, p, p.longest, two):
+                if path.shape[1] > 2:
+                    yield from _cells(row["shard"], keys, counts, parts)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            two, more = _Found.of(row["pair"]), _Found.of(row["phrase"] or [])
+            for path, keys, _ in _paths(row, p, p.longest, two, more):
+                source = two if path.shape[1] == 2 else more
+                at, _ = source.places(keys)
+                own = source.own[at]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.sum() * path.shape[1] + 1, path.shape[1], dtype=np.int32)), pa.array(path[own].reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * int(own.sum()), pa.string()), lists, pa.array(source.totals[at[own]])], ["lang", "words", "n"])
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                names, known = batch.column(1)[k].values, np.frombuffer(batch.column(2)[k].as_py(), np.uint64)
+                one = _Found.of(batch.column(3)[k].as_py())
+                at, there = one.places(known)
+                own = np.flatnonzero(there & one.own[at]) if len(one.own) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(own), pa.string()), names.take(pa.array(own)), pa.array(known[own].view(np.int64)), pa.array(one.totals[at[own]])], ["lang", "word", "id", "n"])
+
+    def back(cells: DataFrame, as_: str) -> DataFrame:
+        return written(_frequent(cells, p.least).withColumnRenamed("found", as_), as_)
+
+    one = back(mapped(found.select("shard", "keys", "counts"), words, CELLS, 1), "word")
+    rows = found.select("lang", "shard", "keys", "sizes", "chunks", "bits").join(one, "shard")
+    two = back(mapped(rows, pairs, CELLS, 1), "pair")
+    rows = rows.join(two, "shard")
+    more = back(mapped(rows, longer, CELLS, 1), "phrase")
+    phrases = written(mapped(rows.join(more, "shard", "left"), named, "lang string, words array<long>, n long", 1), "phrases")
+    names = written(mapped(found.select("shard", "lang", "words", "keys").join(one, "shard").select("lang", "words", "keys", "word"), texts, "lang string, word string, id long, n long", 1), "words")
+    dropped(one, two, more)
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, f"{shared_folder(spark)}/{name}")
+    return languages, names, phrases
 
 
 def _largest(df: DataFrame, order: list[Column], n: int, out: str) -> DataFrame:

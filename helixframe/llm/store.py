@@ -59,7 +59,8 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark knows."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -67,7 +68,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for df in tables:
-        _delete(df.sparkSession, df.written_to)
+        delete(df.sparkSession, df.written_to)
 
 
 def cleared(spark: SparkSession) -> None:
@@ -75,7 +76,7 @@ def cleared(spark: SparkSession) -> None:
 
     A lazy result reads some of them, so call this once all results are saved.
     """
-    _delete(spark, shared_folder(spark))
+    delete(spark, shared_folder(spark))
 
 
 def _released() -> None:
