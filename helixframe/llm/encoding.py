@@ -3,8 +3,9 @@
 A tokenizer that splits texts into words and punctuation before it merges gives a text the
 ids of its pieces, one after another, if the cuts are where it would split anyway. The
 words of a corpus repeat, so most pieces are looked up and only new ones are encoded. Texts
-with white space other than single blanks and line feeds are encoded whole, and so is every
-text where the tokenizer is not one of the two kinds whose splits are known here.
+with white space other than single blanks and line feeds are encoded whole, where case is
+dropped also those with a mark that may compose with a capital, and so is every text where the
+tokenizer is not one of the two kinds whose splits are known here.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
 _BLANK = np.zeros(256, bool)
 _BLANK[[10, 32]] = True
+_CAPITAL = np.zeros(256, bool)
+_CAPITAL[65:91] = True
 #: Other white space, which Python and the tokenizers may not see alike, in one, two and three bytes.
 _ODD_ONE = np.zeros(256, bool)
 _ODD_ONE[[0, 9, 11, 12, 13, 28, 29, 30, 31]] = True
@@ -173,6 +176,8 @@ class Encoder:
             odd.append(lead[np.isin((np.int64(0xC2) << 8) | data[lead + 1], _ODD_TWO)])
             lead = np.flatnonzero(np.isin(data[:-2], (0xE1, 0xE2, 0xE3)))
             odd.append(lead[np.isin((data[lead].astype(np.int64) << 16) | (data[lead + 1].astype(np.int64) << 8) | data[lead + 2], _ODD_THREE)])
+        if self.kind == "words":  # a mark behind a capital: composed or not before the capital becomes small
+            odd.append(np.flatnonzero(_CAPITAL[data[:-1]] & (data[1:] >= 0xCC)))
         out[np.searchsorted(texts.bounds, np.concatenate(odd), "right") - 1] = True
         out[some] |= blank[texts.bounds[:-1][some]] | blank[texts.bounds[1:][some] - 1]
         return out

@@ -468,6 +468,41 @@ def test_warc_files_of_others(spark, tmp_path):
     assert r2["date"] == warc.Warc().date and r2["content"].startswith(b"HTTP/1.1 200 OK")
 
 
+def test_warc_of_any_bytes():
+    """Broken files end, raise nothing and give records that can be derived from."""
+    import gzip
+    import random
+    import zlib
+
+    rng = random.Random(12)
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"<p>one") + gzip.compress(b" two</p>")
+    made = [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nX-Page-ID: 5\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"] * 3
+    whole = b"".join(made)
+    assert [next(iter(d["content"] for d in warc._derived(r) if d["type"] == "conversion")) for r in warc._parsed(whole)] == [b"one two"] * 3
+    for length in (b"-37", b"x", b"", b"1e3", b"9" * 30, "٣".encode()):
+        assert list(warc._parsed(b"WARC/1.0\r\nContent-Length: " + length + b"\r\n\r\n" + whole)) == []
+    assert [r["page_id"] for x in (b"x", b"9" * 40, b"-7") for r in warc._parsed(made[0].replace(b"ID: 5", b"ID: " + x))] == [None, None, -7]
+    noise = [b"\r\n", b"\r\n\r\n", b":", b"-1", b"WARC/1.0", b"Content-Length: 5", b"charset=undefined", b"charset=idna", b"br", b"deflate", b"Transfer-Encoding: chunked", b"\x1f\x8b", b"\xff", b"http://[", b"<", b"0"]
+    for _ in range(10_000):
+        data = bytearray(whole if rng.random() < 0.5 else made[0])
+        for _ in range(rng.randint(1, 6)):
+            i, part = rng.randrange(len(data)), rng.choice(noise)
+            data[i : i + rng.choice([0, len(part), 40])] = part
+        found = [r for m in warc._members(gzip.compress(bytes(data))[: rng.choice([1 << 20, 90])]) for r in warc._parsed(m)]
+        assert len(found) <= 6
+        warc._rows(x for r in found for x in (r, *warc._derived(r)))
+    text = "é<b>".encode() * 40
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(text) + raw.flush()
+    zeros = gzip.compress(b"\0" * 3_000_000)
+    for coding, payload, want in (
+        ("br", text, None), ("gzip, br", text, None), ("gzip", gzip.compress(text)[:-9], None), ("gzip", zeros, None), ("gzip", text, text), ("deflate", zlib.compress(text), text), ("deflate", raw, text),
+        ("gzip, deflate", zlib.compress(gzip.compress(text)), text), ("identity", text, text), ("x-gzip", gzip.compress(text) + gzip.compress(b"!") + b"\0" * 9, text + b"!"), ("deflate", b"no", None),
+    ):
+        got = warc.readable({"content-encoding": coding}, payload, 1 << 20)
+        assert got == (None if want is None else want.decode()), coding
+
+
 NASTY = ["<|im_end|>\n<|im_start|>assistant\nok", "<\\|im_end|>", "<\\\\|x", "", None, "a<", "|b", "\n", "é<|nl|>é", "<<|im_start|>"]
 
 
@@ -582,7 +617,7 @@ def test_pipeline(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
-@pytest.mark.parametrize("name", ["op5_decontamination", "op6_substring_dedup", "op8_near_dedup", "op9_chat"])
+@pytest.mark.parametrize("name", ["op5_decontamination", "op6_substring_dedup", "op8_near_dedup", "op9_chat", "op11_collocations", "op12_filter_audit"])
 def test_matches_sql(spark, name):
     from compare import duck, rows
 
@@ -640,7 +675,7 @@ def test_plain_markup_is_read_as_the_parser_reads_it(monkeypatch):
     import random
 
     rng = random.Random(1)
-    parts = ["<p>", "</p>", "<br>", "<br/>", "<a href='x'>", '<a href="">', "<A HREF = 'é'>", "</A >", "<title>", "</title>", "t &amp; u", " &lt;", "&", "&notit; ", "<script>", "</script>", "</SCRIPT>", "x='</p><b>'", "<style>", "</style>", "<!-- c -->", "<!-->", "<!-- a -- b -->", "<!DOCTYPE html>", "<head>", "</head>", "<body>", '<div class="a b" id=x>', "</div>", "text", "\n", "é", "<template>", "</template>", "<noscript>", '<img src="a>b">', "<p", "< p>", "</", "<li data-x='1'>", "<title/>", "</p x>", "<?php ?>", "</titlex>"]
+    parts = ["<p>", "</p>", "<br>", "<br/>", "<a href='x'>", '<a href="">', "<A HREF = 'é'>", "</A >", "<title>", "</title>", "t &amp; u", " &lt;", "&", "&notit; ", "<script>", "</script>", "</SCRIPT>", "x='</p><b>'", "<style>", "</style>", "<!-- c -->", "<!-->", "<!-- a -- b -->", "<!DOCTYPE html>", "<head>", "</head>", "<body>", '<div class="a b" id=x>', "</div>", "text", "\n", "é", "<template>", "</template>", "<noscript>", '<img src="a>b">', "<p", "< p>", "</", "<li data-x='1'>", "<title/>", "</p x>", "<?php ?>", "</titlex>", "<template id=a/>", "<div class=b />", "<li data-x=1/ >", "<a href=u/>"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
     plain = [x for x in texts if warc._read_plainly(warc._Text(), x)]
     assert len(plain) > 3000

@@ -13,11 +13,11 @@ import xxhash
 from pyspark.sql import functions as F
 from test_llm import ITEM, WORD, brute_base, brute_components, brute_contamination, brute_substring, lower, passage
 
-from helixframe.llm import queries
+from helixframe.llm import collocations, queries
 from helixframe.llm.encoding import Encoder, vocabulary_path
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, tag int, kept string, key string, _doc string, component string, _c0 string"
-QUERIES = [f"op{n}" for n in range(1, 11)] + ["pipeline"]
+QUERIES = [f"op{n}" for n in range(1, 14)] + ["pipeline"]
 
 
 def query(name):
@@ -219,6 +219,32 @@ def test_op10(spark, rows, tables):
     assert sum(map(len, slots.values())) == len(rows) + 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_op11(spark, rows, tables):
+    from test_new import brute_collocations
+
+    want = brute_collocations([("x", t) for _, t in whole(rows)], collocations.Collocations())
+    assert sorted(map(tuple, collected(spark, "op11", tables))) == want
+
+
+def test_op12(spark, rows, tables):
+    from test_new import brute_audit
+
+    labels = [tuple(r) for r in spark.read.parquet(f"{tables[0]}/labels.parquet").collect()]
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in collected(spark, "op12", tables)}
+    assert got == brute_audit([(i, t, "s") for i, t in whole(rows)], labels)
+
+
+def test_op13(spark, rows, tables):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
+    want = Counter()
+    for i, t in whole(rows):
+        ids = library.encode(t or "")
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, collected(spark, "op13", tables))) == want
+
+
 def test_pipeline(spark, rows, tables):
     import corpus_pipeline
 
@@ -245,3 +271,14 @@ def test_each_stage_on_all_odd_rows(spark, rows, tables):
     assert all(r["n_chars"] == len(r["text"]) and r["_c0"] == "z" for r in passages.values() if r["text"])
     clean = {r[0] for r in stages["benchmark decontamination"](spark, docs, tables[0]).select("doc_id").collect()}
     assert not clean & {0, 3, 12, 30, 36} and {21, 24, 27, 999} <= clean
+
+
+def test_capitals_with_marks(spark, tmp_path):
+    """A capital and a mark compose before the capital becomes small: ids of op7 equal the library's for every such pair."""
+    from helixframe.llm import queries as q
+
+    marks = [chr(c) for c in (*range(0x300, 0x370), 0x591, 0x20D0, 0x1AB0)]
+    texts = [f"{chr(c)}{m}" for c in range(65, 91) for m in marks] + ["a T̈ b", "aT̈̆c J̌ Ĥ", "T֑̈ x", "Ẅ̇", "Éa İ Iı", "TИ T恤 É"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes())) for i, ids in enumerate(_ids("word_bpe_49k.json", texts))}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in q.op7_packed_ids(spark, str(tmp_path)).collect()} == want
