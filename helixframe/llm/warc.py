@@ -38,9 +38,11 @@ _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 @dataclass(frozen=True)
 class Warc:
-    """``date``: capture time of a page whose table has none."""
+    """``date``: capture time of a page whose table has none; ``largest``: bytes that a payload
+    may have once its compression is undone, so that a small record can't fill a task."""
 
     date: str = "1970-01-01T00:00:00Z"
+    largest: int = 256 << 20
 
 
 class _Text(HTMLParser):
@@ -103,7 +105,8 @@ class _Text(HTMLParser):
 
 
 #: Markup that is read without the parser: plain tags, comments without a double hyphen inside, and a document type.
-_ATTRIBUTE = r"""\s+[a-zA-Z][a-zA-Z0-9-]*(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[a-zA-Z0-9_.:#-]+))?"""
+#: A slash behind a value without quotes is part of the value, so such a tag is left to the parser.
+_ATTRIBUTE = r"""\s+[a-zA-Z][a-zA-Z0-9-]*(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[a-zA-Z0-9_.:#-]+(?!/)))?"""
 _MARKUP = re.compile(rf"""<(?:([a-zA-Z][a-zA-Z0-9]*)((?:{_ATTRIBUTE})*)\s*(/?)>|/([a-zA-Z][a-zA-Z0-9]*)\s*>|!--(?!-?>)(?:(?!--)[^<>])*-->|!(?i:doctype)\s[^<>]*>)""")
 _HREF = re.compile(r"""\shref\s*=\s*(?:"[^"]|'[^']|[^\s"'])""", re.I)
 _CLOSE = {tag: re.compile(f"</{tag}", re.I) for tag in ("script", "style", "title")}
@@ -208,24 +211,58 @@ def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return status, headers, payload
 
 
-def readable(headers: dict[str, str], payload: bytes) -> str:
-    """The payload as text: chunks joined, compression undone where it can be, bytes decoded by the charset named."""
+def _inflated(data: bytes, window: int, limit: int) -> bytes | None:
+    """All compressed members of ``data``; None where one is broken or cut off, or their content is over ``limit`` bytes."""
+    parts, size = [], 0
+    while data:
+        one = zlib.decompressobj(window)
+        try:
+            parts.append(one.decompress(data, limit - size + 1))
+        except zlib.error:
+            return None
+        size += len(parts[-1])
+        if not one.eof or size > limit:
+            return None
+        data = one.unused_data.lstrip(b"\0") if window == 31 else b""  # files are padded with zeros
+    return b"".join(parts)
+
+
+def _decoded(payload: bytes, coding: str, limit: int) -> bytes | None:
+    """The payload without its content codings, the last one first; None where one is unknown or doesn't hold."""
+    for kind in reversed([c.strip() for c in coding.lower().split(",")]):
+        if kind in ("gzip", "x-gzip"):
+            if payload.startswith(b"\x1f\x8b"):  # else whoever wrote the file has undone it
+                payload = _inflated(payload, 31, limit)
+        elif kind == "deflate":
+            wrapped = _inflated(payload, 15, limit)
+            payload = wrapped if wrapped is not None else _inflated(payload, -15, limit)
+        elif kind not in ("", "identity"):
+            return None
+        if payload is None:
+            return None
+    return payload
+
+
+def readable(headers: dict[str, str], payload: bytes, limit: int = Warc.largest) -> str | None:
+    """The payload as text: chunks joined, compression undone, bytes decoded by the charset named.
+
+    None where the text can't be had: unknown codings, broken or cut-off compression, more than
+    ``limit`` bytes.
+    """
     if "chunked" in headers.get("transfer-encoding", "").lower():
-        rest, parts = payload, []
-        while rest and (m := re.match(rb"\s*([0-9A-Fa-f]{1,8})[^\r\n]*\r\n", rest)):
+        rest, parts = memoryview(payload), []
+        while m := re.match(rb"\s*([0-9A-Fa-f]{1,8})[^\r\n]*\r\n", rest):
             size = int(m[1], 16)
             parts.append(rest[m.end() : m.end() + size])
-            rest = rest[m.end() + size :] if size else b""
+            rest = rest[m.end() + size :] if size else rest[:0]
         payload = b"".join(parts) if parts else payload
-    kind = headers.get("content-encoding", "").strip().lower()
-    try:
-        payload = zlib.decompress(payload, 47) if kind in ("gzip", "x-gzip", "deflate") else payload
-    except zlib.error:
-        pass
+    payload = _decoded(payload, headers.get("content-encoding", ""), limit)
+    if payload is None:
+        return None
     named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", headers.get("content-type", ""), re.I) or re.search(r"<meta[^>]*charset\s*=\s*[\"']?([\w.:-]+)", payload[:4096].decode("latin-1"), re.I)
     try:
         return payload.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # no charset, or one that has no such bytes
         return payload.decode("utf-8", "replace")
 
 
@@ -280,7 +317,7 @@ def _derived(r: dict) -> Iterator[dict]:
     status, headers, payload = http_parts(r["content"] or b"")
     kind = headers.get("content-type", "").split(";")[0].strip().lower()
     html = readable(headers, payload)
-    text, title, links = plain_text(html) if kind in ("", "text/html", "application/xhtml+xml") else (html, "", 0) if kind.startswith("text/") else (None, "", 0)
+    text, title, links = (None, "", 0) if html is None else plain_text(html) if kind in ("", "text/html", "application/xhtml+xml") else (html, "", 0) if kind.startswith("text/") else (None, "", 0)
     source = r["payload_digest"] or digest(payload)
     fields = {"title": title, "host": _host(r["target_uri"] or ""), "links": links, "text-characters": len(text or ""), "source-status": status, "source-payload-digest": source}
     fields |= {f"source-header-{k}": v for k, v in headers.items()}
@@ -300,7 +337,8 @@ def derivatives(records: DataFrame, with_response: bool = True) -> DataFrame:
 
     Each response gives a metadata record (title, host, links, status and every HTTP header of
     the source) and, if it is HTML or other text, a conversion record whose block is the plain
-    text. Both name the response in ``refers_to`` and carry its URI, date and HTTP headers;
+    text; a payload whose compression is unknown, broken or larger than ``Warc.largest`` has
+    metadata alone. Both name the response in ``refers_to`` and carry its URI, date and HTTP headers;
     the conversion carries the digest of the payload it was made from: the response's own
     one, or a computed one where it has none. Their ids follow from the response's id, so
     repeated tasks and repeated rows give the same. Responses that are no HTTP message are read
@@ -364,7 +402,11 @@ def _members(data: bytes) -> Iterator[bytes]:
 
 
 def _parsed(data: bytes) -> Iterator[dict]:
-    """The records of a member; it ends at the first thing that isn't one."""
+    """The records of a member; it ends at the first thing that isn't one, a length of other than digits included.
+
+    Each record lies behind the one before, whatever its header says. One that is cut off has
+    the bytes that are there.
+    """
     at = 0
     while data.startswith(b"WARC/", at) and (end := data.find(b"\r\n\r\n", at)) >= 0:
         known, sources, page = {}, {}, None
@@ -375,10 +417,13 @@ def _parsed(data: bytes) -> Iterator[dict]:
                 key, _, value = value.partition(": ")
                 sources[key] = value
             elif name == _PAGE.lower():
-                page = int(value)
+                page = int(value) if re.fullmatch(r"-?[0-9]{1,18}", value) else None
             else:
                 known[name] = value
-        size = int(known.get("content-length", "0"))
+        length = known.get("content-length", "0")
+        if not re.fullmatch("[0-9]{1,18}", length):
+            return
+        size = int(length)
         content = data[end + 4 : end + 4 + size]
         row = {column: known.get(name.lower()) for column, name in _FIELDS.items()}
         if row["type"] == "response":
