@@ -66,7 +66,8 @@ def mask_counts(docs: DataFrame, labels: DataFrame, p: Filters = Filters(), id_c
     """``part, failed, n, good, toxic``: documents of each part that fail exactly the filters of a mask.
 
     Repeated rows count each. A row without an id fails E never and is no smaller id; rows of
-    one id do not fail by each other. A document is good or toxic if any of its labels says so.
+    one id do not fail by each other. A document is good or toxic if any of its labels says so;
+    a label without an id belongs to none.
     Copies of a text are counted by part, mask and label before they meet, so a text that a
     third of all rows share is a few rows.
     """
