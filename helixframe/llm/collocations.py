@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.encoding import _ranges, decodable
-from helixframe.llm.store import delete, dropped, mapped, shared_folder, small_batches, written
+from helixframe.llm.store import delete, mapped, shared_folder, small_batches, written
 from helixframe.llm.words import _MIX, _U, LOWER, Texts, mix, texts_of, words_of
 
 _BREAK = np.zeros(256, bool)
@@ -150,10 +150,6 @@ def _packed(values: np.ndarray, kind: type) -> pa.Array:
     return pa.array([values.astype(kind).tobytes()], pa.binary())
 
 
-def _joined(parts: list[bytes], kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind)
-
-
 SHARDS = "lang string, shard long, n long, words array<string>, keys binary, counts binary, sizes binary, chunks binary, bits binary"
 
 
@@ -187,69 +183,79 @@ def shards(docs: DataFrame, p: Collocations = Collocations(), lang_col: str = "l
     return mapped(rows, run, SHARDS)
 
 
-def _cells(shard: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """A shard's keys and counts, a row for each of ``parts`` parts of all keys that has some."""
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Keys in order of their part of all keys, their order, and each part with where it starts and ends."""
     part = (keys % _U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    keys, counts, part = keys[order].astype(np.uint64), counts[order].astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64), part[order]
-    starts = np.flatnonzero(np.diff(part, prepend=-1))
-    cut = [(int(i), int(j)) for i, j in zip(starts, np.append(starts, len(part))[1:], strict=True)]
-    arrays = [pa.array(part[starts]), pa.array(np.full(len(starts), shard)), pa.array([keys[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([counts[i:j].astype(np.int64).tobytes() for i, j in cut], pa.binary())]
-    yield pa.RecordBatch.from_arrays(arrays, ["part", "shard", "keys", "counts"])
+    starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    return keys[order], order, list(zip(part[order][starts].tolist(), starts.tolist(), np.append(starts, len(part))[1:].tolist(), strict=True))
+
 
+def _cells(shard: int, batch: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Keys of a batch of a shard and their counts, a row for each of ``parts`` parts of all keys that has some.
 
-CELLS = "part long, shard long, keys binary, counts binary"
+    Counts take a byte where all of a row are below 256.
+    """
+    keys, order, cut = _dealt(keys, parts)
+    counts = counts[order]
+    lists = [counts[i:j].astype(np.uint8 if counts[i:j].max() < 256 else np.int64).tobytes() for _, i, j in cut]
+    arrays = [pa.array([x for x, _, _ in cut], pa.int64()), pa.array([shard] * len(cut), pa.int64()), pa.array([batch] * len(cut), pa.int32()), pa.array([keys[i:j].tobytes() for _, i, j in cut], pa.binary()), pa.array(lists, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["part", "shard", "batch", "keys", "counts"])
+
+
+CELLS = "part long, shard long, batch int, keys binary, counts binary"
+FOUND = "shard long, batch int, part long, kept binary, own binary, totals binary"
+
+
+def _summed(least: int, table: pa.Table) -> pa.Table:
+    """Which keys of the rows of a part have counts that sum up to ``least``: see ``_frequent``."""
+    table = table.sort_by([("shard", "ascending"), ("batch", "ascending")])
+    lists = [np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]]
+    raw = [x.as_py() for x in table["counts"]]
+    counts = np.concatenate([np.frombuffer(c, np.uint8 if len(c) == len(k) else np.int64).astype(np.int64) for c, k in zip(raw, lists, strict=True)])
+    keys, ends = np.concatenate(lists), np.cumsum([len(x) for x in lists])
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    sums = np.add.reduceat(counts[order], starts)
+    kept, totals, own = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    kept[order] = np.repeat(sums >= least, np.diff(np.append(starts, len(keys))))
+    own[order[starts]], totals[order[starts]] = sums >= least, sums
+    rows = []
+    for k, (i, j) in enumerate(zip(np.append(0, ends), ends, strict=False)):
+        if kept[i:j].any():
+            at = np.flatnonzero(own[i:j])
+            rows.append((k, np.packbits(kept[i:j]).tobytes(), at.astype(np.int32).tobytes(), totals[i:j][at].tobytes()))
+    chosen, *columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.Table.from_arrays([table[c].combine_chunks().take(pa.array(chosen, pa.int64())) for c in ("shard", "batch", "part")] + [pa.array(c, pa.binary()) for c in columns], ["shard", "batch", "part", "kept", "own", "totals"])
 
 
 def _frequent(cells: DataFrame, least: int) -> DataFrame:
-    """``shard, found``: of each shard its keys whose counts over all shards are ``least`` or more.
+    """``shard, found``: which keys of each shard have counts of ``least`` or more over all shards.
 
-    ``found`` holds the keys, the totals, and whether this shard answers for a key: the first
-    one that has it. A task sums up a part of the keys, with one entry a shard for each of
-    them, however frequent it is.
+    For each row of ``cells`` with such keys: a bit a key, in their order, and places and totals
+    of those that this shard answers for as the first one that has them. A task sums up a part
+    of the keys, with one entry a shard for each of them, however frequent it is.
     """
-
-    def summed(table: pa.Table) -> pa.Table:
-        table = table.sort_by("shard")
-        lists = [np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]]
-        keys, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        counts = _joined(table["counts"].to_pylist(), np.int64)
-        order = np.argsort(keys, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        sums = np.add.reduceat(counts[order], starts)
-        entries = np.diff(np.append(starts, len(keys)))
-        totals, own = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        totals[order], own[order[starts]] = np.repeat(sums, entries), True
-        kept = np.flatnonzero(totals >= least)
-        rows, begins = np.unique(row[kept], return_index=True)
-        ends = np.append(begins, len(kept))[1:]
-        columns = [[x[kept[i:j]].tobytes() for i, j in zip(begins, ends, strict=True)] for x in (keys, totals, own)]
-        return pa.Table.from_arrays([table["shard"].combine_chunks().take(pa.array(rows)), *(pa.array(c, pa.binary()) for c in columns)], ["shard", "keys", "totals", "own"])
-
-    found = cells.groupBy("part").applyInArrow(summed, "shard long, keys binary, totals binary, own binary")
-    return found.groupBy("shard").agg(F.collect_list(F.struct("keys", "totals", "own")).alias("found"))
+    found = cells.groupBy("part").applyInArrow(lambda table: _summed(least, table), FOUND)
+    return found.groupBy("shard").agg(F.collect_list(F.struct("batch", "part", "kept", "own", "totals")).alias("found"))
 
 
-@dataclass
 class _Found:
-    """Keys in order, their totals, and whether this shard answers for them."""
+    """What ``_frequent`` says of a shard."""
 
-    keys: np.ndarray
-    totals: np.ndarray
-    own: np.ndarray
+    def __init__(self, rows: list[dict] | None):
+        self.rows = {(x["batch"], x["part"]): x for x in rows or ()}
 
-    @classmethod
-    def of(cls, parts: list[dict]) -> _Found:
-        keys = _joined([x["keys"] for x in parts], np.uint64)
-        order = np.argsort(keys)
-        return cls(keys[order], _joined([x["totals"] for x in parts], np.int64)[order], _joined([x["own"] for x in parts], bool)[order])
-
-    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each of ``keys`` stands, and whether it does."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+    def of(self, batch: int, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the keys of a batch, as they were dealt to cells: which are frequent, which this shard answers for, and the totals of those."""
+        _, order, cut = _dealt(keys, parts)
+        kept, own, totals = np.zeros(len(keys), bool), np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        for part, i, j in cut:
+            if row := self.rows.get((batch, part)):
+                kept[order[i:j]] = np.unpackbits(np.frombuffer(row["kept"], np.uint8), count=j - i).astype(bool)
+                at = order[i + np.frombuffer(row["own"], np.int32)]
+                own[at], totals[at] = True, np.frombuffer(row["totals"], np.int64)
+        return kept, own, totals
 
 
 def _maps(row: dict, keep: np.ndarray) -> Bitmaps:
@@ -276,33 +282,55 @@ def _key(words: np.ndarray) -> np.ndarray:
     return mix((words * _MIX[: words.shape[1]]).sum(1, dtype=np.uint64) + _U(words.shape[1]))
 
 
-def _paths(row: dict, p: Collocations, longest: int, pairs: _Found | None = None, phrases: _Found | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Phrases of a shard, depth first: words' keys, phrases' keys and frequencies here.
+class _Tree:
+    """The phrases of a shard, depth first.
 
     Words are those that are frequent over all shards. A batch of first words is followed down
-    to ``longest`` words before the next is begun, so a task holds one branch of the tree only.
-    A phrase is followed if its last two words are among ``pairs`` and it is, if longer than
-    two, among ``phrases``; where they are not known yet, all are.
+    to the longest phrases before the next is begun, so beside the pairs a task holds one branch
+    of the tree only.
     """
-    known = np.frombuffer(row["keys"], np.uint64)
-    keep = np.flatnonzero(_Found.of(row["word"]).places(known)[1])
-    keys = known[keep]
-    maps = _maps(row, keep)
-    words = Words(maps)
-    for part in _batches(maps, len(keep), p.batch):
-        path, here = np.arange(len(keep))[:, None], maps.of(part)
-        for length in range(2, longest + 1):
-            phrase, word, here = words.extended(here)
-            path = np.concatenate([path[phrase], word[:, None]], 1)
-            kept = np.ones(len(path), bool) if pairs is None else pairs.places(_key(keys[path[:, -2:]]))[1]
-            if phrases is not None and length > 2:
-                kept &= phrases.places(_key(keys[path]))[1]
-            if not kept.all():
-                number, entries = np.cumsum(kept) - 1, kept[here.owner]
-                path, here = path[kept], Bitmaps(number[here.owner[entries]], here.chunk[entries], here.bits[entries])
-            if not len(path):
-                break
-            yield keys[path], _key(keys[path]), here.counts(len(path))
+
+    def __init__(self, row: dict, p: Collocations, parts: int):
+        known = np.frombuffer(row["keys"], np.uint64)
+        kept, _, _ = _Found(row["word"]).of(0, known, parts)
+        keep = np.flatnonzero(kept)
+        self.p, self.parts, self.keys = p, parts, known[keep]
+        self.maps = _maps(row, keep)
+        self.words = Words(self.maps)
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, Bitmaps]]:
+        """Number of a batch, its pairs of words and their bitmaps."""
+        for k, part in enumerate(_batches(self.maps, len(self.keys), self.p.batch)):
+            a, b, here = self.words.extended(self.maps.of(part))
+            yield k, np.stack([a, b], 1), here
+
+    def longer(self, found: _Found) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Number, words, keys and frequencies here of the phrases all of whose pairs are frequent.
+
+        The frequent pairs come first, with totals of those that this shard answers for.
+        """
+        starts = []
+        for k, path, here in self.pairs():
+            kept, own, totals = found.of(k, _key(self.keys[path]), self.parts)
+            yield -1, self.keys[path[own]], _key(self.keys[path[own]]), here.counts(len(path))[own], totals[own]
+            starts.append((path[kept], _only(here, kept)))
+        allowed = np.unique(np.concatenate([np.zeros(0, np.int64), *(path[:, 0] << 32 | path[:, 1] for path, _ in starts)]))
+        for k, (path, here) in enumerate(starts):
+            for length in range(3, self.p.longest + 1):
+                phrase, word, here = self.words.extended(here)
+                pair = path[phrase, -1] << 32 | word
+                at = np.minimum(np.searchsorted(allowed, pair), max(0, len(allowed) - 1))
+                kept = allowed[at] == pair if len(allowed) else np.zeros(len(pair), bool)
+                path, here = np.concatenate([path[phrase[kept]], word[kept][:, None]], 1), _only(here, kept)
+                if not len(path):
+                    break
+                yield k * 64 + length, self.keys[path], _key(self.keys[path]), here.counts(len(path)), None
+
+
+def _only(maps: Bitmaps, kept: np.ndarray) -> Bitmaps:
+    """The bitmaps that are kept, numbered anew."""
+    number, entries = np.cumsum(kept) - 1, kept[maps.owner]
+    return Bitmaps(number[maps.owner[entries]], maps.chunk[entries], maps.bits[entries])
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -315,56 +343,61 @@ def frequent_phrases(docs: DataFrame, p: Collocations = Collocations(), lang_col
     """Languages ``lang, n``; frequent words ``lang, word, id, n``; frequent phrases ``lang, words, n`` with words' ids.
 
     Words that are rare over all shards, then pairs, are left out before longer phrases are
-    tried. What is frequent comes back to each shard by its number, and to shards that are
-    stored in buckets, so that they are not moved; no table of all words or pairs is held in
-    one place. Ids are 64-bit fingerprints.
+    tried. What is frequent comes back to each shard as a bit for each key that it sent, and
+    shards are stored in buckets, so that they are not moved; no table of all words or pairs is
+    held in one place. Ids are 64-bit fingerprints.
     """
-    spark = docs.sparkSession
-    name = f"shards_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with small_batches(spark):
-        shards(docs, p, lang_col, text_col).write.bucketBy(parts, "shard").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    found = spark.table(name)
+    spark, tables = docs.sparkSession, []
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def bucketed(df: DataFrame, name: str) -> DataFrame:
+        """A table by buckets of shards: two of them are joined where they lie."""
+        name = f"{name}_{uuid.uuid4().hex}"
+        tables.append(name)
+        with small_batches(spark):
+            df.write.bucketBy(buckets, "shard").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+        return spark.table(name)
+
+    found = bucketed(shards(docs, p, lang_col, text_col), "shards")
     languages = written(found.groupBy("lang").agg(F.sum("n").alias("n")), "languages")
-    parts = max(4 * parts, -(-(languages.agg(F.sum("n")).first()[0] or 0) // p.part))  # one number
+    parts = max(4 * buckets, -(-(languages.agg(F.sum("n")).first()[0] or 0) // p.part))  # one number
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            yield from _cells(row["shard"], np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64), parts)
+            yield _cells(row["shard"], 0, np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64), parts)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            for _, keys, counts in _paths(row, p, 2):
-                yield from _cells(row["shard"], keys, counts, parts)
+            tree = _Tree(row, p, parts)
+            for k, path, here in tree.pairs():
+                yield _cells(row["shard"], k, _key(tree.keys[path]), here.counts(len(path)), parts)
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            two = _Found.of(row["pair"])
-            for path, keys, counts in _paths(row, p, p.longest, two):
-                if path.shape[1] > 2:
-                    yield from _cells(row["shard"], keys, counts, parts)
+            for k, _, keys, counts, _ in _Tree(row, p, parts).longer(_Found(row["pair"])):
+                if k >= 0:
+                    yield _cells(row["shard"], k, keys, counts, parts)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            two, more = _Found.of(row["pair"]), _Found.of(row["phrase"] or [])
-            for path, keys, _ in _paths(row, p, p.longest, two, more):
-                source = two if path.shape[1] == 2 else more
-                at, _ = source.places(keys)
-                own = source.own[at]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.sum() * path.shape[1] + 1, path.shape[1], dtype=np.int32)), pa.array(path[own].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * int(own.sum()), pa.string()), lists, pa.array(source.totals[at[own]])], ["lang", "words", "n"])
+            more = _Found(row["phrase"])
+            for k, path, keys, _, totals in _Tree(row, p, parts).longer(_Found(row["pair"])):
+                if k >= 0:
+                    _, own, totals = more.of(k, keys, parts)
+                    path, totals = path[own], totals[own]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, path.size + 1, path.shape[1], dtype=np.int32)), pa.array(path.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(path), pa.string()), lists, pa.array(totals)], ["lang", "words", "n"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 names, known = batch.column(1)[k].values, np.frombuffer(batch.column(2)[k].as_py(), np.uint64)
-                one = _Found.of(batch.column(3)[k].as_py())
-                at, there = one.places(known)
-                own = np.flatnonzero(there & one.own[at]) if len(one.own) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(own), pa.string()), names.take(pa.array(own)), pa.array(known[own].view(np.int64)), pa.array(one.totals[at[own]])], ["lang", "word", "id", "n"])
+                _, own, totals = _Found(batch.column(3)[k].as_py()).of(0, known, parts)
+                own = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(own), pa.string()), names.take(pa.array(own)), pa.array(known[own].view(np.int64)), pa.array(totals[own])], ["lang", "word", "id", "n"])
 
     def back(cells: DataFrame, as_: str) -> DataFrame:
-        return written(_frequent(cells, p.least).withColumnRenamed("found", as_), as_)
+        return bucketed(_frequent(cells, p.least).withColumnRenamed("found", as_), as_)
 
     one = back(mapped(found.select("shard", "keys", "counts"), words, CELLS, 1), "word")
     rows = found.select("lang", "shard", "keys", "sizes", "chunks", "bits").join(one, "shard")
@@ -373,9 +406,9 @@ def frequent_phrases(docs: DataFrame, p: Collocations = Collocations(), lang_col
     more = back(mapped(rows, longer, CELLS, 1), "phrase")
     phrases = written(mapped(rows.join(more, "shard", "left"), named, "lang string, words array<long>, n long", 1), "phrases")
     names = written(mapped(found.select("shard", "lang", "words", "keys").join(one, "shard").select("lang", "words", "keys", "word"), texts, "lang string, word string, id long, n long", 1), "words")
-    dropped(one, two, more)
-    spark.sql(f"DROP TABLE {name}")
-    delete(spark, f"{shared_folder(spark)}/{name}")
+    for name in tables:
+        spark.sql(f"DROP TABLE {name}")
+        delete(spark, f"{shared_folder(spark)}/{name}")
     return languages, names, phrases
 
 
