@@ -48,7 +48,7 @@ class Collocations:
     least: int = 100
     top: int = 2000
     missing: str = "und"
-    shard: int = 1 << 20
+    shard: int = 3 << 20
     batch: int = 1 << 17
     part: int = 1 << 21
 
