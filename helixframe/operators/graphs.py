@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.lineage import cut
+from helixframe.operators.numbering import in_order
 
 
 def numbered(names: DataFrame, column: str) -> DataFrame:
-    """``token, idx`` from 0 in sorted order (a vocabulary is a dimension of bounded size)."""
+    """``token, idx`` from 0 in sorted order, counted range by range."""
     distinct = names.select(F.col(column).cast("string").alias("token")).filter("token IS NOT NULL").distinct()
-    return distinct.select("token", (F.row_number().over(Window.orderBy("token")) - 1).cast("long").alias("idx"))
+    return in_order(distinct, ["token"], "idx")
 
 
 def graph_from_table(df: DataFrame, source: str = "source", target: str = "target", weight: str | None = "weight", default_weight: float = 1.0, undirected: bool = True) -> DataFrame:
@@ -44,7 +45,7 @@ def subgraph(edges: DataFrame, nodes: DataFrame, column: str = "node") -> DataFr
 def shared(edges: DataFrame, vocab: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A numbered graph cut to the tokens that ``other`` has too, numbered anew: edges and vocabulary."""
     both = vocab.join(other.select("token"), "token", "left_semi")
-    new = both.select((F.row_number().over(Window.orderBy("idx")) - 1).cast("long").alias("idx"), "token")
+    new = in_order(both.select("idx", "token"), ["idx"], "_new").select(F.col("_new").alias("idx"), "token")
     return with_numbers(with_names(edges, vocab), new), new
 
 
@@ -132,36 +133,77 @@ def leaves(edges: DataFrame) -> DataFrame:
     return _nodes(edges).join(edges.select(F.col("parent").alias("node")), "node", "left_anti")
 
 
+class _Chains:
+    """A hierarchy with its chains taken together.
+
+    An inner node has one parent and one child. Each finds the first inner node of its chain by
+    pointer jumping, so a chain of n nodes takes about log2(n) rounds and becomes one edge.
+    ``inner (node, head, pos)`` numbers a chain's nodes from 1; ``edges (parent, child, weight,
+    head)`` join the other nodes, over a chain where ``head`` is not null. ``closed`` is true
+    where a chain has no first node, which is a cycle.
+    """
+
+    def __init__(self, edges: DataFrame, upward: bool = False):
+        a, b = ("child", "parent") if upward else ("parent", "child")
+        self.steps = cut(edges.select(F.col(a).alias("parent"), F.col(b).alias("child")).distinct())
+        below = self.steps.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("_d"), F.min("child").alias("down"))
+        above = self.steps.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("_u"), F.min("parent").alias("up"))
+        single = cut(above.filter("_u = 1").join(below.filter("_d = 1"), "node").select("node", "up", "down"))
+        names = single.select(F.col("node").alias("_n"))
+        found = cut(single.join(names, F.col("up") == F.col("_n"), "left").select("node", "up", "down", F.coalesce("_n", "node").alias("head"), F.when(F.col("_n").isNull(), 0).otherwise(1).cast("long").alias("pos")))
+        size, rounds, self.closed = found.count(), 0, False
+        while size and not self.closed:
+            rounds += 1
+            before = found.select(F.col("node").alias("head"), F.col("head").alias("_h"), F.col("pos").alias("_p"))
+            found = cut(found.join(before, "head").select("node", "up", "down", F.col("_h").alias("head"), (F.col("pos") + F.col("_p")).alias("pos"), (F.col("_h") != F.col("head")).alias("_on")))
+            if found.filter("_on").isEmpty():
+                break
+            self.closed = 1 << rounds > 4 * size
+        self.inner = found.select("node", "head", (F.col("pos") + 1).alias("pos"))
+        first = found.filter("node = head").select("head", F.col("up").alias("parent"))
+        last = found.join(names, F.col("down") == F.col("_n"), "left_anti").select("head", F.col("down").alias("child"), (F.col("pos") + 2).alias("weight"))
+        plain = self.steps.join(names, F.col("parent") == F.col("_n"), "left_anti").join(names, F.col("child") == F.col("_n"), "left_anti").withColumn("weight", F.lit(1).cast("long"))
+        over = first.join(last, "head").select("parent", "child", "weight", "head")
+        self.edges = cut(plain.withColumn("head", F.lit(None).cast(over.schema["head"].dataType)).unionByName(over))
+        self.heads = over.select("head", F.col("parent").alias("anchor"), F.col("child").alias("end"))
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """Shortest and longest distance of every node from a root: ``node, level, depth``.
 
-    One join per level of the hierarchy, over distinct (node, distance) pairs that are
-    checkpointed; a path longer than the number of nodes is a cycle, at any depth.
+    Chains are edges of their length (see ``_Chains``); then one join for each level that is
+    left, of the nodes whose distances changed. A longer path than there are nodes is a cycle.
     """
-    steps = cut(edges.select("parent", "child").distinct())
-    frontier = cut(roots(steps).withColumn("distance", F.lit(0)))
-    seen, size, distance = frontier, _nodes(steps).count(), 0
-    if size and frontier.isEmpty():
-        raise ValueError("the hierarchy has a cycle: no node is without a parent")
+    chains = _Chains(edges)
+    cycle = ValueError("the hierarchy has a cycle")
+    if chains.closed:
+        raise cycle
+    hops = chains.edges.groupBy("parent", "child").agg(F.min("weight").alias("short"), F.max("weight").alias("long"))
+    hops, size = cut(hops), _nodes(chains.edges).count()
+    state = cut(roots(chains.edges).select("node", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("depth")))
+    frontier, rounds = state, 0
     while not frontier.isEmpty():
-        distance += 1
-        if distance > size:
-            raise ValueError("the hierarchy has a cycle")
-        frontier = cut(frontier.join(steps, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().withColumn("distance", F.lit(distance)))
-        # nodes met before keep their first distance, and get this one as their deepest so far
-        seen = seen.unionByName(frontier)
-        if distance % 50 == 0:
-            seen = cut(seen.groupBy("node").agg(F.array(F.min("distance"), F.max("distance")).alias("d")).select("node", F.explode(F.array_distinct("d")).alias("distance")))
-    found = seen.groupBy("node").agg(F.min("distance").alias("level"), F.max("distance").alias("depth"))
-    if found.count() < size:
+        rounds += 1
+        if rounds > size:
+            raise cycle
+        met = frontier.join(hops, F.col("node") == F.col("parent")).groupBy(F.col("child").alias("node")).agg(F.min(F.col("level") + F.col("short")).alias("_l"), F.max(F.col("depth") + F.col("long")).alias("_d"))
+        merged = state.join(met, "node", "full")
+        better = F.col("level").isNull() | (F.col("_l") < F.col("level")) | (F.col("_d") > F.col("depth"))
+        state = cut(merged.select("node", F.least("level", "_l").alias("level"), F.greatest("depth", "_d").alias("depth"), (F.col("_l").isNotNull() & better).alias("_new")))
+        frontier, state = state.filter("_new").drop("_new"), state.drop("_new")
+    if state.count() < size:
         raise ValueError("the hierarchy has a cycle: some nodes are not under a root")
-    return found
+    at = state.select(F.col("node").alias("anchor"), "level", "depth")
+    inside = chains.inner.join(chains.heads, "head").join(at, "anchor").select("node", (F.col("level") + F.col("pos")).alias("level"), (F.col("depth") + F.col("pos")).alias("depth"))
+    return state.unionByName(inside).select("node", F.col("level").cast("int").alias("level"), F.col("depth").cast("int").alias("depth"))
 
 
 def is_acyclic(edges: DataFrame) -> bool:
-    """Whether taking away nodes without parents, again and again, leaves nothing."""
-    left = edges.select("parent", "child").distinct()
-    before = -1
+    """Whether taking chains together, then nodes without parents again and again, leaves nothing."""
+    chains = _Chains(edges)
+    if chains.closed:
+        return False
+    left, before = chains.edges.select("parent", "child").distinct(), -1
     while (count := left.count()) != before:
         before = count
         left = cut(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"))
@@ -169,17 +211,33 @@ def is_acyclic(edges: DataFrame) -> bool:
 
 
 def reachable(edges: DataFrame, start: DataFrame, upward: bool = False) -> DataFrame:
-    """All nodes below (or above) each ``node`` of ``start``, without itself: ``node, other``."""
-    a, b = ("child", "parent") if upward else ("parent", "child")
-    steps = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
-    frontier = start.select("node", F.col("node").alias("other"))
-    found = frontier.limit(0)
+    """All nodes below (or above) each ``node`` of ``start``, without itself: ``node, other``.
+
+    The search goes over chains as single edges (see ``_Chains``) and adds what lies inside of
+    those it met; a start inside a chain goes on from the chain's end.
+    """
+    chains = _Chains(edges, upward)
+    asked = start.select("node").distinct()
+    steps = (chains.steps if chains.closed else chains.edges).select(F.col("parent").alias("_a"), F.col("child").alias("_b")).distinct()
+    if chains.closed:
+        placed = asked.select("node", F.lit(None).cast("long").alias("pos"), F.col("node").alias("end"))
+        frontier = asked.select("node", F.col("node").alias("other"))
+    else:
+        placed = cut(asked.join(chains.inner, "node", "left").join(chains.heads.select("head", "end"), "head", "left"))
+        frontier = placed.select("node", F.coalesce("end", "node").alias("other"))
+    found = frontier = cut(frontier)
     while True:
         new = frontier.join(steps, F.col("other") == F.col("_a")).select("node", F.col("_b").alias("other")).distinct()
         frontier = cut(new.join(found, ["node", "other"], "left_anti"))
         if frontier.isEmpty():
-            return found.filter("node <> other")
+            break
         found = found.unionByName(frontier)
+    if not chains.closed:
+        members = chains.inner.select("head", F.col("node").alias("other"), F.col("pos").alias("_p"))
+        through = found.join(chains.heads.select(F.col("anchor").alias("other"), "head"), "other").select("node", "head").join(members, "head").select("node", "other")
+        behind = placed.filter("pos IS NOT NULL").join(members, "head").filter("_p > pos").select("node", "other")
+        found = found.unionByName(through).unionByName(behind).distinct()
+    return found.filter("node <> other")
 
 
 def has_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.lineage import cut
+from helixframe.operators.numbering import in_order
 
 #: Built-in set similarities as functions of common members and both sizes.
 SET_SIMILARITIES: dict[str, Callable[[Column, Column, Column], Column]] = {
@@ -33,71 +35,83 @@ def vector_cosine(left: Column, right: Column) -> Column:
     return F.when(norms > 0, dot(left, right) / norms).otherwise(0.0)
 
 
-#: The same for arrays, where pairs are counted.
-_ARRAY_SIMILARITIES = {"jaccard": lambda c, a, b: c / (a + b - c), "overlap": lambda c, a, b: c / np.minimum(a, b), "cosine": lambda c, a, b: c / np.sqrt(a * b)}
-#: Sources of a shared target that one row of its posting lists holds.
-_POSTINGS = 2048
+#: Of each built-in similarity above t: how many of a set's members are common at least, as a share, and how small a partner may be, as a share of its size.
+_LEAST = {"jaccard": lambda t: (t, t), "cosine": lambda t: (t * t, t * t), "overlap": lambda t: (t, 0.0)}
+#: Sets of a target that meet in one task, and the size from which a set is not sent with its members.
+_CHUNK, _LONG = 1024, 4096
 
 
-def project(annotation: DataFrame, kind: str | Callable[[Column, Column, Column], Column] = "jaccard", threshold: float = 0.1, source: str = "source", target: str = "target", both_ways: bool = True) -> DataFrame:
+def project(
+    annotation: DataFrame, kind: str | Callable[[Column, Column, Column], Column] = "jaccard", threshold: float = 0.1, source: str = "source", target: str = "target", both_ways: bool = True,
+    of_sets: Callable[[set, set], float] | None = None, long: int = _LONG,
+) -> DataFrame:
     """One-mode projection: pairs of sources whose target sets are similar above ``threshold``.
 
-    Pairs meet on a shared target, which is the only way to a similarity above 0, so a
-    negative threshold is refused. A target's sources come in posting lists of bounded
-    length; each source is sent the lists of its targets and counts its partners in one task,
-    so no row stands for a pair until it is known to be similar. Returns ``source, target,
-    weight``, in both directions. ``kind`` is a name or a function of common members and both
-    sizes.
+    Returns ``source, target, weight``, in both directions. ``kind`` is a name or a function of
+    common members and both sizes; ``of_sets`` is a Python function of two sets instead, called
+    for pairs that share a target. A similarity above 0 needs one, so a negative threshold is
+    refused.
+
+    Targets are ordered from rare to common. Sets similar above the threshold share one of the
+    first targets of each (of the smaller, for ``overlap``), so they meet at these only, and a
+    pair is judged at its rarest common target, once. Sizes and places in the sets leave out
+    pairs that can't be similar before the sets are compared. Sources with equal sets are one set
+    until the end. The sets of a target are dealt to chunks, and a pair of chunks is a key of the
+    join, so no task holds a common target; sets of more than ``long`` members are counted
+    against those large enough to be similar, without being sent.
     """
     if threshold < 0:
         raise ValueError("a threshold below 0 would also join pairs that share nothing")
-    edges = annotation.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s IS NOT NULL AND t IS NOT NULL").distinct()
-    # numbers for sources, cut off so that every reader sees the same ones
-    sizes = cut(edges.groupBy("s").agg(F.count("*").alias("n")).withColumn("i", F.monotonically_increasing_id()))
-    numbered = edges.join(sizes, "s").select("i", "n", "t")
-    lists = numbered.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("all"))
-    chunk = F.expr(f"transform(sequence(0, (size(all) - 1) DIV {_POSTINGS}), k -> slice(all, k * {_POSTINGS} + 1, {_POSTINGS}))")
-    postings = lists.select("t", F.explode(chunk).alias("l")).select("t", F.col("l.i").alias("js"), F.col("l.n").alias("ms"))
-    sent = numbered.join(postings, "t").filter(F.col("i") < F.element_at("js", -1)).select("i", "n", "js", "ms").repartition("i").sortWithinPartitions("i")
-    weigh = _ARRAY_SIMILARITIES.get(kind) if isinstance(kind, str) else None
-    if isinstance(kind, str) and weigh is None:
+    if isinstance(kind, str) and kind not in SET_SIMILARITIES:
         raise ValueError(f"kind must be one of {tuple(SET_SIMILARITIES)}")
-
-    def counted(i: np.ndarray, n: np.ndarray, js: pa.Array, ms: pa.Array) -> pa.RecordBatch:
-        """Partners of some sources, all of whose lists are here."""
-        many = np.diff(js.offsets.to_numpy())
-        a, na, b, nb = np.repeat(i, many), np.repeat(n, many), js.flatten().to_numpy(), ms.flatten().to_numpy()
-        later = b > a
-        a, na, b, nb = a[later], na[later], b[later], nb[later]
-        order = np.lexsort((b, a))
-        a, na, b, nb = a[order], na[order], b[order], nb[order]
-        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
-        c = np.diff(np.append(first, len(a))).astype(float)
-        a, na, b, nb = a[first], na[first].astype(float), b[first], nb[first].astype(float)
-        w = weigh(c, na, nb) if weigh else np.zeros(len(a))
-        keep = w > threshold if weigh else np.ones(len(a), bool)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, c, na, nb, w)], ["a", "b", "c", "na", "nb", "weight"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # of the last source, whose lists may go on in the next batch
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
-            i = table.column("i").to_numpy()
-            new = int(np.searchsorted(i, i[-1]))
-            rest = table.slice(new)
-            if new:
-                whole = table.slice(0, new).to_batches()[0]
-                yield counted(i[:new], whole.column(1).to_numpy(), whole.column(2), whole.column(3))
-        if rest is not None:
-            whole = rest.combine_chunks().to_batches()[0]
-            yield counted(whole.column(0).to_numpy(), whole.column(1).to_numpy(), whole.column(2), whole.column(3))
-
-    pairs = sent.mapInArrow(run, "a long, b long, c double, na double, nb double, weight double")
-    if not weigh:
-        pairs = pairs.withColumn("weight", kind(F.col("c"), F.col("na"), F.col("nb"))).filter(F.col("weight") > threshold)
-    names = sizes.select("i", "s")
-    found = pairs.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
-    one = found.select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "weight")
+    weigh = SET_SIMILARITIES[kind] if isinstance(kind, str) else kind
+    share, partner = _LEAST[kind](threshold) if isinstance(kind, str) and of_sets is None else (0.0, 0.0)
+    edges = annotation.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s IS NOT NULL AND t IS NOT NULL").distinct()
+    ranked = in_order(edges.groupBy("t").agg(F.count("*").alias("_f")), ["_f", "t"], "r").select("t", "r")
+    owned = cut(edges.join(ranked, "t").groupBy("s").agg(F.sort_array(F.collect_list("r")).alias("set")))
+    sets = cut(owned.groupBy("set").agg(F.count("*").alias("members")).withColumns({"i": F.monotonically_increasing_id(), "n": F.size("set")}))
+    double = lambda c: F.col(c).cast("double")
+
+    # short sets meet at their first targets
+    first = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1)
+    spread = F.col("set") if kind == "overlap" else F.slice("set", F.lit(1), first.cast("int"))
+    met = sets.filter(F.col("n") <= long).select("i", "n", "set", first.alias("p"), F.posexplode(spread).alias("at", "r"))
+    chunks = met.groupBy("r").agg(F.ceil(F.count("*") / _CHUNK).alias("chunks"), F.count("*").alias("_m")).filter("_m > 1").drop("_m")
+    dealt = met.join(chunks, "r").withColumn("chunk", F.pmod(F.xxhash64("i"), F.col("chunks")))
+    keyed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("r", "i", "n", "set", "at", "p", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk")
+    left = keyed.filter("chunk = x").select("r", "x", "y", *(F.col(c).alias(f"{c}_a") for c in ("i", "n", "set", "at", "p")))
+    right = keyed.filter("chunk = y").select("r", "x", "y", *(F.col(c).alias(f"{c}_b") for c in ("i", "n", "set", "at", "p")))
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    # chunks of one number hold both sides of a pair, others only one
+    pairs = left.join(right, ["r", "x", "y"]).filter(F.when(F.col("x") == F.col("y"), F.col("i_a") < F.col("i_b")).otherwise(F.lit(True))).filter(small >= large * F.lit(partner) - 1e-9)
+    if kind == "overlap":
+        pairs = pairs.filter(((F.col("n_a") == small) & (F.col("at_a") < F.col("p_a"))) | ((F.col("n_b") == small) & (F.col("at_b") < F.col("p_b"))))
+    if isinstance(kind, str) and of_sets is None:  # all targets from here on are common at most
+        pairs = pairs.filter(weigh(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")).cast("double"), double("n_a"), double("n_b")) > threshold - 1e-9)
+    common = F.filter(F.array(F.array_intersect("set_a", "set_b")), lambda c: F.element_at(c, 1) == F.col("r"))
+    found = pairs.select("i_a", "i_b", "n_a", "n_b", F.explode(common).alias("_c")).select("i_a", "i_b", "n_a", "n_b", F.size("_c").alias("c"))
+
+    # long sets are counted
+    whole = sets.filter(F.col("n") > long).select("i", "n", F.explode("set").alias("r"))
+    near = sets.filter(F.col("n") >= long * partner).select("i", "n", F.explode("set").alias("r"))
+    counted = whole.toDF("i_a", "n_a", "r").join(near.toDF("i_b", "n_b", "r"), "r").filter((F.col("n_b") <= long) | (F.col("i_a") < F.col("i_b")))
+    found = found.unionByName(counted.groupBy("i_a", "i_b", "n_a", "n_b").agg(F.count("*").cast("int").alias("c")))
+
+    alone = sets.filter("members > 1").select(F.col("i").alias("i_a"), F.col("i").alias("i_b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").alias("c"))
+    found = found.unionByName(alone)
+    if of_sets is not None:
+        names = owned.select("s", "set").join(sets.select("set", "i"), "set").groupBy("i").agg(F.min("s").alias("s")).join(edges, "s").groupBy("i").agg(F.collect_list("t").alias("ts"))
+
+        def judged(left: pd.Series, right: pd.Series) -> pd.Series:
+            return pd.Series([float(of_sets(set(a), set(b))) for a, b in zip(left, right, strict=True)], dtype=float)
+
+        both = found.join(names.toDF("i_a", "ts_a"), "i_a").join(names.toDF("i_b", "ts_b"), "i_b")
+        weighed = both.select("i_a", "i_b", F.pandas_udf(judged, "double")("ts_a", "ts_b").alias("weight"))
+    else:
+        weighed = found.select("i_a", "i_b", weigh(double("c"), double("n_a"), double("n_b")).alias("weight"))
+    members = owned.join(sets.select("set", "i"), "set").select("i", "s")
+    out = weighed.filter(F.col("weight") > threshold).join(members.toDF("i_a", "x"), "i_a").join(members.toDF("i_b", "y"), "i_b").filter((F.col("i_a") != F.col("i_b")) | (F.col("x") < F.col("y")))
+    one = out.select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "weight")
     return one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")) if both_ways else one
 
 
@@ -118,7 +132,7 @@ def correlation(X: DataFrame, cells: DataFrame, tile: int = 1024) -> DataFrame:
     inside = X.join(cells.select("cell"), "cell", "left_semi").select("cell", "gene", F.col("value").cast("double").alias("value"))
     n = cells.agg(F.count("*").cast("double").alias("n"))
     sums = inside.groupBy("gene").agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
-    genes = cut(sums.withColumn("i", (F.row_number().over(Window.orderBy("gene")) - 1).cast("long")))  # a dimension: a row per gene
+    genes = in_order(sums, ["gene"], "i")
     products = _products(inside.join(genes.select("gene", "i"), "gene"), max(1, cells.count() // tile), tile)
     side = lambda k: genes.select(F.col("i").alias(f"i_{k}"), F.col("gene").alias(f"gene_{k}"), F.col("s1").alias(f"s1{k}"), F.col("s2").alias(f"s2{k}"))
     joined = products.join(side("a"), "i_a").join(side("b"), "i_b").crossJoin(F.broadcast(n))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.numbering import in_order
+
 
 def hash_order(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string") if isinstance(key, str) else key.cast("string")))
@@ -42,24 +44,13 @@ def positions(df: DataFrame, key: str, seed: int, groups: Sequence[str] = (), ou
     return numbered.withColumn(out, (F.col("_start") + F.col("_row")).cast("long")).withColumn(f"{out}_of", F.col("_size").cast("long")).select(*df.columns, out, f"{out}_of")
 
 
-def places(df: DataFrame, order: str, parts: int = 200) -> DataFrame:
-    """``df`` with ``_place``: its number from 0 in the order of ``order``.
+def places(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``_place``: its number from 0 in the order of ``order``, of any sortable type.
 
-    Rows are dealt to ranges of ``order`` by approximate quantiles, numbered within each, and
-    shifted by the sizes of the ranges before; a null comes first, ties go by all other columns.
+    A null comes first, ties go by all other columns that can be sorted. See ``numbering.in_order``.
     """
-    key = F.col(order)
-    numeric = dict(df.dtypes)[order] in ("int", "bigint", "smallint", "tinyint", "double", "float")
-    if numeric:
-        cuts = df.agg(F.percentile_approx(key.cast("double"), [k / parts for k in range(1, parts)], 1000).alias("c")).first()["c"] or []
-        part = F.size(F.filter(F.array(*(F.lit(float(x)) for x in sorted(set(cuts)))).cast("array<double>"), lambda x: x < key.cast("double")))
-    else:
-        part = F.coalesce(F.ascii(key), F.lit(-1)) * 1024 + F.coalesce(F.ascii(F.substring(key.cast("string"), 2, 1)), F.lit(-1))
-    marked = df.withColumn("_part", F.when(key.isNull(), -1).otherwise(part))
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy("_part").orderBy(order, *(c for c in df.columns if c != order))
-    return marked.withColumn("_row", F.row_number().over(inner) - 1).join(starts, "_part").withColumn("_place", (F.col("_start") + F.col("_row")).cast("long")).drop("_part", "_row", "_start")
+    others = [c for c, kind in df.dtypes if c != order and "map<" not in kind and kind != "variant"]
+    return in_order(df, [order, *others], "_place")
 
 
 def split_cells(obs: DataFrame, test_size: float = 0.2, stratify: str | None = None, seed: int = 42, key: str = "cell", out: str = "split") -> DataFrame:

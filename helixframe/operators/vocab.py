@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.numbering import in_order
+
 UNKNOWN, MISSING = "<unk>", -1
 POLICIES = ("error", "first", "last", "remove")
 
@@ -26,8 +28,8 @@ def deduplicated(tokens: DataFrame, policy: str = "error", key: str = "token", o
 
 
 def renumbered(vocab: DataFrame) -> DataFrame:
-    """The same order with numbers from 0 (a vocabulary is a dimension of bounded size)."""
-    return vocab.select((F.row_number().over(Window.orderBy("idx")) - 1).cast("long").alias("idx"), "token")
+    """The same order with numbers from 0, counted range by range."""
+    return in_order(vocab.select("idx", "token"), ["idx", "token"], "_new").select(F.col("_new").alias("idx"), "token")
 
 
 def vocabulary(tokens: DataFrame, policy: str = "error", drop_empty: bool = False) -> DataFrame:
@@ -56,7 +58,7 @@ def union(vocab: DataFrame, other: DataFrame) -> DataFrame:
     """Own tokens, then those only in ``other``."""
     new = other.join(vocab.select("token"), "token", "left_anti").select(F.lit(1).alias("_o"), "idx", "token")
     both = vocab.select(F.lit(0).alias("_o"), "idx", "token").unionByName(new)
-    return both.select((F.row_number().over(Window.orderBy("_o", "idx")) - 1).cast("long").alias("idx"), "token")
+    return in_order(both, ["_o", "idx", "token"], "_new").select(F.col("_new").alias("idx"), "token")
 
 
 def selected(vocab: DataFrame, keep: DataFrame, keep_order: bool = True, minimum: int = 1) -> DataFrame:

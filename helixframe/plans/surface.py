@@ -15,7 +15,7 @@ from helixframe.plans import training
 from helixframe.plans.experiment import Experiment
 from helixframe.plans.registry import query, rounded
 from helixframe.plans.tables import sql
-from helixframe.sources import readers
+from helixframe.sources import h5ad, readers
 from helixframe.sources.catalog import Catalog
 
 
@@ -558,6 +558,26 @@ def experiment_on_disk(spark, d):
     return rounded(known.load_experiment(spark, "a/orders").use_layer("log1p").matrix)
 
 
+def _h5ad(spark, d) -> Experiment:
+    """Order counts written as annotated matrix files and read back, cells and genes by their names."""
+    genes = t.table(spark, d, "part").select(F.col("p_brand").alias("gene"), F.col("p_brand").alias("gene_name")).distinct()
+    path = _path(spark, "h5ad")
+    h5ad.write_h5ad(Experiment(t.order_counts(spark, d), t.order_obs(spark, d), genes), path, cells=50_000)
+    return h5ad.read_h5ad(spark, path)
+
+
+@query(sql("c1 obs", "SELECT CAST(cell AS VARCHAR) AS cell, gene, value FROM c1 JOIN obs USING (cell)"))
+def h5ad_matrix(spark, d):
+    e = _h5ad(spark, d)
+    return e.matrix.join(e.obs.select("cell", "cell_name"), "cell").join(e.var.select("gene", "gene_name"), "gene").select(F.col("cell_name").alias("cell"), F.col("gene_name").alias("gene"), "value")
+
+
+@query(sql("obs", "SELECT row_number() OVER (ORDER BY cell) - 1 AS place, CAST(cell AS VARCHAR) AS cell, pert, cell_type, batch FROM obs"))
+def h5ad_obs(spark, d):
+    e = _h5ad(spark, d)
+    return e.obs.select(F.col("cell").alias("place"), F.col("cell_name").alias("cell"), "pert", F.col(e.cell_type).alias("cell_type"), "batch")
+
+
 @query(sql("c1 obs", "SELECT cell, gene, value FROM c1 JOIN obs USING (cell) WHERE pert = '5-LOW' AND batch = 'F'"))
 def experiment_where(spark, d):
     return _experiment(spark, d).where("pert = '5-LOW' AND batch = 'F'").matrix

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.operators.numbering import in_order
+
 #: The 17 columns of the GAF 2 format, in order.
 GAF_COLUMNS = (
     "DB", "DB_Object_ID", "DB_Object_Symbol", "Qualifier", "GO_ID", "DB_Reference", "Evidence_Code", "With_From", "Aspect",
@@ -146,7 +148,6 @@ def mapped_labels(df: DataFrame, column: str, parse: Callable[[str], str | None]
 
 def numbered_terms(annotation: DataFrame) -> DataFrame:
     """``gene, term`` as numbers of the sorted names, for export."""
-    g, t = Window.orderBy("gene"), Window.orderBy("term")
-    genes = annotation.select("gene").distinct().withColumn("source", F.row_number().over(g) - 1)
-    terms = annotation.select("term").distinct().withColumn("target", F.row_number().over(t) - 1)
+    genes = in_order(annotation.select("gene").distinct(), ["gene"], "source")
+    terms = in_order(annotation.select("term").distinct(), ["term"], "target")
     return annotation.join(genes, "gene").join(terms, "term").select("source", "target")

@@ -300,11 +300,11 @@ def test_draws_with_replacement(spark):
         splits.sample_weighted(obs, "w")
 
 
-def test_projection_in_short_posting_lists(spark, monkeypatch):
+def test_projection_in_small_chunks(spark, monkeypatch):
     rng = np.random.default_rng(10)
     sets = {f"s{i}": set(rng.choice(12, rng.integers(1, 8), replace=False).tolist()) | ({99} if i % 2 else set()) for i in range(30)}
     ann = spark.createDataFrame([(s, str(t)) for s, ts in sets.items() for t in ts], "source string, target string")
-    monkeypatch.setattr(similarity, "_POSTINGS", 4)
+    monkeypatch.setattr(similarity, "_CHUNK", 4)
     for kind, f in (("jaccard", lambda c, a, b: c / (a + b - c)), ("overlap", lambda c, a, b: c / min(a, b)), ("cosine", lambda c, a, b: c / np.sqrt(a * b))):
         want = {(x, y): f(len(sets[x] & sets[y]), len(sets[x]), len(sets[y])) for x in sets for y in sets if x != y and sets[x] & sets[y]}
         got = {(r["source"], r["target"]): r["weight"] for r in similarity.project(ann, kind, 0.3).collect()}
@@ -324,3 +324,144 @@ def test_variable_genes_by_any_flavor(spark, counts):
         hvg.highly_variable_genes(X, obs, "other")
     with pytest.raises(ValueError):
         preprocess.normalize_total(X, obs, max_fraction=1.5)
+
+
+def brute_projection(sets, weigh, threshold):
+    out = {}
+    for a in sets:
+        for b in sets:
+            if a != b and (c := len(sets[a] & sets[b])) and (w := weigh(c, len(sets[a]), len(sets[b]))) > threshold:
+                out[a, b] = round(w, 9)
+    return out
+
+
+WEIGHTS = {"jaccard": lambda c, a, b: c / (a + b - c), "overlap": lambda c, a, b: c / min(a, b), "cosine": lambda c, a, b: c / (a * b) ** 0.5}
+
+
+@pytest.mark.parametrize("kind", list(WEIGHTS))
+@pytest.mark.parametrize(("threshold", "long"), [(0.0, 4096), (0.5, 4096), (0.8, 5), (0.5, 3), (1 / 3, 8)])
+def test_projection(spark, kind, threshold, long, monkeypatch):
+    """Equal sets, a target that most have, targets nobody shares, chunks of two sets, sets too long to be sent."""
+    import random
+
+    monkeypatch.setattr(similarity, "_CHUNK", 2)
+    rng = random.Random(9)
+    sets = {f"s{i}": set(rng.sample("abcdefghijkl", rng.randint(0, 8))) | ({"hot"} if rng.random() < 0.8 else set()) for i in range(60)}
+    sets |= {f"e{i}": {"hot"} for i in range(7)} | {f"f{i}": {"x", "y", "hot"} for i in range(5)} | {"own": {"alone"}}
+    rows = [(s, t) for s, ts in sets.items() for t in ts] * 2 + [(None, "a"), ("s1", None)]
+    got = similarity.project(spark.createDataFrame(rows, "source string, target string"), kind, threshold, long=long).collect()
+    assert len(got) == len({(r[0], r[1]) for r in got})
+    assert {(r[0], r[1]): round(r[2], 9) for r in got} == brute_projection(sets, WEIGHTS[kind], threshold)
+
+
+def test_projection_by_functions(spark):
+    rows = [("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 9), ("d", 2), ("d", 1)]
+    df = spark.createDataFrame(rows, "source string, target int")
+    counted = similarity.project(df, lambda c, a, b: c / F.greatest(a, b), 0.4, both_ways=False)
+    python = similarity.project(df, threshold=0.4, both_ways=False, of_sets=lambda x, y: len(x & y) / max(len(x), len(y)))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, python.collect())) == [("a", "b", 0.5), ("a", "d", 1.0), ("b", "d", 0.5)]
+    with pytest.raises(ValueError):
+        similarity.project(df, threshold=-0.1)
+    with pytest.raises(ValueError):
+        similarity.project(df, "none")
+
+
+def test_projection_of_a_common_target_is_linear(spark):
+    """A target of many sources costs nothing where the threshold asks for more than it."""
+    n = 40_000
+    own = spark.range(n).select(F.col("id").alias("source"), F.explode(F.array(F.lit(-1).cast("long"), F.col("id") * 2 + 10, F.col("id") * 2 + 11)).alias("target"))
+    extra = spark.createDataFrame([(n + 1, 10), (n + 1, 11), (n + 1, -1)], "source long, target long")
+    assert sorted(map(tuple, similarity.project(own.union(extra), "jaccard", 0.5).collect())) == [(0, n + 1, 1.0), (n + 1, 0, 1.0)]
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(9,3)", "date", "double", "boolean"])
+def test_places_of_any_type(spark, kind):
+    import random
+
+    rng = random.Random(3)
+    raw = {
+        "string": [None, "a", "aЖ", "b", "", "Ж", "日本", "cell_1", "cell_10", "cell_2", "\U0001f600", "￿", "A"] + [f"cell_{i}" for i in range(300)],
+        "decimal(9,3)": ["-1", "10", "9", "9.5", None, "0", "-10.25"], "date": ["2020-01-02", "1999-12-31", None, "2020-01-01"], "double": [1.5, float("nan"), None, -0.5, float("inf")], "boolean": [True, False, None] * 3,
+    }[kind]
+    rows = [(i, x if x is None or not isinstance(x, str) else x) for i, x in enumerate(raw * 2)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, f"i int, x {'string' if kind in ('decimal(9,3)', 'date') else kind}").select("i", F.col("x").cast(kind).alias("x"))
+    got = [(r["i"], r["x"]) for r in splits.places(df, "x").orderBy("_place").collect()]
+    assert list(map(str, got)) == [str((r["i"], r["x"])) for r in df.orderBy("x", "i").collect()]
+    assert sorted(r[0] for r in splits.places(df, "x").select("_place").collect()) == list(range(len(rows)))
+
+
+def test_places_split_one_prefix_and_one_value(spark):
+    """Names that begin alike, and a value that all rows share, are dealt to several tasks."""
+    from helixframe.operators.numbering import in_order
+
+    for column in (F.concat(F.lit("barcode_"), F.col("id")), F.lit("same")):
+        df = spark.range(20_000).select(column.alias("cell"))
+        out = in_order(df, ["cell"], "n")
+        parts = out.groupBy(F.spark_partition_id()).count().collect()
+        assert out.agg(F.max("n"), F.countDistinct("n")).first() == (19_999, 20_000)
+        assert len(parts) > 1 and max(r["count"] for r in parts) < 15_000
+
+
+def brute_below(edges):
+    below, nodes = {}, {n for e in edges for n in e}
+    for n in nodes:
+        todo, seen = [n], set()
+        while todo:
+            for c in {b for a, b in edges if a == todo[-1]} - seen if todo else ():
+                seen.add(c)
+                todo.insert(0, c)
+            todo.pop()
+        below[n] = seen
+    return below
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reachability_and_levels_with_chains(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    edges = {(a, b) for a in range(25) for b in range(a + 1, 25) if rng.random() < 0.06}
+    edges |= {(100 + i, 101 + i) for i in range(9)} | {(3, 200), (200, 201), (201, 202), (202, 20)} | {(300, 301)} | {(5, 400), (400, 24), (5, 24)}
+    df = spark.createDataFrame(sorted(edges) * 2, "parent int, child int")
+    nodes = sorted({n for e in edges for n in e})
+    below = brute_below(edges)
+    start = spark.createDataFrame([(n,) for n in nodes] + [(999,)], "node int")
+    got = graphs.reachable(df, start).collect()
+    assert len(got) == len(set(got)) and {(r[0], r[1]) for r in got} == {(n, c) for n in nodes for c in below[n]}
+    up = graphs.reachable(df, start, upward=True).collect()
+    assert {(r[1], r[0]) for r in up} == {(n, c) for n in nodes for c in below[n]}
+    short, long_ = {}, {}
+    for n in nodes:  # sorted order is topological but for the chain to 20
+        if not any(b == n for _, b in edges):
+            short[n] = long_[n] = 0
+    for _ in nodes:
+        for a, b in edges:
+            if a in short:
+                short[b], long_[b] = min(short.get(b, 1 << 30), short[a] + 1), max(long_.get(b, 0), long_[a] + 1)
+    assert {(r["node"], r["level"], r["depth"]) for r in graphs.levels(df).collect()} == {(n, short[n], long_[n]) for n in nodes}
+    assert graphs.is_acyclic(df)
+    for extra in ([(24, 3)], [(500, 501), (501, 502), (502, 500)], [(109, 100)]):
+        bad = df.union(spark.createDataFrame(extra, "parent int, child int"))
+        closed = brute_below(edges | set(extra))
+        assert graphs.is_acyclic(bad) == (not any(n in x for n, x in closed.items()))
+        some = spark.createDataFrame([(extra[0][0],), (3,)], "node int")
+        assert {(r[0], r[1]) for r in graphs.reachable(bad, some).collect()} == {(n, c) for n in (extra[0][0], 3) for c in closed[n] if c != n}
+        if any(n in x for n, x in closed.items()):
+            with pytest.raises(ValueError, match="cycle"):
+                graphs.levels(bad)
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    """10,000 nodes one below the other, in any order of their names."""
+    n = 10_000
+    name = lambda c: F.md5(c.cast("string"))
+    df = spark.range(n - 1).select(name(F.col("id")).alias("parent"), name(F.col("id") + 1).alias("child"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = graphs.levels(df).agg(F.max("level"), F.count("*"), F.sum("depth")).first()
+    below = graphs.reachable(df, spark.range(1).select(name(F.lit(7)).alias("node"))).count()
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert tuple(got) == (n - 1, n, n * (n - 1) // 2) and below == n - 8
+    assert jobs <= 300  # every exchange of the adaptive planner is one; a level at a time they were some 40,000

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
 import pytest
 
 from helixframe.plans.experiment import Experiment
-from helixframe.sources import catalog, readers, roles
+from helixframe.sources import catalog, hdf5, readers, roles
+from helixframe.sources.h5ad import read_h5ad, write_h5ad
 
 OBO = """format-version: 1.2
 
@@ -109,69 +113,114 @@ def test_experiment(spark):
     assert e.split_cells(test_size=0.5).obs.filter("split = 'test'").count() == 2
 
 
-_FAKE_H5PY = '''
-import pickle
-import numpy as np
-
-class Dataset(np.ndarray):
-    pass
-
-class Group:
-    def __init__(self, held):
-        self.held, self.attrs = held, held.get("@", {})
-    def keys(self):
-        return [k for k in self.held if k != "@"]
-    def __getitem__(self, name):
-        at = self.held
-        for part in name.split("/"):
-            at = at[part]
-        return Group(at) if isinstance(at, dict) else at
-
-class File(Group):
-    def __init__(self, path, mode):
-        with open(path, "rb") as f:
-            super().__init__(pickle.load(f))
-    def __enter__(self):
-        return self
-    def __exit__(self, *_):
-        pass
-'''
-
-
-def test_h5ad(spark, tmp_path, monkeypatch):
-    """The layout of the files, through a stand-in for the HDF5 package, which is not installed here."""
-    import importlib.util
-    import pickle
-
-    import numpy as np
-
-    from helixframe.sources.h5ad import read_h5ad
-
-    if importlib.util.find_spec("h5py") is None:
-        with pytest.raises(ImportError):
-            read_h5ad(spark, "none")
-    (tmp_path / "h5py.py").write_text(_FAKE_H5PY)
-    monkeypatch.syspath_prepend(str(tmp_path))
-    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
-    rng = np.random.default_rng(3)
-    dense = rng.integers(0, 3, (11, 4)).astype(np.float32)
+def _tree(rng, cells=11, genes=4):
+    """An annotated matrix as it is stored: sparse by cells, by genes and dense, with columns of all kinds."""
+    dense = rng.integers(0, 3, (cells, genes)).astype(np.float32)
     i, j = np.nonzero(dense)
-    csr = {"@": {"encoding-type": "csr_matrix", "shape": np.array([11, 4])}, "data": dense[i, j], "indices": j, "indptr": np.append(0, np.cumsum((dense != 0).sum(1)))}
     k, m = np.nonzero(dense.T)
-    csc = {"@": {"encoding-type": "csc_matrix", "shape": np.array([11, 4])}, "data": dense.T[k, m], "indices": m, "indptr": np.append(0, np.cumsum((dense != 0).sum(0)))}
-    obs = {"@": {"_index": "_index"}, "_index": np.array([f"c{x}".encode() for x in range(11)], object), "cell_type": {"codes": np.array([0, 1, -1] * 3 + [0, 1], np.int8), "categories": np.array([b"T", b"B"], object)}, "n": np.arange(11), "ok": np.arange(11) > 4, "cell": np.arange(11)}
-    var = {"@": {"_index": "names"}, "names": np.array([f"g{x}" for x in range(4)], object)}
+    shape = np.array([cells, genes])
+    csr = {"@": {"encoding-type": "csr_matrix", "shape": shape}, "data": dense[i, j], "indices": j.astype(np.int32), "indptr": np.append(0, np.cumsum((dense != 0).sum(1)))}
+    csc = {"@": {"encoding-type": "csc_matrix", "shape": shape}, "data": dense.T[k, m], "indices": m, "indptr": np.append(0, np.cumsum((dense != 0).sum(0)))}
+    codes = (np.arange(cells) % 3 - 1).astype(np.int8)
+    obs = {
+        "@": {"_index": "names", "column-order": np.array(["ok", "cell_type"], object)}, "names": np.array([f"cé{x}" for x in range(cells)], object), "cell_type": {"codes": codes, "categories": np.array(["T", "B"], object)},
+        "n": np.arange(cells, dtype=np.uint16), "x": np.arange(cells) / 4, "ok": np.arange(cells) > 4, "gap": {"values": np.arange(cells), "mask": np.arange(cells) == 2}, "cell": np.arange(cells),
+    }
+    var = {"@": {"_index": "_index"}, "_index": np.array([f"g{x}" for x in range(genes)], object)}
+    return {"X": csr, "obs": obs, "var": var, "layers": {"byte": csc, "full": dense}, "obsm": {"pca": np.arange(cells * 2.0).reshape(cells, 2)}}, {(int(a), int(b)): float(dense[a, b]) for a, b in zip(i, j, strict=True)}
+
+
+def test_h5ad(spark, tmp_path):
+    tree, want = _tree(np.random.default_rng(3))
     path = str(tmp_path / "a.h5ad")
-    with open(path, "wb") as f:
-        pickle.dump({"X": csr, "obs": obs, "var": var, "layers": {"byte": csc, "full": dense}}, f)
-    want = {(int(a), int(b)): float(dense[a, b]) for a, b in zip(i, j, strict=True)}
+    hdf5.save(path, tree, chunk_bytes=64)
     for layer in (None, "byte", "full"):
         e = read_h5ad(spark, path, layer, rows=3, controls=("c",))
         assert {(r["cell"], r["gene"]): r["value"] for r in e.matrix.collect()} == want
     assert e.shape == (11, 4) and e.cell_type == "cell_type" and e.controls == ("c",)
     rows = e.obs.orderBy("cell").collect()
-    assert [(r["cell"], r["cell_name"], r["cell_type"], r["n"], r["ok"]) for r in rows[2:4]] == [(2, "c2", None, 2, False), (3, "c3", "T", 3, False)]
+    assert [(r["cell"], r["cell_name"], r["cell_type"], r["n"], r["x"], r["ok"], r["gap"]) for r in rows[2:5]] == [(2, "cé2", "B", 2, 0.5, False, None), (3, "cé3", None, 3, 0.75, False, 3), (4, "cé4", "T", 4, 1.0, False, 4)]
+    assert e.obs.columns[:4] == ["cell", "cell_name", "ok", "cell_type"]
     assert [r["gene_name"] for r in e.var.orderBy("gene").collect()] == ["g0", "g1", "g2", "g3"]
+    load = lambda **o: spark.read.format("h5ad").options(rows=2, **o).load(f"file:{path}")
+    assert load(table="obs", columns="n, gap").columns == ["cell", "cell_name", "n", "gap"]
+    assert [tuple(r) for r in load(table="obsm/pca").orderBy("cell").limit(2).collect()] == [(0, [0.0, 1.0]), (1, [2.0, 3.0])]
+    with pytest.raises(Exception, match="no table"):
+        load(table="uns").count()
+    (tmp_path / "no.h5ad").write_bytes(b"no")
+    with pytest.raises(Exception, match="no HDF5 file"):
+        spark.read.format("h5ad").load(str(tmp_path / "no.h5ad")).count()
+
+
+def test_h5ad_parts_pushdown_and_duplicates(spark, tmp_path):
+    """A folder of parts, conditions that leave out blocks, and names that come twice."""
+    rng, want, first = np.random.default_rng(5), {}, 0
+    for part, cells in enumerate((5, 9, 1)):
+        tree, entries = _tree(rng, cells)
+        tree["var"]["_index"] = np.array(["g0", "g1", "g0", "g3"], object)
+        hdf5.save(tmp_path / f"part-{part}.h5ad", tree)
+        want |= {(c + first, g): v for (c, g), v in entries.items()}
+        first += cells
+    path = str(tmp_path)
+    assert {(r["cell"], r["gene"]): r["value"] for r in read_h5ad(spark, path, rows=4, duplicates=None).matrix.collect()} == want
+    with pytest.raises(ValueError, match="repeated"):
+        read_h5ad(spark, path)
+    assert {r["gene"] for r in read_h5ad(spark, path, duplicates="remove").var.collect()} == {1, 3}
+    assert {r["gene"] for r in read_h5ad(spark, path, duplicates="last").matrix.collect()} == {1, 2, 3}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = read_h5ad(spark, path, rows=2, duplicates=None).matrix.filter("cell >= 6 AND cell < 9 AND gene > 0")
+        assert {(r["cell"], r["gene"]): r["value"] for r in some.collect()} == {k: v for k, v in want.items() if 6 <= k[0] < 9 and k[1] > 0}
+        assert some.rdd.getNumPartitions() == 2  # of nine blocks
+        assert read_h5ad(spark, path, duplicates=None).matrix.filter("cell IN (0, 14)").select("cell").distinct().count() == len({k[0] for k in want} & {0, 14})
+        assert read_h5ad(spark, path, duplicates=None).matrix.filter("cell = 99").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_h5ad_is_written_in_parts(spark, tmp_path):
+    X = spark.createDataFrame([("c", "b", 1.0), ("a", "b", 2.0), ("a", "b", 0.5), ("a", "z", 3.0), ("a", "none", 9.0), ("x", "b", 9.0)], "cell string, gene string, value double")
+    obs = spark.createDataFrame([("c", None, 1, True, 0.5), ("a", "T", 2, False, None), ("b", "B", None, True, 1.5)], "cell string, cell_type string, n int, ok boolean, w double")
+    var = spark.createDataFrame([("b", "Gene B", 7), ("z", "Gene Z", 8)], "gene string, gene_name string, at long")
+    made = write_h5ad(Experiment(X, obs, var), str(tmp_path / "w"), cells=2)
+    assert [tuple(r)[1:] for r in made.orderBy("file").collect()] == [(2, 2), (1, 1)]
+    e = read_h5ad(spark, str(tmp_path / "w"))
+    assert sorted(tuple(r) for r in e.matrix.collect()) == [(0, 0, 2.5), (0, 1, 3.0), (2, 0, 1.0)]
+    found = {r["cell_name"]: (r["cell_type"], r["ok"]) for r in e.obs.collect()}
+    assert found == {"a": ("T", False), "b": ("B", True), "c": (None, True)}
+    assert [tuple(r) for r in e.var.orderBy("gene").collect()] == [(0, "Gene B", 7), (1, "Gene Z", 8)]
+
+
+def test_hdf5_of_both_generations(tmp_path):
+    rng = np.random.default_rng(1)
+    tree = {
+        "@": {"a": "text é", "n": np.int64(5), "s": np.array([3, 4]), "l": np.array(["x", "yy", ""], object)}, "f32": rng.normal(size=(100, 7)).astype(np.float32), "big": rng.integers(0, 1000, 100_000), "u8": np.arange(40, dtype=np.uint8),
+        "flag": rng.random(300) > 0.5, "text": np.array([f"name é {i}" for i in range(10_000)], object), "empty": np.zeros(0), "one": np.float64(2.5), "g": {"x": (np.arange(5), {"k": "v"}), "none": {}}, "many": {f"c{i:04d}": np.arange(i % 5 + 1.0) for i in range(700)},
+    }
+    hdf5.save(tmp_path / "a.h5", tree, chunk_bytes=1 << 12)
+    with hdf5.File(str(tmp_path / "a.h5")) as f:
+        assert f.attrs["a"] == "text é" and f.attrs["n"] == 5 and f.attrs["l"].tolist() == ["x", "yy", ""] and f.keys() == sorted(set(tree) - {"@"})
+        for name in ("f32", "big", "u8", "flag", "text", "empty"):
+            for a, b in ((0, None), (13, 57), (39, 40), (5, 5)):
+                assert np.array_equal(f[name].read(a, b), tree[name][a:b]), name
+        assert f["one"].read() == 2.5 and f["g/x"].attrs == {"k": "v"} and f["g/none"].keys() == [] and len(f["many"].keys()) == 700 and f["many/c0009"].read().tolist() == [0, 1, 2, 3, 4]
+        with pytest.raises(KeyError):
+            f["g/y"]
+    w = hdf5.Writer()
+    at = w._dataset(np.arange(1000.0), {"unit": "m"})
+    link = b"\1\0\4data" + struct.pack("<Q", at)
+    compact = struct.pack("<BB", 4, 0) + struct.pack("<H", 12) + np.arange(3, dtype="<i4").tobytes()
+    small = w._put(b"OHDR\2\0" + bytes([0]) + b"")
+    body = b"".join(struct.pack("<BHB", k, len(x), 0) + x for k, x in ((hdf5.SPACE, struct.pack("<BBBBQ", 2, 1, 0, 1, 3)), (hdf5.TYPE, w._type(np.zeros(1, np.int32))[0]), (hdf5.LAYOUT, compact)))
+    small = w._put(b"OHDR\2\0" + bytes([len(body)]) + body + b"sum!")
+    second = b"\1\0\5small" + struct.pack("<Q", small)
+    more = w._put(b"OCHK" + struct.pack("<BHB", hdf5.LINK, len(second), 0) + second + b"sum!")
+    body = struct.pack("<BHB", hdf5.LINK, len(link), 0) + link + struct.pack("<BHBQQ", hdf5.MORE, 16, 0, more, 4 + len(second) + 8)
+    root = w._put(b"OHDR\2\0" + bytes([len(body)]) + body + b"sum!")
+    w.out[:48] = hdf5.SIGNATURE + struct.pack("<BBBBQQQQ4s", 2, 8, 8, 0, 0, hdf5.NOWHERE, len(w.out), root, b"sum!")
+    (tmp_path / "b.h5").write_bytes(b"\0" * 512 + bytes(w.out))  # behind a user block
+    with hdf5.File(str(tmp_path / "b.h5")) as f:
+        assert f.keys() == ["data", "small"] and f["data"].attrs == {"unit": "m"} and np.array_equal(f["data"].read(10, 900), np.arange(10.0, 900)) and f["small"].read().tolist() == [0, 1, 2]
 
 
 def test_catalogs_are_merged(spark):
