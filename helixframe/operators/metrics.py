@@ -6,6 +6,10 @@ meant to be there (a dense matrix) unless stated.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,19 +61,47 @@ def evaluate_perturbation(pred: DataFrame, true: DataFrame, ctrl: DataFrame | No
     return out.crossJoin(vector_metrics(evaluation_vectors(pred, true, ctrl), suffix="_delta"))  # a row each
 
 
+#: Terms of the series within a bin, and bins of one kernel width on each side that count: what is left out is below 1e-11.
+_TERMS, _REACH = 20, 6
+
+
+def _kernel_series(offset: int) -> np.ndarray:
+    """Chebyshev coefficients, by both places, of exp(-(x - y)^2) for x in one bin of width 1 and y in the bin ``offset`` on."""
+    k = np.arange(_TERMS)
+    node = np.cos(np.pi * (k + 0.5) / _TERMS)
+    values = np.exp(-(((node[:, None] - node[None, :]) / 2 - offset) ** 2))
+    basis = np.cos(np.outer(k, np.arccos(node))) * np.where(k == 0, 1, 2)[:, None] / _TERMS
+    return basis @ values @ basis.T
+
+
 def mmd(pred: DataFrame, true: DataFrame, gamma: float = 1.0, per_gene: bool = False) -> DataFrame:
     """Biased squared maximum mean discrepancy of each gene under a Gaussian kernel, or its mean.
 
-    Pairs are formed between distinct values of a gene with their counts, as the definition
-    asks for all pairs of cells; the work is quadratic in a gene's distinct values.
+    A fast Gauss sum: values fall into bins of the kernel's width, and of each bin the sums of
+    Chebyshev polynomials are kept, one aggregation over all cells. Pairs of cells become pairs
+    of bins, at most 13 a bin, weighed with the kernel's series; farther ones have no weight
+    that a double would show. The result is the definition's to about 1e-10, in work linear in
+    the number of cells.
     """
-    a = pred.groupBy("gene", F.col("value").alias("v")).agg(F.count("*").cast("double").alias("c")).withColumn("w", F.lit(1.0))
-    b = true.groupBy("gene", F.col("value").alias("v")).agg(F.count("*").cast("double").alias("c")).withColumn("w", F.lit(-1.0))
-    sizes = Window.partitionBy("gene", "w")
-    points = a.unionByName(b).withColumn("q", F.col("w") * F.col("c") / F.sum("c").over(sizes)).groupBy("gene", "v").agg(F.sum("q").alias("q"))
-    other = points.select("gene", F.col("v").alias("v2"), F.col("q").alias("q2"))
-    kernel = F.exp(-gamma * (F.col("v") - F.col("v2")) * (F.col("v") - F.col("v2")))
-    genes = points.join(other, "gene").groupBy("gene").agg(F.sum(F.col("q") * F.col("q2") * kernel).alias("mmd"))
+    x = F.col("value").cast("double") * float(np.sqrt(gamma))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (x - F.floor(x)) - 1)))
+
+    def side(X: DataFrame, sign: float) -> DataFrame:
+        sums = X.groupBy("gene", F.floor(x).alias("bin")).agg(*(F.sum(F.cos(angle * i)).alias(f"t{i}") for i in range(_TERMS)))
+        n = F.sum("t0").over(Window.partitionBy("gene"))  # the first polynomial is 1
+        return sums.select("gene", "bin", *((F.col(f"t{i}") * sign / n).alias(f"t{i}") for i in range(_TERMS)))
+
+    both = side(pred, 1.0).unionByName(side(true, -1.0)).groupBy("gene", "bin").agg(F.array(*(F.sum(f"t{i}") for i in range(_TERMS))).alias("m"))
+    near = both.select("gene", F.col("m").alias("m2"), F.col("bin").alias("bin2"), F.explode(F.sequence(F.lit(-_REACH), F.lit(_REACH))).alias("_d")).withColumn("bin", F.col("bin2") + F.col("_d")).drop("_d")
+    series = np.stack([_kernel_series(d) for d in range(-_REACH, _REACH + 1)])
+
+    def weighed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right, offset in batches:
+            a, b = (np.stack(x.to_numpy()) if len(x) else np.zeros((0, _TERMS)) for x in (left, right))
+            yield pd.Series(np.einsum("ni,nij,nj->n", a, series[offset.to_numpy() + _REACH], b, optimize=True))
+
+    pairs = both.join(near, ["gene", "bin"]).select("gene", F.pandas_udf(weighed, "double")("m", "m2", (F.col("bin2") - F.col("bin")).cast("int")).alias("w"))
+    genes = pairs.groupBy("gene").agg(F.sum("w").alias("mmd"))
     return genes if per_gene else genes.agg(F.avg("mmd").alias("mmd"))
 
 

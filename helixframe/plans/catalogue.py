@@ -155,9 +155,17 @@ def ttest_welch(spark, d):
     return _t_query(spark, d, "welch")
 
 
-@query()
+#: The exact tail: the continued fraction of the incomplete beta function, folded over a list of its terms.
+_EXACT = """, x AS (SELECT *, CASE WHEN df / (df + s * s) < (df / 2 + 1) / (df / 2 + 2.5) THEN df / 2 ELSE 0.5 END AS p, CASE WHEN df / (df + s * s) < (df / 2 + 1) / (df / 2 + 2.5) THEN 0.5 ELSE df / 2 END AS q FROM tt),
+z AS (SELECT *, CASE WHEN q = 0.5 THEN df ELSE s * s END / (df + s * s) AS z, exp(lgamma((df + 1) / 2) - lgamma(df / 2) - lgamma(0.5) + df / 2 * ln(df / (df + s * s)) + 0.5 * ln(s * s / (df + s * s))) AS front FROM x),
+h AS (SELECT *, list_reduce(list_prepend({'c': CAST(1.0 AS DOUBLE), 'd': 1 / (1 - (p + q) * z / (p + 1)), 'h': 1 / (1 - (p + q) * z / (p + 1)), 's': CAST(0.0 AS DOUBLE)},
+          list_transform(range(2, 600), lambda j: {'c': CAST(1.0 AS DOUBLE), 'd': CAST(1.0 AS DOUBLE), 'h': CAST(1.0 AS DOUBLE), 's': CASE WHEN j % 2 = 0 THEN (j // 2) * (q - j // 2) * z / ((p + j - 1) * (p + j)) ELSE -(p + j // 2) * (p + q + j // 2) * z / ((p + j - 1) * (p + j)) END})),
+          lambda a, t: {'c': 1 + t.s / a.c, 'd': 1 / (1 + t.s * a.d), 'h': a.h * (1 + t.s / a.c) / (1 + t.s * a.d), 's': t.s}).h AS h FROM z)
+SELECT gene, target, round(s, 6) + 0.0 AS statistic, round(df, 6) + 0.0 AS df, round(CASE WHEN s = 0 THEN 1.0 WHEN q = 0.5 THEN front * h / p ELSE 1 - front * h / p END, 6) + 0.0 AS p_value, round(md, 6) + 0.0 AS mean_diff, round(l, 6) + 0.0 AS log2_fold_change FROM h"""
+
+
+@query(_t_sql("welch").split(" SELECT gene, target, round(s, 6)")[0] + _EXACT)
 def ttest_welch_exact(spark, d):
-    """Exact tails need the incomplete beta function, which SQL lacks; tests hold it against known values."""
     return rounded(de.t_test(t.order_counts(spark, d), t.order_obs(spark, d), "pert", CONTROL, "welch", "exact"))
 
 
@@ -683,7 +691,12 @@ def _long(oracle: str) -> str:
     return f"SELECT metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({oracle})) ON COLUMNS(*) INTO NAME metric VALUE value)"
 
 
-_FAMILIES = [_long(ORACLES["expression_metrics"]), _long(f"SELECT (SELECT round(avg(mmd), 6) + 0.0 FROM ({ORACLES['mmd_per_gene']})) AS mmd, (SELECT round(avg(wasserstein), 6) + 0.0 FROM ({ORACLES['wasserstein_per_gene']})) AS wasserstein"), _long(ORACLES["direction_metrics"]), f"SELECT metric, value FROM ({_overlap_sql([20, 50, 100, 200], [0.05, 0.01], [0.05, 0.01])})"]
+def _exact(oracle: str) -> str:
+    """The SQL of a query before it rounds, for one that rounds itself."""
+    return oracle.replace(", 6) + 0.0", ", 15) + 0.0")
+
+
+_FAMILIES = [_long(_exact(ORACLES["expression_metrics"])), _long(f"SELECT (SELECT avg(mmd) FROM ({_exact(ORACLES['mmd_per_gene'])})) AS mmd, (SELECT avg(wasserstein) FROM ({_exact(ORACLES['wasserstein_per_gene'])})) AS wasserstein"), _long(_exact(ORACLES["direction_metrics"])), f"SELECT metric, value FROM ({_overlap_sql([20, 50, 100, 200], [0.05, 0.01], [0.05, 0.01])})"]
 
 
 @query("SELECT metric, round(value, 4) + 0.0 AS value FROM (" + " UNION ALL ".join(_FAMILIES) + ")")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helixframe.functions.special import erfc_sql
@@ -484,8 +485,30 @@ def training_matrices(spark, d):
     obs = cu.select(F.col("c_custkey").alias("cell"), F.lit("T").alias("cell_type"))
     x = cu.select(F.col("c_custkey").alias("cell"), F.col("c_nationkey").alias("gene"), F.col("c_acctbal").alias("value"))
     e = Experiment(x, obs, t.table(spark, d, "nation").select(F.col("n_nationkey").alias("gene"), F.col("n_name").alias("gene_name")), cell_type="cell_type")
-    rows = [(int(cell), int(gene), float(out[i, gene])) for cells, out in training.matrices(e, size=64) for i, cell in enumerate(cells) for gene in out[i].nonzero()[0]]  # what a loader would get
-    return splits.places(spark.createDataFrame(rows, "cell long, gene int, value double"), "cell").withColumnRenamed("_place", "place")
+
+    def entries(rank, lots):  # noqa: ARG001  (what a loader would get)
+        for lot in lots:
+            at, gene = lot.values.nonzero()
+            yield pa.RecordBatch.from_arrays([pa.array([lot.cells[i] for i in at], pa.int64()), pa.array(gene, pa.int32()), pa.array(lot.values[at, gene])], ["cell", "gene", "value"])
+
+    return splits.places(training.each_rank(e, entries, "cell long, gene int, value double", ranks=2, size=64), "cell").withColumnRenamed("_place", "place")
+
+
+@query(sql("obs", "SELECT cell, turn, CAST(turn % 3 AS INTEGER) AS rank, turn // 96 AS batch FROM (SELECT cell, row_number() OVER (ORDER BY md5('43:' || cell), cell) - 1 AS turn FROM obs)"))
+def training_epoch(spark, d):
+    return training.epoch(_experiment(spark, d), ranks=3, size=32, number=1)
+
+
+@query(sql("obs", "SELECT batch, CAST(turn % 2 AS INTEGER) AS rank, count(*) AS cells FROM (SELECT turn // 2000 AS batch, turn FROM (SELECT row_number() OVER (ORDER BY md5('42:' || cell), cell) - 1 AS turn FROM obs)) GROUP BY ALL"))
+def training_ranks(spark, d):
+    def sizes(rank, lots):
+        for lot in lots:
+            yield pa.RecordBatch.from_arrays([pa.array([lot.number]), pa.array([rank], pa.int32()), pa.array([len(lot.cells)])], ["batch", "rank", "cells"])
+
+    obs = t.order_obs(spark, d)
+    users = t.order_counts(spark, d).select("cell", F.regexp_extract("gene", "([0-9]+)$", 1).cast("long").alias("gene"), "value")
+    genes = users.select("gene", F.col("gene").cast("string").alias("gene_name")).distinct()
+    return training.each_rank(Experiment(users, obs, genes), sizes, "batch long, rank int, cells long", ranks=2, size=1000)
 
 
 # Evaluation
@@ -628,12 +651,18 @@ def experiment_guessed(spark, d):
     return e.obs.select("cell", F.col(e.cell_type).alias("cell_type"))
 
 
-@query(sql("ann", c._PROJ.format(f=c._FORMS["jaccard"], t=0.1) + ", w2 AS (SELECT source, target, weight, row_number() OVER (PARTITION BY target ORDER BY weight DESC, source) AS r FROM f) SELECT source, target, round(weight, 6) + 0.0 AS weight FROM w2 WHERE r <= 2"))
+_ANNOTATED = sql("ann", c._PROJ.format(f=c._FORMS["jaccard"], t=0.1) + ", w2 AS (SELECT source, target, weight, row_number() OVER (PARTITION BY target ORDER BY weight DESC, source) AS r FROM f) SELECT source, target, round(weight, 6) + 0.0 AS weight FROM w2 WHERE r <= 2")
+_EXPRESSED = sql("e1", c._CORR + " SELECT source, target, round(weight, 6) + 0.0 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY source = target DESC, weight DESC, target) AS k FROM r) WHERE k <= 20 AND source <> target AND weight > 0.1")
+
+
+@query(f"SELECT 'annotation' AS kind, source, target, weight FROM ({_ANNOTATED}) UNION ALL SELECT 'expression', source, target, weight FROM ({_EXPRESSED})")
 def training_graphs(spark, d):
     genes = t.table(spark, d, "customer").select(F.col("c_custkey").alias("gene"), F.col("c_name").alias("gene_name"))
     named = t.annotation(spark, d).join(genes, F.col("source") == F.col("gene")).select(F.col("gene_name").alias("gene"), F.col("target").alias("term"))
-    e = Experiment(t.labelled(spark, d, 0), t.vectors(spark, d).select("cell", F.lit("control").alias("perturbation")).distinct(), genes)
-    return rounded(training.graphs(e, named, go_k=2)[0])
+    vectors = t.labelled(spark, d, 0)
+    e = Experiment(vectors, vectors.select("cell", F.lit("control").alias("perturbation")).distinct(), genes)
+    annotated, expressed = training.graphs(e, named, go_k=2, coexpression_threshold=0.1)
+    return rounded(annotated.withColumn("kind", F.lit("annotation")).unionByName(expressed.withColumn("kind", F.lit("expression"))))
 
 
 @query(sql("combo", "SELECT DISTINCT CASE WHEN label = 'control' THEN NULL WHEN contains(label, '+') THEN array_to_string(list_sort(list_transform(string_split(label, '+'), lambda x: trim(x))), '+') ELSE label || '+ctrl' END AS condition FROM combo WHERE label <> 'control'"))

@@ -1,14 +1,17 @@
-"""Tables that a perturbation model is trained from: graphs, control means, and batches of a split."""
+"""Tables that a perturbation model is trained from: graphs, control means, and batches for the ranks of a training run."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators import moments, similarity
+from helixframe.operators import moments, similarity, splits
 from helixframe.plans.experiment import Experiment
 
 
@@ -29,23 +32,68 @@ def control_means(experiment: Experiment) -> DataFrame:
     return moments.pseudobulk(experiment.matrix, experiment.obs.filter(F.col(experiment.perturbation).isin(list(experiment.controls))))
 
 
-def batches(experiment: Experiment, split: str | None = None, size: int = 32) -> Iterator[list]:
-    """Records of a split in lists of ``size``, fetched partition by partition."""
-    lot: list = []
-    for row in experiment.records(split).toLocalIterator(prefetchPartitions=True):
-        lot.append(row)
-        if len(lot) == size:
-            yield lot
-            lot = []
-    if lot:
-        yield lot
-
-
-def matrices(experiment: Experiment, split: str | None = None, size: int = 32) -> Iterator[tuple[list, np.ndarray]]:
-    """The same as cells and dense arrays, a row a cell and a column a gene number."""
-    width = (experiment.var.agg(F.max("gene")).first()[0] or 0) + 1
-    for lot in batches(experiment, split, size):
-        out = np.zeros((len(lot), width))
-        for row, record in enumerate(lot):
-            out[row, record["indices"] or []] = record["values"] or []
-        yield [r["cell"] for r in lot], out
+@dataclass
+class Lot:
+    """A batch as a rank gets it: its number, the cells, and a dense array, a row a cell and a column a gene number."""
+
+    number: int
+    cells: list
+    values: np.ndarray
+
+
+def epoch(experiment: Experiment, ranks: int, size: int = 32, number: int = 0, seed: int = 42, split: str | None = None) -> DataFrame:
+    """``cell, turn, rank, batch``: who gets which cell of a split when, in epoch ``number``.
+
+    Cells take turns in the order of a hash of seed, epoch and name; ranks take them in turn,
+    ``size`` each a batch. So every cell comes once an epoch whatever the number of ranks, and
+    counts of ranks differ by one at most.
+    """
+    obs = experiment.obs.filter(F.col("split") == split) if split else experiment.obs
+    placed = splits.positions(obs.select("cell"), "cell", seed + number, out="_pos")
+    turn = (F.col("_pos") - 1).cast("long")
+    return placed.select("cell", turn.alias("turn"), (turn % ranks).cast("int").alias("rank"), F.floor(turn / (ranks * size)).cast("long").alias("batch"))
+
+
+def each_rank(
+    experiment: Experiment, step: Callable[[int, Iterator[Lot]], Iterator[pa.RecordBatch]], schema: str, ranks: int, size: int = 32, number: int = 0, seed: int = 42, split: str | None = None
+) -> DataFrame:
+    """Run ``step(rank, batches)`` on every rank at once and return what the ranks yield.
+
+    Ranks are the tasks of a barrier stage: all start together or none does, and if one is
+    lost all begin again. Each gets its own batches in order from Spark's shuffle, the same
+    number of them on every rank; the last may be short or empty. Nothing goes through the
+    driver, and a rank holds one batch at a time. As many task slots as ranks are needed.
+    """
+    turns = epoch(experiment, ranks, size, number, seed, split)
+    width = (experiment.var.agg(F.max("gene")).first()[0] or 0) + 1  # one number
+    lots = -(-turns.count() // (ranks * size))
+    entries = experiment.matrix.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("gene", F.col("value").cast("double").alias("value")))).alias("_e"))
+    rows = turns.join(entries, "cell", "left").select("rank", "batch", "turn", "cell", F.col("_e.gene").cast("array<long>").alias("genes"), F.col("_e.value").alias("values"))
+    ready = rows.repartitionById(ranks, F.col("rank")).sortWithinPartitions("batch", "turn")
+
+    def built(number: int, cells: list, genes: list, values: list) -> Lot:
+        out = np.zeros((len(cells), width))
+        for row, (at, found) in enumerate(zip(genes, values, strict=True)):
+            if at is not None:
+                out[row, at] = found
+        return Lot(number, cells, out)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[Lot]:
+        due, held = 0, ([], [], [])
+        for batch in batches:
+            for number, *record in zip(*(batch.column(c).to_pylist() for c in ("batch", "cell", "genes", "values")), strict=True):
+                while due < number:
+                    yield built(due, *held)
+                    due, held = due + 1, ([], [], [])
+                for column, value in zip(held, record, strict=True):
+                    column.append(value)
+        for k in range(due, lots):
+            yield built(k, *held)
+            held = ([], [], [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        context.barrier()
+        yield from step(context.partitionId(), own(batches))
+
+    return ready.mapInArrow(run, schema, barrier=True)

@@ -465,3 +465,16 @@ def test_a_long_chain_takes_few_jobs(spark):
     spark.sparkContext.setJobGroup("rest", "rest")
     assert tuple(got) == (n - 1, n, n * (n - 1) // 2) and below == n - 8
     assert jobs <= 300  # every exchange of the adaptive planner is one; a level at a time they were some 40,000
+
+
+@pytest.mark.parametrize("gamma", [1.0, 0.03, 40.0])
+def test_mmd_is_the_definition(spark, gamma):
+    rng = np.random.default_rng(8)
+    A, B = rng.normal(size=(70, 3)) * [1, 30, 1e-3], rng.normal(size=(50, 3)) * [2, 30, 1e-3] + [0.5, -3, 1e6]
+    A[:20, 0] = np.arange(-10, 10) / np.sqrt(gamma)  # on the borders of bins
+    frame = lambda M: spark.createDataFrame([(i, j, float(M[i, j])) for i in range(len(M)) for j in range(3)], "cell int, gene int, value double")
+    k = lambda x, y: np.exp(-gamma * (x[:, None] - y[None, :]) ** 2).mean()
+    want = {j: k(A[:, j], A[:, j]) + k(B[:, j], B[:, j]) - 2 * k(A[:, j], B[:, j]) for j in range(3)}
+    got = {r["gene"]: r["mmd"] for r in metrics.mmd(frame(A), frame(B), gamma, per_gene=True).collect()}
+    assert all(abs(got[j] - want[j]) < 1e-9 for j in range(3)), (got, want)
+    assert abs(metrics.mmd(frame(A), frame(B), gamma).first()[0] - np.mean(list(want.values()))) < 1e-9
