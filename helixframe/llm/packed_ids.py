@@ -146,11 +146,13 @@ def read_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     blocks of the wanted documents are unpacked. An id that is not there gives no row; a
     repeated one a row each.
     """
-    wanted = sorted(set(ids))
+    wanted = set(ids)
     if not wanted:
         return spark.createDataFrame([], "doc_id long, ids array<long>")
-    segments = spark.read.parquet(path).filter((F.col("greatest") >= wanted[0]) & (F.col("least") <= wanted[-1]))
-    segments = segments.filter(F.arrays_overlap("docs", F.array(*(F.lit(x).cast("long") for x in wanted))))
+    segments = spark.read.parquet(path).filter((F.col("greatest") >= min(wanted)) & (F.col("least") <= max(wanted)))
+    names = spark.createDataFrame([(x,) for x in wanted], "_doc long")
+    holding = segments.select("file", "segment", F.explode("docs").alias("_doc")).join(names, "_doc", "left_semi").select("file", "segment").distinct()
+    segments = segments.join(holding, ["file", "segment"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

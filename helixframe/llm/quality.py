@@ -104,10 +104,8 @@ def _samples(docs: DataFrame, labels: DataFrame, p: Quality, id_col: str, text_c
         chosen.append(known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(p.sample).collect())
     ids = docs.sparkSession.createDataFrame(sorted({(r["_id"],) for rows in chosen for r in rows}), "_id long")  # a row for each sampled label at most
     slim = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text")).filter(F.coalesce(F.octet_length("_text"), F.lit(0)) <= p.longest)
-    texts: dict[int, bytes] = {}
-    for r in slim.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_id", F.col("_text").cast("binary").alias("_text")).collect():
-        text = bytes(r["_text"] or b"")  # of several texts of an id the least, whatever order they come in
-        texts[r["_id"]] = min(text, texts.get(r["_id"], text))
+    least = slim.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min(F.coalesce("_text", F.lit("")).cast("binary")).alias("_text"))
+    texts = {r["_id"]: bytes(r["_text"]) for r in least.collect()}  # of several texts of an id the least, so a row for each sampled label at most
     out = []
     for rows in chosen:
         label = {r["_id"]: r["_label"] for r in sorted(rows, key=lambda r: (r["_id"], r["_label"]), reverse=True)}  # the least label

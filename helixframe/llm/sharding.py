@@ -48,7 +48,15 @@ def sharded(docs: DataFrame, weights: Sequence[float], key_col: str = "doc_id",
     return ranked(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, weights: Sequence[float], key_col: str = "doc_id", parts: int = 8) -> None:
-    """Write whole rows to one folder per shard, each in ``parts`` files, sorted by key."""
-    dealt = docs.withColumn("shard", shard_of(F.col(key_col).cast("long"), weights)).withColumn("_part", F.pmod(F.xxhash64(key_col, F.lit(0)), F.lit(parts)))
-    dealt.repartition("shard", "_part").drop("_part").sortWithinPartitions("shard", key_col).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, weights: Sequence[float], key_col: str = "doc_id", text_col: str = "text", file_bytes: int = 256 << 20) -> None:
+    """Write whole rows to one folder per shard, in files of about ``file_bytes`` bytes of text, sorted by key.
+
+    Rows without a key are one key and may share a file; null texts have no bytes. A shard
+    without rows has no folder, and an empty table writes none.
+    """
+    dealt = docs.withColumn("shard", shard_of(F.col(key_col).cast("long"), weights))
+    files = F.greatest(F.lit(1), F.ceil(F.sum(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 64) / file_bytes))
+    counts = dealt.groupBy("shard").agg(files.cast("int").alias("_files"))
+    total = counts.agg(F.sum("_files")).first()[0] or 1  # one number
+    parted = dealt.join(F.broadcast(counts), "shard").withColumn("_part", F.pmod(F.xxhash64(key_col, F.lit(0)), F.col("_files")))  # a row a shard
+    parted.repartition(int(total), "shard", "_part").drop("_part", "_files").sortWithinPartitions("shard", key_col).write.partitionBy("shard").parquet(path)

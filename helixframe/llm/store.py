@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,23 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from helixframe.operators.lineage import folder
+
 #: Bits of the id filter: one megabyte, whatever the size of the table behind it.
 FILTER_BITS = 1 << 23
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``.
-
-    A session on one machine, as in tests, gets a folder of its own where none is set; on a
-    cluster a folder of the driver would be seen by no executor, so that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+    """This application's folder below the one that driver and executors share; see ``lineage.folder``."""
+    return f"{folder(spark)}/{spark.sparkContext.applicationId}"
 
 
 @contextlib.contextmanager

@@ -94,6 +94,10 @@ class Factors:
     source_start: np.ndarray
 
 
+#: Places of equal windows a word, on average, from which on suffixes are sorted.
+_MANY = 8
+
+
 def _longest(text: np.ndarray, i: int, places: np.ndarray) -> tuple[int, np.ndarray]:
     """Words that the longest match of ``text[i:]`` at one of ``places`` has, and the places that have it."""
     length, step = 0, 32
@@ -108,6 +112,63 @@ def _longest(text: np.ndarray, i: int, places: np.ndarray) -> tuple[int, np.ndar
         return length + int(ahead.max()), places[ahead == ahead.max()]
 
 
+class _Suffixes:
+    """The suffixes of a row of numbers in order, for the longest match of one of them with an earlier one.
+
+    Prefix doubling sorts them in as many rounds as the longest repeat has bits. Each suffix
+    knows the nearest ones before and behind it in this order that start earlier; the longest
+    match with any earlier one is with one of these two.
+    """
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
+        self.ranks, step = [rank], 1
+        while True:
+            ahead = np.zeros(n, np.int64)
+            ahead[: n - step] = rank[step:] + 1
+            key = rank * (n + 1) + ahead
+            order = np.argsort(key, kind="stable")
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) > 0)
+            if rank[order[-1]] == n - 1 or step >= n:
+                break
+            self.ranks.append(rank)
+            step *= 2
+        self.before, self.behind = self._earlier(order.tolist()), self._earlier(order[::-1].tolist())
+
+    @staticmethod
+    def _earlier(order: list[int]) -> list[int]:
+        """The nearest suffix passed that starts earlier, or -1."""
+        out, open_ = [-1] * len(order), []
+        for at in order:
+            while open_ and open_[-1] > at:
+                open_.pop()
+            if open_:
+                out[at] = open_[-1]
+            open_.append(at)
+        return out
+
+    def common(self, i: int, j: int) -> int:
+        """How many values two suffixes begin with alike."""
+        length, n = 0, len(self.before)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            if max(i, j) + length < n and self.ranks[k][i + length] == self.ranks[k][j + length]:
+                length += 1 << k
+        return length
+
+    def longest(self, i: int) -> tuple[int, int]:
+        """The longest match of suffix ``i`` with an earlier one, and the earliest that has it."""
+        near = [(self.common(i, j), -j) for j in (self.before[i], self.behind[i]) if j >= 0]
+        if not near:
+            return 0, -1
+        length, at = max(near)
+        at = -at
+        while nearer := [j for j in (self.before[at], self.behind[at]) if j >= 0 and self.common(i, j) >= length]:
+            at = min(nearer)
+        return length, at
+
+
 def parse(words: Words, refs: _References, p: SubstringDedup) -> Factors:
     """Factor each document against its reference blocks and its own earlier words.
 
@@ -115,6 +176,8 @@ def parse(words: Words, refs: _References, p: SubstringDedup) -> Factors:
     stretch, or with the document from an earlier word on; the earliest source among equals.
     Words with no match of ``length`` words are passed over. Behind a factor the parse goes on
     ``length - 1`` words before its end, so windows across the boundary are checked as well.
+    Places are compared one by one; a document with more than ``_MANY`` of them a word takes
+    its matches from sorted suffixes instead, so the work stays near linear.
     """
     n, count = p.length, len(words.texts)
     at, keys = words.windows(n)
@@ -144,22 +207,36 @@ def parse(words: Words, refs: _References, p: SubstringDedup) -> Factors:
     hits = np.flatnonzero((earlier > 0) | (high > low))
     edges = np.searchsorted(owner[hits], np.arange(count + 1))
     rows, starts, lengths, places = [], [], [], []
+    ref_edges = np.searchsorted(refs.owner, np.arange(count + 1))
+    begin = refs.bounds[:-1] + np.arange(len(refs.owner))
     for row in np.flatnonzero(np.diff(edges)):
         k, end = int(edges[row]), int(edges[row + 1])
         spots = at[hits[k:end]]
-        j = 0
+        j, suffixes = 0, None
+        if int((earlier[hits[k:end]] + high[hits[k:end]] - low[hits[k:end]]).sum()) > _MANY * int(words.counts[row]):
+            one, other = (int(begin[x]) if x < len(begin) else len(refs.hashes) + len(refs.owner) for x in ref_edges[row : row + 2])
+            doc = int(words.bounds[row]) + int(row)
+            joined = np.concatenate([text[here + one : here + other], text[doc : doc + int(words.counts[row]) + 1]])
+            ends = np.flatnonzero((joined == _DOC_END) | (joined == _REF_END))
+            _, numbers = np.unique(joined, return_inverse=True)
+            numbers[ends] = numbers.max() + 1 + np.arange(len(ends))  # no two ends are alike
+            suffixes, shift = _Suffixes(numbers), other - one
         while j < len(spots):
             w = hits[k + j]
-            options = np.concatenate([at_text[order[first[w] : first[w] + earlier[w]]], ref_text[ref_order[low[w] : high[w]]]])
-            size, best = _longest(text, int(at_text[w]), options)
+            if suffixes is not None:
+                size, place = suffixes.longest(int(at_text[w]) - doc + shift)
+                place = here + one + place if place < shift else doc + place - shift
+            else:
+                options = np.concatenate([at_text[order[first[w] : first[w] + earlier[w]]], ref_text[ref_order[low[w] : high[w]]]])
+                size, best = _longest(text, int(at_text[w]), options)
+                outside = best[best >= here]
+                place = int(outside.min() if len(outside) else best.min())
             if size < n:  # equal fingerprints of different words
                 j += 1
                 continue
-            outside = best[best >= here]
-            rows.append(row), starts.append(int(at[w])), lengths.append(size), places.append(int(outside.min() if len(outside) else best.min()))
+            rows.append(row), starts.append(int(at[w])), lengths.append(size), places.append(place)
             j = int(np.searchsorted(spots, spots[j] + size - n + 1))
     rows, starts, lengths, places = (np.array(x, np.int64) for x in (rows, starts, lengths, places))
-    begin = refs.bounds[:-1] + np.arange(len(refs.owner))
     stretch = np.where(places >= here, np.searchsorted(begin, places - here, "right") - 1, -1)
     base = words.bounds[rows]
     inside = places - rows - base

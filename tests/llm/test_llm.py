@@ -9,11 +9,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import chat, decontaminate, near_dedup, packed_ids, packing, quality, sharding, store, substring_dedup, token_counts, warc
 from helixframe.llm.encoding import Encoder, vocabulary_path
+from helixframe.llm.words import texts_of, words_of
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -561,7 +563,9 @@ def test_sharding(spark, docs, odd):
 
 
 def test_write_shards(spark, docs, tmp_path):
-    sharding.write_shards(docs.drop("kept"), str(tmp_path / "s"), [1.0, 2.0], parts=2)
+    sharding.write_shards(docs.drop("kept"), str(tmp_path / "s"), [1.0, 2.0], file_bytes=2000)
+    files = list((tmp_path / "s").rglob("*.parquet"))
+    assert len(files) > 4 and all(len(spark.read.parquet(str(f)).head(2)) for f in files)
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
 
 
@@ -682,3 +686,60 @@ def test_plain_markup_is_read_as_the_parser_reads_it(monkeypatch):
     quick = [warc.plain_text(x) for x in plain]
     monkeypatch.setattr(warc, "_read_plainly", lambda parser, html: False)
     assert quick == [warc.plain_text(x) for x in plain]
+
+
+def _parsed(texts, refs, many, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_MANY", many)
+    words = words_of(next(texts_of(pa.array(texts), 1 << 40))[2])
+    p = substring_dedup.SubstringDedup()
+    return substring_dedup.parse(words, substring_dedup._References.of(pa.array(refs, substring_dedup._NO_REFERENCES.type), p), p)
+
+
+def test_sorted_suffixes_give_the_same_factors(monkeypatch):
+    """Matches from sorted suffixes against places compared one by one, with stretches and own repeats."""
+    rng = np.random.default_rng(1)
+    draw = lambda n, k: " ".join(str(x) for x in rng.integers(0, k, rng.integers(0, n)))
+    found = 0
+    for _ in range(60):
+        k = rng.choice([2, 3, 6])
+        base = [draw(300, k) for _ in range(3)]
+        texts = [f"{base[rng.integers(3)]} {draw(150, k)} {base[rng.integers(3)]}" for _ in range(3)]
+        refs = []
+        for text in base:
+            hashes = words_of(next(texts_of(pa.array([text]), 1 << 40))[2]).hashes
+            refs.append([{"source": s, "stag": 1, "block": b, "words": h.tobytes()} for s, b, h in ((7, 0, hashes), (9, 2, hashes[:40]))] if rng.random() < 0.7 and len(hashes) else None)
+        one, two = (_parsed(texts, refs, many, monkeypatch) for many in (1 << 40, -1))
+        for name in ("row", "start", "length", "stretch", "source_start"):
+            assert np.array_equal(getattr(one, name), getattr(two, name))
+        found += len(one.row)
+    assert found > 100
+
+
+def test_parse_of_many_repeats_is_near_linear(monkeypatch):
+    """A phrase and another word, over and over: every repeat but the first goes, in time that grows with the text."""
+    import time
+
+    phrase = " ".join(f"w{i}" for i in range(20))
+    seconds = []
+    for k in (4000, 16_000):
+        began = time.process_time()
+        out = _parsed([" ".join(f"{phrase} x{i}" for i in range(k))], [None], 8, monkeypatch)
+        seconds.append(time.process_time() - began)
+        assert out.start.tolist() == [21 * i for i in range(1, k)] and set(out.length) == {20} and not out.source_start.any()
+    assert seconds[1] < 10 * seconds[0] and seconds[1] < 12
+
+
+def test_sampled_ids_with_many_texts(spark):
+    """An id that repeats is one row for the fit, with its least text, however often it comes."""
+    docs = spark.range(300).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("text")).union(spark.createDataFrame([(1, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 0)], "doc_id long, quality int")
+    rows = quality._samples(docs, labels, quality.Quality(), "doc_id", "text", ("quality", "toxic"))
+    assert sorted((r["_label"], r["_text"]) for r in rows[0]) == [(0, ""), (0, "t0002"), (1, "t0000")] and rows[1] == []
+
+
+def test_reading_documents_by_many_ids(spark, docs, tmp_path):
+    packed_ids.write_ids(docs, str(tmp_path / "i"))
+    every = {r["doc_id"] for r in docs.select("doc_id").collect() if r["doc_id"] is not None}
+    some = packed_ids.read_documents(spark, str(tmp_path / "i"), [*range(-500, 40), 10**9])
+    assert {r["doc_id"] for r in some.collect()} == {i for i in every if i < 40}
+    assert packed_ids.read_documents(spark, str(tmp_path / "i"), []).count() == 0
