@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm import decontaminate, near_dedup, packing, quality, substring_dedup
@@ -17,7 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality rules keep and do not call toxic.
 
     A null text has no words and goes. Repeated rows and rows without an id are judged like
-    others; an empty table stays empty, and without labels only the base rules decide.
+    others; an empty table stays empty, and without labels only the base rules decide. Texts of
+    any length are judged whole; equal labels and clashing column names change nothing.
     """
     return quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -25,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component on five-word shingles: that with the smallest id.
 
-    Rows that repeat this id stay together; rows without an id, a text or words stay.
+    Rows that repeat this id stay together; rows without an id, a text or words stay. Texts of
+    any length are compared whole, and columns of any name are kept as they are.
     """
     return near_dedup.without_near_duplicates(docs, NEAR)
 
@@ -34,18 +34,25 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without passages of twenty words that stand in an earlier document or earlier in the text.
 
     Documents left without a word go; null and wordless ones stay. Rows that repeat an id are
-    no source for each other; rows without an id lose only their own repeats.
+    no source for each other; rows without an id lose only their own repeats. Of equal passages
+    the first stays; texts of any length are parsed whole, columns of any name are kept.
     """
     return substring_dedup.without_duplicate_spans(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark; null texts and an empty benchmark take nothing."""
+    """Documents that share no window with the benchmark; null texts and an empty benchmark take nothing.
+
+    Repeated rows and items are judged each, texts of any length whole; columns of any name are kept.
+    """
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents left, as pieces of packed sequences; a null text is its end id alone, repeated rows are packed each."""
+    """The documents left, as pieces of packed sequences; a null text is its end id alone, repeated rows are packed each.
+
+    A text longer than a sequence is cut; documents of equal length are placed in order of their ids.
+    """
     return packing.packed(docs)
 
 
@@ -65,7 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each reading what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     last = None
-    for number, (_, stage) in zip(itertools.count(1), STAGES, strict=False):
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = written(docs, f"stage{number}")
