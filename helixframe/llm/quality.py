@@ -291,7 +291,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, p: Quality = Quality(), i
 
 def _judged(column: pa.Array, model: Model, toxic: Toxic, p: Quality) -> Iterator[tuple]:
     """Runs of texts: first, end, the five statistics, base verdict, probabilities of good quality and of a toxic text."""
-    for i, j, texts in texts_of(column):
+    for i, j, texts in texts_of(column, 1 << 18):  # n-grams of characters take some sixty bytes a byte
         texts = decodable(texts)
         words = words_of(texts)
         inside = np.concatenate([[0], np.cumsum(((texts.data & 0xC0) != 0x80) & TEXT_WORD[texts.data])])
