@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.special import normal_two_sided, student_two_sided_exact, student_two_sided_fast
 from helixframe.operators.lineage import cut
 from helixframe.operators.moments import group_mean_var, group_sums, valid
+from helixframe.operators.numbering import running
 
 EPSILON = 1e-9
 REST = "rest"
@@ -73,9 +74,9 @@ def rank_sum(X: DataFrame, obs: DataFrame, group: str, control: str | None, cont
     """Two-sided rank-sum test with ties: ``gene, target, u, tie_sum, z, p_value``.
 
     Without a control every group is tested against all other labelled cells. Works on counts
-    of distinct values per gene and group, zeros filled in by arithmetic; cumulated counts come
-    from one window per gene, so all targets are tested in one pass. ``u`` belongs to the
-    target. ``means`` adds the means of the target and of the cells it is compared with.
+    of distinct values per gene and group, zeros filled in by arithmetic; counts are cumulated
+    over ranges of gene and value, so all targets are tested in one pass and a gene of very
+    many values is many tasks. ``u`` belongs to the target. ``means`` adds the means of the target and of the cells it is compared with.
     """
     labels = obs.select("cell", F.col(group).alias("grp")).filter("grp IS NOT NULL")
     sizes = labels.groupBy("grp").agg(F.count("*").cast("double").alias("n"))
@@ -87,9 +88,7 @@ def rank_sum(X: DataFrame, obs: DataFrame, group: str, control: str | None, cont
     is_ref = F.lit(True) if control is None else F.col("grp") == control  # with no control, ranks are among all cells
     ref = F.when(is_ref, F.col("c")).otherwise(0.0)
     spots = counts.groupBy("gene", "v").agg(F.sum(ref).alias("_equal"))
-    ordered, whole = Window.partitionBy("gene").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("gene")
-    ties = F.sum(F.col("_equal") ** 3 - F.col("_equal")).over(whole)
-    spots = spots.select("gene", "v", "_equal", F.sum("_equal").over(ordered).alias("_up_to"), ties.alias("_ties"), F.sum(F.col("_equal") * F.col("v")).over(whole).alias("_s"), F.sum("_equal").over(whole).alias("n0"))
+    spots = running(spots, "gene", "v", ["_equal"], {"_ties": F.col("_equal") ** 3 - F.col("_equal"), "_s": F.col("_equal") * F.col("v")}).withColumnsRenamed({"_upto__equal": "_up_to", "_all__equal": "n0"})
     c, e = F.col("c"), F.col("_equal")
     targets = counts if control is None else counts.filter(F.col("grp") != control)
     per = targets.join(spots, ["gene", "v"]).groupBy("gene", "grp").agg(

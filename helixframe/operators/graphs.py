@@ -275,10 +275,32 @@ def undirected_edges(hyperedges: DataFrame) -> DataFrame:
     return hyperedges.withColumn("participants", F.array_sort("participants")).dropDuplicates(["participants"])
 
 
-def co_participants(hyperedges: DataFrame) -> DataFrame:
-    """Nodes that share an edge: ``node, neighbor``."""
+def co_participants(hyperedges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Nodes that share an edge: ``node, neighbor``; of the nodes ``asked (node)`` only, if given.
+
+    The incidence is the index: only edges of nodes that are asked for are opened, and the
+    pairs of others are never written.
+    """
     a = incidence(hyperedges)
-    return a.join(a.select("edge_id", F.col("node").alias("neighbor")), "edge_id").filter("node <> neighbor").select("node", "neighbor").distinct()
+    own = a if asked is None else a.join(asked.select("node").distinct(), "node", "left_semi")
+    return own.join(a.select("edge_id", F.col("node").alias("neighbor")), "edge_id").filter("node <> neighbor").select("node", "neighbor").distinct()
+
+
+def co_degrees(hyperedges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``node, degree``: how many nodes share an edge with each node (of those asked for), 0 where none does.
+
+    Nodes in the same edges have the same neighbours, so they are counted as one kind, and a
+    kind's edges are opened once; an edge of a million nodes is not opened for each of them.
+    """
+    a = cut(incidence(hyperedges))
+    kinds = a.groupBy("node").agg(F.sort_array(F.collect_list("edge_id")).alias("edges"))
+    wanted = kinds if asked is None else asked.select("node").distinct().join(kinds, "node", "left")
+    open_ = wanted.filter("edges IS NOT NULL").select("edges").distinct()
+    members = kinds.groupBy(F.col("edges").alias("_e")).agg(F.count("*").alias("m"))
+    links = members.select("_e", "m", F.explode("_e").alias("edge_id"))
+    met = open_.select("edges", F.explode("edges").alias("edge_id")).join(links, "edge_id").select("edges", "_e", "m").distinct()
+    found = met.groupBy("edges").agg((F.sum("m") - 1).alias("degree"))  # without itself
+    return wanted.join(found, "edges", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
 def clique_expansion(hyperedges: DataFrame, weight: str | None = None, default: float = 1.0) -> DataFrame:

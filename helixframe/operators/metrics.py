@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.numbering import running
+
 _NAMES = ("r2", "pearson", "mse", "rmse", "mae", "cosine", "l2")
 
 
@@ -106,12 +108,11 @@ def mmd(pred: DataFrame, true: DataFrame, gamma: float = 1.0, per_gene: bool = F
 
 
 def wasserstein(pred: DataFrame, true: DataFrame, per_gene: bool = False) -> DataFrame:
-    """First-order earth mover's distance of each gene, or its mean."""
+    """First-order earth mover's distance of each gene, or its mean; a gene of very many values is many tasks."""
     count = lambda X, name: X.groupBy("gene", F.col("value").alias("v")).agg(F.count("*").cast("double").alias(name))
     both = count(pred, "a").join(count(true, "b"), ["gene", "v"], "full").fillna(0.0, ["a", "b"])
-    ordered, whole = Window.partitionBy("gene").orderBy("v"), Window.partitionBy("gene")
-    share = lambda c: F.sum(c).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum(c).over(whole)
-    gaps = both.select("gene", F.abs(share("a") - share("b")).alias("d"), (F.lead("v").over(ordered) - F.col("v")).alias("gap"))
+    placed = running(both, "gene", "v", ["a", "b"], following="_next")
+    gaps = placed.select("gene", F.abs(F.col("_upto_a") / F.col("_all_a") - F.col("_upto_b") / F.col("_all_b")).alias("d"), (F.col("_next") - F.col("v")).alias("gap"))
     genes = gaps.groupBy("gene").agg(F.coalesce(F.sum(F.col("d") * F.col("gap")), F.lit(0.0)).alias("wasserstein"))
     return genes if per_gene else genes.agg(F.avg("wasserstein").alias("wasserstein"))
 

@@ -272,14 +272,34 @@ def hvg_batched(spark, d):
     return rounded(out.withColumn("dispersions_norm", F.round("dispersions_norm", 4)))
 
 
+@query(sql("c1 obs", _MANY + ", f AS (SELECT *, round(norm, 9) AS x, row_number() OVER (PARTITION BY batch ORDER BY round(norm, 9) DESC NULLS LAST, gene) AS r FROM nm), cut AS (SELECT batch, min(x) FILTER (WHERE r <= 8) AS nth FROM f GROUP BY batch), g AS (SELECT gene, avg(norm) AS v, CAST(sum(coalesce(x >= nth, false)::INT) AS INTEGER) AS n_batches FROM f JOIN cut USING (batch) GROUP BY gene) SELECT gene, n_batches, row_number() OVER (ORDER BY n_batches DESC, v DESC NULLS LAST, gene) <= 8 AS highly_variable FROM g"))
+def hvg_batched_top(spark, d):
+    return hvg.highly_variable(_logged(spark, d), t.order_obs(spark, d), n_top=8, batch="batch").select("gene", "n_batches", "highly_variable")
+
+
 @query(sql("c1 obs", _MOMENTS + " SELECT gene, round(mean, 6) + 0.0 AS means, round(variance, 6) + 0.0 AS variances, round(variance / mean, 6) + 0.0 AS ratio, CAST(row_number() OVER (ORDER BY variance / mean DESC, gene) AS INTEGER) AS rank FROM mv ORDER BY rank LIMIT 10"))
 def hvg_simple(spark, d):
     return rounded(hvg.simple_variable(t.order_counts(spark, d), t.order_obs(spark, d), 10))
 
 
-@query()
+#: The local quadratic fit by Cramer's rule on the weighted normal equations of each gene's nearest third.
+_LOCAL = """, mv AS (SELECT batch, gene, n, coalesce(s1, 0) / n AS mean, greatest(0, (coalesce(s2, 0) - coalesce(s1, 0) * coalesce(s1, 0) / n) / (n - 1)) AS var
+  FROM (SELECT batch, count(*)::DOUBLE AS n FROM obs GROUP BY 1) CROSS JOIN (SELECT DISTINCT gene FROM c1) LEFT JOIN (SELECT batch, gene, sum(value) AS s1, sum(value * value) AS s2 FROM c1 JOIN obs USING (cell) GROUP BY 1, 2) USING (batch, gene)),
+pts AS (SELECT batch, gene, log10(mean) AS x, log10(var) AS y, count(*) OVER (PARTITION BY batch) AS m FROM mv WHERE var > 0),
+nb AS (SELECT a.batch, a.gene, b.x - a.x AS d, b.y, row_number() OVER (PARTITION BY a.batch, a.gene ORDER BY abs(b.x - a.x), b.x) AS r, least(a.m, greatest(3, ceil(0.3 * a.m))) AS k FROM pts a JOIN pts b USING (batch)),
+wt AS (SELECT batch, gene, d / f AS d, y, power(1 - power(abs(d) / (f * 1.0000001), 3), 3) AS w FROM (SELECT *, max(abs(d)) OVER (PARTITION BY batch, gene) AS f FROM nb WHERE r <= k)),
+s AS (SELECT batch, gene, sum(w) AS a, sum(w * d) AS b, sum(w * d * d) AS c, sum(w * d * d * d) AS e, sum(w * d * d * d * d) AS f, sum(w * y) AS p, sum(w * d * y) AS q, sum(w * d * d * y) AS r FROM wt GROUP BY 1, 2),
+fit AS (SELECT batch, gene, (p * (c * f - e * e) - b * (q * f - e * r) + c * (q * e - c * r)) / (a * (c * f - e * e) - b * (b * f - c * e) + c * (b * e - c * c)) AS y FROM s),
+reg AS (SELECT mv.*, coalesce(sqrt(power(10, y)), 1.0) AS reg FROM mv LEFT JOIN fit USING (batch, gene)),
+cs AS (SELECT batch, gene, sum(least(value, reg * sqrt(n) + mean)) AS s1, sum(power(least(value, reg * sqrt(n) + mean), 2)) AS s2 FROM c1 JOIN obs USING (cell) JOIN reg USING (batch, gene) GROUP BY 1, 2),
+nm AS (SELECT batch, gene, (n * mean * mean + coalesce(s2, 0) - 2 * mean * coalesce(s1, 0)) / ((n - 1) * reg * reg) AS norm FROM reg LEFT JOIN cs USING (batch, gene)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY norm DESC, gene) - 1 AS r FROM nm),
+g AS (SELECT gene, avg(norm) AS v, median(CASE WHEN r < 10 THEN r END) AS m, CAST(count(*) FILTER (WHERE r < 10) AS INTEGER) AS b FROM rk GROUP BY 1)
+SELECT gene, round(v, 6) + 0.0 AS variances_norm, m AS median_rank, b AS n_batches, row_number() OVER (ORDER BY m NULLS LAST, b DESC, gene) <= 10 AS highly_variable FROM g"""
+
+
+@query(sql("c1 obs", _LOCAL))
 def hvg_regularized(spark, d):
-    """Local regression has no SQL form; tests hold it against polynomials it must reproduce."""
     return rounded(hvg.regularized_variance(t.order_counts(spark, d), t.order_obs(spark, d), 10, batch="batch"))
 
 
@@ -640,6 +660,11 @@ def hypergraph_neighbors(spark, d):
     return graphs.co_participants(h)
 
 
+@query(sql("ann", "SELECT a.source AS node, count(DISTINCT b.source) - 1 AS degree FROM ann a JOIN ann b USING (target) GROUP BY 1"))
+def hypergraph_degrees(spark, d):
+    return graphs.co_degrees(t.annotation(spark, d).groupBy(F.col("target").alias("edge_id")).agg(F.collect_list("source").alias("participants")))
+
+
 @query(sql("dag", "SELECT parent AS source, child AS target FROM dag WHERE parent IN (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1) AND child LIKE 's%'"))
 def graph_subgraph(spark, d):
     nations = t.table(spark, d, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))

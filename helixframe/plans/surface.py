@@ -626,6 +626,12 @@ def unique_perturbations(spark, d):
     return e.unique_perturbations().select(F.lit("all").alias("kind"), "pert").union(e.unique_perturbations(False).select(F.lit("perturbed"), "pert"))
 
 
+@query(sql("obs", "SELECT count(DISTINCT pert) FILTER (WHERE pert <> '3-MEDIUM') AS every, count(DISTINCT pert) FILTER (WHERE pert NOT IN ('3-MEDIUM', '5-LOW')) AS perturbed FROM obs"))
+def perturbation_numbers(spark, d):
+    e = _experiment(spark, d)
+    return spark.createDataFrame([(e.n_perturbations(), e.n_perturbations(False))], "every long, perturbed long")
+
+
 @query(sql("obs", "SELECT cell_type AS token, CAST(row_number() OVER (ORDER BY cell_type) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT cell_type FROM obs)"))
 def cell_types(spark, d):
     return _experiment(spark, d).cell_types()

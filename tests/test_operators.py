@@ -478,3 +478,65 @@ def test_mmd_is_the_definition(spark, gamma):
     got = {r["gene"]: r["mmd"] for r in metrics.mmd(frame(A), frame(B), gamma, per_gene=True).collect()}
     assert all(abs(got[j] - want[j]) < 1e-9 for j in range(3)), (got, want)
     assert abs(metrics.mmd(frame(A), frame(B), gamma).first()[0] - np.mean(list(want.values()))) < 1e-9
+
+
+def test_neighbours_without_all_pairs(spark):
+    """An edge of many nodes answers for some of them, and counts for all, without its pairs."""
+    big = spark.range(1).select(F.lit("big").alias("edge_id"), F.sequence(F.lit(0), F.lit(60_000)).alias("participants"))
+    h = big.union(spark.createDataFrame([("a", [1, 2, 70_000]), ("b", [70_000, 70_001]), ("c", [5, 5])], "edge_id string, participants array<int>"))
+    asked = spark.createDataFrame([(70_000,), (70_001,), (-1,)], "node int")
+    assert sorted(map(tuple, graphs.co_participants(h, asked).collect())) == [(70_000, 1), (70_000, 2), (70_000, 70_001), (70_001, 70_000)]
+    assert {r[0]: r[1] for r in graphs.co_degrees(h, asked).collect()} == {70_000: 3, 70_001: 1, -1: 0}
+    every = graphs.co_degrees(h).groupBy("degree").count().collect()
+    assert {r[0]: r[1] for r in every} == {60_000: 59_999, 60_001: 2, 3: 1, 1: 1}
+
+
+@pytest.mark.parametrize(("ranks", "size", "cells"), [(1, 4, 11), (2, 3, 25), (3, 2, 25), (3, 50, 7), (4, 2, 1), (2, 2, 0)])
+def test_each_rank_gets_its_batches(spark, ranks, size, cells):
+    """Every cell once an epoch, the same number of batches on every rank, the rank's own number, and another order each epoch."""
+    import pyarrow as pa
+
+    from helixframe.plans import training
+    from helixframe.plans.experiment import Experiment
+
+    obs = spark.createDataFrame([(i, "train" if i % 5 else "test") for i in range(cells)], "cell int, split string")
+    X = spark.createDataFrame([(i, g, float(i + g)) for i in range(cells) for g in range(i % 3)], "cell int, gene int, value double")
+    e = Experiment(X, obs, spark.range(4).select(F.col("id").cast("int").alias("gene")))
+
+    def step(rank, lots):
+        for lot in lots:
+            assert lot.values.shape == (len(lot.cells), 4)
+            for cell, row in zip(lot.cells, lot.values, strict=True):
+                assert row.tolist() == [float(cell + g) if g < cell % 3 else 0.0 for g in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array([rank], pa.int32()), pa.array([lot.number], pa.int64()), pa.array([lot.cells], pa.list_(pa.int32()))], ["rank", "number", "cells"])
+
+    seen = []
+    for number in (0, 1):
+        rows = training.each_rank(e, step, "rank int, number long, cells array<int>", ranks, size, number).collect()
+        lots = -(-cells // (ranks * size))
+        assert sorted((r["rank"], r["number"]) for r in rows) == [(k, n) for k in range(ranks) for n in range(lots)]
+        assert sorted(c for r in rows for c in r["cells"]) == list(range(cells)) and all(len(r["cells"]) <= size for r in rows)
+        want = {r["cell"]: (r["rank"], r["batch"]) for r in training.epoch(e, ranks, size, number).collect()}
+        assert {c: (r["rank"], r["number"]) for r in rows for c in r["cells"]} == want
+        seen.append([c for r in sorted(rows, key=lambda r: (r["number"], r["rank"])) for c in r["cells"]])
+    assert cells < 7 or seen[0] != seen[1]
+    train = training.epoch(e, ranks, size, split="train").collect()
+    assert sorted(r["cell"] for r in train) == [i for i in range(cells) if i % 5]
+
+
+def test_one_gene_is_many_tasks(spark):
+    """Running sums over one key: right at the borders of ranges, and no task holds all of it."""
+    from helixframe.operators.numbering import running
+
+    df = spark.range(3000).select(F.lit("g").alias("gene"), (F.col("id") * 7 % 3000).cast("double").alias("v"), F.lit(2.0).alias("c"))
+    out = running(df, "gene", "v", ["c"], {"squares": F.col("c") * F.col("c")}, "next")
+    rows = out.orderBy("v").collect()
+    assert [r["_upto_c"] for r in rows] == [2.0 * (i + 1) for i in range(3000)] and {r["_all_c"] for r in rows} == {6000.0} and {r["squares"] for r in rows} == {12_000.0}
+    assert [r["next"] for r in rows] == [float(i + 1) for i in range(2999)] + [None]
+    sizes = [r["count"] for r in df.repartitionByRange(4, "gene", "v").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1500
+    one = spark.createDataFrame([(i, 0, float(i % 97 - 40)) for i in range(500)], "cell long, gene long, value double")
+    obs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(500)], "cell long, pert string")
+    got = de.rank_sum(one, obs, "pert", "a").first()
+    x, y = ([float(i % 97 - 40) for i in range(k, 500, 2)] for k in (1, 0))
+    assert got["u"] == sum((p > q) + 0.5 * (p == q) for p in x for q in y)
