@@ -272,7 +272,7 @@ def hvg_batched(spark, d):
     return rounded(out.withColumn("dispersions_norm", F.round("dispersions_norm", 4)))
 
 
-@query(sql("c1 obs", _MANY + ", f AS (SELECT *, round(norm, 9) AS x, row_number() OVER (PARTITION BY batch ORDER BY round(norm, 9) DESC NULLS LAST, gene) AS r FROM nm), cut AS (SELECT batch, min(x) FILTER (WHERE r <= 8) AS nth FROM f GROUP BY batch), g AS (SELECT gene, avg(norm) AS v, CAST(sum(coalesce(x >= nth, false)::INT) AS INTEGER) AS n_batches FROM f JOIN cut USING (batch) GROUP BY gene) SELECT gene, n_batches, row_number() OVER (ORDER BY n_batches DESC, v DESC NULLS LAST, gene) <= 8 AS highly_variable FROM g"))
+@query(sql("c1 obs", _MANY + ", f AS (SELECT *, CAST(printf('%.8e', norm) AS DOUBLE) AS x, row_number() OVER (PARTITION BY batch ORDER BY CAST(printf('%.8e', norm) AS DOUBLE) DESC NULLS LAST, gene) AS r FROM nm), cut AS (SELECT batch, min(x) FILTER (WHERE r <= 8) AS nth FROM f GROUP BY batch), g AS (SELECT gene, avg(norm) AS v, CAST(sum(coalesce(x >= nth, false)::INT) AS INTEGER) AS n_batches FROM f JOIN cut USING (batch) GROUP BY gene) SELECT gene, n_batches, row_number() OVER (ORDER BY n_batches DESC, CAST(printf('%.8e', v) AS DOUBLE) DESC NULLS LAST, gene) <= 8 AS highly_variable FROM g"))
 def hvg_batched_top(spark, d):
     return hvg.highly_variable(_logged(spark, d), t.order_obs(spark, d), n_top=8, batch="batch").select("gene", "n_batches", "highly_variable")
 
