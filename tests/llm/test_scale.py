@@ -117,13 +117,18 @@ def test_folder_is_asked_for_on_a_cluster():
             return default
 
     class Context:
-        master, applicationId = "spark://somewhere:7077", "a"
+        master, applicationId, held = "spark://somewhere:7077", "a", None
+
+        def getCheckpointDir(self):
+            return self.held
 
     class Session:
         conf, sparkContext = Conf(), Context()
 
     with pytest.raises(ValueError):
         store.shared_folder(Session())
+    Context.held = "hdfs://shared/checkpoints"  # set with sparkContext.setCheckpointDir
+    assert store.shared_folder(Session()) == "hdfs://shared/checkpoints/a"
 
 
 def test_written_tables_are_cleared(spark):
