@@ -275,6 +275,35 @@ def undirected_edges(hyperedges: DataFrame) -> DataFrame:
     return hyperedges.withColumn("participants", F.array_sort("participants")).dropDuplicates(["participants"])
 
 
+#: Kinds of an edge that meet in one task, and nodes of a kind that are written out in one.
+_CHUNK = 1024
+
+
+def _kinds(hyperedges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes in the same edges are of one kind: ``node, kind``, ``kind, m, edges`` with its nodes counted and its edges numbered, and ``edge_id, e``."""
+    a = cut(incidence(hyperedges))
+    edges = cut(a.select("edge_id").distinct().withColumn("e", F.monotonically_increasing_id()))
+    of = cut(a.join(edges, "edge_id", "left").groupBy("node").agg(F.sort_array(F.collect_list("e")).alias("edges")))
+    kinds = cut(of.groupBy("edges").agg(F.count("*").alias("m")).withColumn("kind", F.monotonically_increasing_id()))
+    return cut(of.join(kinds.select("edges", "kind"), "edges").select("node", "kind")), kinds, edges
+
+
+def _meetings(own: DataFrame, kinds: DataFrame, every: bool = False) -> DataFrame:
+    """Each kind of ``own`` with each of ``kinds`` that shares an edge, itself too: ``a, b, m, e``, at their first common edge or at every.
+
+    Both sides carry their edges, so nothing has to be made distinct. The kinds of an edge are
+    dealt to chunks and a pair of chunks is a key, so an edge of very many kinds is many tasks.
+    """
+    opened = kinds.select("kind", "m", "edges", F.explode("edges").alias("e"))
+    chunks = opened.groupBy("e").agg(F.ceil(F.count("*") / _CHUNK).alias("n"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    left = own.select(F.col("kind").alias("a"), F.col("edges").alias("_a"), F.explode("edges").alias("e")).join(chunks, "e").select("e", "a", "_a", F.pmod(F.xxhash64("a"), "n").alias("x"), F.explode(numbers).alias("y"))
+    right = opened.select(F.col("kind").alias("b"), "m", F.col("edges").alias("_b"), "e").join(chunks, "e").select("e", "b", "m", "_b", F.pmod(F.xxhash64("b"), "n").alias("y"), F.explode(numbers).alias("x"))
+    met = left.join(right, ["e", "x", "y"])
+    first = met if every else met.filter(F.get(F.array_intersect("_a", "_b"), F.lit(0)) == F.col("e"))
+    return first.select("a", "b", "m", "e")
+
+
 def co_participants(hyperedges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """Nodes that share an edge: ``node, neighbor``; of the nodes ``asked (node)`` only, if given.
 
@@ -291,16 +320,13 @@ def co_degrees(hyperedges: DataFrame, asked: DataFrame | None = None) -> DataFra
 
     Nodes in the same edges have the same neighbours, so they are counted as one kind, and a
     kind's edges are opened once; an edge of a million nodes is not opened for each of them.
+    Kinds that meet are added up where they meet and not written.
     """
-    a = cut(incidence(hyperedges))
-    kinds = a.groupBy("node").agg(F.sort_array(F.collect_list("edge_id")).alias("edges"))
-    wanted = kinds if asked is None else asked.select("node").distinct().join(kinds, "node", "left")
-    open_ = wanted.filter("edges IS NOT NULL").select("edges").distinct()
-    members = kinds.groupBy(F.col("edges").alias("_e")).agg(F.count("*").alias("m"))
-    links = members.select("_e", "m", F.explode("_e").alias("edge_id"))
-    met = open_.select("edges", F.explode("edges").alias("edge_id")).join(links, "edge_id").select("edges", "_e", "m").distinct()
-    found = met.groupBy("edges").agg((F.sum("m") - 1).alias("degree"))  # without itself
-    return wanted.join(found, "edges", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    of, kinds, _ = _kinds(hyperedges)
+    wanted = of if asked is None else asked.select("node").distinct().join(of, "node", "left")
+    opened = kinds if asked is None else kinds.join(wanted.select("kind"), "kind", "left_semi")
+    found = _meetings(opened, kinds).groupBy(F.col("a").alias("kind")).agg((F.sum("m") - 1).alias("degree"))  # without itself
+    return wanted.join(found, "kind", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
 def clique_expansion(hyperedges: DataFrame, weight: str | None = None, default: float = 1.0) -> DataFrame:

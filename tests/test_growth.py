@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import random
+
+import random
+
 import pandas as pd
+import pytest
+import pytest
 from compare import duck, rows
 
+from helixframe.operators import graphs
+from helixframe.operators import graphs
 from helixframe.plans.catalogue import ORACLES, QUERIES
 
 
@@ -14,3 +22,70 @@ def test_training_matrices_keep_stored_zeros(spark, tmp_path):
     pd.DataFrame({"n_nationkey": pd.Series([0, 1, 2], dtype="int32"), "n_name": ["a", "b", "c"]}).to_parquet(f"{d}/nation.parquet")
     ours = QUERIES["training_matrices"](spark, d).toPandas()
     assert rows(ours) == rows(duck(d).sql(ORACLES["training_matrices"]).df()) and len(ours) == 4
+
+
+def hyperedges(spark, seed):
+    """Random edges, some nodes in the same ones, one edge repeated; as a table and as sets."""
+    r = random.Random(seed)
+    edges = {f"e{i}": {r.randrange(30) for _ in range(r.randrange(1, 9))} for i in range(12)}
+    edges["big"] = set(range(20, 60))
+    return spark.createDataFrame([(k, sorted(v), float(i)) for i, (k, v) in enumerate(edges.items())], "edge_id string, participants array<int>, w double"), edges
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_degrees_do_not_shuffle_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(graphs, "_CHUNK", chunk, raising=False)
+    h, edges = hyperedges(spark, 1)
+    out = graphs.co_degrees(h)
+    nodes = set().union(*edges.values())
+    assert dict(map(tuple, out.collect())) == {n: len(set().union(*(e for e in edges.values() if n in e))) - 1 for n in nodes}
+    assert "keys=[edges" not in plan(out)  # pairs of lists were made distinct
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_neighbours_are_written_where_they_are_made(spark, monkeypatch, chunk):
+    monkeypatch.setattr(graphs, "_CHUNK", chunk, raising=False)
+    h, edges = hyperedges(spark, 2)
+    out = graphs.co_participants(h)
+    want = {(a, b) for e in edges.values() for a in e for b in e if a != b}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "Generate" in (found := plan(out)) and not any(x in found[: found.index("Generate")] for x in ("Exchange", "HashAggregate"))  # nothing comes after the pairs
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_cliques_are_written_where_they_are_made(spark, monkeypatch, chunk):
+    monkeypatch.setattr(graphs, "_CHUNK", chunk, raising=False)
+    h, edges = hyperedges(spark, 3)
+    want = {}
+    for w, e in enumerate(edges.values()):
+        for a, b in ((a, b) for a in e for b in e if a != b):
+            want[a, b] = want.get((a, b), 0.0) + w
+    out = graphs.clique_expansion(h, "w")
+    assert {(r[0], r[1]): r[2] for r in out.collect()} == want and out.count() == len(want)
+    assert "Generate" in (found := plan(out)) and not any(x in found[: found.index("Generate")] for x in ("Exchange", "HashAggregate"))  # nothing comes after the pairs
+
+
+def hyperedges(spark, seed):
+    """Random edges, some nodes in the same ones, one edge repeated; as a table and as sets."""
+    r = random.Random(seed)
+    edges = {f"e{i}": {r.randrange(30) for _ in range(r.randrange(1, 9))} for i in range(12)}
+    edges["big"] = set(range(20, 60))
+    return spark.createDataFrame([(k, sorted(v), float(i)) for i, (k, v) in enumerate(edges.items())], "edge_id string, participants array<int>, w double"), edges
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_degrees_do_not_shuffle_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(graphs, "_CHUNK", chunk, raising=False)
+    h, edges = hyperedges(spark, 1)
+    out = graphs.co_degrees(h)
+    nodes = set().union(*edges.values())
+    assert dict(map(tuple, out.collect())) == {n: len(set().union(*(e for e in edges.values() if n in e))) - 1 for n in nodes}
+    assert "keys=[edges" not in plan(out)  # pairs of lists were made distinct
