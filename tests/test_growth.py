@@ -10,9 +10,10 @@ import pandas as pd
 import pytest
 import pytest
 from compare import duck, rows
+from pyspark.sql import functions as F
 
-from helixframe.operators import graphs
-from helixframe.operators import graphs
+from helixframe.operators import graphs, similarity
+from helixframe.operators import graphs, similarity
 from helixframe.plans.catalogue import ORACLES, QUERIES
 
 
@@ -112,3 +113,17 @@ def test_cliques_are_written_where_they_are_made(spark, monkeypatch, chunk):
     out = graphs.clique_expansion(h, "w")
     assert {(r[0], r[1]): r[2] for r in out.collect()} == want and out.count() == len(want)
     assert "Generate" in (found := plan(out)) and not any(x in found[: found.index("Generate")] for x in ("Exchange", "HashAggregate"))  # nothing comes after the pairs
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_strongest_edges_of_equal_sets(spark, k):
+    """The same as from all pairs; 30,000 equal sets, of 900 million pairs, are a row and k each."""
+    r = random.Random(4)
+    kinds = [sorted({r.randrange(12) for _ in range(r.randrange(1, 5))}) for _ in range(25)]
+    table = spark.createDataFrame([(f"s{i:02}", t) for i in range(60) for t in kinds[r.randrange(25)]], "gene string, term int")
+    want = similarity.strongest(similarity.project(table, "jaccard", 0.1, "gene", "term"), k)
+    assert sorted(map(tuple, similarity.annotation_graph(table, k=k).select("source", "target", "weight").collect())) == sorted(map(tuple, want.select("source", "target", "weight").collect()))
+    many = spark.range(30_000).select(F.col("id").alias("gene"), F.explode(F.array(F.lit(1), F.lit(2))).alias("term"))
+    found = similarity.annotation_graph(many, k=k)
+    assert found.count() == 30_000 * k
+    assert {r[0] for r in found.filter("target = 29999").select("source").collect()} == set(range(k)) and {r[0] for r in found.filter("target = 0").select("source").collect()} == set(range(1, k + 1))
