@@ -140,3 +140,13 @@ def test_annotations_of_a_shared_name_are_joined_once(spark, monkeypatch):
     obs = spark.createDataFrame([(1, "control"), (2, "control")], "cell long, perturbation string")
     training.graphs(Experiment(X, obs, var), spark.createDataFrame([("x", "t")] * 3 + [("y", "t")], "gene string, term string"))
     assert sorted(map(tuple, seen[0].collect())) == [(1, "t"), (2, "t"), (3, "t"), (4, "t")]
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_similar_pairs_are_written_where_they_are_made(spark, both):
+    table = spark.createDataFrame([(s, t) for s in range(30) for t in range(s % 5 + 1)], "source int, target int")
+    sets = {s: set(range(s % 5 + 1)) for s in range(30)}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.45}
+    out = similarity.project(table, "jaccard", 0.45, both_ways=both)
+    assert sorted((r[0], r[1]) for r in out.collect()) == sorted(want | ({(b, a) for a, b in want} if both else set()))
+    assert "Generate" in (found := plan(out)) and not any(x in found[: found.index("Generate")] for x in ("Exchange", "Union"))  # nothing comes after the pairs
