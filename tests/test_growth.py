@@ -169,3 +169,24 @@ def test_ranks_sort_packed_batches(spark):
     out = training.each_rank(Experiment(X, obs, spark.range(3).select(F.col("id").alias("gene"))), step, "cell long, total double", 2, 64)
     assert dict(map(tuple, out.collect())) == {c: 3.0 * c + 3 if c % 2 == 0 else 0.0 for c in range(500)}
     assert "packed(" in plan(out).split("Exchange")[1]
+
+
+@pytest.mark.parametrize("kind", ["jaccard", "overlap", "cosine"])
+def test_weights_are_rounded_before_pairs_are_written(spark, tmp_path, kind):
+    """Rounding costs more than all else of a row, and a pair of sets has one weight for all its rows."""
+    d, name = str(tmp_path), f"set_similarity_{kind}"
+    orders = [(s, f"2020-{m:02}-01", "x") for s in range(24) for m in range(1 + s % 3, 3 + s % 4)]
+    table = pd.DataFrame(orders, columns=["o_custkey", "o_orderdate", "o_orderpriority"]).assign(o_orderdate=lambda x: pd.to_datetime(x["o_orderdate"]).astype("datetime64[us]"))
+    table.to_parquet(f"{d}/orders.parquet")
+    out = QUERIES[name](spark, d)
+    assert rows(out.toPandas()) == rows(duck(d).sql(ORACLES[name]).df()) and out.count() > 24
+    assert "Generate" in (found := plan(out)) and "round(" not in found[: found.index("Generate explode(_x")]
+
+
+def test_lists_of_equal_sets_are_written_in_either_order(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_CHUNK", 3)
+    table = spark.createDataFrame([(s, t) for s in range(40) for t in range(s % 2 + 1)], "source int, target int")
+    found = list(map(tuple, similarity.project(table, "jaccard", 0.4, digits=2).collect()))
+    assert sorted(found) == [(a, b, 1.0 if a % 2 == b % 2 else 0.5) for a in range(40) for b in range(40) if a != b]
+    once = [(r[0], r[1]) for r in similarity.project(table, "jaccard", 0.4, both_ways=False).collect()]
+    assert sorted(once) == [(a, b) for a in range(40) for b in range(40) if a < b]
