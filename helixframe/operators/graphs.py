@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators import blocks
 from helixframe.operators.lineage import cut
 from helixframe.operators.numbering import in_order
 
@@ -343,12 +344,21 @@ def co_degrees(hyperedges: DataFrame, asked: DataFrame | None = None) -> DataFra
 
     Nodes in the same edges have the same neighbours, so they are counted as one kind, and a
     kind's edges are opened once; an edge of a million nodes is not opened for each of them.
-    Kinds that meet are added up where they meet and not written.
+    Kinds that meet are added up where they meet and not written. Where edges hold so many kinds
+    that most pairs of them meet, blocks of kinds and nodes are counted instead
+    (``blocks.touching``).
     """
     of, kinds, _ = _kinds(hyperedges)
     wanted = of if asked is None else asked.select("node").distinct().join(of, "node", "left")
     opened = kinds if asked is None else kinds.join(wanted.select("kind"), "kind", "left_semi")
-    found = _meetings(opened, kinds).groupBy(F.col("a").alias("kind")).agg((F.sum("m") - 1).alias("degree"))  # without itself
+    meeting = [k.select(F.explode("edges").alias("e")).groupBy("e").agg(F.count("*").alias(n)) for k, n in ((opened, "_a"), (kinds, "_b"))]
+    pairs = meeting[0].join(meeting[1], "e").agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
+    if blocks.worth(pairs, opened.count(), of.count()):
+        sets = of.join(kinds.select("kind", F.col("edges").alias("set")), "kind").select("node", "set")
+        met = blocks.touching(opened.select("kind", F.col("edges").alias("set")), sets, "kind", "node")
+        found = met.groupBy("kind").agg((F.sum("n") - 1).alias("degree"))  # without itself
+    else:
+        found = _meetings(opened, kinds).groupBy(F.col("a").alias("kind")).agg((F.sum("m") - 1).alias("degree"))
     return wanted.join(found, "kind", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 

@@ -251,3 +251,21 @@ def test_files_are_written_once(spark, tmp_path, monkeypatch):
     made = h5ad.write_h5ad(e, str(tmp_path / "w"), cells=2)
     assert [r["cells"] for r in made.collect()] == [2, 2, 2, 2, 1]
     assert any("write(" in x for x in plans) and not any("write(" in x and "rangepartitioning" in x for x in plans)
+
+
+@pytest.mark.parametrize("asked", [False, True])
+def test_degrees_of_sets_that_all_differ_are_counted_in_blocks(spark, monkeypatch, asked):
+    """Most pairs of nodes meet, at edges of many and of few nodes; no pair is made a row."""
+    r = random.Random(6)
+    own = {n: {r.randrange(40) for _ in range(8)} | ({40 + n % 700} if n % 3 else set()) for n in range(3000)}
+    edges = {}
+    for n, found in own.items():
+        for e in found:
+            edges.setdefault(e, set()).add(n)
+    h = spark.createDataFrame([(e, sorted(v)) for e, v in edges.items()], "edge_id int, participants array<int>")
+    if hasattr(graphs, "blocks"):
+        monkeypatch.setattr(graphs.blocks, "_COLUMNS", 1100)
+    out = graphs.co_degrees(h, spark.range(0, 3003, 7).select(F.col("id").cast("int").alias("node")) if asked else None)
+    want = {n: len(set().union(*(edges[e] for e in found))) - 1 for n, found in own.items()}
+    assert dict(map(tuple, out.collect())) == ({n: want.get(n, 0) for n in range(0, 3003, 7)} if asked else want)
+    assert "array_intersect" not in plan(out)
