@@ -269,3 +269,51 @@ def test_degrees_of_sets_that_all_differ_are_counted_in_blocks(spark, monkeypatc
     want = {n: len(set().union(*(edges[e] for e in found))) - 1 for n, found in own.items()}
     assert dict(map(tuple, out.collect())) == ({n: want.get(n, 0) for n in range(0, 3003, 7)} if asked else want)
     assert "array_intersect" not in plan(out)
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_pairs_of_nodes_are_written_by_a_hash_join(spark, monkeypatch, chunk):
+    """Opening lists takes ten times as long a row."""
+    monkeypatch.setattr(graphs, "_CHUNK", chunk)
+    h, edges = hyperedges(spark, 7)
+    want = {(a, b) for e in edges.values() for a in e for b in e if a != b}
+    for out in (graphs.co_participants(h), graphs.clique_expansion(h)):
+        assert sorted((r[0], r[1]) for r in out.collect()) == sorted(want)
+        assert "explode(_t" not in (found := plan(out)) and "ShuffledHashJoin" in found[: found.index("Exchange")]
+
+
+@pytest.mark.parametrize("kind", ["jaccard", "overlap", "cosine"])
+def test_sets_that_all_differ_are_counted_in_blocks(spark, monkeypatch, kind):
+    """The same as by definition, pairs and the heaviest of them, some sets equal, some members rare, and no candidate is a row."""
+    r = random.Random(8)
+    sets = {s: {r.randrange(30) for _ in range(r.randrange(1, 9))} | ({30 + s % 500} if s % 4 else set()) for s in range(2600)}
+    sets |= {s: sets[s % 40] for s in range(2600, 2700)}
+    if hasattr(similarity, "blocks"):
+        monkeypatch.setattr(similarity.blocks, "_COLUMNS", 1100)
+        monkeypatch.setattr(similarity.blocks, "_PAIRS", 100_000)
+    table = spark.createDataFrame([(s, t) for s, found in sets.items() for t in found], "source int, target int")
+    form = {"jaccard": lambda c, a, b: c / (a + b - c), "overlap": lambda c, a, b: c / min(a, b), "cosine": lambda c, a, b: c / (a * b) ** 0.5}[kind]
+    want = {(a, b): w for a in sets for b in sets if a < b and (w := form(len(sets[a] & sets[b]), len(sets[a]), len(sets[b]))) > 0.5}
+    want |= {(b, a): w for (a, b), w in want.items()}
+    out = similarity.project(table, kind, 0.5)
+    found = [tuple(x) for x in out.collect()]
+    assert len(found) == len(want) and dict(((a, b), w) for a, b, w in found) == pytest.approx(want, abs=1e-12)
+    assert "array_intersect" not in plan(out)
+    once = similarity.project(table, kind, 0.5, both_ways=False, digits=2)
+    assert sorted((a, b) for a, b, _ in once.collect()) == sorted(p for p in want if p[0] < p[1])
+    assert once.filter("weight <> round(weight, 2)").isEmpty()
+    best = similarity.project(table, kind, 0.5, k=2)
+    by = {}
+    for (a, b), w in want.items():
+        by.setdefault(b, []).append((-w, a))
+    assert sorted((a, b) for a, b, _ in best.collect()) == sorted((a, b) for b, x in by.items() for _, a in sorted(x)[:2])
+
+
+def test_weights_are_rounded_as_spark_does(spark):
+    from helixframe.operators import blocks
+
+    x = sorted({a / (b + 7) for a in range(1, 40) for b in range(a, 60)} | {(a / (b * c)) for a in range(1, 9) for b in range(1, 9) for c in range(1, 9)} | {0.1234565, 0.5, 1.0, 0.0000005, 2.5e-7})
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "v double").select(F.round("v", 6) + F.lit(0.0)).collect()]
+    import numpy as np
+
+    assert blocks._round(np.array(x), 6).tolist() == want
